@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import exact_avg
 from ..plans.materialise import materialise
 from ..plans.ordering import bind
 
@@ -256,10 +257,9 @@ def label_runs(
         .select(*keys, "cy", "cx", F.explode(_sweep(F.col("a"), connectivity)).alias("r"))
         .select(*keys, "cy", "cx", "r.y", "r.x0", "r.x1", F.col("r.k").alias("label"))
     )
-    wide = runs.where((F.col("x1") > tile) | (F.col("y") >= tile)).limit(1).count()
-    if not wide:
-        return swept.drop("cy", "cx")
     swept = materialise(swept, "tiles")
+    if not swept.where("cy > 0 or cx > 0").limit(1).count():
+        return swept.drop("cy", "cx")
     edges = _border_edges(swept, keys, connectivity, tile)
     roots = merge_labels(edges, keys)
     return swept.join(roots, [*keys, "label"], "left").select(
@@ -459,6 +459,6 @@ def instances(labelled: DataFrame, pixels: DataFrame, prob: str, min_area: int =
     return (
         region_pixels(labelled, pixels, keys)
         .groupBy(*keys, "label")
-        .agg(F.count("*").alias("area"), F.round(F.avg(prob), 6).alias("score"))
+        .agg(F.count("*").alias("area"), exact_avg(prob, 6).alias("score"))
         .where(F.col("area") >= min_area)
     )

@@ -131,7 +131,7 @@ def _(t):
 
 
 @query("a41_instances", "fx_raster", "with recursive " + labels_cte("p >= 0.5", "px") + """
-select l.image_id, l.label, count(*) as area, round(avg(r.p), 6) as score
+select l.image_id, l.label, count(*) as area, round(avg(cast(r.p as decimal(18, 6))) + 1e-9, 6) as score
 from px_lab l join fx_raster r on r.image_id = l.image_id and r.y = l.y and r.x = l.x
 group by l.image_id, l.label having count(*) >= 8""")
 def _(t):

@@ -1,3 +1,3 @@
 """Collects all query modules."""
-from . import q_masks, q_matching  # noqa: F401
+from . import q_confidence, q_masks, q_matching, q_metrics  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -18,3 +18,21 @@ def half_up(x: Column | str, places: int) -> Column:
     """Round half up on the decimal value of a non-negative number, also when its binary form sits a hair below."""
     c = F.col(x) if isinstance(x, str) else x
     return F.round(c + F.lit(1e-9), places)
+
+
+def half_even(x: Column | str, places: int) -> Column:
+    """Round half to even on the exact binary value of a double, for up to six places.
+
+    The product x * 10^places is taken with its rounding error (x is split in two halves whose products
+    are exact), so a tie is told apart from a value that only looks like one.
+    """
+    c = F.col(x) if isinstance(x, str) else x
+    k = F.lit(float(10**places))
+    p = c * k
+    split = c * F.lit(134217729.0)
+    high = split - (split - c)
+    err = (high * k - p) + (c - high) * k
+    low = F.floor(p)
+    d = p - low
+    up = (d > 0.5) | ((d == 0.5) & ((err > 0) | ((err == 0) & (low % 2 != 0))))
+    return F.when(c.isNotNull(), (low + up.cast("int")) / k)

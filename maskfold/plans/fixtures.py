@@ -121,22 +121,23 @@ from events""",
     ),
     "fx_geo": (
         (),
-        """select p_partkey as image_id, cast(p_partkey % 6 as int) as kind, (10 + p_size) / 100.0 as sx, (12 + p_size) / 100.0 as sy
+        """select p_partkey as image_id, cast(p_partkey % 6 as int) as kind, cast(10 + p_size as double) / 100 as sx, cast(12 + p_size as double) / 100 as sy
 from part""",
     ),
     "fx_manual": (
         (),
         """select p_partkey as image_id,
-       case cast(p_partkey % 8 as int) when 0 then 0.25 when 1 then 1.0 when 2 then 1.0 when 3 then 0.5 when 4 then -1.0
-            when 5 then 0.001 when 6 then 250.0 else null end as gsd,
+       cast(case cast(p_partkey % 8 as int) when 0 then 0.25 when 1 then 1.0 when 2 then 1.0 when 3 then 0.5 when 4 then -1.0
+            when 5 then 0.001 when 6 then 250.0 else null end as double) as gsd,
        case cast(p_partkey % 8 as int) when 2 then 'flight log 2024-03-11' when 3 then 'short' else null end as citation
 from part""",
     ),
     "fx_irradiance": (
         (),
-        """select c_custkey as custkey, case when c_custkey % 37 = 0 then -999.0 when c_custkey % 41 = 0 then 13.5 else 3.0 + (c_custkey % 40) / 10.0 end as ann,
-       case when c_custkey % 37 = 0 then -999.0 else 3.0 + (c_custkey % 40) / 10.0 - 1.0 end as jan,
-       case when c_custkey % 11 = 0 then -999.0 else 3.0 + (c_custkey % 40) / 10.0 + 1.0 end as jul
+        """select c_custkey as custkey,
+       case when c_custkey % 37 = 0 then cast(-999 as double) when c_custkey % 41 = 0 then cast(13 as double) else cast(30 + c_custkey % 40 as double) / 10 end as ann,
+       case when c_custkey % 37 = 0 then cast(-999 as double) else cast(20 + c_custkey % 40 as double) / 10 end as jan,
+       case when c_custkey % 11 = 0 then cast(-999 as double) else cast(40 + c_custkey % 40 as double) / 10 end as jul
 from customer""",
     ),
     "fx_log": (
@@ -224,3 +225,13 @@ class Inputs:
             if t in text:
                 self.table(t).createOrReplaceTempView(t)
         return self.spark.sql(f"with {text}\nselect * from {name}")
+
+
+def sql_half_even(x: str, places: int) -> str:
+    """Twin of `half_even` as one SQL expression."""
+    k = float(10**places)
+    return (
+        f"list_transform(list_transform([cast({x} as double)], lambda v: {{'v': v, 'p': v * {k}::double, 'h': (v * 134217729.0::double) - ((v * 134217729.0::double) - v)}}), "
+        f"lambda s: (floor(s.p) + case when s.p - floor(s.p) > 0.5 or (s.p - floor(s.p) = 0.5 and ((s.h * {k}::double - s.p) + (s.v - s.h) * {k}::double > 0 "
+        f"or ((s.h * {k}::double - s.p) + (s.v - s.h) * {k}::double = 0 and floor(s.p) % 2 <> 0))) then 1 else 0 end) / {k}::double)[1]"
+    )

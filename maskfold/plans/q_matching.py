@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, sweep
 from .fixtures import MODELS
+from .materialise import materialise
 from .registry import query
 
 ALL_T = range(50, 101)
@@ -114,7 +115,7 @@ def _(t):
   case when is_tp = 1 then 'TP' else 'FP' end as classification, d.area, d.x0, d.y0, d.x1, d.y1
   from m join fx_det d on d.model = m.model and d.image_id = m.image_id and d.pred_idx = m.pred_idx""")
 def _(t):
-    pairs = pairs_df(t)
+    pairs = materialise(pairs_df(t), "pairs")
     return matching.match_details(matching.match_greedy(pairs, t.fx_det), pairs)
 
 
@@ -171,8 +172,8 @@ diag as (select *, case when max_matched_iou >= 0.30 then 'DUPLICATE_LIKE' when
 
 
 def diagnosis_df(t):
-    pairs = pairs_df(t)
-    m = matching.match_greedy(pairs, t.fx_det)
+    pairs = materialise(pairs_df(t), "pairs")
+    m = materialise(matching.match_greedy(pairs, t.fx_det), "matched")
     out = matching.max_iou_any(m.where("is_tp = 0"), pairs, matching.both_ways(self_pairs_df(t)), m.where("is_tp = 1"))
     return out.withColumn("diagnostic_category", matching.fp_category())
 

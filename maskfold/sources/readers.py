@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.physics import irradiance_reason, monthly
 from ..operators.catalogue import duplicates, must_be_empty, require_columns
@@ -13,7 +12,7 @@ from .schemas import COORDINATES, IRRADIANCE, MANIFEST
 def scan_catalogue(spark: SparkSession, csv: str, manifest: str) -> DataFrame:
     """Coordinates joined to their manifest; a repeated sampleid in either file is an error."""
     coords = spark.read.schema(COORDINATES).option("header", True).csv(csv)
-    rows = spark.read.option("header", True).schema(T.StructType([f for f in MANIFEST if f.name in ("sampleid", "filename")])).csv(manifest)
+    rows = spark.read.option("header", True).schema("sampleid bigint, filename string").csv(manifest)
     for name, df in (("coordinates", coords), ("manifest", rows)):
         must_be_empty(duplicates(df, ["sampleid"]), f"repeated sampleid in {name}")
     return rows.join(coords, "sampleid")
@@ -31,23 +30,24 @@ def scan_manifests(spark: SparkSession, files: dict[str, str], expected: dict[st
                 raise ValueError(f"{source}: expected {expected[source]} rows, found {n}")
         df = df.withColumn("source", F.lit(source))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    known = {f.name: f.dataType for f in MANIFEST}
+    known = dict(c.split() for c in MANIFEST.split(","))
     return out.withColumns({c: F.col(c).try_cast(known[c]) for c in out.columns if c in known})
 
 
-COCO = T.StructType.fromDDL(
+COCO = (
     "images array<struct<id:bigint,file_name:string,width:int,height:int>>,"
     "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,area:double,iscrowd:int,bbox:array<double>,segmentation:string>>"
 )
 
 
-def scan_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_coco(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, polygon annotations, and quarantined run-length annotations of COCO files.
 
     The segmentation is read as text because one file mixes polygon lists and run-length objects. Land
-    large annotation sets as many files: one JSON document is read by one task.
+    large annotation sets as many documents (files, or lines with `multi_line=False`): one JSON document is
+    read by one task.
     """
-    doc = spark.read.schema(COCO).option("multiLine", True).json(path)
+    doc = spark.read.schema(COCO).option("multiLine", multi_line).json(path)
     images = doc.select(F.explode("images").alias("i")).select("i.*").withColumn("file_name", F.regexp_extract("file_name", r"([^/\\]*)$", 1))
     ann = doc.select(F.explode("annotations").alias("a")).select("a.*")
     rle = F.col("segmentation").startswith("{")
@@ -56,13 +56,13 @@ def scan_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return images, polygons, coded
 
 
-def scan_split_ids(spark: SparkSession, path: str) -> DataFrame:
-    """{"train": [ids], ...} to (split, image_id)."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<bigint>>").alias("m"))
+def scan_split_ids(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """{"train": [ids], ...} to (split, image_id); one document per file or per line."""
+    doc = spark.read.text(path, wholetext=whole_file).select(F.from_json("value", "map<string,array<bigint>>").alias("m"))
     return doc.select(F.explode("m").alias("split", "ids")).select("split", F.explode("ids").alias("image_id"))
 
 
-def scan_metrics(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def scan_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Saved per-image metrics, from Parquet or CSV."""
     if path.endswith(".csv"):
         return spark.read.schema(schema).option("header", True).csv(path)
@@ -72,6 +72,11 @@ def scan_metrics(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def file_inventory(spark: SparkSession, root: str, glob: str = "*.bmp", label: str = "_label") -> tuple[DataFrame, DataFrame]:
     """Images paired with their `<stem>_label` mask, and the images whose mask is missing. Contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "length")
+    return pair_masks(files, label)
+
+
+def pair_masks(files: DataFrame, label: str = "_label") -> tuple[DataFrame, DataFrame]:
+    """Image rows with their mask's path, and image rows without one, from a listing (path, length)."""
     stem = F.regexp_extract("path", r"^(.*)\.[^./\\]+$", 1)
     files = files.withColumn("stem", stem)
     masks = files.where(F.col("stem").endswith(label)).select(

@@ -1,26 +1,24 @@
-"""Table contracts."""
+"""Table contracts as DDL, so they need no running session."""
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-COORDINATES = T.StructType.fromDDL("sampleid bigint, latitude double, longitude double, has_solar int")
-MANIFEST = T.StructType.fromDDL(
+COORDINATES = ("sampleid bigint, latitude double, longitude double, has_solar int")
+MANIFEST = (
     "sampleid bigint, filename string, coco_image_id bigint, width int, height int, annotation_count int,"
     "has_solar int, split string, dataset_type string"
 )
-STRIP_MANIFEST = T.StructType.fromDDL(
+STRIP_MANIFEST = (
     "category string, folder string, filename string, mask_filename string, image_path string, mask_path string, x_coord string, split string"
 )
-RUNS = T.StructType.fromDDL("image_id bigint, layer string, y int, x0 int, x1 int")
-PIXELS = T.StructType.fromDDL("image_id bigint, y int, x int, p_solar float, p_bg float")
-TILE_PROBS = T.StructType.fromDDL("image_id bigint, tx int, ty int, tile_w int, tile_h int, probs array<float>")
-DETECTIONS = T.StructType.fromDDL(
+RUNS = ("image_id bigint, layer string, y int, x0 int, x1 int")
+PIXELS = ("image_id bigint, y int, x int, p_solar float, p_bg float")
+TILE_PROBS = ("image_id bigint, tx int, ty int, tile_w int, tile_h int, probs array<float>")
+DETECTIONS = (
     "model string, image_id bigint, pred_idx bigint, score double, box struct<x1:double,y1:double,x2:double,y2:double>, mask_area bigint"
 )
-IRRADIANCE = T.StructType.fromDDL(
+IRRADIANCE = (
     "properties struct<parameter:struct<ALLSKY_SFC_SW_DWN:map<string,double>>>"
 )
-HISTORY = T.StructType.fromDDL(
+HISTORY = (
     "prediction_id string, op string, created_at_utc timestamp, persisted_at_utc timestamp, filename string, status string,"
     "model_name string, image_width int, image_height int, solar_area_pixels bigint, solar_coverage_percent double,"
     "detected_region_count bigint, physical_area_m2 double, physical_area_status string, energy_status string,"

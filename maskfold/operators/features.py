@@ -83,17 +83,19 @@ def neighbour_count(det: DataFrame, radius: int = 100, group: Sequence[str] = ("
     """Other boxes of the image whose centre lies within `radius` pixels at a distance above 0.
 
     Centres are whole half-pixels; equal centres are folded into one row with a count, and cells of
-    `radius` make the range join an equi join.
+    four radii make the range join an equi join.
     """
     group = list(group)
     size = 2 * radius
     d = det.withColumns({"c2x": F.col("x0") + F.col("x1"), "c2y": F.col("y0") + F.col("y1")})
     centres = materialise(d.groupBy(*group, "c2x", "c2y").agg(F.count("*").alias("n")), "centres")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = centres.select(*group, "c2x", "c2y", F.explode(F.transform(around, lambda i: i + F.floor(F.col("c2y") / size))).alias("gy")).select(
-        "*", F.explode(F.transform(around, lambda i: i + F.floor(F.col("c2x") / size))).alias("gx")
-    )
-    right = centres.select(*group, F.col("c2x").alias("ox"), F.col("c2y").alias("oy"), "n", F.floor(F.col("c2y") / size).alias("gy"), F.floor(F.col("c2x") / size).alias("gx"))
+    cell = 4 * size  # a centre reaches into few cells of four radii
+
+    def reach(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - size) / cell), F.floor((F.col(c) + size) / cell)))
+
+    left = centres.select(*group, "c2x", "c2y", reach("c2y").alias("gy")).select("*", reach("c2x").alias("gx"))
+    right = centres.select(*group, F.col("c2x").alias("ox"), F.col("c2y").alias("oy"), "n", F.floor(F.col("c2y") / cell).alias("gy"), F.floor(F.col("c2x") / cell).alias("gx"))
     dx, dy = F.col("c2x") - F.col("ox"), F.col("c2y") - F.col("oy")
     d2 = dx * dx + dy * dy
     per = left.join(right, [*group, "gy", "gx"]).where((d2 > 0) & (d2 <= size * size)).groupBy(*group, "c2x", "c2y").agg(F.sum("n").alias("neighbour_count"))

@@ -56,27 +56,28 @@ def to_cells(blocks: DataFrame, cell_w: int = CELL, cell_h: int = CELL) -> DataF
 def _bands(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Foreground of overlapping blocks as bit words: 64 columns by a band of equal rows.
 
-    Inside a cell, rows between two neighbouring y edges look alike, so each block is written once
-    per band instead of once per row. OR-ing words has a fixed-size state, so copies and piled-up
-    objects collapse before the shuffle.
+    Inside a 64 x 64 cell, rows between two neighbouring y edges look alike, so each block is written once
+    per band instead of once per row. Edges and columns are both kept as one 64-bit word and combined by
+    OR: the state has a fixed size, so copies and piled-up objects collapse before the shuffle.
     """
-    cells = to_cells(blocks, 64, CELL).select(*keys, "cy", "cx", "y0", "y1", "x0", "x1").distinct()
     at = [*keys, "cy", "cx"]
-    # at most CELL + 1 distinct edges per cell
-    edges = cells.groupBy(*at).agg(F.array_union(F.collect_set("y0"), F.collect_set("y1")).alias("e"))
-    edges = edges.select(*at, F.array_sort("e").alias("e")).select(
-        *at,
-        F.transform(
-            F.slice("e", 1, F.size("e") - 1),
-            lambda v, i: F.struct(v.alias("ya"), F.element_at("e", i + 2).alias("yb")),
-        ).alias("bands"),
+    cells = to_cells(blocks.select(*keys, "y0", "y1", "x0", "x1").distinct(), 64, 64)
+    cells = cells.select(
+        *at, (F.col("y0") - F.col("cy") * 64).cast("int").alias("ya"), (F.col("y1") - F.col("cy") * 64).cast("int").alias("yb"),
+        F.expr("shiftleft(shiftrightunsigned(-1L, cast(64 - (x1 - x0) as int)), cast(x0 - cx * 64 as int))").alias("word"),
     )
-    word = F.expr("shiftleft(shiftrightunsigned(-1L, cast(64 - (x1 - x0) as int)), cast(x0 - cx * 64 as int))")
+    edge = F.expr("shiftleft(1L, ya) | if(yb < 64, shiftleft(1L, yb), 0L)")
+    edges = cells.groupBy(*at).agg(F.bit_or(edge).alias("edges"))
+    # starts of the bands a block covers; its own lower edge closes the last one
+    cuts = F.expr("filter(sequence(ya, yb - 1), i -> (shiftright(edges, i) & 1L) = 1L)")
+    banded = cells.join(edges, at).select(*at, "yb", "word", cuts.alias("cuts"))
+    ends = F.concat(F.slice("cuts", 2, F.size("cuts")), F.array("yb"))
+    top = F.col("cy") * 64
     return (
-        cells.join(edges, at)
-        .withColumn("b", F.explode(F.filter("bands", lambda b: (b["ya"] >= F.col("y0")) & (b["ya"] < F.col("y1")))))
-        .groupBy(*at, F.col("b.ya").alias("ya"), F.col("b.yb").alias("yb"))
-        .agg(F.bit_or(word).alias("bits"))
+        banded.select(*at, "word", F.explode(F.arrays_zip(F.col("cuts").alias("a"), ends.alias("b"))).alias("s"))
+        .groupBy(*at, F.col("s.a").alias("ya"), F.col("s.b").alias("yb"))
+        .agg(F.bit_or("word").alias("bits"))
+        .withColumns({"ya": (F.col("ya") + top).cast("int"), "yb": (F.col("yb") + top).cast("int")})
     )
 
 

@@ -18,7 +18,7 @@ def iou_pairs(
     left_id: str = "pred_idx",
     right_id: str = "gt_idx",
     on: Sequence[str] = ("image_id",),
-    extra: Sequence[str] = ("model",),
+    extra: Sequence[str] = ("model", "score_pct"),
     min_iou: float | None = None,
     cell: int = CELL,
     ordered: bool = False,
@@ -59,6 +59,7 @@ def pick_one_to_one(
     group: Sequence[str] = ("model", "image_id"),
     left: str = "pred_idx",
     right: str = "gt_idx",
+    keep: Sequence[str] = ("iou",),
     fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Greedy one-to-one choice: walk the pairs in `order`, take a pair when both ends are still free.
@@ -67,21 +68,22 @@ def pick_one_to_one(
     the data in one image) are solved in rounds over the whole cluster: a pair that comes first both at
     its left and at its right end is what the walk would take, so all such pairs are taken at once and
     their neighbours dropped. Groups that shrink below the limit finish in the fold. Same result either way.
+    Gives the chosen pairs with the columns in `keep`.
     """
     group = list(group)
-    o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(left), F.col(right))
+    o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(left), F.col(right), *[F.col(k) for k in keep])
     work = materialise(pairs.select(*group, left, right, o.alias("o")), "pairs")
     hot = materialise(_hot_groups(work, group, fold_limit), "hot")
     if not hot.limit(1).count():
-        return _pick_by_fold(work, group, left, right)
+        return _pick_by_fold(work, group, left, right, keep)
     # the list of hot groups is bounded by pairs / fold_limit
-    chosen = [_pick_by_fold(work.join(hot, group, "left_anti"), group, left, right)]
+    chosen = [_pick_by_fold(work.join(hot, group, "left_anti"), group, left, right, keep)]
     rest = materialise(work.join(hot, group, "left_semi"), "rest")
     while True:
         first_l = rest.groupBy(*group, left).agg(F.min("o").alias("ol"))
         first_r = rest.groupBy(*group, right).agg(F.min("o").alias("orr"))
         won = rest.join(first_l, [*group, left]).join(first_r, [*group, right])
-        won = materialise(won.where((F.col("o") == F.col("ol")) & (F.col("o") == F.col("orr"))).select(*group, left, right), "won")
+        won = materialise(won.where((F.col("o") == F.col("ol")) & (F.col("o") == F.col("orr"))).select(*group, left, right, *[F.col(f"o.{k}").alias(k) for k in keep]), "won")
         chosen.append(won)
         rest = materialise(
             rest.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti"),
@@ -89,9 +91,9 @@ def pick_one_to_one(
         )
         hot = materialise(_hot_groups(rest, group, fold_limit), "hot")
         if not hot.limit(1).count():
-            chosen.append(_pick_by_fold(rest, group, left, right))
+            chosen.append(_pick_by_fold(rest, group, left, right, keep))
             break
-        chosen.append(_pick_by_fold(rest.join(hot, group, "left_anti"), group, left, right))
+        chosen.append(_pick_by_fold(rest.join(hot, group, "left_anti"), group, left, right, keep))
         rest = rest.join(hot, group, "left_semi")
     out = chosen[0]
     for c in chosen[1:]:
@@ -99,24 +101,26 @@ def pick_one_to_one(
     return out
 
 
-def _pick_by_fold(work: DataFrame, group: list[str], left: str, right: str) -> DataFrame:
+def _pick_by_fold(work: DataFrame, group: list[str], left: str, right: str, keep: Sequence[str]) -> DataFrame:
     types = dict(work.dtypes)
-    lt, rt = types[left], types[right]
     zero = F.struct(
-        F.array().cast(f"array<{lt}>").alias("ls"), F.array().cast(f"array<{rt}>").alias("rs")
+        F.array().cast(f"array<{types[left]}>").alias("ls"), F.array().cast(f"array<{types[right]}>").alias("rs"),
+        F.array().cast(f"array<{types['o']}>").alias("won"),
     )
 
     def step(acc: Column, x: Column) -> Column:
         taken = F.array_contains(acc["ls"], x[left]) | F.array_contains(acc["rs"], x[right])
         return F.when(taken, acc).otherwise(
-            F.struct(F.concat(acc["ls"], F.array(x[left])).alias("ls"), F.concat(acc["rs"], F.array(x[right])).alias("rs"))
+            F.struct(
+                F.concat(acc["ls"], F.array(x[left])).alias("ls"), F.concat(acc["rs"], F.array(x[right])).alias("rs"),
+                F.concat(acc["won"], F.array(x)).alias("won"),
+            )
         )
 
     return (
         work.groupBy(*group).agg(F.array_sort(F.collect_list("o")).alias("a"))
-        .select(*group, F.aggregate("a", zero, step, lambda acc: F.arrays_zip(acc["ls"], acc["rs"])).alias("z"))
-        .select(*group, F.explode("z").alias("z"))
-        .select(*group, F.col("z.ls").alias(left), F.col("z.rs").alias(right))
+        .select(*group, F.explode(F.aggregate("a", zero, step, lambda acc: acc["won"])).alias("z"))
+        .select(*group, *[F.col(f"z.{c}").alias(c) for c in (left, right, *keep)])
     )
 
 
@@ -130,13 +134,10 @@ def match_greedy(
     ground truth). A verdict never depends on lower-scored predictions: one matching serves every score
     threshold. Gives each prediction with `gt_idx`, `iou` (null for a miss) and `is_tp`.
     """
-    strong = pairs.where(F.col("iou") >= iou).select("model", "image_id", "pred_idx", "gt_idx", "iou")
-    scored = strong.join(preds.select("model", "image_id", "pred_idx", score), ["model", "image_id", "pred_idx"])
-    scored = materialise(scored, "scored")
-    picked = pick_one_to_one(
-        scored, [-F.col(score), F.col("pred_idx"), -F.col("iou"), F.col("gt_idx")], fold_limit=fold_limit
+    strong = pairs.where(F.col("iou") >= iou)
+    hit = pick_one_to_one(
+        strong, [-F.col(score), F.col("pred_idx"), -F.col("iou"), F.col("gt_idx")], fold_limit=fold_limit
     )
-    hit = picked.join(scored.drop(score), ["model", "image_id", "pred_idx", "gt_idx"])
     return preds.join(hit, ["model", "image_id", "pred_idx"], "left").withColumn(
         "is_tp", F.col("gt_idx").isNotNull().cast("int")
     )
@@ -149,10 +150,7 @@ def match_iou_first(pairs: DataFrame, iou: float = 0.5, fold_limit: int = FOLD_L
     ones that are filtered away afterwards; taking the highest IoU first never does.
     """
     strong = pairs.where(F.col("iou") >= iou)
-    picked = pick_one_to_one(strong, [-F.col("iou"), F.col("pred_idx"), F.col("gt_idx")], fold_limit=fold_limit)
-    return picked.join(strong, ["model", "image_id", "pred_idx", "gt_idx"]).select(
-        "model", "image_id", "pred_idx", "gt_idx", "iou"
-    )
+    return pick_one_to_one(strong, [-F.col("iou"), F.col("pred_idx"), F.col("gt_idx")], fold_limit=fold_limit)
 
 
 def match_details(matched: DataFrame, pairs: DataFrame, score: str = "score_pct") -> DataFrame:

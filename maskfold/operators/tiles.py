@@ -99,9 +99,8 @@ def restore_bilinear(pixels: DataFrame, params: DataFrame) -> DataFrame:
 def polygon_to_runs(polygons: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fill polygons into runs: a pixel counts when its centre is inside (even-odd), clipped to the image.
 
-    `polygons` has the keys, `poly` (a polygon number) and `ring`, a flat list x1, y1, x2, y2, ... Axis-aligned
-    integer boxes are exact. Crossings are gathered per polygon and row, so an entry is never longer than
-    the polygon has vertices.
+    `polygons` has the keys and `ring`, a flat list x1, y1, x2, y2, ... Axis-aligned
+    integer boxes are exact. A row's crossings come from the polygon's own vertex list, so filling needs no shuffle.
     """
     keys = list(keys)
     n = (F.size("ring") / 2).cast("int")
@@ -112,15 +111,19 @@ def polygon_to_runs(polygons: DataFrame, images: DataFrame, keys: Sequence[str])
             F.element_at("ring", (2 * ((i + 1) % n) + 1).cast("int")).alias("xb"), F.element_at("ring", (2 * ((i + 1) % n) + 2).cast("int")).alias("yb"),
         ),
     )
-    sides = polygons.where(F.size("ring") >= 6).select(*keys, "poly", F.explode(edge).alias("e")).select(*keys, "poly", "e.*")
-    sides = sides.join(images.select("image_id", "width", "height"), "image_id")
-    top = F.greatest(F.ceil(F.least("ya", "yb") - 0.5), F.lit(0)).cast("int")
-    bottom = F.least(F.ceil(F.greatest("ya", "yb") - 0.5), F.col("height")).cast("int")
-    rows = sides.withColumns({"top": top, "bottom": bottom}).where("bottom > top").withColumn("y", F.explode(F.sequence("top", F.col("bottom") - 1)))
-    cross = F.col("xa") + (F.col("y") + 0.5 - F.col("ya")) * (F.col("xb") - F.col("xa")) / (F.col("yb") - F.col("ya"))
-    gathered = rows.groupBy(*keys, "poly", "y", "width").agg(F.array_sort(F.collect_list(cross)).alias("c"))
+    shaped = polygons.where(F.size("ring") >= 6).select(*keys, edge.alias("edges"))
+    shaped = shaped.join(images.select("image_id", "width", "height"), "image_id")
+    low = F.array_min(F.transform("edges", lambda e: e["ya"]))
+    high = F.array_max(F.transform("edges", lambda e: e["ya"]))
+    top = F.greatest(F.ceil(low - 0.5), F.lit(0)).cast("int")
+    bottom = F.least(F.ceil(high - 0.5), F.col("height")).cast("int")
+    rows = shaped.withColumns({"top": top, "bottom": bottom}).where("bottom > top").withColumn("y", F.explode(F.sequence("top", F.col("bottom") - 1)))
+    mid = F.col("y") + 0.5
+    met = F.filter("edges", lambda e: (F.least(e["ya"], e["yb"]) <= mid) & (mid < F.greatest(e["ya"], e["yb"])))
+    cross = F.array_sort(F.transform(met, lambda e: e["xa"] + (mid - e["ya"]) * (e["xb"] - e["xa"]) / (e["yb"] - e["ya"])))
+    rows = rows.select(*keys, "y", "width", cross.alias("c")).where(F.size("c") >= 2)
     pairs = F.transform(F.sequence(F.lit(1), (F.size("c") / 2).cast("int")), lambda i: F.struct(F.element_at("c", 2 * i - 1).alias("a"), F.element_at("c", 2 * i).alias("b")))
-    runs = gathered.where(F.size("c") >= 2).select(*keys, "y", "width", F.explode(pairs).alias("r"))
+    runs = rows.select(*keys, "y", "width", F.explode(pairs).alias("r"))
     x0 = F.greatest(F.ceil(F.col("r.a") - 0.5), F.lit(0)).cast("int")
     x1 = F.least(F.ceil(F.col("r.b") - 0.5), F.col("width")).cast("int")
     return runs.select(*keys, "y", x0.alias("x0"), x1.alias("x1")).where("x1 > x0")

@@ -103,7 +103,7 @@ def sweep_df(t, thresholds=ALL_T, by=()):
 
 @query("j6_iou_pairs", VIEWS, "with " + PAIRS + "select model, image_id, pred_idx, gt_idx, inter, union_px, round(iou, 6) as iou from pairs")
 def _(t):
-    return pairs_df(t).withColumn("iou", F.round("iou", 6))
+    return pairs_df(t).drop("score_pct").withColumn("iou", F.round("iou", 6))
 
 
 @query("j7_match_greedy", VIEWS, MATCH + "select model, image_id, pred_idx, score_pct, gt_idx, round(iou, 6) as iou, is_tp from m")

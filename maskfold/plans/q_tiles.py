@@ -99,7 +99,7 @@ def _(t):
     z = F.lit(0)
     pts = [(z, z), (w - a, z), (w - a, b), (w, b), (w, h), (z, h)]
     ring = F.array(*[v.cast("double") for x, y in pts for v in (F.col("x0") + x, F.col("y0") + y)])
-    polys = t.fx_gt.select("image_id", "gt_idx", F.lit(0).alias("poly"), ring.alias("ring"))
+    polys = t.fx_gt.select("image_id", "gt_idx", ring.alias("ring"))
     return tiles.polygon_to_runs(polys, t.fx_scene, ["image_id", "gt_idx"])
 
 

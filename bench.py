@@ -8,7 +8,7 @@ import time
 from maskfold.plans.workload import QUERIES
 from maskfold.session import local_session
 
-HEADLINE = [
+HEADLINE = os.environ.get("BENCH_ONLY", "").split() or [
     "j6_iou_pairs", "j7_match_greedy", "w1_pick_threshold", "j10_mask_nms", "p10_fp_category", "a39_average_precision",
     "j18_pixel_confusion", "a2_pixel_coverage", "a5_micro_macro", "c1_components_8", "a24_region_confidence", "a20_prob_stats",
     "a16_threshold_sweep_px", "h4_hann_blend", "h8_polygon_to_runs", "h17_co2", "j2_lookup_fallback", "j13_near_counts",

@@ -53,57 +53,39 @@ def to_cells(blocks: DataFrame, cell_w: int = CELL, cell_h: int = CELL) -> DataF
     )
 
 
-def _bands(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Foreground of overlapping blocks as bit words: 64 columns by a band of equal rows.
+WORD, SLAB = 64, 32
 
-    Inside a 64 x 64 cell, rows between two neighbouring y edges look alike, so each block is written once
-    per band instead of once per row. Edges and columns are both kept as one 64-bit word and combined by
-    OR: the state has a fixed size, so copies and piled-up objects collapse before the shuffle.
+
+def _packed(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Foreground as a bit raster: per 64 x 32 cell one 64-bit word for each row (`r0` ... `r31`).
+
+    OR-ing words counts overlaps once and has a fixed-size state, so copies and piled-up objects collapse
+    before the shuffle; the first `distinct` spreads copies of one block over all tasks.
     """
-    at = [*keys, "cy", "cx"]
-    cells = to_cells(blocks.select(*keys, "y0", "y1", "x0", "x1").distinct(), 64, 64)
+    cells = to_cells(blocks.select(*keys, "y0", "y1", "x0", "x1").distinct(), WORD, SLAB)
     cells = cells.select(
-        *at, (F.col("y0") - F.col("cy") * 64).cast("int").alias("ya"), (F.col("y1") - F.col("cy") * 64).cast("int").alias("yb"),
-        F.expr("shiftleft(shiftrightunsigned(-1L, cast(64 - (x1 - x0) as int)), cast(x0 - cx * 64 as int))").alias("word"),
-    )
-    edge = F.expr("shiftleft(1L, ya) | if(yb < 64, shiftleft(1L, yb), 0L)")
-    edges = cells.groupBy(*at).agg(F.bit_or(edge).alias("edges"))
-    # starts of the bands a block covers; its own lower edge closes the last one
-    cuts = F.expr("filter(sequence(ya, yb - 1), i -> (shiftright(edges, i) & 1L) = 1L)")
-    banded = cells.join(edges, at).select(*at, "yb", "word", cuts.alias("cuts"))
-    ends = F.concat(F.slice("cuts", 2, F.size("cuts")), F.array("yb"))
-    top = F.col("cy") * 64
-    return (
-        banded.select(*at, "word", F.explode(F.arrays_zip(F.col("cuts").alias("a"), ends.alias("b"))).alias("s"))
-        .groupBy(*at, F.col("s.a").alias("ya"), F.col("s.b").alias("yb"))
-        .agg(F.bit_or("word").alias("bits"))
-        .withColumns({"ya": (F.col("ya") + top).cast("int"), "yb": (F.col("yb") + top).cast("int")})
+        *keys, "cy", "cx", (F.col("y0") - F.col("cy") * SLAB).alias("ya"), (F.col("y1") - F.col("cy") * SLAB).alias("yb"),
+        F.expr(f"shiftleft(shiftrightunsigned(-1L, cast({WORD} - (x1 - x0) as int)), cast(x0 - cx * {WORD} as int))").alias("word"),
     )
+    rows = [F.bit_or(F.expr(f"if(ya <= {i} and {i} < yb, word, 0L)")).alias(f"r{i}") for i in range(SLAB)]
+    return cells.groupBy(*keys, "cy", "cx").agg(*rows)
 
 
 def covered_area(blocks: DataFrame, keys: Sequence[str], name: str = "area") -> DataFrame:
     """Pixels covered per `keys`, overlaps counted once."""
-    return (
-        _bands(blocks, keys)
-        .groupBy(*keys)
-        .agg(F.sum(F.bit_count("bits").cast("bigint") * (F.col("yb") - F.col("ya"))).alias(name))
-    )
+    ones = sum([F.bit_count(f"r{i}") for i in range(1, SLAB)], F.bit_count("r0"))
+    return _packed(blocks, keys).groupBy(*keys).agg(F.sum(ones.cast("bigint")).alias(name))
 
 
 def flatten_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Overlapping blocks to disjoint ones covering the same pixels (cut at 64-column words)."""
+    """Overlapping blocks to disjoint runs covering the same pixels (cut at 64-column words)."""
+    words = _packed(blocks, keys).select(*keys, "cy", "cx", F.posexplode(F.array(*[f"r{i}" for i in range(SLAB)])).alias("i", "bits")).where("bits <> 0")
     starts = "filter(sequence(0, 63), i -> (shiftright(bits, i) & 1L) = 1L and (i = 0 or (shiftright(bits, i - 1) & 1L) = 0L))"
     ends = "filter(sequence(0, 63), i -> (shiftright(bits, i) & 1L) = 1L and (i = 63 or (shiftright(bits, i + 1) & 1L) = 0L))"
-    return (
-        _bands(blocks, keys)
-        .select(*keys, "cx", "ya", "yb", F.explode(F.arrays_zip(F.expr(starts).alias("s"), F.expr(ends).alias("e"))).alias("r"))
-        .select(
-            *keys,
-            F.col("ya").alias("y0"),
-            F.col("yb").alias("y1"),
-            (F.col("cx") * 64 + F.col("r.s")).cast("int").alias("x0"),
-            (F.col("cx") * 64 + F.col("r.e") + 1).cast("int").alias("x1"),
-        )
+    return words.select(
+        *keys, (F.col("cy") * SLAB + F.col("i")).cast("int").alias("y"), "cx", F.explode(F.arrays_zip(F.expr(starts).alias("s"), F.expr(ends).alias("e"))).alias("r")
+    ).select(
+        *keys, "y", (F.col("cx") * WORD + F.col("r.s")).cast("int").alias("x0"), (F.col("cx") * WORD + F.col("r.e") + 1).cast("int").alias("x1")
     )
 
 

@@ -112,18 +112,33 @@ def polygon_to_runs(polygons: DataFrame, images: DataFrame, keys: Sequence[str])
         ),
     )
     shaped = polygons.where(F.size("ring") >= 6).select(*keys, edge.alias("edges"))
-    shaped = shaped.join(images.select("image_id", "width", "height"), "image_id")
-    low = F.array_min(F.transform("edges", lambda e: e["ya"]))
-    high = F.array_max(F.transform("edges", lambda e: e["ya"]))
-    top = F.greatest(F.ceil(low - 0.5), F.lit(0)).cast("int")
-    bottom = F.least(F.ceil(high - 0.5), F.col("height")).cast("int")
-    rows = shaped.withColumns({"top": top, "bottom": bottom}).where("bottom > top").withColumn("y", F.explode(F.sequence("top", F.col("bottom") - 1)))
+    # between two neighbouring vertex heights the same edges are crossed
+    cuts = F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["ya"])))
+    shaped = shaped.withColumn("cuts", cuts).where(F.size("cuts") >= 2)
+
+    def band(i: Column) -> Column:
+        lo, hi = F.element_at("cuts", i), F.element_at("cuts", i + 1)
+        act = F.filter("edges", lambda e: (F.least(e["ya"], e["yb"]) <= lo) & (F.greatest(e["ya"], e["yb"]) >= hi))
+        return F.struct(lo.alias("lo"), hi.alias("hi"), act.alias("act"))
+
+    bands = shaped.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), band)).alias("b"))
+    bands = bands.select(*keys, "b.lo", "b.hi", "b.act").join(images.select("image_id", "width", "height"), "image_id")
+    top = F.greatest(F.ceil(F.col("lo") - 0.5), F.lit(0)).cast("int")
+    bottom = F.least(F.ceil(F.col("hi") - 0.5), F.col("height")).cast("int")
+    bands = bands.withColumns({"top": top, "bottom": bottom}).where("bottom > top and size(act) >= 2")
+
+    def at(e: Column, mid: Column) -> Column:
+        return e["xa"] + (mid - e["ya"]) * (e["xb"] - e["xa"]) / (e["yb"] - e["ya"])
+
     mid = F.col("y") + 0.5
-    met = F.filter("edges", lambda e: (F.least(e["ya"], e["yb"]) <= mid) & (mid < F.greatest(e["ya"], e["yb"])))
-    cross = F.array_sort(F.transform(met, lambda e: e["xa"] + (mid - e["ya"]) * (e["xb"] - e["xa"]) / (e["yb"] - e["ya"])))
-    rows = rows.select(*keys, "y", "width", cross.alias("c")).where(F.size("c") >= 2)
+    # nearly all bands have one left and one right edge: plain arithmetic per row
+    two = bands.where(F.size("act") == 2).select(*keys, "width", F.element_at("act", 1).alias("e1"), F.element_at("act", 2).alias("e2"), F.explode(F.sequence("top", F.col("bottom") - 1)).alias("y"))
+    xa, xb = at(F.col("e1"), mid), at(F.col("e2"), mid)
+    simple = two.select(*keys, "y", "width", F.least(xa, xb).alias("a"), F.greatest(xa, xb).alias("b"))
+    more = bands.where(F.size("act") > 2).select(*keys, "width", "act", F.explode(F.sequence("top", F.col("bottom") - 1)).alias("y"))
+    more = more.select(*keys, "y", "width", F.array_sort(F.transform("act", lambda e: at(e, mid))).alias("c"))
     pairs = F.transform(F.sequence(F.lit(1), (F.size("c") / 2).cast("int")), lambda i: F.struct(F.element_at("c", 2 * i - 1).alias("a"), F.element_at("c", 2 * i).alias("b")))
-    runs = rows.select(*keys, "y", "width", F.explode(pairs).alias("r"))
-    x0 = F.greatest(F.ceil(F.col("r.a") - 0.5), F.lit(0)).cast("int")
-    x1 = F.least(F.ceil(F.col("r.b") - 0.5), F.col("width")).cast("int")
+    runs = simple.unionByName(more.select(*keys, "y", "width", F.explode(pairs).alias("r")).select(*keys, "y", "width", "r.*"))
+    x0 = F.greatest(F.ceil(F.col("a") - 0.5), F.lit(0)).cast("int")
+    x1 = F.least(F.ceil(F.col("b") - 0.5), F.col("width")).cast("int")
     return runs.select(*keys, "y", x0.alias("x0"), x1.alias("x1")).where("x1 > x0")

@@ -219,6 +219,11 @@ def top_per(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def rank_models(scores: DataFrame, metric: str, name: str = "model") -> DataFrame:
+    """Compared models by metric, best first; one row per model, so the ranking window is tiny."""
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(metric).desc(), F.col(name))))
+
+
 def confusion_matrix(df: DataFrame, labels: Sequence, true: str = "label", pred: str = "predicted") -> DataFrame:
     """True x predicted counts over the given labels, zeros kept."""
     counts = df.groupBy(true).agg(*[F.count_if(F.col(pred) == x).alias(f"pred_{x}") for x in labels])

@@ -71,7 +71,7 @@ def fraction_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.70,
     ).drop("__pos")
 
 
-def group_split(df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 830, chunk: int = 20_000) -> DataFrame:
+def group_split(df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 830, chunk: int = 5_000) -> DataFrame:
     """Whole groups to the split with the least load relative to its target, in seeded group order."""
     names = ("train", "val", "test")
     counts = df.groupBy(group).agg(F.count("*").alias("n"))
@@ -117,7 +117,7 @@ def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     ).drop("__pos")
 
 
-def stratified_group_kfold(df: DataFrame, label: str, group: str, k: int = 4, seed: int = 42, chunk: int = 20_000) -> DataFrame:
+def stratified_group_kfold(df: DataFrame, label: str, group: str, k: int = 4, seed: int = 42, chunk: int = 5_000) -> DataFrame:
     """Folds that never split a group: groups with the most uneven class counts first, each to the fold that
     leaves the class shares most even (ties: the smallest fold)."""
     totals = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).collect()}  # one row per class

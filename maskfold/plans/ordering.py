@@ -96,7 +96,7 @@ def sequential_fold(
     choose: Callable[[Column, Column], Column],
     update: Callable[[Column, Column, Column], Column],
     out: str,
-    chunk: int = 20_000,
+    chunk: int = 5_000,
 ) -> DataFrame:
     """Give each row of `groups` an integer that depends on the choices made for all earlier rows.
 

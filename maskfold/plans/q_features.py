@@ -163,8 +163,7 @@ def _(t):
 select fold as model, macro_f1, cast(row_number() over (order by macro_f1 desc, fold) as int) as rank from m""")
 def _(t):
     r = features.classification_report(t.fx_labelled, LABELS, ["fold"]).select(F.col("fold").alias("model"), "macro_f1")
-    # one row per compared model
-    return features.top_per(r.withColumn("all", F.lit(0)), ["all"], [F.col("macro_f1").desc(), F.col("model")], 1_000_000).drop("all")
+    return features.rank_models(r, "macro_f1")
 
 
 HN = """with h as (select s.image_id, s.filename, count(d.pred_idx) as raw, count(d.pred_idx) filter (where score_pct >= 75) as hi, coalesce(max(score_pct), 0) / 100 as mx,

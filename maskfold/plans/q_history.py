@@ -76,10 +76,10 @@ def _(t):
         uid.alias("prediction_id"), "op", F.col("created").alias("created_at_utc"), F.timestamp_micros(F.col("seq") * 1000000).alias("persisted_at_utc"),
         F.col("event_type").alias("status"), F.round("value", 2).alias("physical_area_m2"))
     landing, log, cp = fresh(t, "landing"), fresh(t, "log"), fresh(t, "stream")
-    doc.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(landing)
+    doc.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(landing)
     stream_history(t.spark, landing, log, cp).awaitTermination()
     log_df = t.spark.read.schema(HISTORY).option("recursiveFileLookup", True).parquet(log)
-    return history.history_current(log_df).select("prediction_id", "created_at_utc", "status", "physical_area_m2")
+    return history.history_current(log_df).select("prediction_id", F.col("created_at_utc").cast("timestamp_ntz").alias("created_at_utc"), "status", "physical_area_m2")
 
 
 @query("h26_history_record", "fx_geo fx_manual fx_irradiance", EN + """select image_id, scenario, case when cal_pixel_area_m2 is null then 'UNAVAILABLE' when calibration_type = 'AUTOMATIC' then 'VALIDATED' else 'USER_SUPPLIED' end as record_gsd_status,
@@ -140,10 +140,10 @@ def _(t):
 
 
 @query("s6_file_inventory", "fx_file", """with f as (select regexp_replace(path, '\\.[^./]+$', '') as stem, path, length from fx_file)
-select path, case when length % 3 = 0 then null else concat(stem, '_label.png') end as mask_path from f""")
+select path, case when length = 0 then null else concat(stem, '_label.png') end as mask_path from f""")
 def _(t):
     stem = F.regexp_extract("path", r"^(.*)\.[^./\\]+$", 1)
-    labels = t.fx_file.where("length % 3 <> 0").select(F.concat(stem, F.lit("_label.png")).alias("path"), "length")
+    labels = t.fx_file.where("length > 0").select(F.concat(stem, F.lit("_label.png")).alias("path"), "length")
     paired, missing = readers.pair_masks(t.fx_file.select("path", "length").unionAll(labels))
     return paired.select("path", "mask_path").unionAll(missing.select("path", "mask_path"))
 

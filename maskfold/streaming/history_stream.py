@@ -17,11 +17,13 @@ def stream_history(
     The file sink commits each batch once, and the state is read with `history_current`, so a repeated
     document only adds a version. Rejected documents go to `<log>_rejected` with the raw text.
     """
+    # times are read as text and cast: the cast keeps microseconds and takes every ISO-8601 form
+    times = [c.split()[0] for c in schema.split(",") if c.strip().endswith(" timestamp")]
     raw = (
-        spark.readStream.schema(f"{schema}, _corrupt_record string")
+        spark.readStream.schema(f"{schema.replace(' timestamp', ' string')}, _corrupt_record string")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", files_per_batch)
         .json(landing)
-    )
+    ).withColumns({c: F.col(c).try_cast("timestamp") for c in times})
 
     def persist(batch: DataFrame, epoch: int) -> None:
         ok = batch.where(valid_uuid4(F.col("prediction_id")))

@@ -44,14 +44,13 @@ def lookup(files: DataFrame, cat: DataFrame) -> DataFrame:
     The catalogue is one row per sampleid and per file name.
     """
     by_name = cat.select(base_name(F.col("filename")).alias("__name"), F.col("sampleid").alias("name_sid"))
-    by_id = cat.select(F.col("sampleid").alias("__sid"), F.col("sampleid").alias("id_sid"))
+    by_id = cat.select(F.col("sampleid").cast("string").alias("__key"), F.col("sampleid").alias("id_sid"))
     out = files.withColumn("__name", base_name(F.col("filename"))).join(by_name, "__name", "left")
-    out = out.withColumn("__sid", F.when(F.col("name_sid").isNull(), parse_sample_id(F.col("filename"))))
-    # rows already found by name carry a null key and would pile up in one partition; salt them away
-    hit = out.where("name_sid is not null").withColumn("id_sid", F.lit(None).cast("bigint"))
-    miss = out.where("name_sid is null").join(by_id, "__sid", "left")
-    both = hit.unionByName(miss)
-    return both.withColumn("sampleid", F.coalesce("name_sid", "id_sid")).drop("__name", "__sid", "name_sid", "id_sid")
+    parsed = F.when(F.col("name_sid").isNull(), parse_sample_id(F.col("filename")).cast("string"))
+    # rows that need no second look-up get a key that matches nothing and still spreads: nulls would all
+    # land in one partition
+    out = out.withColumn("__key", F.coalesce(parsed, F.concat(F.lit("#"), F.col("__name")))).join(by_id, "__key", "left")
+    return out.withColumn("sampleid", F.coalesce("name_sid", "id_sid")).drop("__name", "__key", "name_sid", "id_sid")
 
 
 def attach_annotations(images: DataFrame, ann: DataFrame) -> DataFrame:
@@ -101,9 +100,9 @@ def match_audit(looked_up: DataFrame) -> DataFrame:
 def attach_irradiance(scenes: DataFrame, irr: DataFrame) -> DataFrame:
     """Climatology by coordinates rounded to four places; scenes outside the region get none."""
     key = F.format_string("%.4f|%.4f", "latitude", "longitude")
-    grid = irr.select(F.col("cell"), *[c for c in irr.columns if c != "cell"])
-    inside = F.when(F.col("is_within_bounds"), key)
-    return scenes.withColumn("cell", inside).join(grid, "cell", "left")
+    # scenes outside get a key that matches nothing and still spreads over the partitions
+    inside = F.when(F.col("is_within_bounds"), key).otherwise(F.concat(F.lit("#"), key))
+    return scenes.withColumn("cell", inside).join(irr, "cell", "left")
 
 
 def valid_annotations(ann: DataFrame, polygons: str = "segmentation") -> DataFrame:

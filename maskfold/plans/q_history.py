@@ -164,7 +164,8 @@ def _(t):
     regions = masks.region_table(masks.label_runs(pred_runs(t))).select("image_id", "label", "area")
     sinks.write_reports(sinks.report_rows(t.fx_image8, regions), path)
     back = t.spark.read.schema("image_id bigint, regions array<struct<label:bigint,area:bigint>>").json(path)
-    return back.select("image_id", F.size("regions").cast("bigint").alias("n_regions"), F.aggregate("regions", F.lit(0).cast("bigint"), lambda a, r: a + r["area"]).alias("pixels"))
+    pixels = F.aggregate("regions", F.lit(0).cast("bigint"), lambda a, r: a + r["area"])
+    return back.groupBy("image_id").agg(F.sum(F.size("regions")).alias("n_regions"), F.sum(pixels).alias("pixels"))
 
 
 @query("s13_sink_prob_map", "fx_raster", "select image_id, y, count(*) as n, round(sum(cast(p as float)), 4) as total from fx_raster group by 1, 2")

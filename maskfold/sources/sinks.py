@@ -6,22 +6,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import running
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Region, confidence or metric tables as CSV with a header."""
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def report_rows(images: DataFrame, regions: DataFrame, key: str = "image_id") -> DataFrame:
-    """One nested report per image: its columns and the list of its region rows.
+def report_rows(images: DataFrame, regions: DataFrame, key: str = "image_id", order: str = "label", chunk: int = 10_000) -> DataFrame:
+    """Nested reports: an image's columns and the list of its region rows.
 
-    A report is one JSON document, so its regions are gathered per image by definition; for images with very
-    many regions write the flat table with `write_csv` instead.
+    One document per image up to `chunk` regions; a larger image continues in further documents with the
+    next `part` number, so no task gathers more than `chunk` regions.
     """
     cols = [c for c in regions.columns if c != key]
-    lists = regions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("regions"))
+    placed = running(regions, [F.col(order)], [key], pos="__pos").withColumn("part", F.floor((F.col("__pos") - 1) / chunk).cast("int"))
+    lists = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("regions"))
     none = F.array().cast(lists.schema["regions"].dataType)
-    return images.join(lists, key, "left").withColumn("regions", F.coalesce("regions", none))
+    out = images.join(lists, key, "left")
+    return out.withColumns({"part": F.coalesce("part", F.lit(0)), "regions": F.coalesce("regions", none)})
 
 
 def write_reports(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -41,6 +41,34 @@ def test_group_kfold_keeps_groups_together(spark):
     assert {r.fold for r in rows} == {0, 1, 2, 3}
 
 
+def test_group_kfold_against_a_walk(spark):
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(0, 25)), int(rng.integers(0, 3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "cand bigint, image_id bigint, label int")
+    got = {(r.image_id, r.fold) for r in splits.stratified_group_kfold(df, "label", "image_id", chunk=7).collect()}
+    per = {}
+    for _, g, y in rows:
+        per.setdefault(g, [0, 0, 0])[y] += 1
+    total = [sum(v[c] for v in per.values()) for c in range(3)]
+
+    def first(g):
+        n = per[g]
+        return (-round(sum((v - sum(n) / 3) ** 2 for v in n), 6), hashlib.md5(f"42|{g}".encode()).hexdigest(), g)
+
+    folds, want = [[0, 0, 0] for _ in range(4)], set()
+    for g in sorted(per, key=first):
+        def cost(f):
+            share = [[(folds[i][c] + (per[g][c] if i == f else 0)) / total[c] for i in range(4)] for c in range(3)]
+            return (round(sum(float(np.std(s)) for s in share) / 3, 12), sum(folds[f]), f)
+
+        f = min(range(4), key=cost)
+        want.add((g, f))
+        folds[f] = [a + b for a, b in zip(folds[f], per[g])]
+    assert got == want
+
+
 def test_auc_against_pairs(spark):
     rng = np.random.default_rng(3)
     y, x = rng.integers(0, 2, 200), rng.integers(0, 20, 200)

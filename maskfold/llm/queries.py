@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, rules, secrets, urls
+from . import bpe, chat, embed, jaccard, lmscore, mix, quality, rules, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: chat formatting -------------------------------------------------------------------------
+@query("op1_chat_format")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.render(chat.events_of_turns(turns.unionByName(more))))
+
+
 # --- 2: quality rules ---------------------------------------------------------------------------
 OP2_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t, row_number() over () as r from documents),
@@ -109,3 +118,42 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.judge(pages.select("page_id", "url"), urls.link_edges(pages))
+
+
+# --- 4: byte-level BPE --------------------------------------------------------------------------
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, P.PATTERN)
+    back = bpe.decode(ids.select("doc_id", "ids"), path)
+    return back.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+# --- 5: quality classifier ----------------------------------------------------------------------
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# --- 7: embedding near-duplicates ---------------------------------------------------------------
+@query("op7_embedding_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# --- 8: n-gram Jaccard join ---------------------------------------------------------------------
+@query("op8_ngram_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
+
+
+# --- 10: language-model scoring -----------------------------------------------------------------
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lmscore.score(table(spark, sf_dir, "documents"), good)

@@ -26,6 +26,7 @@ from maskfold.plans.materialise import materialise
 
 from . import arrays, exchange
 from .components import components
+from .text import free_name
 
 GROUP_ITEMS = 4_000_000
 
@@ -344,3 +345,29 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     empty = sketch.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     out = reduce(DataFrame.unionAll, [filled, empty])
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with one document of each group, that of the smallest key.
+
+    Rows that share a key count as copies of one document: of those kept, the first by text stays. Rows without
+    a key stay unless a row with a key has the same set.
+    """
+    found = join(docs, rule, key, text)
+    ids = materialise(found.where(F.col(key) == F.col("component_id")).select(key).distinct(), "kept")
+    mine = Window.partitionBy(key).orderBy(text)
+    name = free_name(docs, "row")
+    kept = docs.join(ids, key, "left_semi").withColumn(name, F.row_number().over(mine)).where(F.col(name) == 1).drop(name)
+    nameless = docs.where(F.col(key).isNull())
+    if nameless.limit(1).count():
+        # the same sets again, by their prints: few rows, since keys are rarely null
+        has = docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(_sketches(rule, key), _sketch_type(docs, key)).where("n > 0").select("n", "f1", "f2").distinct()
+        numbered = materialise(nameless.withColumn(name, F.monotonically_increasing_id()), "nameless")
+        prints = numbered.select(F.col(name), text).mapInArrow(_sketches(rule, name), f"`{name}` long, n long, f1 long, f2 long, bytes long")
+        stay = prints.join(has, ["n", "f1", "f2"], "left_anti").select(name)
+        kept = kept.unionByName(numbered.join(stay, name, "left_semi").drop(name))
+    return kept.select(*docs.columns)
+
+
+def _sketch_type(docs: DataFrame, key: str) -> str:
+    return f"`{key}` {dict(docs.dtypes)[key]}, n long, f1 long, f2 long, bytes long"

@@ -104,18 +104,18 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFra
     document of a source once more with its first `part` words. `n_chars` follows the text where it exists.
     """
     picked = sample(docs, quality, **options).where("taken > 0")
-    # repeated rows share id and text: their numbers may be dealt out in any order
-    mine = Window.partitionBy("doc_id", "__t").orderBy("size")
-    picked = picked.withColumn("__k", F.row_number().over(mine)).select(F.col("doc_id").alias("__d"), F.col("__t").alias("__tt"), "size", "copies", "part", "__k")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.withColumn("__t", F.xxhash64(text)).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy(F.lit(1))))
-    both = left.join(picked, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__tt")) & (F.col("__n") == F.col("__k")))
     whole = F.col("copies") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)
     times = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")),
         F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")),
     )
-    both = both.withColumn("__take", F.explode(times))
+    ids = (F.col("doc_id").isNull().alias("__z"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("__d"))
+    # rows that share id and text are dealt the takes of their group in turn
+    takes = picked.select(*ids, "__t", times.alias("x")).groupBy("__z", "__d", "__t").agg(F.flatten(F.collect_list("x")).alias("__takes"), F.count("*").alias("__m"))
+    both = docs.select("*", *ids, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__t")).join(takes, ["__z", "__d", "__t"])
+    turn = F.row_number().over(Window.partitionBy("__z", "__d", "__t").orderBy("__d")) - 1
+    both = both.withColumn("__turn", turn)
+    both = both.withColumn("__take", F.explode(F.filter("__takes", lambda x, i: i % F.col("__m") == F.col("__turn") % F.col("__m"))))
     head = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)  # a first run of blanks is kept
     cut = F.concat(head, F.concat_ws(" ", F.slice(T.words(F.col("text")), F.lit(1), F.col("__take").cast("int"))))
     both = both.withColumn("text", F.when(F.col("__take") < 0, F.col("text")).otherwise(cut))

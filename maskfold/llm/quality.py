@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from maskfold.plans.materialise import materialise
 
@@ -208,6 +209,22 @@ def score(stats: DataFrame, model: Model | None, key: str = "doc_id") -> DataFra
     return stats.select(key, "stats").mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
 
 
+def score_texts(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
+    """The rows and columns of `docs` with the score of each text as `out`; statistics are taken on the way, no shuffle."""
+    docs = docs.drop(out)
+    if model is None:
+        return docs.withColumn(out, F.lit(0.5))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in arrays.pieces(batch.column(text)):
+                some = batch.slice(p.first, p.rows)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shared.value.score(_of_piece(p)))], [*batch.schema.names, out])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))
+
+
 def held_out(key: Column) -> Column:
     """Rows kept away from all training: crc32 of the id as text, modulo 3, is 1; null ids are not held out."""
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
@@ -219,9 +236,16 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("doc_id", "stats", "label")
 
 
+def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from (doc_id, stats) and labels; a fifth of the training rows, by hash of the id, calibrates."""
+    return train(materialise(labelled(stats, labels), "labelled"), F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of `docs`, trained on the labelled rows that are not held out."""
+    """(doc_id, held_out, score, predicted) for each row of `docs`, trained on the labelled rows that are not held out.
+
+    Null and empty texts get the score of their statistics. Repeated rows are scored alike.
+    """
     stats = materialise(statistics(docs.select("doc_id", "text")), "stats")  # texts are read once
-    rows = materialise(labelled(stats, labels), "labelled")
-    model = train(rows, F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
+    model = fit(stats, labels)
     return score(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -4,7 +4,7 @@ All nodes of one level of a tree share a random direction; a node splits its vec
 projections and those near the median go to both sides. Equal vectors are folded first. The splits of the upper
 levels are fitted on a bounded sample; nodes that are still too large are split level by level with medians
 computed by Spark, so trees get deeper as the table grows. Pairs are compared within leaves in double precision;
-a pair met in several leaves is counted in the first tree only, so no pair is ever written down: a leaf
+a pair met in several leaves is counted in the first of them only, so no pair is ever written down: a leaf
 returns link counts per vector and a spanning forest.
 """
 from __future__ import annotations
@@ -92,7 +92,7 @@ def _compare(threshold: float, block: int = 512):
     """Leaf table (rep, n, v, leaves) -> (a, b, links): link counts in b = null rows, forest edges else."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        tree, dims = key[0].as_py(), key[2].as_py()
+        here, dims = (key[0].as_py(), key[1].as_py()), key[2].as_py()
         x = _array(t.column("v"), dims)
         rep = t.column("rep").to_numpy()
         mult = t.column("n").to_numpy()
@@ -108,7 +108,7 @@ def _compare(threshold: float, block: int = 512):
                 i = root[i]
             return i
 
-        earlier = [frozenset(s for s in own if s[0] < tree) for own in ([(int(s.split(":")[0]), s) for s in one] for one in leaves)]
+        earlier = [frozenset(s for s in own if s < here) for own in ([(int(t), name) for t, name in (s.split(":") for s in one)] for one in leaves)]
         for a in range(0, m, block):
             for b in range(a, m, block):
                 close = x[a : a + block] @ x[b : b + block].T >= threshold
@@ -116,7 +116,7 @@ def _compare(threshold: float, block: int = 512):
                     close = np.triu(close, 1)
                 for i, j in zip(*np.nonzero(close), strict=True):
                     i, j = i + a, j + b
-                    if earlier[i].isdisjoint(earlier[j]):  # else counted in an earlier tree
+                    if earlier[i].isdisjoint(earlier[j]):  # else counted in the first leaf that holds both
                         count[i] += mult[j]
                         count[j] += mult[i]
                         p, q = find(i), find(j)

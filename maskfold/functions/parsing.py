@@ -77,3 +77,13 @@ def keep_labels(df: DataFrame, labels: Sequence, col: str = "label") -> DataFram
 def numeric_coerce(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text that is not a number becomes null."""
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols})
+
+
+def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Nulls become the column's exact median, the mean of the two middle values; a column of nulls stays null."""
+    from ..plans.ordering import exact_percentiles
+
+    for c in cols:
+        middle = exact_percentiles(df.select(c), c, {"__median": 0.5})  # one row
+        df = df.join(F.broadcast(middle), how="left").withColumn(c, F.coalesce(c, "__median")).drop("__median")
+    return df

@@ -90,13 +90,11 @@ def co2(df: DataFrame) -> DataFrame:
     e, f = F.col("energy_kwh_year"), F.col("emission_factor")
     bad = f.isNotNull() & ~f.between(*EMISSION_RANGE)
     factor = F.when(bad, F.raise_error(F.lit("emission factor outside the plausible range")).cast("double")).otherwise(f)
-    own = _reasons(
-        (F.col("energy_status") != "estimated", "energy_unavailable"),
-        (e > MAX_ENERGY_KWH, "energy_implausible"),
-        (f.isNull(), "emission_factor_missing"),
-    )
+    before = _reasons((F.col("energy_status") != "estimated", "energy_unavailable"))
+    own = _reasons((e > MAX_ENERGY_KWH, "energy_implausible"), (f.isNull(), "emission_factor_missing"))
     upstream = F.when(F.col("energy_status") != "estimated", F.col("energy_reasons")).otherwise(F.array().cast("array<string>"))
-    out = df.withColumn("co2_reasons", F.concat(own, upstream))
+    # what stopped the energy comes before what is wrong with the factor
+    out = df.withColumn("co2_reasons", F.concat(before, upstream, own))
     ok = F.size("co2_reasons") == 0
     out = out.withColumn("co2_kg_year", F.when(ok, half_even(e * factor, 2)))
     return out.withColumns(
@@ -107,14 +105,18 @@ def co2(df: DataFrame) -> DataFrame:
     )
 
 
-def scenarios() -> Column:
-    """The five parameter scenarios as an array of structs, to explode beside each scene."""
+def scenarios(efficiency: float | None = None, performance_ratio: float | None = None, emission_factor: float | None = None) -> Column:
+    """The five parameter scenarios as an array of structs, to explode beside each scene.
+
+    The arguments are those of the `custom` scenario; what is not given is null there, never a made-up value.
+    """
+    given = None not in (efficiency, performance_ratio, emission_factor)
     rows = [
         ("unset", None, None, None, "no parameters given"),
         ("benchmark", BENCHMARK_EFFICIENCY, BENCHMARK_PERFORMANCE, None, "benchmark module efficiency and performance ratio"),
         ("grid_average", BENCHMARK_EFFICIENCY, BENCHMARK_PERFORMANCE, GRID_FACTOR, "weighted average grid factor"),
         ("thermal", BENCHMARK_EFFICIENCY, BENCHMARK_PERFORMANCE, THERMAL_FACTOR, "thermal generation factor"),
-        ("custom", 0.18, 0.80, 0.65, "user supplied"),
+        ("custom", efficiency, performance_ratio, emission_factor, "user supplied" if given else "not fully supplied"),
     ]
     return F.array(
         *[

@@ -10,7 +10,11 @@ from ..functions.parsing import base_name, parse_sample_id
 
 
 class GateError(ValueError):
-    """A data gate found rows that must not exist."""
+    """A data gate found rows that must not exist: `offenders` has all of them, `count` is their number."""
+
+    def __init__(self, message: str, offenders: DataFrame | None = None, count: int = 0) -> None:
+        super().__init__(message)
+        self.offenders, self.count = offenders, count
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -27,10 +31,11 @@ def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def must_be_empty(df: DataFrame, what: str, show: int = 20) -> None:
-    """Raise with a few example rows when `df` has any row."""
+    """Raise when `df` has any row. The error carries the whole table and its size; only its text is cut to `show` rows."""
     rows = df.limit(show).collect()
     if rows:
-        raise GateError(f"{what}: {[tuple(r) for r in rows]}")
+        n = df.count()
+        raise GateError(f"{what}, {n} rows: {[tuple(r) for r in rows]}{' ...' if n > show else ''}", df, n)
 
 
 def catalogue(coords: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -106,9 +111,9 @@ def attach_irradiance(scenes: DataFrame, irr: DataFrame) -> DataFrame:
 
 
 def valid_annotations(ann: DataFrame, polygons: str = "segmentation") -> DataFrame:
-    """Drop annotations without area, crowd annotations, and polygons of fewer than three points."""
+    """Drop annotations without area, crowd annotations, and polygons of fewer than three points; no `iscrowd` means 0."""
     kept = F.filter(polygons, lambda p: F.size(p) >= 6)
-    return ann.where((F.col("area") > 0) & (F.col("iscrowd") != 1)).withColumn(polygons, kept).where(F.size(polygons) > 0)
+    return ann.where((F.col("area") > 0) & (F.coalesce("iscrowd", F.lit(0)) != 1)).withColumn(polygons, kept).where(F.size(polygons) > 0)
 
 
 def normalise_mask(pixels: DataFrame, value: str = "v") -> DataFrame:

@@ -445,3 +445,9 @@ def instances(labelled: DataFrame, pixels: DataFrame, prob: str, min_area: int =
         .agg(F.count("*").alias("area"), exact_avg(prob, 6).alias("score"))
         .where(F.col("area") >= min_area)
     )
+
+
+def largest_regions(regions: DataFrame, n: int = 15, min_area: int = 20, by: str = "image_id") -> DataFrame:
+    """The `n` largest regions of each image among those of at least `min_area` pixels; ties by label."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col("area").desc(), "label"))
+    return regions.where(F.col("area") >= min_area).withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")

@@ -212,11 +212,14 @@ def size_share(objects: DataFrame, limits: Sequence[float] = (0.5, 1.0, 2.0, 5.0
     )
 
 
-def density_tier(count: Column) -> Column:
-    """Tier by panel count; the cut points follow the named tiers of the evaluation set."""
-    # fixed values: lowest panel count of each tier
-    tiers = [(40, "Very High"), (30, "High"), (20, "High-Medium"), (15, "Medium"), (10, "Median"), (6, "Moderate-Low"), (3, "Low"), (1, "Minimal")]
+#: chosen cut points: lowest panel count of each tier. The evaluation set names tiers of single images only,
+#: so these are a convention of this library; pass others where they are known.
+TIERS = ((40, "Very High"), (30, "High"), (20, "High-Medium"), (15, "Medium"), (10, "Median"), (6, "Moderate-Low"), (3, "Low"), (1, "Minimal"))
+
+
+def density_tier(count: Column, tiers: Sequence[tuple[int, str]] = TIERS, none: str = "Zero-Solar Control") -> Column:
+    """Tier of an image by its panel count; `tiers` from the highest to the lowest."""
     out = F.when(count >= tiers[0][0], tiers[0][1])
     for low, name in tiers[1:]:
         out = out.when(count >= low, name)
-    return out.otherwise("Zero-Solar Control")
+    return out.otherwise(none)

@@ -5,7 +5,6 @@ depend on partitioning. Exact sizes come from global positions (`running`), neve
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -62,9 +61,10 @@ def locked_split(
 
 
 def fraction_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.70, 0.15), seed: int = 42) -> DataFrame:
-    """Train/val/test by a seeded shuffle cut at int(n x cumulated fraction)."""
+    """Train/val/test by a seeded shuffle: int(n x fraction) rows each to train and val, the rest to test."""
     n = df.count()
-    a, b = int(n * fractions[0]), int(n * (fractions[0] + fractions[1]))
+    a = int(n * fractions[0])
+    b = a + int(n * fractions[1])
     pos = F.col("__pos")
     return running(df, hash_order(key, seed=seed), pos="__pos").withColumn(
         "split", F.when(pos <= a, "train").when(pos <= b, "val").otherwise("test")
@@ -218,17 +218,16 @@ def split_summary(df: DataFrame, strip: str = "strip", category: str = "category
     return out.join(F.broadcast(total)).withColumn("percent", F.round(F.col("images") / F.col("__t") * 100.0, 4)).drop("__t")
 
 
-def set_fingerprint(df: DataFrame, col: str, by: Sequence[str] = (), leaf: int = 1024, depth: int | None = None) -> DataFrame:
-    """SHA-256 of the sorted, newline-joined distinct ids.
+def set_fingerprint(df: DataFrame, col: str, by: Sequence[str] = (), depth: int = 3) -> DataFrame:
+    """(by, fingerprint, form): SHA-256 over the distinct ids of each group; nulls are left out.
 
-    Up to `leaf` ids this is the plain digest of the list. Larger sets are spread over 16^depth buckets by
-    the first hex digits of each id's own hash and the bucket digests are combined 16 at a time, so no task
-    sees more than a bucket. The depth follows from the number of ids.
+    `depth` alone sets the form, never the number of ids. Depth 0, form `plain`, is the digest of the sorted,
+    newline-joined ids; one task holds a group's whole list. Any other depth, form `tree-<depth>`, spreads
+    the ids over 16^depth buckets by the first hex digits of their own hash and combines the bucket
+    digests 16 at a time, so a task holds one bucket. Fingerprints of different forms never compare equal.
     """
-    ids = df.select(*by, F.col(col).cast("string").alias("id")).distinct()
-    if depth is None:
-        n = ids.count()
-        depth = 0 if n <= leaf else math.ceil(math.log(n / leaf, 16))
+    ids = df.select(*by, F.col(col).cast("string").alias("id")).where("id is not null").distinct()
+    form = f"tree-{depth}" if depth else "plain"
 
     def digest(rows: DataFrame, bucket: Column, order: Column) -> DataFrame:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["v"]), "\n")
@@ -237,4 +236,4 @@ def set_fingerprint(df: DataFrame, col: str, by: Sequence[str] = (), leaf: int =
     level = digest(ids, F.substring(F.sha2("id", 256), 1, depth) if depth else F.lit(""), F.struct(F.col("id").alias("v")))
     for d in range(depth - 1, -1, -1):
         level = digest(level, F.substring("bucket", 1, d) if d else F.lit(""), F.struct(F.col("bucket").alias("b"), F.col("digest").alias("v")))
-    return level.select(*by, F.col("digest").alias("fingerprint"))
+    return level.select(*by, F.col("digest").alias("fingerprint"), F.lit(form).alias("form"))

@@ -106,11 +106,11 @@ def _(t):
 
 @query("t7_largest_regions", "fx_raster", "with recursive " + labels_cte("pred = 1", "px") + """,
 reg as (select image_id, label, count(*) as area, min(x) as bx, min(y) as by_, max(x) as bx2, max(y) as by2 from px_lab group by 1, 2),
-top as (select * from reg order by area desc, image_id, label limit 15)
+top as (select * from (select *, row_number() over (partition by image_id order by area desc, label) as rn from reg where area >= 20) q where rn <= 15)
 select t.image_id, t.label, t.area, count(*) as box_pixels, round(avg(cast(p as decimal(18, 6))) + 1e-9, 6) as mean_p, max(p) as max_p from top t join fx_raster r on r.image_id = t.image_id and r.x between bx and bx2 and r.y between by_ and by2 group by 1, 2, 3""")
 def _(t):
     regions = masks.region_table(masks.label_runs(pred_runs(t)))
-    top = regions.orderBy(F.col("area").desc(), "image_id", "label").limit(15)
+    top = masks.largest_regions(regions)
     rois = top.select("image_id", F.col("label").alias("roi"), "area", F.col("x").cast("int").alias("x1"), F.col("y").cast("int").alias("y1"),
                       (F.col("x") + F.col("width")).cast("int").alias("x2"), (F.col("y") + F.col("height")).cast("int").alias("y2"))
     stats = confidence.roi_stats(t.fx_raster, rois)

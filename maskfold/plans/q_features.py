@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features
 from .materialise import materialise
-from ..functions.parsing import keep_labels, numeric_coerce
+from ..functions.parsing import fill_median, keep_labels, numeric_coerce
 from .q_matching import MATCH, MAXIOU, VIEWS, diagnosis_df, matched_df
 from .registry import query
 
@@ -119,17 +119,13 @@ def _(t):
     return keep_labels(t.fx_labelled, [0, 1, 2]).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("p20_numeric_coerce", "fx_history", "with c as (select seq, case when seq % 7 = 0 then null else value end as v from fx_history) select seq, coalesce(v, (select quantile_disc(v, 0.5) from c)) as v from c")
+@query("p20_numeric_coerce", "fx_history", """with c as (select seq, case when seq % 7 = 0 then null else value end as v from fx_history),
+r as (select v, row_number() over (order by v) as k, count(*) over () as n from c where v is not null),
+m as (select min(v) as lo, max(v) as hi from r where k in ((n + 1) // 2, n // 2 + 1))
+select seq, coalesce(v, lo + (hi - lo) * 0.5::double) as v from c cross join m""")
 def _(t):
-    from .ordering import exact_percentiles
-
     raw = t.fx_history.select("seq", F.when(F.col("seq") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("v"))
-    num = materialise(numeric_coerce(raw, ["v"]), "coerced")
-    cum_median = exact_percentiles(num, "v", {"lo": 0.5})
-    n = num.where("v is not null").count()
-    if n % 2 == 0:  # the lower of the two middle values
-        cum_median = exact_percentiles(num, "v", {"lo": (n / 2 - 1) / (n - 1)})
-    return num.join(F.broadcast(cum_median)).select("seq", F.coalesce("v", "lo").alias("v"))
+    return fill_median(materialise(numeric_coerce(raw, ["v"]), "coerced"), ["v"])
 
 
 CM = ", ".join(f"count(*) filter (where predicted = {c}) as pred_{c}" for c in LABELS)

@@ -298,8 +298,8 @@ en0 as (select a.*, i.ghi, s.* from ar a left join irr0 i on i.custkey = a.image
 en1 as (select *, list_filter([case when area is null then 'area_unavailable' end, case when ghi is null then 'ghi_missing' end, case when not (ghi between 500 and 3500) then 'ghi_implausible' end, case when eff is null then 'efficiency_missing' end,
   case when pr is null then 'performance_ratio_missing' end], lambda r: r is not null) as reasons from en0),
 en as (select *, case when len(reasons) = 0 then """ + he("area * ghi * eff * pr", 2) + """ end as kwh, case when len(reasons) = 0 then 'estimated' else 'insufficient_data' end as energy_status from en1),
-co as (select *, list_concat(list_filter([case when energy_status <> 'estimated' then 'energy_unavailable' end, case when kwh > 100000000.0 then 'energy_implausible' end, case when ef is null then 'emission_factor_missing' end], lambda r: r is not null),
-  case when energy_status <> 'estimated' then reasons else [] end) as creasons from en),
+co as (select *, list_concat(list_filter([case when energy_status <> 'estimated' then 'energy_unavailable' end], lambda r: r is not null), case when energy_status <> 'estimated' then reasons else [] end,
+  list_filter([case when kwh > 100000000.0 then 'energy_implausible' end, case when ef is null then 'emission_factor_missing' end], lambda r: r is not null)) as creasons from en),
 ck as (select *, case when len(creasons) = 0 then """ + he("kwh * ef", 2) + """ end as kg from co)
 """
 
@@ -307,7 +307,7 @@ ck as (select *, case when len(creasons) = 0 then """ + he("kwh * ef", 2) + """
 def energy_df(t):
     irr = irradiance_df(t).select(F.col("custkey").alias("ik"), F.when(F.col("reason").isNull(), physics.annual_ghi(F.col("ann"), F.lit("kW-hr/m^2/day"))).alias("annual_ghi"))
     a = area_df(t).withColumn("ik", F.col("image_id") % 1000).join(irr, "ik", "left")
-    return physics.energy(a.withColumn("s", F.explode(physics.scenarios())).select("*", "s.*").drop("s"))
+    return physics.energy(a.withColumn("s", F.explode(physics.scenarios(0.18, 0.80, 0.65))).select("*", "s.*").drop("s"))
 
 
 @query("h15_energy", "fx_geo fx_manual fx_irradiance", EN + "select image_id, scenario, kwh as energy_kwh_year, energy_status, array_to_string(reasons, ';') as reasons from en")

@@ -10,7 +10,7 @@ from ..operators import masks, splits
 from ..sources import history, readers, sinks
 from ..sources.schemas import HISTORY
 from ..streaming.history_stream import stream_history
-from .materialise import scratch_dir
+from .materialise import materialise, scratch_dir
 from .q_geo import EN, energy_df
 from .q_masks import labels_cte, pred_runs
 from .registry import query
@@ -52,17 +52,24 @@ def _(t):
 cur as (select * from (select *, row_number() over (partition by rid order by seq desc) as rn from log) q where rn = 1 and op <> 'delete') select rid, seq, value from cur""")
 def _(t):
     path = fresh(t, "log")
-    log = t.fx_history.select("rid", "seq", "value", "op")
-    log.write.parquet(path)
-    again = t.fx_history.where("event_type = 'click'").select("rid", (F.col("seq") + 100000000).alias("seq"), (F.col("value") * 2).alias("value"))
-    history.valid_entries(again, "rid").withColumn("op", F.lit("put")).select("rid", "seq", "value", "op").write.mode("append").parquet(path)
-    return history.history_current(t.spark.read.schema(log.schema).parquet(path), "rid", "seq").select("rid", "seq", "value")
+    at = F.timestamp_micros(F.col("seq") * 1000000)
+    # the state as it is, then replacements that carry an older time of their own
+    first = current_df(t).select("rid", "seq", "value", at.alias("persisted_at_utc"))
+    history.history_upsert(first, path, "rid")
+    again = t.fx_history.where("event_type = 'click'").groupBy("rid").agg(F.max(F.struct("seq", "value")).alias("e"))
+    again = again.select("rid", (F.col("e.seq") + 100000000).alias("seq"), (F.col("e.value") * 2).alias("value"), F.lit(0).cast("timestamp").alias("persisted_at_utc"))
+    history.history_upsert(again, path, "rid")
+    return history.history_current(t.spark.read.parquet(path), "rid").select("rid", "seq", "value")
 
 
-@query("s12_history_delete", "fx_history", CUR + ", ask as (select distinct rid from fx_history where event_type = 'error') select a.rid, case when c.rid is null then 0 else 1 end as deleted from ask a left join cur c on c.rid = a.rid")
+@query("s12_history_delete", "fx_history", CUR + """, ask as (select distinct rid from fx_history where event_type = 'error')
+select a.rid, case when c.rid is null then 0 else 1 end as deleted, 0 as left_over from ask a left join cur c on c.rid = a.rid""")
 def _(t):
-    log = t.fx_history.withColumnRenamed("seq", "persisted_at_utc")
-    return history.history_delete(log, t.fx_history.where("event_type = 'error'").select("rid"), None, "rid")
+    path = fresh(t, "log")
+    history.history_upsert(current_df(t).select("rid", "value", F.timestamp_micros(F.col("seq") * 1000000).alias("persisted_at_utc")), path, "rid")
+    told = materialise(history.history_delete(t.spark.read.parquet(path), t.fx_history.where("event_type = 'error'").select("rid"), path, "rid"), "told")
+    after = history.history_current(t.spark.read.parquet(path), "rid").select("rid", F.lit(1).alias("left"))
+    return told.join(after, "rid", "left").select("rid", "deleted", F.coalesce("left", F.lit(0)).alias("left_over"))
 
 
 UID = "concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12))"
@@ -96,8 +103,9 @@ def _(t):
 @query("s1_scan_catalogue", "fx_scene", "select image_id as sampleid, filename, lat_e6 / 1e6 as latitude, lon_e6 / 1e6 as longitude, has_solar from fx_scene")
 def _(t):
     s, path = t.fx_scene, fresh(t, "catalogue")
-    sinks.write_csv(s.select("sampleid", (F.col("lat_e6") / 1e6).alias("latitude"), (F.col("lon_e6") / 1e6).alias("longitude"), "has_solar"), f"{path}/coords")
-    sinks.write_csv(s.select("sampleid", "filename"), f"{path}/manifest")
+    # columns are found by their header, in any order and beside others
+    sinks.write_csv(s.select("sampleid", (F.col("lon_e6") / 1e6).alias("longitude"), (F.col("lat_e6") / 1e6).alias("latitude"), "has_solar"), f"{path}/coords")
+    sinks.write_csv(s.select("filename", F.lit("x").alias("note"), "sampleid"), f"{path}/manifest")
     return readers.scan_catalogue(t.spark, f"{path}/coords", f"{path}/manifest").select("sampleid", "filename", "latitude", "longitude", "has_solar")
 
 
@@ -132,11 +140,15 @@ def _(t):
     return readers.scan_split_ids(t.spark, path, whole_file=False)
 
 
-@query("s5_scan_metrics", "fx_labelled", "select image_id, cand_id, score_pct / 100 as score from fx_labelled")
+@query("s5_scan_metrics", "fx_labelled", "select image_id, cand_id, score_pct / 100 as score, kind from fx_labelled cross join (select unnest(['csv', 'parquet']) as kind) k")
 def _(t):
     path = fresh(t, "metrics")
-    t.fx_labelled.select("image_id", "cand_id", (F.col("score_pct") / 100).alias("score")).write.parquet(path)
-    return readers.scan_metrics(t.spark, path, "image_id bigint, cand_id bigint, score double")
+    rows = t.fx_labelled.select((F.col("score_pct") / 100).alias("score"), F.lit("x").alias("other"), "cand_id", "image_id")  # not in the order of the schema
+    rows.write.parquet(f"{path}/parquet")
+    sinks.write_csv(rows, f"{path}/rows.csv")
+    schema = "image_id bigint, cand_id bigint, score double"
+    return readers.scan_metrics(t.spark, f"{path}/parquet", schema).withColumn("kind", F.lit("parquet")).unionAll(
+        readers.scan_metrics(t.spark, f"{path}/rows.csv", schema).withColumn("kind", F.lit("csv")))
 
 
 @query("s6_file_inventory", "fx_file", """with f as (select regexp_replace(path, '\\.[^./]+$', '') as stem, path, length from fx_file)
@@ -163,9 +175,10 @@ def _(t):
     path = fresh(t, "reports")
     regions = masks.region_table(masks.label_runs(pred_runs(t))).select("image_id", "label", "area")
     sinks.write_reports(sinks.report_rows(t.fx_image8, regions), path)
-    back = t.spark.read.schema("image_id bigint, regions array<struct<label:bigint,area:bigint>>").json(path)
+    back = t.spark.read.schema("image_id bigint, part int, parts int, regions array<struct<label:bigint,area:bigint>>").json(path)
     pixels = F.aggregate("regions", F.lit(0).cast("bigint"), lambda a, r: a + r["area"])
-    return back.groupBy("image_id").agg(F.sum(F.size("regions")).alias("n_regions"), F.sum(pixels).alias("pixels"))
+    whole = back.groupBy("image_id").agg(F.sum(F.size("regions")).alias("n_regions"), F.sum(pixels).alias("pixels"), F.count("*").alias("n"), F.max("parts").alias("parts"))
+    return whole.where("n = parts").drop("n", "parts")
 
 
 @query("s13_sink_prob_map", "fx_raster", "select image_id, y, count(*) as n, round(sum(cast(p as float)), 4) as total from fx_raster group by 1, 2")

@@ -31,7 +31,7 @@ def _(t):
 
 
 @query("g2_fraction_split", "fx_scene", f"""with p as (select image_id, row_number() over (order by {h('image_id', 7)}, image_id) as pos, count(*) over () as n from fx_scene)
-select image_id, case when pos <= floor(n * 0.7) then 'train' when pos <= floor(n * 0.85) then 'val' else 'test' end as split from p""")
+select image_id, case when pos <= floor(n * 0.7) then 'train' when pos <= floor(n * 0.7) + floor(n * 0.15) then 'val' else 'test' end as split from p""")
 def _(t):
     return splits.fraction_split(t.fx_scene.select("image_id"), "image_id", seed=7)
 
@@ -177,16 +177,18 @@ def _(t):
     return splits.split_summary(t.fx_scene, categories=CATS)
 
 
-@query("a34_set_fingerprint", "fx_scene", """with n as (select count(*) as n from fx_scene), d as (select case when n <= 1024 then 0 else cast(ceil(log2(n / 1024) / 4) as int) end as d from n),
-ids as (select cast(filename as string) as id, substr(sha256(filename), 1, d) as b from fx_scene cross join d),
-l0 as (select b, sha256(string_agg(id, chr(10) order by id)) as g from ids group by b),
-l1 as (select substr(b, 1, greatest(length(b) - 1, 0)) as c, case when max(length(b)) = 0 then max(g) else sha256(string_agg(g, chr(10) order by b)) end as g from l0 group by 1),
-l2 as (select substr(c, 1, greatest(length(c) - 1, 0)) as e, case when max(length(c)) = 0 then max(g) else sha256(string_agg(g, chr(10) order by c)) end as g from l1 group by 1),
-l3 as (select substr(e, 1, greatest(length(e) - 1, 0)) as f, case when max(length(e)) = 0 then max(g) else sha256(string_agg(g, chr(10) order by e)) end as g from l2 group by 1),
-l4 as (select substr(f, 1, greatest(length(f) - 1, 0)) as k, case when max(length(f)) = 0 then max(g) else sha256(string_agg(g, chr(10) order by f)) end as g from l3 group by 1)
-select g as fingerprint from l4""")
+@query("a34_set_fingerprint", "fx_scene", """with ids as (select distinct split, cast(filename as string) as id, substr(sha256(filename), 1, 3) as b from fx_scene),
+l0 as (select split, b, sha256(string_agg(id, chr(10) order by id)) as g from ids group by 1, 2),
+l1 as (select split, substr(b, 1, 2) as c, sha256(string_agg(g, chr(10) order by b)) as g from l0 group by 1, 2),
+l2 as (select split, substr(c, 1, 1) as e, sha256(string_agg(g, chr(10) order by c)) as g from l1 group by 1, 2)
+select split, sha256(string_agg(g, chr(10) order by e)) as fingerprint, 'tree-3' as form from l2 group by split""")
 def _(t):
-    return splits.set_fingerprint(t.fx_scene, "filename")
+    return splits.set_fingerprint(t.fx_scene, "filename", ["split"])
+
+
+@query("a34_set_fingerprint_plain", "fx_scene", "select split, sha256(string_agg(distinct filename, chr(10) order by filename)) as fingerprint, 'plain' as form from fx_scene group by split")
+def _(t):
+    return splits.set_fingerprint(t.fx_scene, "filename", ["split"], depth=0)
 
 
 # ------------------------------------------------------------------ leakage

@@ -7,18 +7,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ARRIVAL = ("ingested_at", "ingested_row")
+
 
 def history_current(log: DataFrame, key: str = "prediction_id", at: str = "persisted_at_utc") -> DataFrame:
     """Current state: the latest entry of each id unless it is a delete.
 
-    A max over the entry as a struct keeps one entry per id and combines before the shuffle, so an id with
-    very many versions is no hot spot. Equal times fall back to the remaining columns' order.
+    The latest is the last to arrive: by `ingested_at`, whatever time the record itself carries, so a back-dated
+    replacement replaces. What arrives together goes by `at`, then by `ingested_row`. Logs without these
+    columns, and entries where they are null, go by `at` and the remaining columns. A max over the entry as a struct keeps one entry per id and
+    combines before the shuffle, so an id with very many versions is no hot spot.
     """
-    rest = [c for c in log.columns if c not in (key, at)]
-    latest = log.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("e")).select(key, "e.*")
+    order = [c for c in (ARRIVAL[0], at, ARRIVAL[1]) if c in log.columns]
+    rest = [c for c in log.columns if c not in (key, *order)]
+    latest = log.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("e")).select(key, "e.*")
     return latest.where("op <> 'delete'").select(*log.columns)
 
 
+def arrived(batch: DataFrame) -> DataFrame:
+    """Stamp when a batch arrives and the order of its rows: what arrives last counts."""
+    return batch.withColumns({"ingested_at": F.current_timestamp(), "ingested_row": F.monotonically_increasing_id()})
+
+
 def valid_entries(batch: DataFrame, key: str = "prediction_id") -> DataFrame:
     """Entries that may be persisted: the id must be present and not empty."""
     return batch.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
@@ -33,7 +43,7 @@ def stamped(batch: DataFrame, op: str, at: str = "persisted_at_utc") -> DataFram
 
 def history_upsert(batch: DataFrame, path: str, key: str = "prediction_id") -> None:
     """Insert or replace by id: append to the log."""
-    stamped(valid_entries(batch, key), "put").write.mode("append").parquet(path)
+    arrived(stamped(valid_entries(batch, key), "put")).write.mode("append").parquet(path)
 
 
 def history_delete(log: DataFrame, ids: DataFrame, path: str | None, key: str = "prediction_id") -> DataFrame:
@@ -42,7 +52,7 @@ def history_delete(log: DataFrame, ids: DataFrame, path: str | None, key: str =
     asked = ids.select(key).distinct().join(current, key, "left")
     out = asked.select(key, F.col("__hit").isNotNull().cast("int").alias("deleted"))
     if path:
-        stamped(out.where("deleted = 1").select(key), "delete").write.mode("append").parquet(path)
+        arrived(stamped(out.where("deleted = 1").select(key), "delete")).write.mode("append").parquet(path)
     return out
 
 

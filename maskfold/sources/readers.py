@@ -9,10 +9,27 @@ from ..operators.catalogue import duplicates, must_be_empty, require_columns
 from .schemas import COORDINATES, IRRADIANCE, MANIFEST
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV columns found by their header name, in any order, cast to `schema`; others are not read.
+
+    A missing column is an error at once, a value that does not fit its type is one when the row is read.
+    """
+    want = dict(c.split() for c in schema.split(","))
+    raw = spark.read.option("header", True).csv(path)
+    require_columns(raw, list(want))
+
+    def cast(c: str, kind: str):
+        got = F.col(c).try_cast(kind)
+        wrong = F.raise_error(F.concat(F.lit(f"{c} is not {kind}: "), F.col(c))).cast(kind)
+        return F.when(F.col(c).isNotNull() & got.isNull(), wrong).otherwise(got).alias(c)
+
+    return raw.select(*[cast(c, kind) for c, kind in want.items()])
+
+
 def scan_catalogue(spark: SparkSession, csv: str, manifest: str) -> DataFrame:
     """Coordinates joined to their manifest; a repeated sampleid in either file is an error."""
-    coords = spark.read.schema(COORDINATES).option("header", True).csv(csv)
-    rows = spark.read.option("header", True).schema("sampleid bigint, filename string").csv(manifest)
+    coords = read_csv(spark, csv, COORDINATES)
+    rows = read_csv(spark, manifest, "sampleid bigint, filename string")
     for name, df in (("coordinates", coords), ("manifest", rows)):
         must_be_empty(duplicates(df, ["sampleid"]), f"repeated sampleid in {name}")
     return rows.join(coords, "sampleid")
@@ -65,7 +82,7 @@ def scan_split_ids(spark: SparkSession, path: str, whole_file: bool = True) -> D
 def scan_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Saved per-image metrics, from Parquet or CSV."""
     if path.endswith(".csv"):
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return read_csv(spark, path, schema)
     return spark.read.schema(schema).parquet(path)
 
 

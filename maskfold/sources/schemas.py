@@ -23,5 +23,6 @@ HISTORY = (
     "model_name string, image_width int, image_height int, solar_area_pixels bigint, solar_coverage_percent double,"
     "detected_region_count bigint, physical_area_m2 double, physical_area_status string, energy_status string,"
     "estimated_energy_kwh_year double, co2_status string, co2_avoided_kg_year double, latitude double, longitude double,"
-    "georeferencing_level string, details string"
+    "georeferencing_level string, details string,"
+    "ingested_at timestamp, ingested_row bigint"
 )

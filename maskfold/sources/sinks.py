@@ -17,15 +17,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def report_rows(images: DataFrame, regions: DataFrame, key: str = "image_id", order: str = "label", chunk: int = 10_000) -> DataFrame:
     """Nested reports: an image's columns and the list of its region rows.
 
-    One document per image up to `chunk` regions; a larger image continues in further documents with the
-    next `part` number, so no task gathers more than `chunk` regions.
+    The layout is the same at every size: documents of up to `chunk` regions, each with its `part` number from 0
+    and the number of `parts` of its image, at least one. No task gathers more than `chunk` regions.
     """
     cols = [c for c in regions.columns if c != key]
     placed = running(regions, [F.col(order)], [key], pos="__pos").withColumn("part", F.floor((F.col("__pos") - 1) / chunk).cast("int"))
     lists = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("regions"))
     none = F.array().cast(lists.schema["regions"].dataType)
     out = images.join(lists, key, "left")
-    return out.withColumns({"part": F.coalesce("part", F.lit(0)), "regions": F.coalesce("regions", none)})
+    n = lists.groupBy(key).agg(F.count("*").cast("int").alias("parts"))
+    out = out.join(n, key, "left")
+    return out.withColumns({"part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1)), "regions": F.coalesce("regions", none)})
 
 
 def write_reports(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parsing import valid_uuid4
+from ..sources.history import arrived
 from ..sources.schemas import HISTORY
 
 
@@ -25,13 +26,25 @@ def stream_history(
         .json(landing)
     ).withColumns({c: F.col(c).try_cast("timestamp") for c in times})
 
+    run: dict[str, str] = {}
+
+    def query_id() -> str:
+        # written by the engine before the first batch; a new checkpoint is a new query
+        if "id" not in run:
+            found = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()
+            run["id"] = found[0]
+        return run["id"]
+
     def persist(batch: DataFrame, epoch: int) -> None:
         ok = batch.where(valid_uuid4(F.col("prediction_id")))
         good = ok.drop("_corrupt_record").withColumns(
             {"op": F.coalesce("op", F.lit("put")), "persisted_at_utc": F.coalesce("persisted_at_utc", F.current_timestamp())}
         )
-        # one folder per batch: a batch that is run again after a failure replaces its own output
-        good.write.mode("overwrite").parquet(f"{log}/batch={epoch}")
-        batch.where(~valid_uuid4(F.col("prediction_id"))).write.mode("overwrite").json(f"{log}_rejected/batch={epoch}")
+        good = arrived(good)
+        # one folder per query and batch: a batch that is run again after a failure replaces its own output,
+        # and a new checkpoint on an old log adds to it
+        place = f"query={query_id()}/batch={epoch}"
+        good.write.mode("overwrite").parquet(f"{log}/{place}")
+        batch.where(~valid_uuid4(F.col("prediction_id"))).write.mode("overwrite").json(f"{log}_rejected/{place}")
 
     return raw.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(persist).start()

@@ -26,6 +26,45 @@ def test_stream_keeps_latest_and_rejects_bad_ids(spark, tmp_path):
     assert {r.prediction_id: r.status for r in history.history_current(log).collect()} == {ids[0]: "second", ids[2]: "first"}
 
 
+def test_a_new_checkpoint_keeps_the_old_log(spark, tmp_path):
+    (tmp_path / "landing").mkdir()
+    ids = [str(uuid.uuid4()) for _ in range(3)]
+    for n, some in (("a", ids[:2]), ("b", ids[2:])):
+        (tmp_path / "landing" / f"{n}.json").write_text("\n".join(json.dumps({"prediction_id": i}) for i in some))
+        stream_history(spark, str(tmp_path / "landing"), str(tmp_path / "log"), str(tmp_path / f"cp{n}")).awaitTermination()
+    log = spark.read.schema(HISTORY).option("recursiveFileLookup", True).parquet(str(tmp_path / "log"))
+    assert log.count() == 5 and {r.prediction_id for r in history.history_current(log).collect()} == set(ids)
+
+
+def test_what_arrives_last_counts(spark, tmp_path):
+    path = str(tmp_path / "log")
+    at = lambda day, v: spark.sql(f"select 'a' as prediction_id, timestamp'2025-01-{day} 00:00:00' as persisted_at_utc, {v} as v")
+    history.history_upsert(at("05", 1), path)
+    history.history_upsert(at("01", 2), path)  # back-dated
+    assert history.history_current(spark.read.parquet(path)).first().v == 2
+    history.history_delete(spark.read.parquet(path), spark.createDataFrame([("a",)], "prediction_id string"), path)
+    assert history.history_current(spark.read.option("mergeSchema", True).parquet(path)).count() == 0
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("sampleid,longitude,latitude,has_solar\n1,75.5,20.25,1\n")
+    (tmp_path / "m.csv").write_text("filename,note,sampleid\na.png,x,1\n")
+    r = readers.scan_catalogue(spark, str(tmp_path / "c.csv"), str(tmp_path / "m.csv")).first()
+    assert (r.sampleid, r.filename, r.latitude, r.longitude) == (1, "a.png", 20.25, 75.5)
+    (tmp_path / "bad.csv").write_text("sampleid,filename\none,a.png\n")
+    with pytest.raises(Exception, match="sampleid is not bigint"):
+        readers.scan_metrics(spark, str(tmp_path / "bad.csv"), "sampleid bigint, filename string").collect()
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.scan_metrics(spark, str(tmp_path / "bad.csv"), "sampleid bigint, score double")
+
+
+def test_report_layout_is_the_same_at_every_size(spark):
+    images = spark.createDataFrame([(1,), (2,), (3,)], "image_id bigint")
+    regions = spark.createDataFrame([(1, k, 5) for k in range(7)] + [(2, 0, 5)], "image_id bigint, label bigint, area bigint")
+    got = sorted((r.image_id, r.part, r.parts, len(r.regions)) for r in sinks.report_rows(images, regions, chunk=3).collect())
+    assert got == [(1, 0, 3, 3), (1, 1, 3, 3), (1, 2, 3, 1), (2, 0, 1, 1), (3, 0, 1, 0)]
+
+
 def test_upsert_delete_and_paging(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = [(f"id{i:02d}", f"2025-01-01 00:00:{i:02d}") for i in range(15)]

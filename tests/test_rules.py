@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskfold.functions import geo, parsing, physics, raster
 from maskfold.functions.rounding import half_even
-from maskfold.operators import catalogue, confidence, leakage, metrics, splits, tiles
+from maskfold.operators import catalogue, confidence, leakage, masks, metrics, splits, tiles
 from maskfold.operators.catalogue import GateError
 
 
@@ -81,9 +81,55 @@ def test_fingerprint_plain_and_tree(spark):
     names = [f"f{i}.png" for i in range(500)]
     df = spark.createDataFrame([(n,) for n in names + names[:50]], "filename string")
     plain = hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()
-    assert splits.set_fingerprint(df, "filename").first().fingerprint == plain
-    tree = {splits.set_fingerprint(df.repartition(n), "filename", leaf=10).first().fingerprint for n in (1, 7)}
-    assert len(tree) == 1 and plain not in tree
+    assert splits.set_fingerprint(df, "filename", depth=0).first().fingerprint == plain
+    tree = {tuple(splits.set_fingerprint(df.repartition(n), "filename").first()) for n in (1, 7)}
+    assert len(tree) == 1 and plain not in tree and tree.pop()[1] == "tree-3"
+
+
+def test_fingerprint_of_a_split_does_not_depend_on_other_splits(spark):
+    few = [("test", f"t{i}") for i in range(20)]
+    many = [("train", f"r{i}") for i in range(5_000)]
+    alone, beside = ({r.split: r.fingerprint for r in splits.set_fingerprint(spark.createDataFrame(x, "split string, f string"), "f", ["split"]).collect()} for x in (few, few + many))
+    assert alone["test"] == beside["test"]
+
+
+def test_fraction_cuts(spark):
+    df = spark.createDataFrame([(i,) for i in range(5)], "image_id bigint")
+    n = {r.split: r["count"] for r in splits.fraction_split(df, "image_id").groupBy("split").count().collect()}
+    assert n == {"train": 3, "test": 2}  # int(3.5), int(0.75), the rest
+
+
+def test_absent_iscrowd_is_kept(spark):
+    rows = [(1, 2.0, None, [[0.0] * 6]), (2, 2.0, 1, [[0.0] * 6]), (3, 0.0, 0, [[0.0] * 6]), (4, 2.0, 0, [[0.0] * 4])]
+    ann = spark.createDataFrame(rows, "id bigint, area double, iscrowd int, segmentation array<array<double>>")
+    assert [r.id for r in catalogue.valid_annotations(ann).collect()] == [1]
+
+
+def test_gate_names_all_offenders(spark):
+    with pytest.raises(GateError) as e:
+        catalogue.must_be_empty(spark.range(50), "too many")
+    assert e.value.count == 50 and e.value.offenders.count() == 50 and "50 rows" in str(e.value)
+
+
+def test_largest_regions_of_each_image(spark):
+    rows = [(i, k, 10 + k) for i in (1, 2) for k in range(40)]
+    top = masks.largest_regions(spark.createDataFrame(rows, "image_id bigint, label bigint, area bigint")).collect()
+    assert sorted((r.image_id, r.label) for r in top) == [(i, k) for i in (1, 2) for k in range(25, 40)]
+
+
+def test_custom_scenario_holds_what_is_given(spark):
+    from maskfold.functions import physics
+
+    one = lambda *a: {r.x.scenario: r.x for r in spark.range(1).select(F.explode(physics.scenarios(*a)).alias("x")).collect()}["custom"]
+    assert (one().efficiency, one().performance_ratio, one().emission_factor) == (None, None, None)
+    assert one(0.2, 0.8, 0.7).emission_factor == 0.7
+
+
+def test_median_fill_takes_the_middle_of_two(spark):
+    from maskfold.functions.parsing import fill_median
+
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 5.0), (4, 9.0), (5, None)], "k int, v double")
+    assert {r.k: r.v for r in fill_median(df, ["v"]).collect()}[5] == 3.5
 
 
 def test_split_sizes(spark):

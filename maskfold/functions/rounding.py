@@ -6,22 +6,16 @@ from pyspark.sql import functions as F
 
 
 def exact_avg(col: Column | str, places: int, when: Column | None = None) -> Column:
-    """Average of values with at most six decimals, summed exactly, rounded to `places`."""
+    """Average of values with at most six decimals, summed exactly, rounded half to even."""
     c = F.col(col) if isinstance(col, str) else col
     c = c.cast("decimal(18,6)")
     if when is not None:
         c = F.when(when, c)
-    return half_up(F.avg(c).cast("double"), places)
-
-
-def half_up(x: Column | str, places: int) -> Column:
-    """Round half up on the decimal value of a non-negative number, also when its binary form sits a hair below."""
-    c = F.col(x) if isinstance(x, str) else x
-    return F.round(c + F.lit(1e-9), places)
+    return half_even(F.avg(c).cast("double"), places)
 
 
 def half_even(x: Column | str, places: int) -> Column:
-    """Round half to even on the exact binary value of a double, for up to six places.
+    """Round half to even on the exact binary value of a double, as long as x * 10^places stays below 2^52.
 
     The product x * 10^places is taken with its rounding error (x is split in two halves whose products
     are exact), so a tie is told apart from a value that only looks like one.

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import exact_avg, half_up
+from ..functions.rounding import exact_avg, half_even
 from ..plans.ordering import exact_percentiles
+from .catalogue import must_be_empty
 from .masks import region_pixels
 
 
@@ -15,12 +16,12 @@ def confidence(p: str = "p") -> Column:
     return F.greatest(F.col(p), 1 - F.col(p))
 
 
-def prob_validate(pixels: DataFrame, tolerance: float = 1e-4, bg: str = "p_bg", fg: str = "p") -> DataFrame:
-    """Count of NaN, infinite and out-of-range values and the largest deviation of the class sum from 1."""
+def prob_validate(pixels: DataFrame, tolerance: float = 1e-4, bg: str = "p_bg", fg: str = "p", by: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Per map: count of NaN, infinite and out-of-range values and the largest deviation of the class sum from 1."""
     b, f = F.col(bg), F.col(fg)
     inf = F.lit(float("inf"))
     bad_range = (f < -tolerance) | (f > 1 + tolerance) | (b < -tolerance) | (b > 1 + tolerance)
-    out = pixels.agg(
+    out = pixels.groupBy(*by).agg(
         F.count_if(F.isnan(f) | F.isnan(b)).alias("nan_count"),
         F.count_if((F.abs(f) == inf) | (F.abs(b) == inf)).alias("inf_count"),
         F.count_if(bad_range).alias("range_count"),
@@ -30,23 +31,27 @@ def prob_validate(pixels: DataFrame, tolerance: float = 1e-4, bg: str = "p_bg",
     return out.withColumn("valid", ok.cast("int"))
 
 
-def prob_stats(pixels: DataFrame) -> DataFrame:
-    """mean, median, min, max and population std of foreground probability on foreground pixels,
+def require_valid(validated: DataFrame) -> DataFrame:
+    """The maps as they are, or an error that names the invalid ones."""
+    must_be_empty(validated.where("valid = 0"), "invalid probability maps")
+    return validated
+
+
+def prob_stats(pixels: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Per map: mean, median, min, max and population std of foreground probability on foreground pixels,
     background probability on background pixels, and confidence everywhere; null when a part is empty."""
     parts = F.array(
         F.struct(F.lit("solar").alias("part"), F.when(F.col("pred") == 1, F.col("p")).alias("v")),
         F.struct(F.lit("background").alias("part"), F.when(F.col("pred") == 0, F.round(1 - F.col("p"), 6)).alias("v")),
         F.struct(F.lit("confidence").alias("part"), F.round(confidence(), 6).alias("v")),
     )
-    long = pixels.select(F.explode(parts).alias("s")).select("s.part", "s.v")
-    base = long.groupBy("part").agg(
-        F.count("v").alias("n"), exact_avg("v", 4).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.round(F.stddev_pop("v"), 4).alias("std"),
-    )
-    med = exact_percentiles(long, "v", {"median": 0.5}, ["part"])
-    return base.join(med, "part", "left").select(
-        "part", "n", "mean", F.round("median", 4).alias("median"), F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), "std"
+    long = pixels.select(*by, F.explode(parts).alias("s")).select(*by, "s.part", "s.v")
+    base = long.groupBy(*by, "part").agg(
+        F.count("v").alias("n"), exact_avg("v", 4).alias("mean"), half_even(F.min("v"), 4).alias("min"), half_even(F.max("v"), 4).alias("max"),
+        half_even(F.stddev_pop("v"), 4).alias("std"),
     )
+    med = exact_percentiles(long, "v", {"median": 0.5}, [*by, "part"])
+    return base.join(med, [*by, "part"], "left").select(*by, "part", "n", "mean", half_even("median", 4).alias("median"), "min", "max", "std")
 
 
 def prob_percentiles(pixels: DataFrame, ps: Sequence[float], by: Sequence[str] = (), col: str = "p") -> DataFrame:
@@ -57,34 +62,31 @@ def prob_percentiles(pixels: DataFrame, ps: Sequence[float], by: Sequence[str] =
     return wide.select(*by, F.explode(arr).alias("s")).select(*by, "s.*")
 
 
-def confidence_hist(pixels: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-width histogram of confidence with the last bin closed; empty bins stay and counts add up."""
+def confidence_hist(pixels: DataFrame, bins: int = 10, by: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Equal-width histogram of confidence per map with the last bin closed; empty bins stay and counts add up."""
     c = F.round(confidence(), 6)
-    bucket = F.when(c >= F.lit((bins - 1) / bins), bins - 1)
-    for i in range(bins - 2, -1, -1):
-        bucket = bucket.when(c >= F.lit(i / bins), i)
-    counts = pixels.groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
-    rows = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(round(i / bins, 2)).alias("lower_bound"), F.lit(round((i + 1) / bins, 2)).alias("upper_bound")) for i in range(bins)])
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    edges = total.select("total", F.explode(rows).alias("e")).select("total", "e.*")
-    return edges.join(F.broadcast(counts), "bin", "left").select(
-        "bin", "lower_bound", "upper_bound", F.coalesce("n", F.lit(0).cast("bigint")).alias("pixel_count"),
-        F.round(F.coalesce("n", F.lit(0)) / F.col("total") * 100.0, 2).alias("percentage"),
-    )
+    edges = [F.lit(i / bins) for i in range(bins)]
+    inside = [(c >= e) & (c < edges[i + 1]) if i + 1 < bins else c >= e for i, e in enumerate(edges)]
+    counts = pixels.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(x).alias(f"b{i}") for i, x in enumerate(inside)])
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("bin"), F.lit(round(i / bins, 2)).alias("lower_bound"), F.lit(round((i + 1) / bins, 2)).alias("upper_bound"), F.col(f"b{i}").alias("pixel_count"))
+        for i in range(bins)
+    ])
+    return counts.select(*by, "total", F.explode(rows).alias("s")).select(*by, "s.*", half_even(F.col("s.pixel_count") / F.col("total") * 100.0, 2).alias("percentage"))
 
 
 # fixed values: uneven probability brackets, half open
 BRACKETS = ((0.0, 0.05), (0.05, 0.15), (0.15, 0.30), (0.30, 0.50), (0.50, 0.70), (0.70, 0.90), (0.90, 1.001))
 
 
-def custom_hist(pixels: DataFrame, brackets: Sequence[tuple[float, float]] = BRACKETS, col: str = "p") -> DataFrame:
-    """Pixels per uneven half-open bracket with percent of all pixels."""
+def custom_hist(pixels: DataFrame, brackets: Sequence[tuple[float, float]] = BRACKETS, col: str = "p", by: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Pixels per uneven half-open bracket with percent of the map's pixels."""
     c = F.col(col)
-    counts = pixels.agg(
+    counts = pixels.groupBy(*by).agg(
         F.count("*").alias("total"), *[F.count_if((c >= lo) & (c < hi)).alias(f"b{i}") for i, (lo, hi) in enumerate(brackets)]
     )
     rows = F.array(*[F.struct(F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high"), F.col(f"b{i}").alias("pixel_count")) for i, (lo, hi) in enumerate(brackets)])
-    return counts.select("total", F.explode(rows).alias("s")).select("s.*", F.round(100.0 * F.col("s.pixel_count") / F.col("total"), 2).alias("percentage"))
+    return counts.select(*by, "total", F.explode(rows).alias("s")).select(*by, "s.*", half_even(100.0 * F.col("s.pixel_count") / F.col("total"), 2).alias("percentage"))
 
 
 def ambiguity(pixels: DataFrame, threshold: float = 0.40, by: Sequence[str] = ()) -> DataFrame:
@@ -97,8 +99,8 @@ def ambiguity(pixels: DataFrame, threshold: float = 0.40, by: Sequence[str] = ()
     )
     return out.select(
         *by, "total_pixels", "solar_pixels", "global_ambiguous_pixels", "solar_ambiguous_pixels",
-        F.round(F.col("global_ambiguous_pixels") / F.col("total_pixels") * 100.0, 2).alias("global_ambiguous_percentage"),
-        F.when(F.col("solar_pixels") > 0, F.round(F.col("solar_ambiguous_pixels") / F.col("solar_pixels") * 100.0, 2)).otherwise(0.0).alias("solar_ambiguous_percentage"),
+        half_even(F.col("global_ambiguous_pixels") / F.col("total_pixels") * 100.0, 2).alias("global_ambiguous_percentage"),
+        F.when(F.col("solar_pixels") > 0, half_even(F.col("solar_ambiguous_pixels") / F.col("solar_pixels") * 100.0, 2)).otherwise(0.0).alias("solar_ambiguous_percentage"),
     )
 
 
@@ -114,9 +116,9 @@ def region_confidence(labelled: DataFrame, pixels: DataFrame, keys: Sequence[str
         F.count("*").alias("area"),
         exact_avg("p", 4).alias("mean_probability"),
         F.avg(p.cast("decimal(18,6)")).cast("double").alias("__m"),
-        half_up(F.percentile(p, 0.5), 4).alias("median_probability"),
-        half_up(F.min(p), 4).alias("min_probability"), half_up(F.max(p), 4).alias("max_probability"),
-        half_up(F.stddev_pop(p), 4).alias("std_probability"),
+        half_even(F.percentile(p, 0.5), 4).alias("median_probability"),
+        half_even(F.min(p), 4).alias("min_probability"), half_even(F.max(p), 4).alias("max_probability"),
+        half_even(F.stddev_pop(p), 4).alias("std_probability"),
         exact_avg(conf, 4).alias("mean_confidence"), exact_avg(1 - conf, 4).alias("mean_uncertainty"),
     )
     return out.where(F.col("area") >= min_area).withColumn("band", confidence_band(F.col("__m"))).drop("__m")
@@ -128,7 +130,7 @@ def band_summary(regions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     cols = []
     for band in ("HIGH", "MEDIUM", "LOW"):
         k = F.count_if(F.col("band") == band)
-        cols += [k.alias(f"{band.lower()}_count"), F.when(n > 0, F.round(k / n * 100.0, 2)).otherwise(0.0).alias(f"{band.lower()}_percentage")]
+        cols += [k.alias(f"{band.lower()}_count"), F.when(n > 0, half_even(k / n * 100.0, 2)).otherwise(0.0).alias(f"{band.lower()}_percentage")]
     return regions.groupBy(*by).agg(n.alias("total_regions"), *cols)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import exact_avg
+from ..functions.rounding import exact_avg, half_even
 from ..plans.materialise import materialise
 from ..plans.ordering import bind
 
@@ -115,7 +115,7 @@ def coverage(area: DataFrame, images: DataFrame, keys: Sequence[str] = ("image_i
         fg.alias("solar_pixels"),
         (total - fg).alias("background_pixels"),
         total.alias("total_pixels"),
-        F.when(total > 0, F.round(fg / total * 100.0, 4)).otherwise(0.0).alias("coverage_percent"),
+        F.when(total > 0, half_even(fg / total * 100.0, 4)).otherwise(0.0).alias("coverage_percent"),
     )
 
 
@@ -333,8 +333,8 @@ def component_stats(
         F.count_if(keep).alias("filtered_count"),
         F.max(F.when(keep, F.col("area"))).alias("largest_area"),
         F.min(F.when(keep, F.col("area"))).alias("smallest_area"),
-        F.round(F.avg(F.when(keep, F.col("area"))), 2).alias("mean_area"),
-        F.round(F.percentile(F.when(keep, F.col("area")), 0.5), 2).alias("median_area"),
+        half_even(F.avg(F.when(keep, F.col("area"))), 2).alias("mean_area"),
+        half_even(F.percentile(F.when(keep, F.col("area")), 0.5), 2).alias("median_area"),
         F.sum("area").alias("raw_pixels"),
         F.sum(F.when(keep, F.col("area")).otherwise(0)).alias("filtered_pixels"),
     )
@@ -350,8 +350,8 @@ def component_stats(
         "median_area",
         "raw_pixels",
         "filtered_pixels",
-        F.when(F.col("raw_pixels") > 0, F.round(F.col("filtered_pixels") / F.col("raw_pixels") * 100.0, 2)).otherwise(100.0).alias("retained_percent"),
-        F.round(F.col("filtered_count") / (F.col("width") * F.col("height")), 8).alias("region_density"),
+        F.when(F.col("raw_pixels") > 0, half_even(F.col("filtered_pixels") / F.col("raw_pixels") * 100.0, 2)).otherwise(100.0).alias("retained_percent"),
+        half_even(F.col("filtered_count") / (F.col("width") * F.col("height")), 8).alias("region_density"),
     )
 
 

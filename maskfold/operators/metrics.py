@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import half_up
+from ..functions.rounding import half_even
 from ..plans.materialise import materialise
 from ..plans.ordering import exact_percentiles
 
@@ -200,7 +200,7 @@ def coverage_distribution(cov: DataFrame, small: float = 3.0) -> DataFrame:
         F.count("*").alias("images"), F.round(F.avg("coverage_percent"), 4).alias("mean"),
         F.round(F.avg((F.col("coverage_percent") <= small).cast("double")), 6).alias("small_share"),
     )
-    return m.join(F.broadcast(q)).select("images", "mean", "small_share", *[half_up(c, 4).alias(c) for c in ("p25", "median", "p75")])
+    return m.join(F.broadcast(q)).select("images", "mean", "small_share", *[half_even(c, 4).alias(c) for c in ("p25", "median", "p75")])
 
 
 def size_share(objects: DataFrame, limits: Sequence[float] = (0.5, 1.0, 2.0, 5.0)) -> DataFrame:

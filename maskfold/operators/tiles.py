@@ -92,7 +92,7 @@ def restore_bilinear(pixels: DataFrame, params: DataFrame) -> DataFrame:
         "image_id", "y", "x", (F.col("c.sy") + F.col("pad_top")).cast("int").alias("sy"), (F.col("c.sx") + F.col("pad_left")).cast("int").alias("sx"), F.col("c.w").alias("w")
     )
     src = pixels.select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "p")
-    out = t.join(src, ["image_id", "sy", "sx"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("p") * F.col("w")).alias("p"))
+    out = t.join(src, ["image_id", "sy", "sx"]).groupBy("image_id", "y", "x").agg(F.sum((F.col("p") * F.col("w")).cast("decimal(28,12)")).cast("double").alias("p"))  # an exact sum in any order
     return out.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p"))))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import confidence, masks
+from .fixtures import sql_half_even as he
 from .q_masks import labels_cte, pred_runs
 from .registry import query
 
@@ -12,10 +13,10 @@ CONF = "round(greatest(p, 1 - p), 6)"
 
 
 @query("a18_confidence_histogram", "fx_raster", f"""with b as (select unnest(range(0, 10)) as bin),
-c as (select case when {CONF} >= 0.9 then 9 when {CONF} >= 0.8 then 8 when {CONF} >= 0.7 then 7 when {CONF} >= 0.6 then 6 when {CONF} >= 0.5 then 5 else 0 end as bin from fx_raster),
-n as (select bin, count(*) as n from c group by bin), tot as (select count(*) as t from c)
-select cast(b.bin as int) as bin, round(b.bin / 10, 2) as lower_bound, round((b.bin + 1) / 10, 2) as upper_bound, coalesce(n, 0) as pixel_count, round(coalesce(n, 0) / t * 100.0, 2) as percentage
-from b cross join tot left join n on n.bin = b.bin""")
+c as (select image_id, case when {CONF} >= 0.9 then 9 when {CONF} >= 0.8 then 8 when {CONF} >= 0.7 then 7 when {CONF} >= 0.6 then 6 when {CONF} >= 0.5 then 5 else 0 end as bin from fx_raster),
+n as (select image_id, bin, count(*) as n from c group by 1, 2), tot as (select image_id, count(*) as t from c group by 1),
+j as (select tot.image_id, b.bin, t, coalesce(n, 0) as n from b cross join tot left join n on n.bin = b.bin and n.image_id = tot.image_id)
+select image_id, cast(bin as int) as bin, round(bin / 10, 2) as lower_bound, round((bin + 1) / 10, 2) as upper_bound, n as pixel_count, {he("n / t * 100.0", 2)} as percentage from j""")
 def _(t):
     return confidence.confidence_hist(t.fx_raster)
 
@@ -23,17 +24,17 @@ def _(t):
 BR = ", ".join(f"({a}, {b})" for a, b in confidence.BRACKETS)
 
 
-@query("a19_custom_histogram", "fx_raster", f"""with b(low, high) as (values {BR})
-select cast(low as double) as low, cast(high as double) as high, count(*) filter (where p >= low and p < high) as pixel_count,
-  round(100.0 * count(*) filter (where p >= low and p < high) / count(*), 2) as percentage from fx_raster cross join b group by 1, 2""")
+@query("a19_custom_histogram", "fx_raster", f"""with b(low, high) as (values {BR}),
+n as (select image_id, low, high, count(*) filter (where p >= low and p < high) as k, count(*) as t from fx_raster cross join b group by 1, 2, 3)
+select image_id, cast(low as double) as low, cast(high as double) as high, k as pixel_count, {he("100.0 * k / t", 2)} as percentage from n""")
 def _(t):
     return confidence.custom_hist(t.fx_raster)
 
 
-@query("a20_prob_stats", "fx_raster", f"""with s as (select 'solar' as part, p as v from fx_raster where pred = 1
-  union all select 'background', round(1 - p, 6) from fx_raster where pred = 0 union all select 'confidence', {CONF} from fx_raster)
-select part, count(v) as n, round(avg(cast(v as decimal(18, 6))) + 1e-9, 4) as mean, round(quantile_cont(v, 0.5), 4) as median, round(min(v), 4) as min, round(max(v), 4) as max,
-  round(stddev_pop(v), 4) as std from s group by part""")
+@query("a20_prob_stats", "fx_raster", f"""with s as (select image_id, 'solar' as part, case when pred = 1 then p end as v from fx_raster
+  union all select image_id, 'background', case when pred = 0 then round(1 - p, 6) end from fx_raster union all select image_id, 'confidence', {CONF} from fx_raster),
+g as (select image_id, part, count(v) as n, avg(cast(v as decimal(18, 6))) as mean, quantile_cont(v, 0.5) as median, min(v) as low, max(v) as high, stddev_pop(v) as std from s group by 1, 2)
+select image_id, part, n, {he("mean", 4)} as mean, {he("median", 4)} as median, {he("low", 4)} as min, {he("high", 4)} as max, {he("std", 4)} as std from g""")
 def _(t):
     return confidence.prob_stats(t.fx_raster)
 
@@ -47,24 +48,25 @@ AMB = f"round(1 - {CONF}, 6) >= 0.4"
 
 
 @query("a22_ambiguity", "fx_raster", f"""select image_id, count(*) as total_pixels, count(*) filter (where pred = 1) as solar_pixels, count(*) filter (where {AMB}) as global_ambiguous_pixels,
-  count(*) filter (where {AMB} and pred = 1) as solar_ambiguous_pixels, round(count(*) filter (where {AMB}) / count(*) * 100.0, 2) as global_ambiguous_percentage,
-  case when count(*) filter (where pred = 1) > 0 then round(count(*) filter (where {AMB} and pred = 1) / count(*) filter (where pred = 1) * 100.0, 2) else 0.0 end as solar_ambiguous_percentage
+  count(*) filter (where {AMB} and pred = 1) as solar_ambiguous_pixels, {he(f'count(*) filter (where {AMB}) / count(*) * 100.0', 2)} as global_ambiguous_percentage,
+  case when count(*) filter (where pred = 1) > 0 then {he(f'count(*) filter (where {AMB} and pred = 1) / count(*) filter (where pred = 1) * 100.0', 2)} else 0.0 end as solar_ambiguous_percentage
 from fx_raster group by image_id""")
 def _(t):
     return confidence.ambiguity(t.fx_raster, by=["image_id"])
 
 
-@query("a23_prob_validate", "fx_raster", """select count(*) filter (where isnan(p)) as nan_count, count(*) filter (where isinf(p)) as inf_count, count(*) filter (where p < -0.0001 or p > 1.0001) as range_count,
-  round(max(abs(round(1 - p, 6) + p - 1.0)), 6) as max_deviation, 1 as valid from fx_raster""")
+@query("a23_prob_validate", "fx_raster", """select image_id, count(*) filter (where isnan(p)) as nan_count, count(*) filter (where isinf(p)) as inf_count, count(*) filter (where p < -0.0001 or p > 1.0001) as range_count,
+  round(max(abs(round(1 - p, 6) + p - 1.0)), 6) as max_deviation, 1 as valid from fx_raster group by image_id""")
 def _(t):
-    return confidence.prob_validate(t.fx_raster.withColumn("p_bg", F.round(1 - F.col("p"), 6)))
+    return confidence.require_valid(confidence.prob_validate(t.fx_raster.withColumn("p_bg", F.round(1 - F.col("p"), 6))))
 
 
 RC = "with recursive " + labels_cte("pred = 1", "px") + f""",
-rc as (select l.image_id, l.label, count(*) as area, round(avg(cast(p as decimal(18, 6))) + 1e-9, 4) as mean_probability, avg(cast(p as decimal(18, 6))) as m, round(quantile_cont(p, 0.5) + 1e-9, 4) as median_probability,
-  round(min(p) + 1e-9, 4) as min_probability, round(max(p) + 1e-9, 4) as max_probability, round(stddev_pop(p) + 1e-9, 4) as std_probability,
-  round(avg(cast({CONF} as decimal(18, 6))) + 1e-9, 4) as mean_confidence, round(avg(cast(1 - {CONF} as decimal(18, 6))) + 1e-9, 4) as mean_uncertainty
+rc0 as (select l.image_id, l.label, count(*) as area, avg(cast(p as decimal(18, 6))) as m, quantile_cont(p, 0.5) as md, min(p) as lo, max(p) as hi, stddev_pop(p) as sd,
+  avg(cast({CONF} as decimal(18, 6))) as mc, avg(cast(1 - {CONF} as decimal(18, 6))) as mu
   from px_lab l join fx_raster r on r.image_id = l.image_id and r.y = l.y and r.x = l.x group by 1, 2),
+rc as (select image_id, label, area, m, {he("m", 4)} as mean_probability, {he("md", 4)} as median_probability, {he("lo", 4)} as min_probability, {he("hi", 4)} as max_probability,
+  {he("sd", 4)} as std_probability, {he("mc", 4)} as mean_confidence, {he("mu", 4)} as mean_uncertainty from rc0),
 rb as (select *, case when m >= 0.9 then 'HIGH' when m >= 0.7 then 'MEDIUM' else 'LOW' end as band from rc)
 """
 
@@ -78,9 +80,8 @@ def _(t):
     return regions_df(t)
 
 
-@query("a25_region_band_summary", "fx_raster", RC + """select image_id, count(*) as total_regions, count(*) filter (where band = 'HIGH') as high_count, round(count(*) filter (where band = 'HIGH') / count(*) * 100.0, 2) as high_percentage,
-  count(*) filter (where band = 'MEDIUM') as medium_count, round(count(*) filter (where band = 'MEDIUM') / count(*) * 100.0, 2) as medium_percentage,
-  count(*) filter (where band = 'LOW') as low_count, round(count(*) filter (where band = 'LOW') / count(*) * 100.0, 2) as low_percentage from rb group by image_id""")
+@query("a25_region_band_summary", "fx_raster", RC + f""", bs as (select image_id, count(*) as n, count(*) filter (where band = 'HIGH') as h, count(*) filter (where band = 'MEDIUM') as m, count(*) filter (where band = 'LOW') as l from rb group by image_id)
+select image_id, n as total_regions, h as high_count, {he("h / n * 100.0", 2)} as high_percentage, m as medium_count, {he("m / n * 100.0", 2)} as medium_percentage, l as low_count, {he("l / n * 100.0", 2)} as low_percentage from bs""")
 def _(t):
     return confidence.band_summary(regions_df(t), ["image_id"])
 
@@ -92,7 +93,7 @@ def _(t):
 
 @query("j24_roi_stats", "fx_raster fx_image8", """with roi as (select image_id, 'corner' as roi, 0 as x1, 0 as y1, 3 as x2, 4 as y2 from fx_image8
   union all select image_id, 'centre', 2, 2, 6, 6 from fx_image8 union all select image_id, 'strip', cast(image_id % 5 as int), 0, cast(image_id % 5 as int) + 2, 8 from fx_image8)
-select r.image_id, roi, count(*) as pixels, round(avg(cast(p as decimal(18, 6))) + 1e-9, 6) as mean_p, max(p) as max_p, min(p) as min_p, count(*) filter (where p >= 0.5) as over_half
+select r.image_id, roi, count(*) as pixels, """ + he("avg(cast(p as decimal(18, 6)))", 6) + """ as mean_p, max(p) as max_p, min(p) as min_p, count(*) filter (where p >= 0.5) as over_half
 from roi r join fx_raster f on f.image_id = r.image_id and f.x >= x1 and f.x < x2 and f.y >= y1 and f.y < y2 group by 1, 2""")
 def _(t):
     k = (F.col("image_id") % 5).cast("int")
@@ -107,7 +108,7 @@ def _(t):
 @query("t7_largest_regions", "fx_raster", "with recursive " + labels_cte("pred = 1", "px") + """,
 reg as (select image_id, label, count(*) as area, min(x) as bx, min(y) as by_, max(x) as bx2, max(y) as by2 from px_lab group by 1, 2),
 top as (select * from (select *, row_number() over (partition by image_id order by area desc, label) as rn from reg where area >= 20) q where rn <= 15)
-select t.image_id, t.label, t.area, count(*) as box_pixels, round(avg(cast(p as decimal(18, 6))) + 1e-9, 6) as mean_p, max(p) as max_p from top t join fx_raster r on r.image_id = t.image_id and r.x between bx and bx2 and r.y between by_ and by2 group by 1, 2, 3""")
+select t.image_id, t.label, t.area, count(*) as box_pixels, """ + he("avg(cast(p as decimal(18, 6)))", 6) + """ as mean_p, max(p) as max_p from top t join fx_raster r on r.image_id = t.image_id and r.x between bx and bx2 and r.y between by_ and by2 group by 1, 2, 3""")
 def _(t):
     regions = masks.region_table(masks.label_runs(pred_runs(t)))
     top = masks.largest_regions(regions)

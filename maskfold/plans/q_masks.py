@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import masks
 from .fixtures import MODELS
+from .fixtures import sql_half_even as he
 from .registry import query
 
 # twins -----------------------------------------------------------------------------------------
@@ -60,7 +61,7 @@ def pred_runs(t, bit="pred = 1"):
 
 @query("a2_pixel_coverage", "fx_gt fx_scene", "with " + ROWS.format(keys="image_id", src="fx_gt") + """
 select s.image_id, cast(coalesce(area, 0) as bigint) as solar_pixels, cast(width * height - coalesce(area, 0) as bigint) as background_pixels,
-  cast(width * height as bigint) as total_pixels, round(coalesce(area, 0) / (width * height) * 100.0, 4) as coverage_percent
+  cast(width * height as bigint) as total_pixels, """ + he("coalesce(area, 0) / (width * height) * 100.0", 4) + """ as coverage_percent
 from fx_scene s left join covered c on c.image_id = s.image_id""")
 def _(t):
     return masks.coverage(masks.covered_area(t.fx_gt, ["image_id"]), t.fx_scene)
@@ -100,13 +101,13 @@ def _(t):
 reg as (select image_id, label, count(*) as area from px_lab group by image_id, label),
 st as (select image_id, count(*) as raw_count, count(*) filter (where area >= 8) as filtered_count,
   max(area) filter (where area >= 8) as largest_area, min(area) filter (where area >= 8) as smallest_area,
-  round(avg(area) filter (where area >= 8), 2) as mean_area, round(quantile_cont(area, 0.5) filter (where area >= 8), 2) as median_area,
+  """ + he("avg(area) filter (where area >= 8)", 2) + """ as mean_area, """ + he("quantile_cont(area, 0.5) filter (where area >= 8)", 2) + """ as median_area,
   cast(sum(area) as bigint) as raw_pixels, cast(coalesce(sum(area) filter (where area >= 8), 0) as bigint) as filtered_pixels
   from reg group by image_id)
 select i.image_id, coalesce(raw_count, 0) as raw_count, coalesce(filtered_count, 0) as filtered_count, largest_area, smallest_area,
   mean_area, median_area, coalesce(raw_pixels, 0) as raw_pixels, coalesce(filtered_pixels, 0) as filtered_pixels,
-  case when coalesce(raw_pixels, 0) > 0 then round(filtered_pixels / raw_pixels * 100.0, 2) else 100.0 end as retained_percent,
-  round(coalesce(filtered_count, 0) / 64, 8) as region_density
+  case when coalesce(raw_pixels, 0) > 0 then """ + he("filtered_pixels / raw_pixels * 100.0", 2) + """ else 100.0 end as retained_percent,
+  """ + he("coalesce(filtered_count, 0) / 64", 8) + """ as region_density
 from fx_image8 i left join st on st.image_id = i.image_id""")
 def _(t):
     regions = masks.region_table(masks.label_runs(pred_runs(t)))
@@ -131,7 +132,7 @@ def _(t):
 
 
 @query("a41_instances", "fx_raster", "with recursive " + labels_cte("p >= 0.5", "px") + """
-select l.image_id, l.label, count(*) as area, round(avg(cast(r.p as decimal(18, 6))) + 1e-9, 6) as score
+select l.image_id, l.label, count(*) as area, """ + he("avg(cast(r.p as decimal(18, 6)))", 6) + """ as score
 from px_lab l join fx_raster r on r.image_id = l.image_id and r.y = l.y and r.x = l.x
 group by l.image_id, l.label having count(*) >= 8""")
 def _(t):

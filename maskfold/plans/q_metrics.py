@@ -8,6 +8,7 @@ from .fixtures import MODELS
 from .materialise import materialise
 from .ordering import running
 from .q_masks import CONFUSION_CTES, ROWS, confusion_df
+from .fixtures import sql_half_even as he
 from .registry import query
 
 VIEWS = "fx_gt fx_det fx_scene"
@@ -162,9 +163,9 @@ def _(t):
 
 
 @query("a42_coverage_distribution", "fx_gt fx_scene", "with " + ROWS.format(keys="image_id", src="fx_gt") + """,
-c as (select s.image_id, round(coalesce(area, 0) / (width * height) * 100.0, 4) as v from fx_scene s left join covered c on c.image_id = s.image_id)
+c as (select s.image_id, """ + he("coalesce(area, 0) / (width * height) * 100.0", 4) + """ as v from fx_scene s left join covered c on c.image_id = s.image_id)
 select count(*) as images, round(avg(v), 4) as mean, round(avg(case when v <= 3.0 then 1.0 else 0.0 end), 6) as small_share,
-  round(quantile_cont(v, 0.25) + 1e-9, 4) as p25, round(quantile_cont(v, 0.5) + 1e-9, 4) as median, round(quantile_cont(v, 0.75) + 1e-9, 4) as p75 from c""")
+  """ + he("quantile_cont(v, 0.25)", 4) + """ as p25, """ + he("quantile_cont(v, 0.5)", 4) + """ as median, """ + he("quantile_cont(v, 0.75)", 4) + """ as p75 from c""")
 def _(t):
     return metrics.coverage_distribution(masks.coverage(masks.covered_area(t.fx_gt, ["image_id"]), t.fx_scene))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..operators import masks, models, tiles
+from ..functions.rounding import half_even
+from .fixtures import sql_half_even as he
 from .registry import query
 
 SIZES = "sz as (select image_id, cast(200 + image_id % 900 as int) as width, cast(200 + strip * 3 as int) as height from fx_scene)"
@@ -84,11 +86,9 @@ s as (select *, (x + 0.5) * scaled_w / width - 0.5 as fx, (y + 0.5) * scaled_h /
 c as (select s.*, dx, dy, least(greatest(floor(fx) + dx, 0), scaled_w - 1) + pad_left as cx, least(greatest(floor(fy) + dy, 0), scaled_h - 1) + pad_top as cy,
   (case when dx = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end) * (case when dy = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end) as w
   from s cross join (select unnest([0, 1]) as dx) a cross join (select unnest([0, 1]) as dy) b)
-select c.image_id, cast(c.y as int) as y, cast(c.x as int) as x, round(least(1.0, greatest(0.0, sum(w * r.p))) + 1e-9, 5) as p from c join fx_raster r on r.image_id = c.image_id and r.x = c.cx and r.y = c.cy group by 1, 2, 3""")
+select c.image_id, cast(c.y as int) as y, cast(c.x as int) as x, """ + he("least(1.0::double, greatest(0.0::double, cast(sum(cast(w * r.p as decimal(28, 12))) as double)))", 5) + """ as p from c join fx_raster r on r.image_id = c.image_id and r.x = c.cx and r.y = c.cy group by 1, 2, 3""")
 def _(t):
-    from ..functions.rounding import half_up
-
-    return tiles.restore_bilinear(t.fx_raster.select("image_id", "y", "x", "p"), params_df(t)).withColumn("p", half_up("p", 5))
+    return tiles.restore_bilinear(t.fx_raster.select("image_id", "y", "x", "p"), params_df(t)).withColumn("p", half_even("p", 5))
 
 
 @query("h8_polygon_to_runs", "fx_gt", """with r as (select *, unnest(range(y0, y1)) as y from fx_gt)

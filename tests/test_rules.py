@@ -111,6 +111,21 @@ def test_gate_names_all_offenders(spark):
     assert e.value.count == 50 and e.value.offenders.count() == 50 and "50 rows" in str(e.value)
 
 
+def test_coverage_rounds_ties_to_even(spark):
+    images = spark.createDataFrame([(1, 640, 640), (2, 640, 640), (3, 640, 640)], "image_id bigint, width int, height int")
+    area = spark.createDataFrame([(1, 128), (2, 384)], "image_id bigint, area bigint")
+    got = {r.image_id: r.coverage_percent for r in masks.coverage(area, images).collect()}
+    assert got == {1: 0.0312, 2: 0.0938, 3: 0.0}  # 0.03125 and 0.09375
+
+
+def test_maps_are_judged_one_by_one(spark):
+    px = spark.createDataFrame([(1, 0.25, 0.75), (2, 0.5, 0.9)], "image_id bigint, p_bg double, p double")
+    got = confidence.prob_validate(px)
+    assert {r.image_id: r.valid for r in got.collect()} == {1: 1, 2: 0}
+    with pytest.raises(GateError, match="1 rows"):
+        confidence.require_valid(got)
+
+
 def test_largest_regions_of_each_image(spark):
     rows = [(i, k, 10 + k) for i in (1, 2) for k in range(40)]
     top = masks.largest_regions(spark.createDataFrame(rows, "image_id bigint, label bigint, area bigint")).collect()

@@ -52,7 +52,7 @@ m as (
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
     coalesce(lines.n, 0) as n_lines, coalesce(lines.dup, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words
   from d left join rep using (r) left join lines using (r)),
-f as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (n_symbols > 3 * n_words)::int
+f as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int
     + 8 * (word_chars < 2 * n_words)::int + 16 * (word_chars > 25 * n_words)::int
     + 32 * (n_dup_lines > 3 and 100 * n_dup_lines > 60 * n_lines)::int as fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed,

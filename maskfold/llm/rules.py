@@ -41,7 +41,7 @@ class Policy:
 RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    Rule(2, "symbols", "n_symbols > 3 * n_words"),
+    Rule(2, "symbols", "10 * n_symbols > n_words"),
     Rule(3, "short_words", "word_chars < 2 * n_words"),
     Rule(4, "long_words", "word_chars > 25 * n_words"),
     Rule(5, "repeated_lines", "n_dup_lines > 3 AND 100 * n_dup_lines > 60 * n_lines"),

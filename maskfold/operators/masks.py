@@ -366,26 +366,24 @@ def confusion(
 ) -> DataFrame:
     """Pixel confusion per model and image without touching background pixels.
 
-    Overlap comes from three covered areas: |A and B| = |A| + |B| - |A or B|; true negatives from
-    width x height.
+    Ground truth and predictions are packed to bit words once each and meet by cell: the common bits are the
+    true positives, and true negatives follow from width x height.
     """
     keys = list(keys)
-    cols = ["y0", "y1", "x0", "x1"]
     names = F.array(*[F.lit(m) for m in models])
-    g = gt.select(*keys, *cols)
-    p = pred.select("model", *keys, *cols)
-    per_model_gt = g.select(F.explode(names).alias("model"), *keys, F.lit("u").alias("layer"), *cols)
-    layers = (
-        g.select(F.lit("").alias("model"), *keys, F.lit("g").alias("layer"), *cols)
-        .unionAll(p.select("model", *keys, F.explode(F.array(F.lit("p"), F.lit("u"))).alias("layer"), *cols))
-        .unionAll(per_model_gt)
+    words = [f"r{i}" for i in range(SLAB)]
+
+    def ones(*bits: Column) -> Column:
+        return sum([F.bit_count(b) for b in bits[1:]], F.bit_count(bits[0])).cast("bigint")
+
+    g = _packed(gt, keys)
+    p = _packed(pred, ["model", *keys])
+    gt_area = g.groupBy(*keys).agg(F.sum(ones(*map(F.col, words))).alias("g"))
+    beside = g.select(*keys, "cy", "cx", *[F.col(r).alias(f"g_{r}") for r in words])
+    common = ones(*[F.coalesce(F.col(r).bitwiseAND(F.col(f"g_{r}")), F.lit(0).cast("bigint")) for r in words])
+    by_model = p.join(beside, [*keys, "cy", "cx"], "left").groupBy("model", *keys).agg(
+        F.sum(ones(*map(F.col, words))).alias("p"), F.sum(common).alias("tp")
     )
-    area = covered_area(layers, ["model", *keys, "layer"])
-    by_model = area.where("layer <> 'g'").groupBy("model", *keys).agg(
-        F.max(F.when(F.col("layer") == "p", F.col("area"))).alias("p"),
-        F.max(F.when(F.col("layer") == "u", F.col("area"))).alias("u"),
-    )
-    gt_area = area.where("layer = 'g'").select(*keys, F.col("area").alias("g"))
     zero = F.lit(0).cast("bigint")
     base = images.select(*keys, "width", "height", F.explode(names).alias("model"))
     joined = base.join(gt_area, keys, "left").join(by_model, ["model", *keys], "left").select(
@@ -394,15 +392,15 @@ def confusion(
         (F.col("width").cast("bigint") * F.col("height")).alias("total"),
         F.coalesce("g", zero).alias("g"),
         F.coalesce("p", zero).alias("p"),
-        F.coalesce("u", zero).alias("u"),
+        F.coalesce("tp", zero).alias("tp"),
     )
     return joined.select(
         "model",
         *keys,
-        (F.col("g") + F.col("p") - F.col("u")).alias("tp"),
-        (F.col("total") - F.col("u")).alias("tn"),
-        (F.col("u") - F.col("g")).alias("fp"),
-        (F.col("u") - F.col("p")).alias("fn"),
+        "tp",
+        (F.col("total") - F.col("g") - F.col("p") + F.col("tp")).alias("tn"),
+        (F.col("p") - F.col("tp")).alias("fp"),
+        (F.col("g") - F.col("tp")).alias("fn"),
         F.col("total").alias("total_pixels"),
         F.col("g").alias("gt_pixels"),
         F.col("p").alias("pred_pixels"),

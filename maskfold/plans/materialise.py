@@ -3,10 +3,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -22,9 +25,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write `df` once and read it back: later jobs start from files, which outlive any executor."""
+def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
+    """Write `df` once and read it back: later jobs start from files, which outlive any executor.
+
+    Inside a `scope` the files go with it, unless `keep` is set.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/maskfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what `materialise` writes inside, at the end. Write the result before, or with `keep`: frames that
+    read the deleted tables fail."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _scopes.pop():
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

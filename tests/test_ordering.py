@@ -84,3 +84,14 @@ def test_average_precision_small(spark):
                               "model string, image_id bigint, pred_idx bigint, score_pct int, is_tp int")
     gts = spark.range(4)
     assert features.average_precision(m, gts).first().ap == pytest.approx((1 + 2 / 3 + 3 / 5) / 4, abs=1e-6)
+
+
+def test_scope_deletes_what_is_not_kept(spark):
+    from maskfold.plans.materialise import materialise, scope
+
+    with scope(spark):
+        gone = materialise(spark.range(3), "gone")
+        kept = materialise(gone, "kept", keep=True)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):
+        gone.count()

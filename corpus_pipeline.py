@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskfold.llm import bpe, jaccard, mix, quality, secrets
-from maskfold.plans.materialise import materialise
+from maskfold.plans.materialise import materialise, scope
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scope(spark):  # a stage's own intermediate tables go when its result is written
+            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
     return docs

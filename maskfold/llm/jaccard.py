@@ -117,7 +117,7 @@ def _alive(docs: DataFrame, classes: DataFrame, layout: exchange.Layout, rule: R
         got = list(_batch_sets(_ordered(t), {s for s in sid if s is not None}, rule))
         _, _, place = layout.ordered(np.concatenate([np.zeros(0, np.uint64), *[s for _, s in got]]))
         known = r.filter(pc.greater_equal(r.column("bucket"), 0))
-        df = exchange.answers(known, "u1")[place]
+        df = exchange.answers(known, "u1", 1)[place, 0]
         rows, at = [], 0
         for i, s in got:
             d = df[at : at + len(s)]
@@ -131,7 +131,7 @@ def _alive(docs: DataFrame, classes: DataFrame, layout: exchange.Layout, rule: R
         return pa.table({k: pa.array(list(c), kind) for k, c, kind in zip(("sid", "n", "alone", "items"), cols, kinds, strict=True)})
 
     sent = texts.groupBy("batch").cogroup(reps.groupBy("batch")).applyInArrow(out, exchange.SENT)
-    told = sent.groupBy("bucket").applyInArrow(exchange.answer(layout, 1, lambda total: np.minimum(total[:, 0], 255).astype(np.uint8)), exchange.ANSWER)
+    told = sent.groupBy("bucket").applyInArrow(exchange.answer(layout, 1, lambda total: np.minimum(total, 255).astype(np.uint8)), exchange.ANSWER)
     both = told.select("batch", "bucket", "answer", F.lit(None).cast("long").alias("sid")).unionByName(reps)
     return texts.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(back, "sid long, n int, alone int, items binary")
 

@@ -7,8 +7,6 @@ lower, the closer to the target. Counts of the whole corpus are added up and loo
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,15 +25,18 @@ _BEGIN = np.uint64(0x5BD1E995)
 _PAIR = np.uint64(0x2545F4914F6CDD1D)
 
 
-def _grams(texts: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per row in order: its number, word hashes, and bigram hashes (the first with the begin mark)."""
-    at = 0
+def _items(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all rows, their bigram hashes (a row's first with the begin mark) and the begin mark at the
+    end; and the number of words of each row."""
+    words, pairs, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for p in arrays.pieces(texts.column("text")):
-        for a, b in zip(p.bounds[:-1].tolist(), p.bounds[1:].tolist(), strict=True):
-            w = p.hash[a:b]
-            before = np.concatenate([[_BEGIN], w[:-1]]).astype(np.uint64) if len(w) else w
-            yield at, w, arrays.mix(before * np.uint64(3) + w) ^ _PAIR
-            at += 1
+        before = np.empty_like(p.hash)
+        before[1:] = p.hash[:-1]
+        before[p.bounds[:-1][np.diff(p.bounds) > 0]] = _BEGIN
+        words.append(p.hash)
+        pairs.append(arrays.mix(before * np.uint64(3) + p.hash) ^ _PAIR)
+        sizes.append(np.diff(p.bounds))
+    return np.concatenate([*words, *pairs, np.array([_BEGIN], np.uint64)]), np.concatenate(sizes)
 
 
 def _loss(uni: np.ndarray, ctx: np.ndarray, pair: np.ndarray, q: np.ndarray, total: float) -> np.ndarray:
@@ -47,38 +48,33 @@ def _loss(uni: np.ndarray, ctx: np.ndarray, pair: np.ndarray, q: np.ndarray, tot
 SCORES = "id long, n_tokens long, n_known long, ce_target double, ce_background double, score double"
 
 
-def _score(texts: pa.Table, counts, place: np.ndarray, totals: tuple[float, float], n_rows: int, min_count: int) -> list[list]:
+def _own(x: np.ndarray) -> np.ndarray:
+    """How often each element occurs in x."""
+    _, back, n = np.unique(x, return_inverse=True, return_counts=True)
+    return n[back].astype(float)
+
+
+def _score(targets: list[bool], sizes: np.ndarray, place: np.ndarray, counts: np.ndarray, totals: tuple[float, float], min_count: int) -> list[tuple]:
     """Rows of SCORES without the id. `counts` are (target, background) of the batch's items in sending order."""
-    targets = texts.column("target").to_pylist()
-    rows, at, begin = [], 0, place[-1]
-    for i, w, pair in _grams(texts):
-        m = len(w)
+    rows, at, words = [], 0, int(sizes.sum())
+    for m, mine in zip(sizes.tolist(), targets, strict=True):
         if not m:
-            rows.append([0, 0, 0.0, 0.0, 0.0])
+            rows.append((0, 0, 0.0, 0.0, 0.0))
             continue
-        wp, pp = place[at : at + m], place[at + m : at + 2 * m]
-        at += 2 * m
-        cp = np.concatenate([[begin], wp[:-1]])
-        known = counts[wp, 1] >= min_count
-
-        def own(x: np.ndarray) -> np.ndarray:
-            _, back, n = np.unique(x, return_inverse=True, return_counts=True)
-            return n[back]
-
-        # the context count of a word is its count as a token before another: close to its unigram count
-        mine_w, mine_p = own(wp).astype(float), own(pp).astype(float)
-        at_ctx = dict(zip(wp.tolist(), mine_w.tolist(), strict=True))
-        mine_c = np.array([at_ctx.get(c, 1.0) for c in cp.tolist()])
-        mine_c[0] = 1.0
-        losses = []
-        share = np.maximum(counts[wp, 1] - mine_w, 0.5) / max(totals[1] - m, 1.0)
-        for model, total in ((0, totals[0]), (1, totals[1])):
-            out = 1.0 if model == 1 or targets[i] else 0.0
-            less = lambda c, mine: np.maximum(c - out * mine, 0.0)  # noqa: B023, E731
-            losses.append(_loss(less(counts[wp, model], mine_w), less(counts[cp, model], mine_c), less(counts[pp, model], mine_p), share, max(total - out * m, 1.0)))
-        k = int(known.sum())
-        t, b = (float(x[known].sum()) / k if k else 0.0 for x in losses)
-        rows.append([m, k, t, b, t - b])
+        w, pair = place[at : at + m], place[words + at : words + at + m]
+        at += m
+        context = np.concatenate([place[-1:], w[:-1]])
+        known = counts[w, 1] >= min_count
+        own_w, own_pair = _own(w), _own(pair)
+        own_context = np.concatenate([[1.0], own_w[:-1]])  # as a word before another
+        share = np.maximum(counts[w, 1] - own_w, 0.5) / max(totals[1] - m, 1.0)
+        mean = []
+        for model, total in enumerate(totals):
+            out = 1.0 if model == 1 or mine else 0.0
+            uni, ctx, both = (np.maximum(counts[x, model] - out * o, 0.0) for x, o in ((w, own_w), (context, own_context), (pair, own_pair)))
+            loss = _loss(uni, ctx, both, share, max(total - out * m, 1.0))[known]
+            mean.append(float(loss.sum()) / len(loss) if len(loss) else 0.0)
+        rows.append((m, int(known.sum()), *mean, mean[0] - mean[1]))
     return rows
 
 
@@ -95,17 +91,13 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     size = materialise(size.join(marks, "id", "left"), "sizes")
     t, n, b, rows = size.agg(F.sum(F.when(F.col("__t"), F.col("n"))), F.sum("n"), F.sum("b"), F.count("*")).first()
     totals = float(t or 0), float(n or 0)
-    layout = exchange.Layout.of(int(b or 0) + 100 * rows, 2 * int(n or 0), 6)
+    layout = exchange.Layout.of(int(b or 0) + 100 * rows, 2 * int(n or 0), 5)
 
     base = docs.select(exchange.batch_of(layout, key, text).alias("batch"), F.col(key).alias("id"), F.col(text).alias("text"))
     chosen = size.where("__t").select("id", F.pmod("h", F.lit(layout.batches)).cast("long").alias("batch")).distinct()
     none = F.lit(None)
     chosen = chosen.select("batch", F.lit(-1).cast("long").alias("bucket"), none.cast("binary").alias("answer"), F.col("id").alias("mark"))
 
-    def items_of(t: pa.Table) -> np.ndarray:
-        got = [x for _, w, pair in _grams(t) for x in (w, pair)]
-        return np.concatenate([np.zeros(0, np.uint64), *got, np.array([_BEGIN], np.uint64)])
-
     def ordered(t: pa.Table, marked: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("text", "ascending")])
         mine = pc.is_in(t.column("id"), value_set=marked.column("mark").combine_chunks() if marked.num_rows else pa.array([], t.schema.field("id").type))
@@ -113,21 +105,21 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
 
     def out(key_: tuple, t: pa.Table, m: pa.Table) -> pa.Table:
         t = ordered(t, m)
-        items = items_of(t)
-        flags = t.column("target").to_pylist()
-        target_flag = np.concatenate([np.zeros(0), *[np.full(2 * len(w), float(flags[i])) for i, w, _ in _grams(t)], [float(sum(flags))]])
+        items, sizes = _items(t)
+        mine = np.array(t.column("target").to_pylist(), float)
         weights = np.ones((len(items), 2))
-        weights[:, 0] = target_flag
-        weights[-1, 1] = t.num_rows  # the begin mark counts once per row
+        weights[:-1, 0] = np.tile(np.repeat(mine, sizes), 2)
+        weights[-1] = mine.sum(), t.num_rows  # the begin mark counts once per row
         return exchange.send(layout, key_[0].as_py(), items, weights)
 
     def back(key_: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
         told = pc.greater_equal(r.column("bucket"), 0)
         t = ordered(t, r.filter(pc.invert(told)))
-        _, _, place = layout.ordered(items_of(t))
-        counts = exchange.answers(r.filter(told), "<u4").reshape(-1, 2).astype(float)
-        got = _score(t, counts, place, totals, rows, min_count)
-        cols = list(zip(*got, strict=True)) or [[]] * 5
+        items, sizes = _items(t)
+        _, _, place = layout.ordered(items)
+        counts = exchange.answers(r.filter(told), "<u4", 2).astype(float)
+        got = _score(t.column("target").to_pylist(), sizes, place, counts, totals, min_count)
+        cols = list(zip(*got, strict=True)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = ["n_tokens", "n_known", "ce_target", "ce_background", "score"]
         return pa.table({"id": t.column("id")} | {k: pa.array(list(c), kind_) for k, c, kind_ in zip(names, cols, kinds, strict=True)})

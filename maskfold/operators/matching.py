@@ -207,10 +207,10 @@ def fp_category(duplicate_iou: float = 0.30, background_iou: float = 0.10) -> Co
 
 def both_ways(self_pairs: DataFrame) -> DataFrame:
     """Ordered self pairs (pred_idx < other_idx) to both directions."""
-    flipped = self_pairs.select(
-        "model", "image_id", F.col("other_idx").alias("pred_idx"), F.col("pred_idx").alias("other_idx"), "iou"
-    )
-    return self_pairs.select("model", "image_id", "pred_idx", "other_idx", "iou").unionAll(flipped)
+    own, other = F.col("pred_idx"), F.col("other_idx")
+    # from one pass: the pairs below may be an expensive join
+    turned = F.array(F.struct(own.alias("pred_idx"), other.alias("other_idx")), F.struct(other.alias("pred_idx"), own.alias("other_idx")))
+    return self_pairs.select("model", "image_id", F.explode(turned).alias("d"), "iou").select("model", "image_id", "d.pred_idx", "d.other_idx", "iou")
 
 
 def mask_nms(

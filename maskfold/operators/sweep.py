@@ -22,14 +22,16 @@ def prf(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> tuple[Column, Column,
 
 
 def sweep_detections(
-    matched: DataFrame, gts: DataFrame, images: DataFrame, thresholds: Sequence[int], models: Sequence[str], by: Sequence[str] = ()
+    matched: DataFrame, gts: DataFrame, images: DataFrame, thresholds: Sequence[float], models: Sequence[str], by: Sequence[str] = (),
+    score: str = "score_pct", scale: float = 100.0,
 ) -> DataFrame:
-    """Detection and negative-image metrics per model and score threshold (whole percent).
+    """Detection and negative-image metrics per model and score threshold.
 
-    Per image only the scores that occur are kept. At each of them the image's contribution changes by
-    a delta (|count error|, |area error|, hits, ...); deltas are summed per (model, score) and run down
-    the thresholds. Nothing is multiplied by the number of thresholds before that last, tiny step.
-    The window per image holds at most 101 whole-percent scores.
+    `thresholds` are in the unit of the column `score`, `scale` is the score that stands for 1: whole percent by
+    default, or any real scores with scale 1. A score counts for the highest threshold it reaches, so per image
+    only thresholds at which something happens are kept. At each of them the image's contribution changes
+    by a delta (|count error|, |area error|, hits, ...); deltas are summed per (model, threshold) and run down the
+    thresholds. Nothing is multiplied by the number of thresholds before that last, tiny step.
     """
     by = list(by)
     gt_img = gts.groupBy("image_id").agg(F.count("*").alias("g_n"), F.sum("area").alias("g_area"))
@@ -44,21 +46,24 @@ def sweep_detections(
         F.sum(F.when(pos, F.col("g_n") * F.col("g_n"))).alias("gt_sq"),
         F.count_if(pos & (F.col("g_area") > 0)).alias("area_images"),
     )
-    steps = matched.groupBy("model", "image_id", "score_pct").agg(
-        F.count("*").alias("n"), F.sum("is_tp").alias("tp"), F.sum("area").alias("a"), F.sum("iou").alias("iou_sum")
+    levels = [int(t) for t in thresholds] if all(float(t).is_integer() for t in thresholds) else [float(t) for t in thresholds]
+    grid_levels = F.array(*[F.lit(t) for t in levels])
+    steps = matched.withColumn("__s", F.array_max(F.filter(grid_levels, lambda t: t <= F.col(score)))).where("__s is not null")
+    steps = steps.groupBy("model", "image_id", "__s").agg(
+        F.count("*").alias("n"), F.sum("is_tp").alias("tp"), F.sum("area").alias("a"), F.sum("iou").alias("iou_sum"),
+        F.sum(score).alias("s_sum"), F.max(score).alias("s_max"),
     )
-    w = Window.partitionBy("model", "image_id").orderBy(F.col("score_pct").desc())
+    w = Window.partitionBy("model", "image_id").orderBy(F.col("__s").desc())
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = steps.join(imgs, "image_id").select(
-        *by, "model", "score_pct", "n", "tp", "iou_sum", "g_n", "g_area", pos.alias("pos"),
+        *by, "model", "__s", "n", "tp", "iou_sum", "s_sum", "s_max", "g_n", "g_area", pos.alias("pos"),
         F.sum("n").over(run).alias("cn"), F.sum("a").over(run).alias("ca"), "a",
     )
     err1, err0 = F.col("cn") - F.col("g_n"), F.col("cn") - F.col("n") - F.col("g_n")
     a1 = F.abs(F.col("ca") - F.col("g_area")) / F.col("g_area")
     a0 = F.abs(F.col("ca") - F.col("a") - F.col("g_area")) / F.col("g_area")
     on_pos, on_neg = F.col("pos"), ~F.col("pos")
-    score = F.col("score_pct").cast("bigint")
-    delta = s.groupBy(*by, "model", "score_pct").agg(
+    delta = s.groupBy(*by, "model", "__s").agg(
         F.sum(F.when(on_pos, F.col("tp")).otherwise(0)).alias("d_tp"),
         F.sum(F.when(on_pos, F.col("n")).otherwise(0)).alias("d_n"),
         F.sum(F.when(on_pos, F.col("iou_sum")).otherwise(0.0)).alias("d_iou"),
@@ -67,15 +72,15 @@ def sweep_detections(
         F.sum(F.when(on_pos & (F.col("g_area") > 0), a1 - a0).otherwise(0.0)).alias("d_area"),
         F.sum(F.when(on_neg & (F.col("cn") == F.col("n")), 1).otherwise(0)).alias("d_negimg"),
         F.sum(F.when(on_neg, F.col("n")).otherwise(0)).alias("d_negn"),
-        F.sum(F.when(on_neg, F.col("n") * score).otherwise(0)).alias("d_negscore"),
-        F.max(F.when(on_neg, score)).alias("d_negmax"),
+        F.sum(F.when(on_neg, F.col("s_sum")).otherwise(0)).alias("d_negscore"),
+        F.max(F.when(on_neg, F.col("s_max"))).alias("d_negmax"),
     )
     # from here on: (by x models x thresholds) rows
     names = [c for c in delta.columns if c.startswith("d_")]
     grid = totals.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).withColumn(
-        "threshold_pct", F.explode(F.array(*[F.lit(int(t)) for t in thresholds]))
+        "threshold_pct", F.explode(grid_levels)
     )
-    cond = [F.col(f"g.{b}") == F.col(f"d.{b}") for b in [*by, "model"]] + [F.col("d.score_pct") >= F.col("g.threshold_pct")]
+    cond = [F.col(f"g.{b}") == F.col(f"d.{b}") for b in [*by, "model"]] + [F.col("d.__s") >= F.col("g.threshold_pct")]
     keys = [F.col(f"g.{c}") for c in [*by, "model", "threshold_pct", *[c for c in totals.columns if c not in by]]]
     on = cond[0]
     for c in cond[1:]:
@@ -88,7 +93,7 @@ def sweep_detections(
     p, r, f1 = prf()
     n_pos, n_neg = F.col("positive_images"), F.col("negative_images")
     return agg.select(
-        *by, "model", "threshold_pct", "tp", "fp", "fn",
+        *by, "model", F.col("threshold_pct").alias("threshold_pct" if scale == 100.0 else "threshold"), "tp", "fp", "fn",
         F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"),
         F.round(ratio(F.col("gt_n") + F.col("d_abs"), n_pos), 6).alias("count_mae"),
         F.round(F.sqrt(ratio(F.col("gt_sq") + F.col("d_sq"), n_pos)), 6).alias("count_rmse"),
@@ -99,15 +104,15 @@ def sweep_detections(
         F.round(ratio(F.col("d_negimg"), n_neg) * 100.0, 6).alias("negative_fp_rate_percent"),
         F.col("d_negn").alias("negative_total_predictions"),
         F.round(ratio(F.col("d_negn"), n_neg), 6).alias("negative_avg_predictions"),
-        F.round(ratio(F.col("d_negscore"), F.col("d_negn")) / 100.0, 6).alias("negative_mean_score"),
-        F.round(F.col("d_negmax") / 100.0, 6).alias("negative_max_score"),
+        F.round(ratio(F.col("d_negscore"), F.col("d_negn")) / F.lit(scale), 6).alias("negative_mean_score"),
+        F.round(F.col("d_negmax") / F.lit(scale), 6).alias("negative_max_score"),
     )
 
 
-def pick_threshold(sweep: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+def pick_threshold(sweep: DataFrame, by: Sequence[str] = ("model",), threshold: str = "threshold_pct") -> DataFrame:
     """Best threshold per model: F1, then fewer negative hits, then recall, then the lower threshold."""
     w = Window.partitionBy(*by).orderBy(
-        F.col("f1").desc(), F.col("negative_fp_rate_percent"), F.col("recall").desc(), F.col("threshold_pct")
+        F.col("f1").desc(), F.col("negative_fp_rate_percent"), F.col("recall").desc(), F.col(threshold)
     )
     return sweep.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 

@@ -217,6 +217,25 @@ def _(t):
     return sweep_df(t).select(*cols(SWEEP_COLS))
 
 
+# real scores: whole percent plus a part that keeps the order within an image
+REAL = MATCH + ", mr as (select *, score_pct / 100.0::double + 0.009::double / (1 + pred_idx) + (image_id % 97) * 0.0000001::double as score from m)" + (
+    SWEEP.format(ts="list_transform(range(50, 101), lambda k: k / 100.0::double)", by="")
+    .replace("left join m on", "left join mr m on").replace("m.score_pct", "m.score").replace("end / 100.0, 6) as negative_mean", "end, 6) as negative_mean")
+    .replace("nmax / 100.0", "nmax").replace("threshold_pct", "threshold")
+)
+
+
+def real_sweep_df(t):
+    pct, k = F.col("score_pct") / 100.0, F.col("image_id") % 97
+    scored = matched_df(t).withColumn("score", pct + F.lit(0.009) / (1 + F.col("pred_idx")) + k * F.lit(0.0000001))
+    return sweep.sweep_detections(scored, t.fx_gt, t.fx_scene, [k / 100.0 for k in range(50, 101)], MODELS, score="score", scale=1.0)
+
+
+@query("a15_threshold_sweep_real", VIEWS, REAL + f"select {SWEEP_COLS.replace('threshold_pct', 'threshold')}, round(negative_mean_score, 5) as negative_mean_score, negative_max_score from sw")
+def _(t):
+    return real_sweep_df(t).withColumn("negative_mean_score", F.round("negative_mean_score", 5)).select(*cols(SWEEP_COLS.replace("threshold_pct", "threshold")), "negative_mean_score", "negative_max_score")
+
+
 PICK = """,
 best as (select *, row_number() over (partition by model order by f1 desc, negative_fp_rate_percent, recall desc, threshold_pct) as rn from sw {where})
 """
@@ -229,6 +248,11 @@ def _(t):
     return best.select("model", F.col("threshold_pct").alias("selected_threshold_pct"), "f1", "precision", "recall", "count_mae", "negative_fp_rate_percent")
 
 
+@query("w1_pick_threshold_real", VIEWS, REAL + PICK.format(where="").replace("threshold_pct", "threshold") + "select model, threshold, f1, precision, recall from best where rn = 1")
+def _(t):
+    return sweep.pick_threshold(real_sweep_df(t), threshold="threshold").select("model", "threshold", "f1", "precision", "recall")
+
+
 @query("w2_apply_threshold", VIEWS, MATCH + SWEEP.format(ts="range(50, 101)", by="split,") + PICK.format(where="where split = 'val'") + f"""
 select {', '.join('s.' + c for c in cols(SWEEP_COLS))} from sw s join best b on b.model = s.model and b.threshold_pct = s.threshold_pct and b.rn = 1 where s.split = 'test'""")
 def _(t):

@@ -93,7 +93,8 @@ def _(t):
     return features.score_summary(t.fx_labelled, "label")
 
 
-AUC = f"""with l as ({LONG}), r as (select *, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0 as rk from l),
+# label 3 stands for an ambiguous answer and is put aside before ranking
+AUC = f"""with l as (select * from ({LONG}) q where label in (0, 1, 2)), r as (select *, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0 as rk from l),
 a as (select k.lab as target_label, feature, count(*) filter (where label = k.lab) as n1, count(*) filter (where label <> k.lab) as n0, sum(rk) filter (where label = k.lab) as s from r cross join (select unnest([0, 1, 2]) as lab) k group by 1, 2),
 u as (select target_label, feature, (s - n1 * (n1 + 1) / 2.0) / (n1 * n0) as auc from a where n1 > 0 and n0 > 0),
 v as (select cast(target_label as int) as target_label, feature, round(auc, 4) as auc, round(greatest(auc, 1 - auc), 4) as separability from u)
@@ -101,7 +102,7 @@ v as (select cast(target_label as int) as target_label, feature, round(auc, 4) a
 
 
 def auc_df(t):
-    return features.feature_auc(t.fx_labelled, FEATS, (0, 1, 2))
+    return features.feature_auc(keep_labels(t.fx_labelled, (0, 1, 2)), FEATS, (0, 1, 2))
 
 
 @query("a29_feature_auc", "fx_labelled", AUC + "select * from v")

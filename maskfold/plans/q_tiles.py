@@ -1,8 +1,7 @@
 """Queries on tiling, blending, restoring and polygon filling."""
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import raster
@@ -131,7 +130,7 @@ def _(t):
 @query("m5_batch_score", "fx_raster", "select image_id, y, x, round(1.0 / (1.0 + exp(-logit)), 6) as score from fx_raster")
 def _(t):
     def score(pdf):
-        return pdf[["image_id", "y", "x"]].assign(score=pdf["logit"].map(lambda v: 1.0 / (1.0 + math.exp(-v))))
+        return pdf[["image_id", "y", "x"]].assign(score=1.0 / (1.0 + np.exp(-pdf["logit"].to_numpy())))
 
     out = models.batch_score(t.fx_raster.select("image_id", "y", "x", "logit"), score, "image_id bigint, y int, x int, score double", batch=4096)
     return out.withColumn("score", F.round("score", 6))

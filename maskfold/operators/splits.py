@@ -30,22 +30,37 @@ def union_tagged(*dfs: DataFrame) -> DataFrame:
 
 
 def locked_split(
-    scenes: DataFrame, protected: DataFrame, key: str, positive_val: float | int, negative: Sequence[float | int], seed: int = 42
+    scenes: DataFrame, protected: DataFrame, key: str, positive_val: float | int, negative: Sequence[float | int], seed: int = 42,
+    expected: dict[str, int] | None = None,
 ) -> DataFrame:
     """Protected positives stay test; the other annotated positives give `positive_val` rows to val and the
-    rest to train; negatives are cut into train, val and the rest test; positives without annotations are excluded.
+    rest to train; negatives are cut into train, val and the rest test. Positives with zero annotations
+    (`zero_annotation`) and those that were never annotated (`positive_unannotated`, null count) are excluded.
 
-    `scenes` has `key`, `has_solar`, `annotation_count`. Sizes are row counts or fractions (cut by int()).
+    `scenes` has `key`, `has_solar`, `annotation_count`. Sizes are row counts or fractions (cut by int()). Errors: a
+    protected key that is no annotated positive scene, fewer negatives than the counts ask for, and a dataset type
+    whose size differs from `expected`.
     """
     names = protected.select(key).distinct().withColumn("__test", F.lit(1))
+    fine = scenes.where((F.col("has_solar") == 1) & (F.col("annotation_count") > 0)).select(key)
+    must_be_empty(names.select(key).join(fine, key, "left_anti"), "protected rows without annotations")
     df = scenes.join(names, key, "left")
     kind = (
-        F.when((F.col("has_solar") == 1) & (F.col("annotation_count") == 0), "zero_annotation")
+        F.when((F.col("has_solar") == 1) & F.col("annotation_count").isNull(), "positive_unannotated")
+        .when((F.col("has_solar") == 1) & (F.col("annotation_count") == 0), "zero_annotation")
         .when(F.col("__test") == 1, "protected").when(F.col("has_solar") == 1, "positive_annotated").otherwise("negative")
     )
     df = df.withColumn("__kind", kind).drop("__test")
     placed = running(df, hash_order(key, seed=seed), by=["__kind"], pos="__pos")
-    n = df.groupBy("__kind").agg(F.count("*").alias("__n"))  # four rows
+    n = df.groupBy("__kind").agg(F.count("*").alias("__n"))  # five rows
+    sizes = {r["__kind"]: r["__n"] for r in n.collect()}
+    wanted = sum(v for v in negative if not isinstance(v, float))
+    if wanted > sizes.get("negative", 0):
+        raise GateError(f"{wanted} negatives asked for, {sizes.get('negative', 0)} found")
+    sizes["positive_annotated"] = sizes.get("positive_annotated", 0) + sizes.pop("protected", 0)
+    wrong = {k: (v, sizes.get(k, 0)) for k, v in (expected or {}).items() if v != sizes.get(k, 0)}
+    if wrong:
+        raise GateError(f"sizes of dataset types (expected, found): {wrong}")
     placed = placed.join(F.broadcast(n), "__kind")
 
     def size(v: float | int) -> Column:
@@ -53,7 +68,7 @@ def locked_split(
 
     pos, k = F.col("__pos"), F.col("__kind")
     split = (
-        F.when(k == "zero_annotation", "excluded").when(k == "protected", "test")
+        F.when(k.isin("zero_annotation", "positive_unannotated"), "excluded").when(k == "protected", "test")
         .when(k == "positive_annotated", F.when(pos <= size(positive_val), "val").otherwise("train"))
         .otherwise(F.when(pos <= size(negative[0]), "train").when(pos <= size(negative[0]) + size(negative[1]), "val").otherwise("test"))
     )
@@ -91,6 +106,16 @@ def group_split(df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15
     return df.drop("split").join(got, group) if "split" in df.columns else df.join(got, group)
 
 
+def group_split_hashed(df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 830, buckets: int = 10_000) -> DataFrame:
+    """Whole groups to splits by a seeded hash bucket of the group: no shuffle and no order, sizes by expectation.
+
+    The form for very many groups; `group_split` balances exactly but decides one group after the other.
+    """
+    bucket = F.conv(F.substring(hash_order(group, seed=seed)[0], 1, 8), 16, 10).cast("bigint") % buckets
+    a, b = round(ratios[0] * buckets), round((ratios[0] + ratios[1]) * buckets)
+    return df.withColumn("split", F.when(bucket < a, "train").when(bucket < b, "val").otherwise("test"))
+
+
 def pilot_sample(eligible: DataFrame, protected: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """`n` random rows outside the protected list; an error when there are too few."""
     pool = eligible.join(protected.select(key).distinct(), key, "left_anti")

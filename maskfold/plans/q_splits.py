@@ -19,14 +19,17 @@ def h(key: str, seed: int) -> str:
 
 
 @query("g1_locked_split", "fx_scene fx_gt", "with " + ANN + f""",
-k as (select image_id, case when has_solar = 1 and annotation_count = 0 then 'zero_annotation' when has_solar = 1 and split = 'test' then 'protected' when has_solar = 1 then 'positive_annotated' else 'negative' end as kind from ann),
+k as (select image_id, case when has_solar = 1 and image_id % 50 = 7 then 'positive_unannotated' when has_solar = 1 and annotation_count = 0 then 'zero_annotation' when has_solar = 1 and split = 'test' then 'protected' when has_solar = 1 then 'positive_annotated' else 'negative' end as kind from ann),
 p as (select *, row_number() over (partition by kind order by {h('image_id', 42)}, image_id) as pos, count(*) over (partition by kind) as n from k)
-select image_id, case kind when 'zero_annotation' then 'excluded' when 'protected' then 'test' when 'positive_annotated' then case when pos <= floor(n * 0.1) then 'val' else 'train' end
+select image_id, case kind when 'zero_annotation' then 'excluded' when 'positive_unannotated' then 'excluded' when 'protected' then 'test' when 'positive_annotated' then case when pos <= floor(n * 0.1) then 'val' else 'train' end
   else case when pos <= floor(n * 0.64) then 'train' when pos <= floor(n * 0.64) + floor(n * 0.16) then 'val' else 'test' end end as split,
   case when kind = 'protected' then 'positive_annotated' else kind end as dataset_type from p""")
 def _(t):
-    s = annotated(t).select("image_id", "has_solar", "annotation_count")
-    protected = t.fx_scene.where("has_solar = 1 and split = 'test'").select("image_id")
+    # every fiftieth scene counts as never annotated
+    count = F.when(F.col("image_id") % 50 != 7, F.col("annotation_count"))
+    s = annotated(t).select("image_id", "has_solar", "split", count.alias("annotation_count"))
+    protected = s.where("has_solar = 1 and split = 'test' and annotation_count > 0").select("image_id")
+    s = s.drop("split")
     return splits.locked_split(s, protected, "image_id", 0.1, (0.64, 0.16)).select("image_id", "split", "dataset_type")
 
 
@@ -50,6 +53,12 @@ def _(t):
     return splits.group_split(t.fx_scene.select("image_id", "strip"), "strip").select("image_id", "strip", "split")
 
 
+@query("g3_group_split_hashed", "fx_scene", f"""with b as (select image_id, strip, cast('0x' || substr({h('strip', 830)}, 1, 8) as bigint) % 10000 as b from fx_scene)
+select image_id, strip, case when b < 7000 then 'train' when b < 8500 then 'val' else 'test' end as split from b""")
+def _(t):
+    return splits.group_split_hashed(t.fx_scene.select("image_id", "strip"), "strip")
+
+
 @query("g4_pilot_sample", "fx_scene fx_gt", "with " + ANN + f"select image_id from ann where has_solar = 1 and annotation_count > 0 and split <> 'test' order by {h('image_id', 42)}, image_id limit 100")
 def _(t):
     ok = annotated(t).where("has_solar = 1 and annotation_count > 0").select("image_id")

@@ -126,6 +126,17 @@ def test_maps_are_judged_one_by_one(spark):
         confidence.require_valid(got)
 
 
+def test_locked_split_gates(spark):
+    rows = [(i, int(i < 80), None if i < 5 else int(i >= 10)) for i in range(100)]
+    df = spark.createDataFrame(rows, "image_id bigint, has_solar int, annotation_count int")
+    ids = lambda *k: spark.createDataFrame([(i,) for i in k], "image_id bigint")
+    n = {(r.split, r.dataset_type): r["count"] for r in splits.locked_split(df, ids(20, 21), "image_id", 8, (10, 5)).groupBy("split", "dataset_type").count().collect()}
+    assert n[("excluded", "positive_unannotated")] == 5 and n[("excluded", "zero_annotation")] == 5 and n[("test", "positive_annotated")] == 2
+    for protected, sizes, expected, match in ((ids(3), (10, 5), None, "protected"), (ids(7), (10, 5), None, "protected"), (ids(20), (20, 5), None, "negatives"), (ids(20), (10, 5), {"negative": 19}, "sizes")):
+        with pytest.raises(GateError, match=match):
+            splits.locked_split(df, protected, "image_id", 8, sizes, expected=expected)
+
+
 def test_largest_regions_of_each_image(spark):
     rows = [(i, k, 10 + k) for i in (1, 2) for k in range(40)]
     top = masks.largest_regions(spark.createDataFrame(rows, "image_id bigint, label bigint, area bigint")).collect()

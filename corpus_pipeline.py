@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskfold.llm import bpe, jaccard, mix, quality, secrets
+from maskfold.llm.text import free_name
 from maskfold.plans.materialise import materialise, scope
 
 
@@ -19,7 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     stats = materialise(quality.statistics(docs.select("doc_id", "text")), "stats")
     model = quality.fit(stats, _labels(spark, sf_dir))
-    return quality.score_texts(docs, model, out="quality_score").where("quality_score >= 0.5").select(*docs.columns)
+    name = free_name(docs, "quality_score")
+    return quality.score_texts(docs, model, out=name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

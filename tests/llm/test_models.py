@@ -5,10 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import corpus_pipeline
-from maskfold.llm import embed, jaccard, lmscore, mix, quality
+from maskfold.llm import arrays, embed, exchange, jaccard, lmscore, mix, quality
 
 SMALL = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +103,36 @@ def test_jaccard_repeated_rows_and_null_ids(spark):
     assert jaccard.join(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_exchange_counts_and_brings_back():
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    batches = [rng.choice(vocabulary, n) for n in (0, 1, 40, 500)]
+    total = Counter(np.concatenate(batches).tolist())
+    for width in (4, 5, 6):
+        layout = exchange.Layout(batches=4, buckets=7, item_bytes=width)
+        sent = pa.concat_tables([exchange.send(layout, k, x, np.ones((len(x), 2))) for k, x in enumerate(batches)])
+        run = exchange.answer(layout, 2, lambda t: t.astype("<u4"))
+        told = pa.concat_tables([run(sent.filter(pc.equal(sent.column("bucket"), b))) for b in range(7)])
+        for k, x in enumerate(batches):
+            mine = told.filter(pc.equal(told.column("batch"), k))
+            _, _, place = layout.ordered(x)
+            assert exchange.answers(mine, "<u4", 2)[place].tolist() == [[total[i]] * 2 for i in x.tolist()]
+
+
+def test_words_of_a_column_in_pieces(monkeypatch):
+    monkeypatch.setattr(arrays, "PIECE", 20)
+    texts = ["", None, "a b", " é\tAB \n", "x" * 50 + " y", "a", "\u00a0 z", "b a"]
+    found, seen = [], {}
+    for p in arrays.pieces(pa.chunked_array([texts[:3], texts[3:]], pa.string()), lower=True):
+        for i in range(p.rows):
+            a, b = p.bounds[i], p.bounds[i + 1]
+            found.append([bytes(p.data[s:e]).decode() for s, e in zip(p.start[a:b], p.end[a:b], strict=True)])
+            for w, h in zip(found[-1], p.hash[a:b].tolist(), strict=True):
+                assert seen.setdefault(w, h) == h
+    assert found == [WORD.findall((t or "").translate(LOWER)) for t in texts] and len(set(seen.values())) == len(seen)
+    assert list(arrays.pieces(pa.array([], pa.string()))) == []
+
+
 def test_divide_skip():
     rng = random.Random(6)
     for _ in range(300):

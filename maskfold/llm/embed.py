@@ -154,13 +154,12 @@ def near_duplicates(
     # fold equal vectors; `node` numbers the folded ones by their bytes
     node = F.xxhash64("v", "dims")
     classes = materialise(rows.groupBy("v", "dims").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("rep", node), "classes")
-    total = classes.count()
 
     # upper levels: fitted on a bounded sample of folded vectors, per length
     forests: dict[int, list] = {}
     for r in classes.groupBy("dims").count().orderBy(F.desc("count")).limit(8).collect():
-        taken = classes.where(F.col("dims") == r["dims"]).orderBy(F.xxhash64("rep")).limit(sample).select("v").collect()
-        forests[r["dims"]] = _fit(np.array([x["v"] for x in taken]), trees, max(SAMPLE_LEAF, min(leaf, int(leaf * len(taken) / max(1, r["count"])))))
+        taken = classes.where(F.col("dims") == r["dims"]).orderBy(F.xxhash64("rep")).limit(sample).select("v").toArrow()
+        forests[r["dims"]] = _fit(_array(taken.column("v"), r["dims"]), trees, max(SAMPLE_LEAF, min(leaf, int(leaf * taken.num_rows / max(1, r["count"])))))
     shared = spark.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

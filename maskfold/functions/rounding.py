@@ -14,6 +14,15 @@ def exact_avg(col: Column | str, places: int, when: Column | None = None) -> Col
     return half_even(F.avg(c).cast("double"), places)
 
 
+def exact_std(col: Column | str, places: int) -> Column:
+    """Population standard deviation of values with at most six decimals, from exact integer sums, rounded half to even."""
+    c = F.col(col) if isinstance(col, str) else col
+    i = F.round(c * 1_000_000).cast("bigint")
+    n, s1, s2 = F.count(c), F.sum(i), F.sum(i.cast("decimal(13,0)") * i.cast("decimal(13,0)"))
+    spread = n.cast("decimal(12,0)") * s2.cast("decimal(25,0)") - s1.cast("decimal(18,0)") * s1.cast("decimal(18,0)")
+    return half_even(F.sqrt(spread.cast("double")) / n / 1_000_000.0, places)
+
+
 def half_even(x: Column | str, places: int) -> Column:
     """Round half to even on the exact binary value of a double, as long as x * 10^places stays below 2^52.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import exact_avg, half_even
+from ..functions.rounding import exact_avg, exact_std, half_even
 from ..plans.ordering import exact_percentiles
 from .catalogue import must_be_empty
 from .masks import region_pixels
@@ -48,7 +48,7 @@ def prob_stats(pixels: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFram
     long = pixels.select(*by, F.explode(parts).alias("s")).select(*by, "s.part", "s.v")
     base = long.groupBy(*by, "part").agg(
         F.count("v").alias("n"), exact_avg("v", 4).alias("mean"), half_even(F.min("v"), 4).alias("min"), half_even(F.max("v"), 4).alias("max"),
-        half_even(F.stddev_pop("v"), 4).alias("std"),
+        exact_std("v", 4).alias("std"),
     )
     med = exact_percentiles(long, "v", {"median": 0.5}, [*by, "part"])
     return base.join(med, [*by, "part"], "left").select(*by, "part", "n", "mean", half_even("median", 4).alias("median"), "min", "max", "std")
@@ -118,7 +118,7 @@ def region_confidence(labelled: DataFrame, pixels: DataFrame, keys: Sequence[str
         F.avg(p.cast("decimal(18,6)")).cast("double").alias("__m"),
         half_even(F.percentile(p, 0.5), 4).alias("median_probability"),
         half_even(F.min(p), 4).alias("min_probability"), half_even(F.max(p), 4).alias("max_probability"),
-        half_even(F.stddev_pop(p), 4).alias("std_probability"),
+        exact_std(p, 4).alias("std_probability"),
         exact_avg(conf, 4).alias("mean_confidence"), exact_avg(1 - conf, 4).alias("mean_uncertainty"),
     )
     return out.where(F.col("area") >= min_area).withColumn("band", confidence_band(F.col("__m"))).drop("__m")

@@ -12,6 +12,12 @@ PS = [50.0, 75.0, 80.0, 85.0, 90.0, 95.0, 97.0, 98.0, 99.0, 99.5, 99.9, 100.0]
 CONF = "round(greatest(p, 1 - p), 6)"
 
 
+def std(v: str) -> str:
+    i = f"cast(round({v} * 1000000) as hugeint)"
+    return f"sqrt(cast(count({v}) * sum({i} * {i}) - sum({i}) * sum({i}) as double)) / count({v}) / 1000000.0::double"
+
+
+
 @query("a18_confidence_histogram", "fx_raster", f"""with b as (select unnest(range(0, 10)) as bin),
 c as (select image_id, case when {CONF} >= 0.9 then 9 when {CONF} >= 0.8 then 8 when {CONF} >= 0.7 then 7 when {CONF} >= 0.6 then 6 when {CONF} >= 0.5 then 5 else 0 end as bin from fx_raster),
 n as (select image_id, bin, count(*) as n from c group by 1, 2), tot as (select image_id, count(*) as t from c group by 1),
@@ -33,7 +39,7 @@ def _(t):
 
 @query("a20_prob_stats", "fx_raster", f"""with s as (select image_id, 'solar' as part, case when pred = 1 then p end as v from fx_raster
   union all select image_id, 'background', case when pred = 0 then round(1 - p, 6) end from fx_raster union all select image_id, 'confidence', {CONF} from fx_raster),
-g as (select image_id, part, count(v) as n, avg(cast(v as decimal(18, 6))) as mean, quantile_cont(v, 0.5) as median, min(v) as low, max(v) as high, stddev_pop(v) as std from s group by 1, 2)
+g as (select image_id, part, count(v) as n, avg(cast(v as decimal(18, 6))) as mean, quantile_cont(v, 0.5) as median, min(v) as low, max(v) as high, {std('v')} as std from s group by 1, 2)
 select image_id, part, n, {he("mean", 4)} as mean, {he("median", 4)} as median, {he("low", 4)} as min, {he("high", 4)} as max, {he("std", 4)} as std from g""")
 def _(t):
     return confidence.prob_stats(t.fx_raster)
@@ -62,7 +68,7 @@ def _(t):
 
 
 RC = "with recursive " + labels_cte("pred = 1", "px") + f""",
-rc0 as (select l.image_id, l.label, count(*) as area, avg(cast(p as decimal(18, 6))) as m, quantile_cont(p, 0.5) as md, min(p) as lo, max(p) as hi, stddev_pop(p) as sd,
+rc0 as (select l.image_id, l.label, count(*) as area, avg(cast(p as decimal(18, 6))) as m, quantile_cont(p, 0.5) as md, min(p) as lo, max(p) as hi, {std('p')} as sd,
   avg(cast({CONF} as decimal(18, 6))) as mc, avg(cast(1 - {CONF} as decimal(18, 6))) as mu
   from px_lab l join fx_raster r on r.image_id = l.image_id and r.y = l.y and r.x = l.x group by 1, 2),
 rc as (select image_id, label, area, m, {he("m", 4)} as mean_probability, {he("md", 4)} as median_probability, {he("lo", 4)} as min_probability, {he("hi", 4)} as max_probability,

@@ -6,9 +6,15 @@ levels are fitted on a bounded sample; nodes that are still too large are split
 computed by Spark, so trees get deeper as the table grows. Pairs are compared within leaves in double precision;
 a pair met in several leaves is counted in the first of them only, so no pair is ever written down: a leaf
 returns link counts per vector and a spanning forest.
+
+Splits would tear dense clusters of unequal vectors apart, so these are taken out first: a ball around a pivot with
+many neighbours in the sample has the vectors within the threshold angle as its core, and whatever links with one of them
+lies within twice that angle. Core vectors meet all of these and enter no tree. A tree's node in which a quarter of
+all pairs link is not split. Leaves that stay large are compared chunk by chunk in many tasks.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +34,10 @@ SAMPLE = 20_000
 SAMPLE_LEAF = 120  # sampled vectors a node needs to be split on the sample
 SPILL = 0.05  # share of a node's vectors on each side of the median that go to both sides
 SEED = 11
+CORE = 8  # sampled neighbours that a pivot of a ball needs at least
+BALL = 4  # a ball holds at most so many times its core in the sample, else its vectors stay in the trees
+DENSE = 0.25  # share of linked pairs from which a node is not split
+CHUNK = 4_000  # vectors of a large leaf that a task takes from each side
 
 
 def directions(dims: int, tree: int, level: int) -> np.ndarray:
@@ -35,7 +45,36 @@ def directions(dims: int, tree: int, level: int) -> np.ndarray:
     return g / np.linalg.norm(g)
 
 
-def _fit(sample: np.ndarray, trees: int, leaf: int) -> list[dict[str, tuple[float, float]]]:
+def _wide(threshold: float) -> float:
+    """The cosine of twice the threshold angle, a little wider for rounding."""
+    return float(np.cos(min(np.pi, 2 * np.arccos(np.clip(threshold, -1, 1))))) - 1e-9
+
+
+def _pivots(sample: np.ndarray, threshold: float, least: int, block: int = 1000) -> np.ndarray:
+    """Sampled vectors whose balls hold the dense clusters, those with most neighbours first."""
+    x = sample.astype(np.float32)
+    near = np.concatenate([np.zeros(0, np.int64), *[(x[a : a + block] @ x.T >= threshold).sum(1) for a in range(0, len(x), block)]])
+    free = np.ones(len(x), bool)
+    found = []
+    for i in np.argsort(-near, kind="stable"):
+        if near[i] < least:
+            break
+        if free[i]:
+            c = x @ x[i]
+            core = free & (c >= threshold)
+            if core.sum() >= least and (c >= _wide(threshold)).sum() <= BALL * core.sum():
+                found.append(i)
+                free &= ~core
+    return sample[np.array(found, np.int64)]
+
+
+def _share(x: np.ndarray, threshold: float) -> float:
+    """The share of linked pairs among the first 256 of `x`."""
+    x = x[:256]
+    return float((np.count_nonzero(x @ x.T >= threshold) - len(x)) / max(1, len(x) * (len(x) - 1)))
+
+
+def _fit(sample: np.ndarray, trees: int, leaf: int, threshold: float = THRESHOLD) -> list[dict[str, tuple[float, float]]]:
     """Per tree: node (a string of 0 and 1) -> the projections between which vectors go to both sides."""
     forest = []
     for t in range(trees):
@@ -43,7 +82,7 @@ def _fit(sample: np.ndarray, trees: int, leaf: int) -> list[dict[str, tuple[floa
         todo = [("", np.arange(len(sample)))]
         while todo:
             node, rows = todo.pop()
-            if len(rows) < 2 * leaf:
+            if len(rows) < 2 * leaf or _share(sample[rows], threshold) >= DENSE:
                 continue
             p = sample[rows] @ directions(sample.shape[1], t, len(node))
             lo, hi = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
@@ -89,40 +128,72 @@ def _array(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 
 
 def _compare(threshold: float, block: int = 512):
-    """Leaf table (rep, n, v, leaves) -> (a, b, links): link counts in b = null rows, forest edges else."""
+    """Leaf table (rep, n, v, leaves, core, chunk) -> (a, b, links): link counts in b = null rows, forest edges else.
+
+    Of a leaf in chunks, a task compares one chunk with itself or with another one. Pairs without a core vector are left out.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        here, dims = (key[0].as_py(), key[1].as_py()), key[2].as_py()
+        here, dims, one, two = (key[0].as_py(), key[1].as_py()), key[2].as_py(), key[3].as_py(), key[4].as_py()
+        t = t.sort_by([("chunk", "ascending"), ("core", "descending")])
         x = _array(t.column("v"), dims)
         rep = t.column("rep").to_numpy()
         mult = t.column("n").to_numpy()
-        leaves = t.column("leaves").to_pylist()
+        core = t.column("core").to_numpy(zero_copy_only=False)
         m = len(rep)
+        first = m if one == two else int((t.column("chunk").to_numpy() == one).sum())
         root = np.arange(m)
         count = np.zeros(m, np.int64)
         edges: list[tuple[int, int]] = []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        earlier = [frozenset(s for s in own if s < here) for own in ([(int(t), name) for t, name in (s.split(":") for s in one)] for one in leaves)]
-        for a in range(0, m, block):
-            for b in range(a, m, block):
-                close = x[a : a + block] @ x[b : b + block].T >= threshold
-                if a == b:
+        # the leaves before this one that hold a vector, and those of them that compare it with all others
+        earlier, fully = [], []
+        for own in t.column("leaves").to_pylist():
+            places = [s for s in map(_place, own) if s[:2] < here]
+            earlier.append(frozenset(s[:2] for s in places))
+            fully.append(frozenset(s[:2] for s in places if s[2]))
+
+        def met(a: slice, b: slice) -> np.ndarray:
+            """Which pairs of two blocks an earlier leaf has compared."""
+            names = sorted(frozenset().union(*earlier[a]) & frozenset().union(*earlier[b]))
+            got = np.zeros((a.stop - a.start, b.stop - b.start), bool)
+            for k in range(0, len(names), 4096):
+                at = {s: i for i, s in enumerate(names[k : k + 4096])}
+
+                def flags(sets: list[frozenset], at: dict = at) -> np.ndarray:
+                    out = np.zeros((len(sets), len(at)), np.float32)
+                    for i, own in enumerate(sets):
+                        out[i, [at[s] for s in own if s in at]] = 1
+                    return out
+
+                got |= (flags(earlier[a]) @ flags(fully[b]).T + flags(fully[a]) @ flags(earlier[b]).T) > 0
+            return got
+
+        for a0 in range(0, first, block):
+            a = slice(a0, min(first, a0 + block))
+            for b0 in range(a0 if one == two else first, m, block):
+                b = slice(b0, min(m, b0 + block))
+                if not (core[a].any() or core[b].any()):
+                    continue
+                close = x[a] @ x[b].T >= threshold
+                close &= core[a, None] | core[None, b]
+                if a0 == b0:
                     close = np.triu(close, 1)
-                for i, j in zip(*np.nonzero(close), strict=True):
-                    i, j = i + a, j + b
-                    if earlier[i].isdisjoint(earlier[j]):  # else counted in the first leaf that holds both
-                        count[i] += mult[j]
-                        count[j] += mult[i]
-                        p, q = find(i), find(j)
-                        if p != q:
-                            root[p] = q
-                            edges.append((i, j))
+                i, j = np.nonzero(close)
+                if len(i) > block:
+                    close &= ~met(a, b)
+                else:
+                    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                        p_, q_ = p + a0, q + b0
+                        close[p, q] = earlier[p_].isdisjoint(fully[q_]) and fully[p_].isdisjoint(earlier[q_])
+                count[a] += close @ mult[b]
+                count[b] += close.T @ mult[a]
+                for p in np.flatnonzero(close.any(1)).tolist():
+                    js = b0 + np.flatnonzero(close[p])
+                    old, at = np.unique(root[js], return_index=True)
+                    other = old != root[a0 + p]
+                    if other.any():
+                        edges += [(a0 + p, int(j)) for j in js[at[other]]]
+                        root[np.isin(root, old[other])] = root[a0 + p]
         hit = np.flatnonzero(count)
         e = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({
@@ -134,6 +205,12 @@ def _compare(threshold: float, block: int = 512):
     return run
 
 
+def _place(leaf: str) -> tuple[int, str, bool]:
+    """(tree, name, core) of a written leaf. Balls are leaves of tree -1, in which the core is written with a `+`."""
+    tree, name = leaf.split(":")
+    return int(tree), name.removesuffix("+"), tree != "-1" or name.endswith("+")
+
+
 def near_duplicates(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -156,10 +233,13 @@ def near_duplicates(
     classes = materialise(rows.groupBy("v", "dims").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("rep", node), "classes")
 
     # upper levels: fitted on a bounded sample of folded vectors, per length
-    forests: dict[int, list] = {}
+    forests: dict[int, tuple[np.ndarray, list]] = {}
     for r in classes.groupBy("dims").count().orderBy(F.desc("count")).limit(8).collect():
         taken = classes.where(F.col("dims") == r["dims"]).orderBy(F.xxhash64("rep")).limit(sample).select("v").toArrow()
-        forests[r["dims"]] = _fit(_array(taken.column("v"), r["dims"]), trees, max(SAMPLE_LEAF, min(leaf, int(leaf * taken.num_rows / max(1, r["count"])))))
+        x, rate = _array(taken.column("v"), r["dims"]), taken.num_rows / max(1, r["count"])
+        balls = _pivots(x, threshold, max(CORE, math.ceil(leaf * rate)))
+        rest = x[(x @ balls.T < threshold).all(1)]
+        forests[r["dims"]] = balls, _fit(rest, trees, max(SAMPLE_LEAF, min(leaf, int(leaf * rate))), threshold)
     shared = spark.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,21 +249,36 @@ def near_duplicates(
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = _array(batch.column("v").take(pa.array(at)), int(d))
+                balls, forest = shared.value.get(int(d), (x[:0], [{}] * trees))
+                if len(balls):
+                    near = x @ balls.T
+                    best = near.argmax(1)
+                    inner = near[np.arange(len(x)), best] >= threshold
+                    for i, k in zip(*np.nonzero(near >= _wide(threshold)), strict=True):
+                        names[at[i]].append(f"-1:{k}={'+' if inner[i] and best[i] == k else ''}")
+                    at, x = at[~inner], x[~inner]
                 for t in range(trees):
-                    nodes = shared.value.get(int(d), [{}] * trees)[t]
-                    for leaf_name, own in _route(x, nodes, t):
+                    for leaf_name, own in _route(x, forest[t], t):
                         for i in own:
                             names[at[i]].append(f"{t}:{leaf_name}")
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("dims"), batch.column("v"), pa.array(names, pa.list_(pa.string()))], ["rep", "n", "dims", "v", "leaves"])
 
     placed = classes.select("rep", "n", "dims", "v").mapInArrow(route, "rep long, n long, dims int, v array<double>, leaves array<string>")
     placed = materialise(placed, "placed")
-    placed = _deepen(placed, 2 * leaf)
+    placed = _deepen(placed, 2 * leaf, threshold=threshold)
 
     split = F.split("leaf", ":")
     per_leaf = placed.select("rep", "n", "dims", "v", "leaves", F.explode("leaves").alias("leaf"))
-    per_leaf = per_leaf.select("rep", "n", "v", "leaves", F.element_at(split, 1).cast("int").alias("tree"), F.element_at(split, 2).alias("leaf"), "dims")
-    met = per_leaf.groupBy("tree", "leaf", "dims").applyInArrow(_compare(threshold), "a long, b long, links long")
+    tree, core = F.element_at(split, 1).cast("int"), F.endswith("leaf", F.lit("+"))
+    per_leaf = per_leaf.select("rep", "n", "v", "leaves", tree.alias("tree"), F.rtrim(F.element_at(split, 2), F.lit("+")).alias("leaf"), "dims", ((tree >= 0) | core).alias("core"))
+    # only balls and dense leaves are that large: few, and each stands for thousands of vectors
+    large = per_leaf.groupBy("tree", "leaf", "dims").count().where(F.col("count") > CHUNK)
+    large = materialise(large.select("tree", "leaf", "dims", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large")
+    per_leaf = per_leaf.join(F.broadcast(large), ["tree", "leaf", "dims"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    per_leaf = per_leaf.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("chunks")).cast("int"))
+    per_leaf = per_leaf.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    per_leaf = per_leaf.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).drop("other", "chunks")
+    met = per_leaf.groupBy("tree", "leaf", "dims", "one", "two").applyInArrow(_compare(threshold), "a long, b long, links long")
     met = materialise(met, "met")
 
     links = met.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("other"))
@@ -200,17 +295,19 @@ def near_duplicates(
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _deepen(placed: DataFrame, limit: int, levels: int = 40) -> DataFrame:
+def _deepen(placed: DataFrame, limit: int, levels: int = 40, threshold: float = THRESHOLD) -> DataFrame:
     """Split leaves of more than `limit` vectors, one level of all trees a round, at medians that Spark computes.
 
-    A leaf whose projections are all equal stays as it is; it is compared in blocks.
+    A leaf whose projections are all equal, or in which a quarter of all pairs link, stays as it is; it is compared in chunks.
     """
-    spark = placed.sparkSession
-    done: set[str] = set()
+
+    def dense(key: tuple, t: pa.Table) -> pa.Table:
+        share = _share(_array(t.column("v"), key[0].as_py()), threshold)
+        return pa.table({"dims": pa.array([key[0].as_py()], pa.int32()), "leaf": [key[1].as_py()], "dense": [share >= DENSE]})
 
     for _ in range(levels):
         sizes = placed.select("dims", F.explode("leaves").alias("leaf")).groupBy("dims", "leaf").count().where(F.col("count") > limit)
-        big = materialise(sizes.where(~F.endswith("leaf", F.lit("="))), "big")
+        big = materialise(sizes.where(~F.contains("leaf", F.lit("="))), "big")
         if not big.limit(1).count():
             break
 
@@ -221,15 +318,17 @@ def _deepen(placed: DataFrame, limit: int, levels: int = 40) -> DataFrame:
                 ps = []
                 for s in own:
                     t, name = s.split(":")
-                    ps.append({"leaf": s, "p": float(x @ directions(len(x), int(t), len(name))) if not name.endswith("=") else 0.0})
+                    ps.append({"leaf": s, "p": float(x @ directions(len(x), int(t), len(name))) if "=" not in name else 0.0})
                 out.append(ps)
             return pd.Series(out)
 
         flat = placed.select("rep", "dims", F.explode(projections("v", "leaves")).alias("x")).select("rep", "dims", "x.leaf", "x.p")
-        flat = materialise(flat.join(big.select("dims", "leaf"), ["dims", "leaf"], "left_semi"), "flat")
+        flat = materialise(flat.join(big, ["dims", "leaf"]), "flat")
+        few = flat.where(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("count")) < 256).select("rep", "dims", "leaf").join(placed.select("rep", "v"), "rep")
+        whole = few.groupBy("dims", "leaf").applyInArrow(dense, "dims int, leaf string, dense boolean")
         cuts = flat.groupBy("dims", "leaf").agg(F.percentile_approx("p", [0.5 - SPILL, 0.5 + SPILL], 1000).alias("q"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-        go = flat.join(cuts, ["dims", "leaf"])
-        stuck = (F.col("q")[1] >= F.col("hi")) | (F.col("q")[0] <= F.col("lo"))
+        go = flat.join(cuts.join(whole, ["dims", "leaf"], "left"), ["dims", "leaf"])
+        stuck = (F.col("q")[1] >= F.col("hi")) | (F.col("q")[0] <= F.col("lo")) | F.coalesce("dense", F.lit(False))
         left, right = F.col("p") <= F.col("q")[1], F.col("p") >= F.col("q")[0]
         to = F.when(stuck, F.array(F.concat("leaf", F.lit("=")))).otherwise(
             F.concat(F.when(left, F.array(F.concat("leaf", F.lit("0")))).otherwise(F.array().cast("array<string>")), F.when(right, F.array(F.concat("leaf", F.lit("1")))).otherwise(F.array().cast("array<string>")))

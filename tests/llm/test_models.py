@@ -188,6 +188,33 @@ def test_forest_gets_deeper_with_large_leaves(spark):
     assert max(sizes) <= 100 and deep.select("rep").distinct().count() == 1_500
 
 
+def noisy(rng, n, dims, cosine):
+    """Unequal copies of one vector; the cosine of two of them is about `cosine`."""
+    c = rng.normal(size=dims)
+    return c / np.linalg.norm(c) + rng.normal(size=(n, dims)) * math.sqrt((1 / cosine - 1) / dims)
+
+
+def test_one_cluster_of_unequal_copies_is_exact(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([noisy(rng, 10_000, 32, 0.95), noisy(rng, 1_200, 32, 0.92), rng.normal(size=(6_000, 32))])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = embed.near_duplicates(df).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = np.concatenate([(u[a : a + 1000] @ u.T >= 0.9).sum(1) - 1 for a in range(0, len(u), 1000)])
+    links = got.n_links.to_numpy()
+    assert n.sum() > 5e7 and (links <= n).all() and links.sum() >= 0.999 * n.sum()
+    assert got.component_id[n > 4_000].nunique() == 1 and (~got.kept[n > 4_000]).sum() >= (n > 4_000).sum() - 1
+
+
+def test_dense_leaf_is_not_split(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([noisy(rng, 1_500, 16, 0.95), rng.normal(size=(500, 16))])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    rows = embed.valid(df, "vec_id", "embedding").selectExpr("id as rep", "1L as n", "dims", "v", "array('0:') as leaves")
+    assert {tuple(r.leaves) for r in embed._deepen(rows, 100).collect()} == {("0:=",)}
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels.groupBy("doc_id").agg({"quality": "max"}).withColumnRenamed("max(quality)", "q"), "doc_id").where("held_out").collect()

@@ -69,7 +69,7 @@ def node_key(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) keys of canonical links and meta redirects found in the pages' HTML.
+    """(src, dst) keys of canonical links and meta redirects found in the pages' HTML, and host and path of both ends.
 
     Null or broken HTML gives no edge; relative targets are resolved against the page's host.
     """
@@ -85,13 +85,15 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(F.startswith(F.col("to"), F.lit("/")), F.concat(root, F.col("to")))
         .otherwise(F.concat(root, F.lit("/"), F.col("to")))
     )
-    return found.select(node_key(F.col("u")).alias("src"), node_key(to).alias("dst")).where("src is not null and dst is not null")
+    ends = [f(c).alias(n) for e, c in (("src", F.col("u")), ("dst", to)) for n, f in ((e, node_key), (f"{e}_host", host_of), (f"{e}_path", path_of))]
+    return found.select(*ends).where("src is not null and dst is not null")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """One row per page: `keep`, host, path, rule, verdict, and `via`: rule, alias or default.
 
-    `edges` holds (src, dst) keys made by `node_key`. Pages with the same key are aliases without an edge.
+    `edges` holds (src, dst) keys made by `node_key`; where it has host and path of its ends, as `link_edges` gives
+    them, the rules judge these too, so an end that is no page has its say in its group. Pages with the same key are aliases without an edge.
     Null URLs and URLs without `://` have empty host and path, belong to no group and are allowed.
     """
     u = F.col(url)
@@ -99,9 +101,14 @@ def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[tuple[str, str, st
     base = base.withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
     base = materialise(base, "pages")  # the URLs alone, so that the pages are read once
 
-    group = components(edges.where(F.col("src") != F.col("dst")))
     action = F.col("__r.action")
-    votes = base.where("__key is not null and __r is not null").groupBy("__key").agg(
+    say = base.select("__key", "__r")
+    if "dst_host" in edges.columns:
+        edges = materialise(edges, "links")  # the pages' HTML is read once
+        for e in ("src", "dst"):
+            say = say.unionAll(edges.select(F.col(e), rule_of(F.col(f"{e}_host"), F.col(f"{e}_path"), rules)))
+    group = components(edges.where(F.col("src") != F.col("dst")))
+    votes = say.where("__key is not null and __r is not null").groupBy("__key").agg(
         F.max((action == "block").cast("int")).alias("b"), F.max((action == "allow").cast("int")).alias("a")
     )
     voted = votes.join(group.withColumnRenamed("node", "__key"), "__key", "left")

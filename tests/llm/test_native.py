@@ -187,6 +187,21 @@ def test_links_in_html(spark):
     assert got == {("a.org/a", "a.org/b"), ("a.org/a", "c.org/z")}
 
 
+def test_rules_reach_targets_that_are_no_pages(spark):
+    to = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://a.org/1", to("http://b.net/fr/9")),  # blocked, not crawled
+        (2, "http://a.org/2", to("http://b.net/fr/8")), (3, "http://a.org/3", '<meta http-equiv="refresh" content="0; url=http://b.net/fr/8">'),
+        (4, "http://c.org/4", to("http://www.example.com/en/4")),  # explicitly allowed, not crawled; the same key without www. is blocked
+        (5, "http://c.org/5", to("http://d.org/5")), (6, "http://e.org/6", None),
+        (7, "http://c.org/7", to("http://b.net/es/7")), (8, "http://c.org/8", to("http://b.net/es/7")), (9, "http://example.com/en/4", None),
+    ]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.via) for r in urls.judge(docs.select("page_id", "url"), urls.link_edges(docs)).collect()}
+    assert {i for i, v in got.items() if v == ("block", "alias")} == {1, 2, 3, 7, 8}
+    assert got[4] == got[5] == got[6] == ("allow", "default") and got[9] == ("block", "rule")
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 400)] + [(1_000, 1_000 + k) for k in range(1, 200)] + [(rng.randrange(2_000, 2_300), rng.randrange(2_000, 2_300)) for _ in range(150)] + [(5, 5), (None, 3), (401, 400)]

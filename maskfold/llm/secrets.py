@@ -25,12 +25,15 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]
 WINDOW = 20
 HEX_BITS = 2.9
 BASE64_BITS = 3.75
+#: a word, an abbreviation or a number, as they stand between the slashes of a path
+_PART = r"(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8})"
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|your[-_]|dummy|sample",
+    r"(?i)(?:^|[-_/+=])(?:(?:example|placeholder|changeme|dummy|sample)(?:[-_/+=]|$)|your[-_])",
     r"^[0-9_=+/-]*[A-Za-z]?[0-9_=+/-]*$",
     r"(?i)abcdefgh|0123456789|qwertyui",
-    r"^/|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]+$",
+    rf"^(?:/+{_PART}(?:[-_=]{_PART})*)+[-_=/]*$",
+    r"^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]+$",
 )
 
 SPAN = "struct<start:bigint,kind:int,end:bigint>"

@@ -151,6 +151,15 @@ def test_entropy_spans_and_redaction(spark):
         assert r.h == pytest.approx(entropy(r.s), abs=1e-9)
 
 
+def test_keys_with_a_slash_or_a_word_inside_are_found(spark):
+    keys = ["/q7Zt0LxV9bKpR3mWsE5yHc8J", "/Ab3+x9QzT/7uLmPw0eRk5V", "q7Zt0LxVsampleR3mWsE5yHc8J", "zQ8dUmMy4Kt1xW0pR7vN3bG", "q7ZtEXAMPLE0LxV9bKpR3mWsE5"]
+    fine = ["/usr/lib/python3/dist-packages/numpy", "/2019/05/12/Some-Title_of-it/", "sample_q7Zt0LxV9bKpR3mWsE5y", "q7Zt0LxV9bKpR3mW/Example", "your-q7Zt0LxV9bKpR3mWsE5y"]
+    docs = spark.createDataFrame([(i, f"see {k} now", "s", 0) for i, k in enumerate(keys + fine)], DOC)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find(docs).collect()}
+    for i, k in enumerate(keys + fine):
+        assert got[i] == ([(3, 4, 4 + len(k))] if k in keys else []), k
+
+
 def judged(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]

@@ -348,16 +348,26 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` with one document of each group, that of the smallest key.
+    """The rows of `docs` with one row of each group, that of the smallest key and, of this, the first by text.
 
-    Rows that share a key count as copies of one document: of those kept, the first by text stays. Rows without
-    a key stay unless a row with a key has the same set.
+    Each row counts for itself: rows that share a key but are not linked both stay. Of rows without shingles
+    one of each key stays. Rows without a key stay unless a row with a key has the same set.
     """
-    found = join(docs, rule, key, text)
-    ids = materialise(found.where(F.col(key) == F.col("component_id")).select(key).distinct(), "kept")
-    mine = Window.partitionBy(key).orderBy(text)
-    name = free_name(docs, "row")
-    kept = docs.join(ids, key, "left_semi").withColumn(name, F.row_number().over(mine)).where(F.col(name) == 1).drop(name)
+    name, label, blank = (free_name(docs, n) for n in ("row", "group", "blank"))
+    keyed = docs.where(F.col(key).isNotNull())
+    keyed = materialise(keyed.withColumn(name, F.monotonically_increasing_id()), "rows")
+    found = join(keyed, rule, name, text)
+    found = found.join(keyed.select(name, F.col(key).alias("__k")), name)
+    empty = F.col("n_shingles") == 0
+    found = found.select(name, "__k", F.when(~empty, F.col("component_id")).alias(label), F.when(empty, F.col("__k")).alias(blank))
+    found = materialise(found, "found")
+    # the smallest key of each group first, so that only its rows bring their texts
+    least = found.where(F.col(label).isNotNull()).groupBy(label).agg(F.min("__k").alias("__k"))
+    chosen = found.where(F.col(label).isNotNull()).join(least, [label, "__k"]).select(name, label, blank)
+    chosen = chosen.unionByName(found.where(F.col(label).isNull()).select(name, label, blank))
+    mine = Window.partitionBy(label, blank).orderBy(text, name)
+    order = free_name(docs, "place")
+    kept = keyed.join(chosen, name).withColumn(order, F.row_number().over(mine)).where(F.col(order) == 1).select(*docs.columns)
     nameless = docs.where(F.col(key).isNull())
     if nameless.limit(1).count():
         # the same sets again, by their prints: few rows, since keys are rarely null

@@ -103,6 +103,12 @@ def test_jaccard_repeated_rows_and_null_ids(spark):
     assert jaccard.join(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_kept_each_for_itself(spark):
+    rows = [(1, "k l m n o p q r", 1, "x"), (5, "K l m n o p q r", 1, "x"), (5, "u v w x y z z", 1, "x"), (6, "first clean text of six here", 1, "x"), (6, "second and other text of six", 1, "x"), (7, "", 1, "x"), (7, None, 1, "x"), (7, "not blank at all here", 1, "x")]
+    got = sorted((r.doc_id, r.text or "") for r in jaccard.keep_one(spark.createDataFrame(rows, DOC)).collect())
+    assert got == sorted([(1, rows[0][1]), (5, rows[2][1]), (6, rows[3][1]), (6, rows[4][1]), (7, ""), (7, rows[7][1])])
+
+
 def test_exchange_counts_and_brings_back():
     rng = np.random.default_rng(4)
     vocabulary = rng.integers(0, 1 << 63, 300, dtype=np.uint64)

@@ -103,8 +103,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFra
     """The mixed rows themselves, with the columns of `docs`: each row `copies` times, and the border
     document of a source once more with its first `part` words. `n_chars` follows the text where it exists.
     """
-    picked = sample(docs, quality, **options).where("taken > 0")
-    whole = F.col("copies") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)
+    picked = sample(docs, quality, **options).where("copies > 0 or part > 0")
+    whole = F.col("copies") + F.when((F.col("part") > 0) & (F.col("part") == F.col("size")), 1).otherwise(0)
     times = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")),
         F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")),

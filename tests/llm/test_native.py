@@ -101,6 +101,13 @@ def test_mix(spark):
     assert mix.sample(docs.limit(0)).count() == 0 and mix.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_without_words_take_part_in_whole_copies(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "s", 0), (2, "", "s", 0), (3, None, "s", 0), (4, "e f", "s", 0)], DOC)
+    copies = {r.doc_id: r.copies for r in mix.sample(docs, share=2.0).collect()}
+    got = Counter(r.doc_id for r in mix.mix(docs, share=2.0).collect())
+    assert copies == {1: 2, 2: 2, 3: 2, 4: 2} and got == copies
+
+
 def test_mix_prefers_good_documents(spark):
     docs = spark.createDataFrame([(i, "one two three", "s" if i < 400 else f"t{i % 3}", 0) for i in range(2_000)], DOC)
     weights = spark.createDataFrame([(i, 9.0 if i % 2 else 1.0) for i in range(2_000)], "doc_id long, weight double")

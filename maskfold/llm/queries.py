@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, jaccard, lmscore, mix, quality, rules, secrets, urls
+from . import bpe, chat, embed, fim, imatch, jaccard, lmscore, merkle, mix, quality, rules, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,87 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return lmscore.score(table(spark, sf_dir, "documents"), good)
+
+
+# --- 11: fingerprints ---------------------------------------------------------------------------
+@query("op11_fingerprint")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(
+        "doc_id", "n_chars", "edited_sha256", imatch.as_text(F.col("own")).alias("fingerprint"),
+        imatch.as_text(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+# --- 12: fill-in-middle -------------------------------------------------------------------------
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as ln,
+    sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+k as (select *, len(ln) as n, [('0x' || substr(h, 1, 8))::bigint, ('0x' || substr(h, 9, 8))::bigint, ('0x' || substr(h, 17, 8))::bigint, ('0x' || substr(h, 25, 8))::bigint] as x from d),
+c as (select *, least(x[1] % (n + 1), x[2] % (n + 1)) as a, greatest(x[1] % (n + 1), x[2] % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or x[3] % 100 >= 100 then 'plain'
+      when x[4] % 100 < 50 then 'spm' else 'psm' end as form from k),
+p as (select *, coalesce(array_to_string(ln[1:a], ''), '') as pre, coalesce(array_to_string(ln[a + 1:b], ''), '') as mid, coalesce(array_to_string(ln[b + 1:n], ''), '') as suf from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else t end) as output_sha256,
+  sha256(t) as restored_sha256 from p
+"""
+
+
+@query("op12_fill_in_middle", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+# --- 13: Merkle manifest ------------------------------------------------------------------------
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+OP13_SQL = f"""
+with recursive crc as (  -- reflected CRC-32 of the id's digits: an exclusive or for each digit, then eight shifts
+  select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_prepend(ord(c)::bigint, [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295::bigint) % 7 = 0 as hit
+  from (select distinct doc_id from documents where doc_id is not null)),
+leafs as (select d.doc_id, coalesce('=' || lang, '') as tree, {_LEAF.format(n="n_chars")} as leaf,
+    {_LEAF.format(n="(case when hit then n_chars + 1 else n_chars end)")} as told from documents d left join crc using (doc_id)),
+ranked as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf, told) - 1 as r, count(*) over (partition by tree) as n from leafs),
+nodes(tree, level, i, d) as (
+  select tree, 0, r, leaf from ranked
+  union all
+  select tree, level + 1, i // 2, sha256(string_agg(d, '' order by i)) from (select *, count(*) over (partition by tree) as c from nodes) where c > 1 group by tree, level, i // 2),
+height as (select tree, max(level) as h from nodes group by tree),
+subs as (select tree, d, row_number() over (order by encode(tree)) - 1 as r from nodes join height using (tree) where level = h),
+tops(level, i, d) as (
+  select 0, r, d from subs
+  union all
+  select level + 1, i // 2, sha256(string_agg(d, '' order by i)) from (select *, count(*) over () as c from tops) where c > 1 group by level, i // 2),
+crown as (select max(level) as h from tops),
+steps as (
+  select tree, r, 0 as part, l.level, case when s.d is null then 'N' when s.i < r >> l.level then 'L' || s.d else 'R' || s.d end as s
+    from ranked join height using (tree), lateral (select unnest(range(h)) as level) l left join nodes s on s.tree = ranked.tree and s.level = l.level and s.i = xor(r >> l.level, 1)
+  union all
+  select ranked.tree, ranked.r, 1, l.level, case when s.d is null then 'N' when s.i < subs.r >> l.level then 'L' || s.d else 'R' || s.d end
+    from ranked join subs on subs.tree = ranked.tree, crown, lateral (select unnest(range(crown.h)) as level) l left join tops s on s.level = l.level and s.i = xor(subs.r >> l.level, 1)),
+proofs as (select tree, r, list(s order by part, level) as p, coalesce(string_agg(substr(s, 2), '' order by part, level), '') as said from steps group by tree, r),
+folded as (select doc_id, leaf, subs.d as subroot, (select d from tops, crown where level = h) as root, sha256(coalesce(said, '')) as proof_sha256,
+    list_reduce(list_prepend(told, coalesce(p, [])), lambda a, x: sha256(case x[1] when 'L' then substr(x, 2) || a when 'R' then a || substr(x, 2) else a end)) as folded_root
+  from ranked join subs on subs.tree = ranked.tree left join proofs on proofs.tree = ranked.tree and proofs.r = ranked.r)
+select *, folded_root = root as verified from folded
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda n: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    told = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    leaves = docs.select("doc_id", "lang", fields(F.col("n_chars")).alias("leaf"), fields(told).alias("told"))
+    done = merkle.manifest(leaves).withColumn("folded_root", merkle.fold(F.col("told"), F.col("proof")))
+    return done.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )

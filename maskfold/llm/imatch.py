@@ -30,7 +30,7 @@ class Band:
     low: float = 4.6  # at most one document in 100
     high: float = 8.0  # at least one in 3,000
     enough: int = 8
-    seeds: int = 16
+    seeds: int = 24
     keep: int = 3
 
 
@@ -54,8 +54,8 @@ def hashes(terms: Column, band: Band = Band()) -> Column:
     """The fingerprint as a sorted array of distinct integers, from the distinct term hashes of a text; empty for none."""
     whole = F.hash(F.sort_array(terms))
 
-    def of(seed: int) -> Column:
-        ranks = F.sort_array(F.transform(terms, lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(seed)), 1)))
+    def of(seed: Column) -> Column:
+        ranks = F.sort_array(F.transform(terms, lambda t: F.shiftrightunsigned(F.xxhash64(t, seed), 1)))
 
         def subsets(first: Column) -> Column:
             found = []
@@ -64,13 +64,14 @@ def hashes(terms: Column, band: Band = Band()) -> Column:
                 here, after = F.get(first, F.lit(n - 1)), F.get(first, F.lit(n))
                 bits = lambda y: F.length(F.bin(y))
                 parted = here.isNotNull() & (after.isNull() | (bits(here) < bits(after)))
-                found.append(F.when(parted, F.hash(F.lit(seed), F.slice(first, 1, n))))
+                found.append(F.when(parted, F.hash(seed, F.slice(first, 1, n))))
             return F.array(*found)
 
         return bind(F.slice(ranks, 1, band.keep + 1), subsets)
 
-    parts = F.flatten(F.array(F.array(whole), *[of(i) for i in range(band.seeds)]))
-    return F.when(F.size(terms) > 0, F.array_sort(F.array_distinct(F.array_compact(parts)))).otherwise(F.array().cast("array<int>"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(band.seeds)), of))
+    parts = F.concat(F.array(whole), F.array_compact(parts))
+    return F.when(F.size(terms) > 0, F.array_sort(F.array_distinct(parts))).otherwise(F.array().cast("array<int>"))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Host and path rules judge a URL by the longest fit. Redirect and canonical-link edges join URLs into
 groups (distributed connected components); a block decision reaches all aliases of a group unless
-some member is explicitly allowed. A URL's own rule always wins.
+some member is explicitly allowed. A URL's own rule always wins. A node is a whole URL, query included:
+the targets of a redirector are aliases of the URL that names them, not of each other.
 """
 from __future__ import annotations
 
@@ -61,31 +62,77 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def node_key(url: Column) -> Column:
-    """The key that stands for a URL in the alias graph: host and path without scheme, query, fragment,
-    a leading `www.` or `m.`, a final `/` or `.html`; null where there is no host."""
-    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"(\.html|/+)$", "")
-    return F.when(host != "", F.concat(host, path))
+    """The node that stands for a URL in the alias graph: host, path and query. The scheme, the fragment, a default
+    port (80, 443) and a final dot of the host are put aside, the host's A-Z are lower-cased, an empty path is `/`; all
+    else tells URLs apart. Null where there is no host."""
+    host = F.regexp_replace(host_of(url), r"\.?(?::(?:80|443)?)?$", "")
+    path = path_of(url)
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
+
+
+TAG = r"(?i)<(?:link|meta)\b[^>]*>"
+#: fixed values: the character references that stand for characters of URLs
+REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or bare, `&amp;` and the like decoded; empty where it is missing."""
+    value = rf"(?i)[\s\"'/]{name}\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)'|([^\s\"'>]+))"
+    got = F.concat(*[F.regexp_extract(tag, value, g) for g in (1, 2, 3)])
+    for code, char in REFERENCES:
+        got = F.regexp_replace(got, f"(?i){code}", char)
+    return F.btrim(got)
+
+
+def _without_dots(path: Column) -> Column:
+    """`.` and `..` segments of an absolute path resolved."""
+    parts = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return F.when(x == ".", acc).when(x == "..", up).otherwise(F.concat(acc, F.array(x)))
+
+    done = F.aggregate(parts, empty, step)
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
+def resolve(base: Column, to: Column) -> Column:
+    """The URL that reference `to` names on the page `base`: absolute, `//host`, `/path`, `?query` or relative to the
+    page's folder, dot segments resolved. Null for other schemes (`mailto:` and the like), empty references and mere fragments."""
+    host = F.regexp_extract(F.coalesce(base, F.lit("")), r"^(.*?://[^/?#]*)", 1)
+    here = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    folder = F.regexp_extract(here, r"^(.*/)", 1)
+    path, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    own = F.concat(F.regexp_extract(to, r"(?i)^(https?://[^/?#]*)", 1), _without_dots(path_of(to)), F.regexp_extract(_after_scheme(to), r"^[^?#]*(.*)$", 1))
+    return (
+        F.when(to.rlike("(?i)^https?://"), own)
+        .when((to == "") | F.startswith(to, F.lit("#")) | to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to))
+        .when(F.startswith(to, F.lit("?")), F.concat(host, here, to))
+        .when(F.startswith(to, F.lit("/")), F.concat(host, _without_dots(path), rest))
+        .otherwise(F.concat(host, _without_dots(F.concat(folder, path)), rest))
+    )
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) keys of canonical links and meta redirects found in the pages' HTML, and host and path of both ends.
+    """(src, dst) keys of all canonical links and meta refreshes in the pages' HTML, and host and path of both ends.
 
-    Null or broken HTML gives no edge; relative targets are resolved against the page's host.
+    Attributes may come in any order and quoting; targets are resolved by `resolve`. Null or broken HTML, pages without
+    host and targets of other schemes give no edge.
     """
-    text = F.coalesce(F.col(html), F.lit(""))
-    tag = F.regexp_extract(text, r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical[^>]*>)", 1)
-    canonical = F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(text, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.select(F.col(url).alias("u"), F.explode(F.array(canonical, refresh)).alias("to")).where(F.col("to") != "")
-    root = F.concat(F.lit("http://"), host_of(F.col("u")))
-    to = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.startswith(F.col("to"), F.lit("//")), F.concat(F.lit("http:"), F.col("to")))
-        .when(F.startswith(F.col("to"), F.lit("/")), F.concat(root, F.col("to")))
-        .otherwise(F.concat(root, F.lit("/"), F.col("to")))
-    )
-    ends = [f(c).alias(n) for e, c in (("src", F.col("u")), ("dst", to)) for n, f in ((e, node_key), (f"{e}_host", host_of), (f"{e}_path", path_of))]
+    tags = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(TAG), F.lit(0))
+    found = pages.select(F.col(url).alias("u"), F.explode(tags).alias("tag")).where(F.col("tag").rlike("(?i)canonical|refresh"))
+    tag = F.col("tag")
+    canonical = tag.rlike(r"(?i)^<link") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = tag.rlike(r"(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    # in a content attribute the target may stand in quotes of its own kind
+    content = F.regexp_extract(_attribute(tag, "content"), r"""(?i)^[^;,]*[;,]\s*(?:url\s*=\s*)?["']?([^"']*)""", 1)
+    found = found.select("u", F.when(canonical, _attribute(tag, "href")).when(refresh, F.btrim(content)).alias("to")).where("to is not null")
+    found = found.select("u", resolve(F.col("u"), F.col("to")).alias("to"))
+    ends = [f(F.col(c)).alias(n) for e, c in (("src", "u"), ("dst", "to")) for n, f in ((e, node_key), (f"{e}_host", host_of), (f"{e}_path", path_of))]
     return found.select(*ends).where("src is not null and dst is not null")
 
 
@@ -93,11 +140,15 @@ def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[tuple[str, str, st
     """One row per page: `keep`, host, path, rule, verdict, and `via`: rule, alias or default.
 
     `edges` holds (src, dst) keys made by `node_key`; where it has host and path of its ends, as `link_edges` gives
-    them, the rules judge these too, so an end that is no page has its say in its group. Pages with the same key are aliases without an edge.
-    Null URLs and URLs without `://` have empty host and path, belong to no group and are allowed.
+    them, the rules judge these too, so an end that is no page has its say in its group. URLs with the same key (which
+    differ in scheme, fragment, default port or letter case of the host) are aliases without an edge.
+    Null URLs and URLs without `://` have empty host and path, belong to no group and are allowed. Repeated pages are
+    judged each for itself, URLs of any length are read whole, an empty table gives no rows. A column of `keep` may have
+    any name but host, path, rule, verdict and via.
     """
     u = F.col(url)
-    base = pages.select(*keep, host_of(u).alias("host"), path_of(u).alias("path"), node_key(u).alias("__key"))
+    kept = [f"keep{i}" for i in range(len(keep))]
+    base = pages.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], host_of(u).alias("host"), path_of(u).alias("path"), node_key(u).alias("__key"))
     base = base.withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
     base = materialise(base, "pages")  # the URLs alone, so that the pages are read once
 
@@ -120,7 +171,7 @@ def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[tuple[str, str, st
 
     # pages that have a rule need no look-up, so a hot ruled key is never joined
     open_ = base.where("__r is null").join(blocked, "__key", "left")
-    cols = [*keep, "host", "path"]
+    cols = [*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "host", "path"]
     ruled = base.where("__r is not null").select(*cols, F.col("__r.rule").alias("rule"), action.alias("verdict"), F.lit("rule").alias("via"))
     hit = F.coalesce(F.col("__blocked"), F.lit(False))
     rest = open_.select(

@@ -177,30 +177,93 @@ def judged(url):
 
 
 def test_url_rules_and_aliases(spark):
-    rows = ["http://EXAMPLE.com/en/x?y#z", "https://www.example.com/en/", "ftp://a.net/es/1", "http://net/fr/", "http://anet/fr/", "no scheme", "", None, "http://", "http://x.org", "http://x.org#f/en/", "http://b.net/fr/9", "http://b.net?/fr/", "http://a.com://b/en/", "http://example.com/EN/", "http://ÄB.net/es/", "http://q.org/1.html", "http://www.q.org/1/", "http://b.net/fr/9"]
+    rows = ["http://EXAMPLE.com/en/x?y#z", "https://www.example.com/en/", "ftp://a.net/es/1", "http://net/fr/", "http://anet/fr/", "no scheme", "", None, "http://", "http://x.org", "http://x.org#f/en/", "http://b.net/fr/9", "http://b.net?/fr/", "http://a.com://b/en/", "http://example.com/EN/", "http://ÄB.net/es/", "http://q.org/1.html", "http://www.q.org/1/", "http://b.net/fr/9", "https://X.org:443/", "http://x.org/?"]
     docs = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
     key = lambda u: spark.createDataFrame([(u,)], "u string").select(urls.node_key(F.col("u"))).first()[0]
     # x.org -> q.org -> b.net/fr/9 (blocked); x2 hangs on an allowed and on a blocked page
-    edges = [(key("http://x.org"), key("http://q.org/1")), (key("http://q.org/1"), key("http://b.net/fr/9")), (None, "x")]
+    edges = [(key("http://x.org"), key("http://q.org/1.html")), (key("http://q.org/1.html"), key("http://b.net/fr/9")), (None, "x")]
     got = {r.page_id: r for r in urls.judge(docs, spark.createDataFrame(edges, "src string, dst string")).collect()}
     for i, u in enumerate(rows):
         host, path, rule, action = judged(u)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
         if rule:
             assert got[i].verdict == action
-    assert got[9].verdict == got[10].verdict == got[16].verdict == got[17].verdict == "block" and got[16].via == "alias"
-    assert got[4].verdict == got[7].verdict == "allow"
+    assert got[9].verdict == got[10].verdict == got[16].verdict == got[19].verdict == "block" and got[16].via == "alias"
+    assert got[4].verdict == got[7].verdict == got[17].verdict == got[20].verdict == "allow"
     more = [*edges, (key("http://x.org"), key("https://www.example.com/en/"))]
     got = {r.page_id: r for r in urls.judge(docs, spark.createDataFrame(more, "src string, dst string")).collect()}
     assert got[9].verdict == "allow" and got[11].verdict == "block"  # an explicit allow in the group comes first
     assert urls.judge(docs.limit(0), spark.createDataFrame([], "src string, dst string")).count() == 0
+    odd = docs.select(F.col("page_id").alias("__key"), F.col("url").alias("src"))
+    assert urls.judge(odd, spark.createDataFrame(edges, "src string, dst string"), url="src", keep=("__key", "src")).columns[:2] == ["__key", "src"]
 
 
 def test_links_in_html(spark):
-    page = '<head><LINK href="/b.html?x=1" rel="canonical"><meta http-equiv=refresh content="0; url=https://M.c.org/z/"></head>'
-    docs = spark.createDataFrame([(1, "http://a.org/a", page), (2, "http://a.org/q", None), (3, None, page)], "page_id long, url string, html string")
+    page = """<head><LINK href="/b.html?x=1&amp;y=2" rel="canonical"><meta http-equiv=refresh content="0; url=https://M.c.org/z/">
+      <link rel='alternate canonical' data-href="/no" href='c.html'><META content='5;URL="../d?u=1"' http-equiv='Refresh'>
+      <link rel=canonical href=//o.org><link rel=canonical href="?q"><link rel="canonical" href="mailto:a@b.c"><link rel="canonical" href="#f">
+      <link rel="stylesheet" href="/s.css"><meta name="canonical" content="0; url=/no"><link rel="canonical" href=""><meta http-equiv="refresh" content="30">"""
+    docs = spark.createDataFrame([(1, "http://a.org/p/q/a.html?old", page), (2, "http://a.org/q", None), (3, None, page), (4, "no scheme", page), (5, "http://a.org", '<link rel="canonical" href="x/./y/../z">' + " " * 300_000)], "page_id long, url string, html string")
     got = {(r.src, r.dst) for r in urls.link_edges(docs).collect()}
-    assert got == {("a.org/a", "a.org/b"), ("a.org/a", "c.org/z")}
+    to = {"a.org/b.html?x=1&y=2", "m.c.org/z/", "a.org/p/q/c.html", "a.org/p/d?u=1", "o.org/", "a.org/p/q/a.html?q"}
+    assert got == {("a.org/p/q/a.html?old", t) for t in to} | {("a.org/", "a.org/x/z")}
+
+
+def test_references_resolve_as_a_browser_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org/a/b/c?x=/y/#z", "http://h.org", "http://h.org/", "https://h.org/a", "http://h.org?q"]
+    tos = ["g", "./g", "g/", "/g", "//g.org/x", "?y", "g?y#s", "../g", "../../g", "../../../g", "/./g/../k", "g/..", "g/.", ".", "..", "http://z.org/a/b?d/../e", "..g", "g..", "x.y/z"]
+    pairs = [(b, t) for b in bases for t in tos]
+    rows = spark.createDataFrame(pairs, "b string, t string").select("b", "t", urls.node_key(urls.resolve(F.col("b"), F.col("t"))).alias("k")).collect()
+    for r in rows:
+        host, _, rest = urljoin(r.b, r.t).split("#")[0].split("://", 1)[1].partition("/")
+        want = host.replace("?", "/?", 1) if "?" in host else f"{host}/{rest}"
+        assert r.k == want, (r.b, r.t)
+    more = [("http://h.org/a/b", "c//d", "h.org/a/c//d"), ("http://h.org/a/b", "http://z.org/a/./b/../c", "z.org/a/c")]
+    rows = spark.createDataFrame(more, "b string, t string, k string")
+    assert rows.where(urls.node_key(urls.resolve(F.col("b"), F.col("t"))) != F.col("k")).count() == 0
+
+
+def test_one_blocked_target_of_a_redirector_blocks_no_other(spark):
+    to = '<meta http-equiv="refresh" content="0; url={}">'.format
+    rows = [
+        (1, "http://r.org/go?u=1", to("http://foo.net/es/bad")), (2, "http://r.org/go?u=2", to("http://good.org/fine")),
+        (3, "http://good.org/fine", ""), (4, "http://r.org/go", ""), (5, "http://foo.net/es/bad", ""),
+    ]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(docs.select("page_id", "url"), urls.link_edges(docs)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block"}
+
+
+def test_random_link_graphs(spark):
+    rng = random.Random(12)
+    hosts = ["a{}.org", "b{}.net", "c{}.com", "d{}.net"]
+    pages, links = [], []
+    for g in range(200):  # each graph has hosts of its own
+        mine = sorted({f"http://{rng.choice(hosts).format(g)}/{rng.choice(['es/', 'x/', 'y/', ''])}{rng.randrange(3)}{rng.choice(['', '?a=1', '?a=2', '?'])}" for _ in range(14)})
+        shown = [u for u in mine if rng.random() < 0.7]
+        out = {u: [rng.choice(mine) for _ in range(rng.choice([0, 0, 1, 1, 2]))] for u in shown}
+        links += [(u, v) for u, vs in out.items() for v in vs]
+        for u in shown:
+            html = "".join(f'<link rel="canonical" href="{v}">' if rng.random() < 0.5 else f'<meta content="1;url={v}" http-equiv="refresh">' for v in out[u])
+            pages.append((len(pages), rng.choice(["http", "https"]) + u[4:] + rng.choice(["", "#x"]), html))
+    key = lambda u: u.split("://")[1].split("#")[0]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for u, v in links:
+        root[find(key(u))] = find(key(v))
+    seen = {key(u) for _, u, _ in pages} | {key(v) for _, v in links}
+    votes = defaultdict(set)
+    for k in seen:
+        votes[find(k)].add(judged(f"http://{k}")[3])
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(docs.select("page_id", "url"), urls.link_edges(docs)).collect()}
+    want = {}
+    for i, u, _ in pages:
+        said = votes[find(key(u))]
+        want[i] = judged(u)[3] or ("block" if "block" in said and "allow" not in said else "allow")
+    assert got == want and Counter(want.values())["block"] > 100
 
 
 def test_rules_reach_targets_that_are_no_pages(spark):

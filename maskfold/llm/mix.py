@@ -2,8 +2,9 @@
 
 A source's word budget is its share of the whole, filled like water up to `max_epochs` of its size.
 Whole epochs come first; the rest of a budget takes documents in the order of their exponential keys
--ln(u) / quality, prefix-summed within the source up to the budget. The document on the border is
-taken up to the missing words, so every budget is met to the word.
+-ln(u) / quality, prefix-summed within the source up to the budget. Documents are taken whole or not at all: in
+place of the one on the border, the further document whose size is nearest to the missing words is taken, if that
+brings the source nearer to its budget.
 """
 from __future__ import annotations
 
@@ -58,12 +59,13 @@ def sample(
     max_epochs: float = MAX_EPOCHS,
     seed: int = 42,
 ) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, part, taken) for each row of `docs`.
+    """(doc_id, size, source, source_size, target, copies, more, taken, text_hash) for each row of `docs`.
 
-    `copies` whole copies and `part` words more are taken; taken = copies * size + part. `quality`
+    `copies` whole copies are taken, and one `more`; taken = (copies + more) * size. `quality`
     is (doc_id, weight) with one row per id; missing, null and non-positive weights count as 1.
-    Null text has size 0, null source is a source of its own, repeated rows are rows of their own.
-    Ties of the keys are broken by id and text, so reruns agree. An empty table gives no rows.
+    Null text has size 0 and is taken `copies` times, null source is a source of its own, repeated rows are rows of their own.
+    Ties of the keys are broken by id and text, so reruns agree. An empty table gives no rows. Texts of any length are
+    counted whole, in one pass; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", "source", T.n_words(F.col("text")).alias("size"), F.xxhash64(text).alias("__t"))
@@ -87,10 +89,20 @@ def sample(
     goals = goals.withColumn("copies", epochs)
     rest = F.floor(F.col("target") + 0.5).cast("long") - F.col("copies") * F.col("source_size")
     goals = goals.withColumn("__rest", rest).withColumnRenamed("source", "__s")
-    out = placed.join(goals, F.col("source").eqNullSafe(F.col("__s")))
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("__rest") - (F.col("__upto") - F.col("size") - F.col("__first"))))
-    out = out.withColumn("part", part)
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "__t")
+    out = placed.join(goals, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__upto", F.col("__upto") - F.col("__first"))
+    out = materialise(out.drop("__s", "__first", "__key"), "placed")
+
+    # what the prefix leaves of a source's rest, and the row behind it that fits there best
+    gaps = out.groupBy("source", "__rest").agg((F.col("__rest") - F.coalesce(F.max(F.when(F.col("__upto") <= F.col("__rest"), F.col("__upto"))), F.lit(0))).alias("__gap"))
+    gaps = gaps.select(F.col("source").alias("__s"), "__gap").where("__gap > 0")
+    behind = out.where("__upto > __rest and size > 0").join(gaps, F.col("source").eqNullSafe(F.col("__s")))
+    best = behind.groupBy("__s", "__gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("__gap")).alias("off"), F.col("__upto").alias("upto"))).alias("b"))
+    best = best.where("b.off < __gap").select("__s", F.col("b.upto").alias("__pick"))
+    out = out.join(best, F.col("source").eqNullSafe(F.col("__s")), "left")
+    more = ((F.col("__upto") <= F.col("__rest")) | F.coalesce(F.col("__upto") == F.col("__pick"), F.lit(False))) & (F.col("size") > 0)
+    out = out.withColumn("more", more.cast("int"))
+    taken = (F.col("copies") + F.col("more")) * F.col("size")
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", "more", taken.alias("taken"), F.col("__t").alias("text_hash"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -100,25 +112,29 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The mixed rows themselves, with the columns of `docs`: each row `copies` times, and the border
-    document of a source once more with its first `part` words. `n_chars` follows the text where it exists.
+    """The mixed rows themselves, each an unchanged row of `docs`: `copies` times, and once more where `sample` says so.
+
+    Null ids, sources and texts, repeated rows and empty tables are as in `sample`. Rows that share id, source and text
+    are dealt their copies without regard to their other columns. Those may have any name and type; texts of any length
+    pass whole.
     """
-    picked = sample(docs, quality, **options).where("copies > 0 or part > 0")
-    whole = F.col("copies") + F.when((F.col("part") > 0) & (F.col("part") == F.col("size")), 1).otherwise(0)
-    times = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")),
-        F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")),
-    )
-    ids = (F.col("doc_id").isNull().alias("__z"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("__d"))
-    # rows that share id and text are dealt the takes of their group in turn
-    takes = picked.select(*ids, "__t", times.alias("x")).groupBy("__z", "__d", "__t").agg(F.flatten(F.collect_list("x")).alias("__takes"), F.count("*").alias("__m"))
-    both = docs.select("*", *ids, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__t")).join(takes, ["__z", "__d", "__t"])
-    turn = F.row_number().over(Window.partitionBy("__z", "__d", "__t").orderBy("__d")) - 1
-    both = both.withColumn("__turn", turn)
-    both = both.withColumn("__take", F.explode(F.filter("__takes", lambda x, i: i % F.col("__m") == F.col("__turn") % F.col("__m"))))
-    head = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)  # a first run of blanks is kept
-    cut = F.concat(head, F.concat_ws(" ", F.slice(T.words(F.col("text")), F.lit(1), F.col("__take").cast("int"))))
-    both = both.withColumn("text", F.when(F.col("__take") < 0, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__take") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return both.select(*docs.columns)
+    picked = sample(docs, quality, **options)
+    names = ["id_null", "id", "source_null", "source", "text_hash"]
+
+    def ids(text_hash: Column) -> list[Column]:
+        d, s = F.col("doc_id"), F.col("source")
+        return [d.isNull().alias("id_null"), F.coalesce(d, F.lit(0)).alias("id"), s.isNull().alias("source_null"), F.coalesce(s, F.lit("")).alias("source"), text_hash.alias("text_hash")]
+
+    takes = picked.select(*ids(F.col("text_hash")), "copies", "more").groupBy(*names).agg(
+        F.count("*").alias("rows"), F.sum("more").alias("more"), F.max("copies").alias("copies")).where("copies > 0 or more > 0")
+    takes = materialise(takes, "takes")
+    wide = docs.select(F.struct("*").alias("row"), *ids(F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
+    both = wide.join(takes, names)
+    whole = both.where("more = 0 or more = rows").select("row", (F.col("copies") + (F.col("more") > 0).cast("int")).alias("times"))
+    # of equal rows on the border only some are taken once more; such groups are few, but may be large
+    split = takes.where("more > 0 and more < rows")
+    if not split.isEmpty():
+        some = materialise(wide.join(split, names).withColumn("n", F.monotonically_increasing_id()), "border")
+        placed = running(some, [F.col("n")], by=names)
+        whole = whole.unionAll(placed.select("row", (F.col("copies") + (F.col("pos") <= F.col("more")).cast("int")).alias("times")))
+    return whole.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")

@@ -87,9 +87,11 @@ t as (select source, source_size, case when cap <= level * w then cap
 g as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as copies from t),
 p as (
   select d.doc_id, size, source_size, target, copies, floor(target + 0.5)::bigint - copies * source_size as rest,
-    sum(size) over (partition by d.source order by key, d.doc_id, text rows between unbounded preceding and current row)::bigint as upto
-  from d join g on d.source is not distinct from g.source)
-select doc_id, size, source_size, target, copies * size + greatest(0, least(size, rest - (upto - size))) as taken, copies from p
+    sum(size) over (partition by d.source order by key, d.doc_id, text rows between unbounded preceding and current row)::bigint as upto, d.source
+  from d join g on d.source is not distinct from g.source),
+b as (select *, rest - coalesce(max(case when upto <= rest then upto end) over (partition by source), 0) as gap from p),
+r as (select *, row_number() over (partition by source order by upto <= rest or size = 0, abs(size - gap), upto) = 1 and upto > rest and abs(size - gap) < gap as picked from b)
+select doc_id, size, source_size, target, (copies + (size > 0 and (upto <= rest or picked))::int) * size as taken, copies from r
 """
 
 

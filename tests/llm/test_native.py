@@ -2,7 +2,8 @@
 import random
 import re
 from collections import Counter, defaultdict
-from math import log2
+from hashlib import md5
+from math import log, log2
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,18 @@ def filled(sizes, weights, total):
             return {s: 2 * sizes[s] for s in names}
 
 
+def draw(doc_id):
+    """The uniform number of an id, as any engine can rebuild it."""
+    return (int(md5(f"42|{doc_id}".encode() if doc_id is not None else b"42").hexdigest()[:13], 16) + 0.5) / 2**52
+
+
+def _by_size(seen):
+    out = Counter()
+    for (i, t, s), n in seen.items():
+        out[i, s, len((t or "").split())] += n
+    return out
+
+
 def test_mix(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["a", "a", "a", "b", None, "c", "d"]), 0) for i in range(300)]
@@ -88,16 +101,27 @@ def test_mix(spark):
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= 1
+    for s in sizes:  # the prefix in the order of the keys, then the row behind it that fits best
+        copies = int(want[s] // sizes[s]) if sizes[s] else 0
+        gap = int(want[s] + 0.5) - copies * sizes[s]
+        inside = sorted((-log(draw(r[0])), r[0] is None, r[0] or 0, len((r[1] or "").split())) for r in rows if r[2] == s)
+        while inside and inside[0][3] <= gap:
+            gap -= inside.pop(0)[3]
+        left = min([gap, *[abs(x[3] - gap) for x in inside if x[3]]])
+        assert abs(taken[s] - int(want[s] + 0.5)) == left, s
     key = lambda r: (str(r.doc_id), r.size, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, mix.sample(docs.repartition(3)).collect()))
     mixed = mix.mix(docs)
     assert mixed.columns == docs.columns
-    words = Counter()
+    words, seen = Counter(), Counter()
     for r in mixed.collect():
         words[r.source] += len((r.text or "").split())
-    assert words == +taken
+        seen[r.doc_id, r.text, r.source] += 1
+    assert words == +taken and set(seen) <= {r[:3] for r in rows}  # every mixed text is an input text
+    expected = Counter()
+    for r in got:
+        expected[r.doc_id, r.source, r.size] += r.copies + r.more
+    assert Counter({k: v for k, v in expected.items() if v}) == Counter({k: v for k, v in _by_size(seen).items() if v})
     assert mix.sample(docs.limit(0)).count() == 0 and mix.mix(docs.limit(0)).count() == 0
 
 
@@ -108,6 +132,25 @@ def test_rows_without_words_take_part_in_whole_copies(spark):
     assert copies == {1: 2, 2: 2, 3: 2, 4: 2} and got == copies
 
 
+def test_mix_of_equal_rows_and_clashing_columns(spark):
+    names = "doc_id, source, text, __t, __turn, __take, __takes, __d, id, row, times, more, copies, size, rows".split(", ")
+    rows = [(None, "hot", "one two\nthree  four", *[f"x{i}"] * 12) for i in range(90)] + [(i, "cold", "a\tb\n\n c " * 20 + str(i), *["y"] * 12) for i in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = mix.mix(docs, share=0.7)
+    assert got.columns == docs.columns
+    done = [tuple(r) for r in got.collect()]
+    assert set(done) <= set(rows)
+    words = lambda rs: sum(len(r[2].split()) for r in rs)
+    sizes = {s: words([r for r in rows if r[1] == s]) for s in ("hot", "cold")}
+    want = filled(sizes, mix.WEIGHTS, 0.7 * sum(sizes.values()))
+    assert 0 < want["hot"] < 2 * sizes["hot"] and want["hot"] % sizes["hot"]
+    for s in sizes:
+        assert abs(words([r for r in done if r[1] == s]) - want[s]) <= 60
+    assert mix.mix(docs.withColumn("source", F.lit(None).cast("string")), share=3.0).count() == 260  # all copies of one null source
+    long = spark.createDataFrame([(1, "s", "w " * 300_000), (2, "s", "x " * 10), (3, "s", None)], "doc_id long, source string, text string")
+    assert all(r.text in (None, "w " * 300_000, "x " * 10) for r in mix.mix(long, share=0.9).collect())
+
+
 def test_mix_prefers_good_documents(spark):
     docs = spark.createDataFrame([(i, "one two three", "s" if i < 400 else f"t{i % 3}", 0) for i in range(2_000)], DOC)
     weights = spark.createDataFrame([(i, 9.0 if i % 2 else 1.0) for i in range(2_000)], "doc_id long, weight double")

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.rounding import exact_avg, half_even
 from ..plans.materialise import materialise
-from ..plans.ordering import bind
 
 CELL = 256
 LABEL_STRIDE = 1 << 31
@@ -132,96 +134,48 @@ def mask_bbox(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- connected components
 
 
-def _touches(a: Column, b: Column, connectivity: int) -> Column:
-    if connectivity == 8:
-        return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"])
-    return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"])
-
-
-def _sweep(runs: Column, connectivity: int) -> Column:
-    """Row sweep over the sorted runs of one tile; gives the runs with their component label.
-
-    A label is the row-major number of the first pixel. When a run touches several components the
-    smallest label stays and the others are noted once in `eq`, which is resolved backwards: a
-    label's own merge is always noted before the merge of the label it went to.
-    """
-    run_t = "array<struct<x0:int,x1:int,k:bigint>>"
-    none = F.array().cast(run_t)
-    zero = F.struct(
-        F.lit(-2).alias("y"),
-        none.alias("prev"),
-        none.alias("cur"),
-        F.array().cast("array<struct<y:int,x0:int,x1:int,k:bigint>>").alias("out"),
-        F.array().cast("array<struct<a:bigint,b:bigint>>").alias("eq"),
-    )
-
-    def relabel(arr: Column, hit: Column, k: Column) -> Column:
-        return F.transform(
-            arr,
-            lambda q: F.struct(
-                q["x0"].alias("x0"), q["x1"].alias("x1"), F.when(F.array_contains(hit, q["k"]), k).otherwise(q["k"]).alias("k")
-            ),
-        )
-
-    def add(s: Column, r: Column, prev: Column, cur: Column, hit: Column) -> Column:
-        own = r["y"].cast("bigint") * LABEL_STRIDE + r["x0"]
-        k = F.coalesce(F.array_min(hit), own)
-        many = F.size(hit) > 1
-        here = F.array(F.struct(r["x0"].alias("x0"), r["x1"].alias("x1"), k.alias("k")))
-        gone = F.transform(F.filter(hit, lambda h: h != F.array_min(hit)), lambda h: F.struct(h.alias("a"), k.alias("b")))
-        return F.struct(
-            r["y"].alias("y"),
-            F.when(many, relabel(prev, hit, k)).otherwise(prev).alias("prev"),
-            F.concat(F.when(many, relabel(cur, hit, k)).otherwise(cur), here).alias("cur"),
-            F.concat(
-                s["out"],
-                F.array(F.struct(r["y"].alias("y"), r["x0"].alias("x0"), r["x1"].alias("x1"), k.alias("k"))),
-            ).alias("out"),
-            F.concat(s["eq"], gone).alias("eq"),
-        )
-
-    def step(s: Column, r: Column) -> Column:
-        same = r["y"] == s["y"]
-        rows = F.struct(
-            F.when(same, s["prev"]).when(r["y"] == s["y"] + 1, s["cur"]).otherwise(none).alias("prev"),
-            F.when(same, s["cur"]).otherwise(none).alias("cur"),
-        )
-        return bind(
-            rows,
-            lambda h: bind(
-                F.array_distinct(
-                    F.transform(
-                        F.concat(
-                            F.filter(h["prev"], lambda q: _touches(q, r, connectivity)),
-                            F.filter(h["cur"], lambda q: q["x1"] == r["x0"]),
-                        ),
-                        lambda q: q["k"],
-                    )
-                ),
-                lambda hit: add(s, r, h["prev"], h["cur"], hit),
-            ),
-        )
-
-    def resolve(acc: Column) -> Column:
-        roots = F.aggregate(
-            F.reverse(acc["eq"]),
-            F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")),
-            lambda m, e: F.map_concat(m, F.create_map(e["a"], F.coalesce(F.try_element_at(m, e["b"]), e["b"]))),
-        )
-        return bind(
-            roots,
-            lambda m: F.transform(
-                acc["out"],
-                lambda q: F.struct(
-                    q["y"].alias("y"),
-                    q["x0"].alias("x0"),
-                    q["x1"].alias("x1"),
-                    F.coalesce(F.try_element_at(m, q["k"]), q["k"]).alias("k"),
-                ),
-            ),
-        )
-
-    return F.aggregate(runs, zero, step, resolve)
+def _meetings(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of touching runs among runs sorted by (y, x0): each with the stretch of runs it meets in the row above,
+    found by two binary searches, and with its left neighbour if they adjoin."""
+    row, width = y - y[0], int(x1.max() - x0.min()) + 2
+    left, right = x0 - x0.min(), x1 - x0.min()
+    starts, ends, above = row * width + left, row * width + right, (row - 1) * width
+    first = np.searchsorted(ends, above + left, "left" if reach else "right")
+    last = np.searchsorted(starts, above + right, "right" if reach else "left")
+    n = np.maximum(last - first, 0)
+    own = np.repeat(np.arange(len(y)), n)
+    met = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    side = np.flatnonzero((y[1:] == y[:-1]) & (x0[1:] <= x1[:-1]))
+    return np.concatenate([own, side + 1]), np.concatenate([met, side])
+
+
+def _contract(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node reachable from each of n nodes: roots hook on smaller roots, paths are halved, edges inside
+    one group fall away."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low < high
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
+def _label_tile(connectivity: int):
+    """Runs of one tile with their component label, the row-major number of the component's first pixel."""
+
+    def run(t: pa.Table) -> pa.Table:
+        y, x0, x1 = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        order = np.lexsort((x1, x0, y))
+        y, x0, x1 = y[order], x0[order], x1[order]
+        root = _contract(len(y), *_meetings(y, x0, x1, 1 if connectivity == 8 else 0))
+        label = np.empty(len(y), np.int64)
+        label[order] = (y * LABEL_STRIDE + x0)[root]  # sorted by (y, x0), so the smallest node has the first pixel
+        return t.append_column("label", pa.array(label))
+
+    return run
 
 
 def label_runs(
@@ -229,17 +183,15 @@ def label_runs(
 ) -> DataFrame:
     """Connected components (4 or 8 neighbours): every run with its component `label`.
 
-    Runs are swept tile by tile in one shuffle; a tile bounds what a task holds. Only when some image
-    spans several tiles are the labels that meet at tile borders joined by `merge_labels`.
+    Runs are the nodes of a graph; runs that touch in neighbouring rows are joined tile by tile in one shuffle, and a
+    tile bounds what a task holds (at most tile * tile / 2 runs). Only when some image spans several tiles are the
+    labels that meet at tile borders joined by `merge_labels`. Runs of a row must not overlap; they may adjoin.
     """
     keys = list(keys)
     cut = to_cells(runs.select(*keys, F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"), "x0", "x1"), tile, tile)
-    arr = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("int").alias(a) for c, a in (("y0", "y"), ("x0", "x0"), ("x1", "x1"))])))
-    swept = (
-        cut.groupBy(*keys, "cy", "cx").agg(arr.alias("a"))
-        .select(*keys, "cy", "cx", F.explode(_sweep(F.col("a"), connectivity)).alias("r"))
-        .select(*keys, "cy", "cx", "r.y", "r.x0", "r.x1", F.col("r.k").alias("label"))
-    )
+    cut = cut.select(*keys, F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx"), F.col("y0").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    schema = StructType([*cut.schema.fields, StructField("label", LongType())])
+    swept = cut.groupBy(*keys, "cy", "cx").applyInArrow(_label_tile(connectivity), schema)
     swept = materialise(swept, "tiles")
     if not swept.where("cy > 0 or cx > 0").limit(1).count():
         return swept.drop("cy", "cx")

@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from maskfold.operators import masks
@@ -68,6 +71,39 @@ def test_snake_across_tiles(spark):
     assert found(got) == flood(a)
 
 
+def test_a_hundred_thousand_runs_in_one_tile(spark):
+    rng = np.random.default_rng(11)
+    a = rng.random((700, 1000)) < 0.4
+    a[::7, :500] = True  # long bridges between many small groups
+    edge = np.diff(np.pad(a, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (y, x0), (_, x1) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    assert len(y) > 100_000
+    runs = spark.createDataFrame(pd.DataFrame({"image_id": 7, "y": y, "x0": x0, "x1": x1}))
+    start = time.time()
+    got = found(masks.region_table(masks.label_runs(runs)))
+    assert time.time() - start < 30
+    assert got == flood(a)
+
+
+def test_runs_that_adjoin_and_chains_of_labels(spark):
+    # a spiral, whose arms meet at the end only, and a comb whose teeth join in the last row
+    a = np.zeros((61, 61), bool)
+    for k in range(0, 30, 4):
+        a[k, k:60 - k] = a[60 - k, k:60 - k + 1] = a[k:61 - k, 60 - k] = a[k + 4:61 - k, k] = True
+        a[k + 4, k:k + 5] = True
+    comb = np.zeros((61, 61), bool)
+    comb[:60, ::2] = comb[60, :] = True
+    rows = []
+    for image, m in ((1, a), (2, comb)):
+        rows += [(image, int(y), int(x), int(x) + 1) for y, x in zip(*np.nonzero(m))]  # one run a pixel: neighbours adjoin
+    runs = spark.createDataFrame(rows, "image_id bigint, y int, x0 int, x1 int")
+    for connectivity in (4, 8):
+        got = masks.region_table(masks.label_runs(runs, connectivity=connectivity))
+        assert found(got.where("image_id = 1")) == flood(a, connectivity)
+        assert found(got.where("image_id = 2")) == flood(comb, connectivity)
+    assert masks.label_runs(runs.limit(0)).count() == 0
+
+
 def test_coverage_and_flatten_with_copies(spark):
     rng = np.random.default_rng(3)
     rows, want = [], {}

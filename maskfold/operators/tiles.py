@@ -1,10 +1,13 @@
 """Tiling, blending, restoring to image size, and polygons to runs."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.raster import hann2d, tile_starts
 
@@ -96,49 +99,97 @@ def restore_bilinear(pixels: DataFrame, params: DataFrame) -> DataFrame:
     return out.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p"))))
 
 
-def polygon_to_runs(polygons: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fill polygons into runs: a pixel counts when its centre is inside (even-odd), clipped to the image.
-
-    `polygons` has the keys and `ring`, a flat list x1, y1, x2, y2, ... Axis-aligned
-    integer boxes are exact. A row's crossings come from the polygon's own vertex list, so filling needs no shuffle.
+CROSSINGS = 2_000_000
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    return lists.offsets.to_numpy().astype(np.int64)
+
+
+def _edges(rings: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """The edge table of a batch of polygons: polygon, ring, and xa, ya, xb, yb with ya < yb; level edges cross no row."""
+    outer, inner = _offsets(rings), rings.values
+    polygon_of = np.repeat(np.arange(len(rings)), np.diff(outer))
+    inner = inner.slice(int(outer[0]), int(outer[-1] - outer[0]))
+    at = _offsets(inner)
+    flat = inner.values.to_numpy(zero_copy_only=False).astype(float)
+    # a missing ring has an empty stretch here; a missing coordinate is not a number and voids its ring
+    n = (np.diff(at) // 2) * inner.is_valid().to_numpy(zero_copy_only=False)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    n = np.where((n >= 3) & (bad[at[:-1] + 2 * n] == bad[at[:-1]]), n, 0)
+    ring = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(ring)) - np.repeat(np.cumsum(n) - n, n)
+    first = at[:-1][ring]
+    p, q = first + 2 * i, first + 2 * ((i + 1) % np.maximum(n, 1)[ring])
+    xa, ya, xb, yb = flat[p], flat[p + 1], flat[q], flat[q + 1]
+    keep = ya != yb
+    return tuple(x[keep] for x in (polygon_of[ring], ring, xa, ya, xb, yb))
+
+
+def _fill(edges: tuple[np.ndarray, ...], height: np.ndarray, width: np.ndarray, union: bool) -> tuple[np.ndarray, ...]:
+    """Runs (polygon, y, x0, x1): each edge sends its crossing to every row it spans, crossings are sorted and paired by row."""
+    polygon, ring, xa, ya, xb, yb = edges
+    top = np.maximum(np.ceil(np.minimum(ya, yb) - 0.5), 0).astype(np.int64)
+    n = np.maximum(np.minimum(np.ceil(np.maximum(ya, yb) - 0.5), height[polygon]).astype(np.int64) - top, 0)
+    e = np.repeat(np.arange(len(n)), n)
+    y = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n) + top[e]
+    x = xa[e] + (y + 0.5 - ya[e]) * (xb[e] - xa[e]) / (yb[e] - ya[e])
+    part = ring[e] if union else polygon[e]
+    order = np.lexsort((x, y, part))
+    poly, y, part = polygon[e][order][::2], y[order][::2], part[order][::2]
+    ends = np.ceil(x[order] - 0.5)
+    x0 = np.maximum(ends[::2], 0).astype(np.int64)
+    x1 = np.minimum(ends[1::2], width[poly]).astype(np.int64)
+    keep = x1 > x0
+    poly, y, x0, x1 = poly[keep], y[keep], x0[keep], x1[keep]
+    if union and len(poly):  # rings may overlap: stretches of a row that meet become one
+        order = np.lexsort((x0, y, poly))
+        poly, y, x0, x1 = poly[order], y[order], x0[order], x1[order]
+        row = np.concatenate([[0], np.cumsum((poly[1:] != poly[:-1]) | (y[1:] != y[:-1]))])
+        wide = int(x1.max()) + 1
+        reach = np.maximum.accumulate(row * wide + x1)
+        new = np.concatenate([[True], row[1:] * wide + x0[1:] > reach[:-1]])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(new)) - 1
+        poly, y, x0, x1 = poly[at], y[at], x0[at], reach[last] - row[last] * wide
+    return poly, y, x0, x1
+
+
+def _rasterise(keys: list[str], union: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            height, width = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("height", "width"))
+            edges = _edges(batch.column("rings"))
+            span = np.ceil(np.abs(edges[5] - edges[3])).astype(np.int64) + 1
+            load = np.bincount(edges[0], np.minimum(span, height[edges[0]].astype(np.int64) + 1), len(height))
+            # whole polygons, about CROSSINGS crossings at a time
+            cut = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(load), np.arange(1, load.sum() // CROSSINGS + 1) * CROSSINGS), [len(height)]]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                lo, hi = np.searchsorted(edges[0], [a, b])
+                poly, y, x0, x1 = _fill(tuple(x[lo:hi] for x in edges), height, width, union)
+                rows = pa.array(poly)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in keys], *[pa.array(v.astype(np.int32)) for v in (y, x0, x1)]], [*keys, "y", "x0", "x1"])
+
+    return run
+
+
+def rings_to_runs(polygons: DataFrame, images: DataFrame, keys: Sequence[str], rule: str = "union") -> DataFrame:
+    """Fill polygons of several rings into runs: a pixel counts when its centre is inside, clipped to the image.
+
+    `polygons` has the keys and `rings`, a list of flat lists x1, y1, x2, y2, ... By `union` a pixel is in if any ring (even-odd)
+    holds it, as annotations of several parts mean it; by `evenodd` rings inside others are holes. Rings with fewer than three points
+    or a missing or non-finite coordinate are left out; a polygon without a ring or an image gives no runs. Axis-aligned integer boxes are exact.
+    Runs of a row do not overlap. The work is edges and crossings, sorted; nothing is shuffled but for the join with the images.
     """
+    if rule not in ("union", "evenodd"):
+        raise ValueError(f"unknown fill rule {rule}")
     keys = list(keys)
-    n = (F.size("ring") / 2).cast("int")
-    edge = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            F.element_at("ring", 2 * i + 1).alias("xa"), F.element_at("ring", 2 * i + 2).alias("ya"),
-            F.element_at("ring", (2 * ((i + 1) % n) + 1).cast("int")).alias("xb"), F.element_at("ring", (2 * ((i + 1) % n) + 2).cast("int")).alias("yb"),
-        ),
-    )
-    shaped = polygons.where(F.size("ring") >= 6).select(*keys, edge.alias("edges"))
-    # between two neighbouring vertex heights the same edges are crossed
-    cuts = F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["ya"])))
-    shaped = shaped.withColumn("cuts", cuts).where(F.size("cuts") >= 2)
-
-    def band(i: Column) -> Column:
-        lo, hi = F.element_at("cuts", i), F.element_at("cuts", i + 1)
-        act = F.filter("edges", lambda e: (F.least(e["ya"], e["yb"]) <= lo) & (F.greatest(e["ya"], e["yb"]) >= hi))
-        return F.struct(lo.alias("lo"), hi.alias("hi"), act.alias("act"))
-
-    bands = shaped.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), band)).alias("b"))
-    bands = bands.select(*keys, "b.lo", "b.hi", "b.act").join(images.select("image_id", "width", "height"), "image_id")
-    top = F.greatest(F.ceil(F.col("lo") - 0.5), F.lit(0)).cast("int")
-    bottom = F.least(F.ceil(F.col("hi") - 0.5), F.col("height")).cast("int")
-    bands = bands.withColumns({"top": top, "bottom": bottom}).where("bottom > top and size(act) >= 2")
-
-    def at(e: Column, mid: Column) -> Column:
-        return e["xa"] + (mid - e["ya"]) * (e["xb"] - e["xa"]) / (e["yb"] - e["ya"])
-
-    mid = F.col("y") + 0.5
-    # nearly all bands have one left and one right edge: plain arithmetic per row
-    two = bands.where(F.size("act") == 2).select(*keys, "width", F.element_at("act", 1).alias("e1"), F.element_at("act", 2).alias("e2"), F.explode(F.sequence("top", F.col("bottom") - 1)).alias("y"))
-    xa, xb = at(F.col("e1"), mid), at(F.col("e2"), mid)
-    simple = two.select(*keys, "y", "width", F.least(xa, xb).alias("a"), F.greatest(xa, xb).alias("b"))
-    more = bands.where(F.size("act") > 2).select(*keys, "width", "act", F.explode(F.sequence("top", F.col("bottom") - 1)).alias("y"))
-    more = more.select(*keys, "y", "width", F.array_sort(F.transform("act", lambda e: at(e, mid))).alias("c"))
-    pairs = F.transform(F.sequence(F.lit(1), (F.size("c") / 2).cast("int")), lambda i: F.struct(F.element_at("c", 2 * i - 1).alias("a"), F.element_at("c", 2 * i).alias("b")))
-    runs = simple.unionByName(more.select(*keys, "y", "width", F.explode(pairs).alias("r")).select(*keys, "y", "width", "r.*"))
-    x0 = F.greatest(F.ceil(F.col("a") - 0.5), F.lit(0)).cast("int")
-    x1 = F.least(F.ceil(F.col("b") - 0.5), F.col("width")).cast("int")
-    return runs.select(*keys, "y", x0.alias("x0"), x1.alias("x1")).where("x1 > x0")
+    known = images.where("width is not null and height is not null").select("image_id", "width", "height")
+    base = polygons.where("rings is not null").join(known, "image_id").select(*keys, F.col("rings").cast("array<array<double>>").alias("rings"), "width", "height")
+    kinds = StructType([*[base.schema[k] for k in keys], *[StructField(c, IntegerType()) for c in ("y", "x0", "x1")]])
+    return base.mapInArrow(_rasterise(keys, rule == "union"), kinds)
+
+
+def polygon_to_runs(polygons: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`rings_to_runs` of single outlines in `ring`, filled even-odd."""
+    return rings_to_runs(polygons.select(*keys, F.array("ring").alias("rings")), images, keys, "evenodd")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, sweep
+from ..operators import masks, matching, sweep, tiles
 from .fixtures import MODELS
 from .materialise import materialise
 from .registry import query
@@ -111,6 +111,69 @@ def _(t):
     return matched_df(t).select("model", "image_id", "pred_idx", "score_pct", "gt_idx", F.round("iou", 6).alias("iou"), "is_tp")
 
 
+# ground truths are frames (an outline with a hole), predictions a U of three overlapping rings
+FRAME = """
+gb as (select *, (x1 - x0) // 4 as a, (y1 - y0) // 4 as b from fx_gt),
+gr as (select image_id, gt_idx, x0 as u0, x1 as u1, y0 as v0, y0 + b as v1 from gb
+  union all select image_id, gt_idx, x0, x1, y1 - b, y1 from gb
+  union all select image_id, gt_idx, x0, x0 + a, y0 + b, y1 - b from gb
+  union all select image_id, gt_idx, x1 - a, x1, y0 + b, y1 - b from gb)
+"""
+RING_PAIRS = FRAME + """,
+db as (select *, (x1 - x0) // 4 as a, (y1 - y0) // 4 as b from fx_det),
+dr as (select model, image_id, pred_idx, x0 as u0, x0 + a as u1, y0 as v0, y1 - b as v1 from db
+  union all select model, image_id, pred_idx, x1 - 2 * a, x1, y0, y1 - b from db
+  union all select model, image_id, pred_idx, x0, x1, y1 - b, y1 from db),
+ga as (select image_id, gt_idx, sum((u1 - u0) * (v1 - v0)) as area from gr group by 1, 2),
+da as (select model, image_id, pred_idx, sum((u1 - u0) * (v1 - v0)) as area from dr group by 1, 2, 3),
+met as (select d.model, d.image_id, d.pred_idx, g.gt_idx, sum((least(d.u1, g.u1) - greatest(d.u0, g.u0)) * (least(d.v1, g.v1) - greatest(d.v0, g.v0))) as inter
+  from dr d join gr g on g.image_id = d.image_id and d.u0 < g.u1 and g.u0 < d.u1 and d.v0 < g.v1 and g.v0 < d.v1 group by 1, 2, 3, 4),
+pairs as (select m.*, inter / (da.area + ga.area - inter) as iou from met m join da using (model, image_id, pred_idx) join ga using (image_id, gt_idx))
+"""
+
+
+def frames_df(t):
+    w, h = F.floor((F.col("x1") - F.col("x0")) / 4), F.floor((F.col("y1") - F.col("y0")) / 4)
+    box = lambda x0, y0, x1, y1: F.array(*[v.cast("double") for v in (x0, y0, x1, y0, x1, y1, x0, y1)])
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    frames = t.fx_gt.select("image_id", "gt_idx", F.array(box(x0, y0, x1, y1), box(x0 + w, y0 + h, x1 - w, y1 - h)).alias("rings"))
+    us = t.fx_det.select("model", "image_id", "pred_idx", F.array(box(x0, y0, x0 + w, y1), box(x1 - 2 * w, y0, x1, y1), box(x0, y1 - h, x1, y1)).alias("rings"))
+    return (
+        tiles.rings_to_runs(frames, t.fx_scene, ["image_id", "gt_idx"], "evenodd"),
+        tiles.rings_to_runs(us, t.fx_scene, ["model", "image_id", "pred_idx"], "union"),
+    )
+
+
+def mask_df(runs, keys):
+    area = runs.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+    return masks.runs_to_blocks(runs, keys).join(area, keys)
+
+
+@query("h8_rings_match", VIEWS, "with recursive " + RING_PAIRS + "," + walk("0.3") + "select model, image_id, pred_idx, gt_idx, round(iou, 9) as iou, is_tp from m")
+def _(t):
+    frames, us = frames_df(t)
+    dets = mask_df(us, ["model", "image_id", "pred_idx"]).join(t.fx_det.select("model", "image_id", "pred_idx", "score_pct"), ["model", "image_id", "pred_idx"])
+    pairs = matching.iou_pairs(dets, mask_df(frames, ["image_id", "gt_idx"]), min_iou=0.3)
+    found = matching.match_greedy(pairs, t.fx_det, 0.3)
+    return found.select("model", "image_id", "pred_idx", "gt_idx", F.round("iou", 9).alias("iou"), "is_tp")
+
+
+@query("h8_rings_components", "fx_gt fx_scene", "with recursive " + FRAME + """,
+nodes as (select *, row_number() over (partition by image_id order by gt_idx, v0, u0) as k from gr),
+reach(image_id, root, k) as (
+  select image_id, k, k from nodes
+  union
+  select r.image_id, r.root, o.k from reach r join nodes n on n.image_id = r.image_id and n.k = r.k
+    join nodes o on o.image_id = n.image_id and o.u0 <= n.u1 and n.u0 <= o.u1 and o.v0 <= n.v1 and n.v0 <= o.v1),
+named as (select image_id, k, min(root) as root from reach group by 1, 2)
+select n.image_id, cast(min(u0) as bigint) as x, cast(min(v0) as bigint) as y, cast(max(u1) - min(u0) as bigint) as width, cast(max(v1) - min(v0) as bigint) as height
+from nodes n join named using (image_id, k) group by n.image_id, root""")
+def _(t):
+    runs = frames_df(t)[0].withColumn("y1", F.col("y") + 1).withColumnRenamed("y", "y0")
+    runs = masks.flatten_blocks(runs, ["image_id"])
+    return masks.region_table(masks.label_runs(runs)).select("image_id", "x", "y", "width", "height")
+
+
 @query("a49_match_details", VIEWS, MATCH + """select d.model, d.image_id, d.pred_idx, d.score_pct, best_g as best_gt_idx, round(best_i, 6) as mask_iou,
   case when is_tp = 1 then 'TP' else 'FP' end as classification, d.area, d.x0, d.y0, d.x1, d.y1
   from m join fx_det d on d.model = m.model and d.image_id = m.image_id and d.pred_idx = m.pred_idx""")

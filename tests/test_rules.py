@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 import random
 
 import pytest
@@ -215,6 +216,50 @@ def test_polygons_against_point_in_polygon(spark):
             assert len(got[k] ^ want) <= 2
 
 
+def inside(ring, x, y):
+    pts, hit = list(zip(ring[::2], ring[1::2])), False
+    for (xa, ya), (xb, yb) in zip(pts, pts[1:] + pts[:1]):
+        if (ya <= y) != (yb <= y) and x >= xa + (y - ya) * (xb - xa) / (yb - ya):
+            hit = not hit
+    return hit
+
+
+@pytest.mark.parametrize("rule", ["union", "evenodd"])
+@pytest.mark.parametrize("load", [2_000_000, 50])
+def test_polygons_of_several_rings(spark, monkeypatch, rule, load):
+    monkeypatch.setattr(tiles, "CROSSINGS", load)
+    rng = random.Random(13)
+    ring = lambda: [rng.choice([rng.uniform(-8, 48), float(rng.randrange(40))]) for _ in range(2 * rng.randrange(3, 9))]
+    polygons = {i: [ring() for _ in range(rng.randrange(1, 5))] for i in range(40)}
+    polygons |= {50: [], 51: None, 52: [[1.0, 1.0, 5.0, 5.0]], 53: [None, [0.0, 0.0, 9.0, 0.0, 9.0, 9.0, 0.0, 9.0, 7.0]], 54: [[0.0, 0.0, None, 0.0, 9.0, 9.0]], 55: [[3.0, 3.0, 3.0, 3.0, 3.0, 3.0]]}
+    df = spark.createDataFrame([(1, k, r) for k, r in polygons.items()] + [(2, 99, [[0.0, 0.0, 9.0, 0.0, 9.0, 9.0]]), (None, 98, [])], "image_id bigint, id bigint, rings array<array<double>>")
+    images = spark.createDataFrame([(1, 40, 30), (3, None, 4)], "image_id bigint, width int, height int")
+    got = {k: set() for k in polygons}
+    for r in tiles.rings_to_runs(df, images, ["image_id", "id"], rule).collect():
+        new = {(r.y, x) for x in range(r.x0, r.x1)}
+        assert new and not new & got[r.id]
+        got[r.id] |= new
+    for k, rings in polygons.items():
+        good = [r[: len(r) // 2 * 2] for r in rings or [] if r and len(r) >= 6 and None not in r]
+        hits = {(y, x): sum(inside(r, x + 0.5, y + 0.5) for r in good) for y in range(30) for x in range(40)}
+        assert got[k] == {p for p, n in hits.items() if (n > 0 if rule == "union" else n % 2)}, k
+    assert tiles.rings_to_runs(df.limit(0), images, ["id"], rule).count() == 0
+
+
+def test_long_outline_is_filled_quickly(spark):
+    n, size = 10_000, 4_000
+    ring = [v for k in range(n) for a in (2 * math.pi * k / n,) for r in (1_500 + 300 * math.sin(40 * a),) for v in (2_000 + r * math.cos(a), 2_000 + r * math.sin(a))]
+    df = spark.createDataFrame([(1, [ring])], "image_id bigint, rings array<array<double>>")
+    images = spark.createDataFrame([(1, size, size)], "image_id bigint, width int, height int")
+    run = lambda: tiles.rings_to_runs(df, images, ["image_id"]).selectExpr("sum(x1 - x0)").first()[0]
+    run()  # workers and plans are warm
+    start = time.time()
+    got = run()
+    assert time.time() - start < 5
+    area = sum(ring[i] * ring[(i + 3) % (2 * n)] - ring[(i + 2) % (2 * n)] * ring[i + 1] for i in range(0, 2 * n, 2)) / 2
+    assert got == pytest.approx(area, rel=1e-4)
+
+
 def test_haversine(spark):
     d = spark.range(1).select(geo.haversine(F.lit(21.17), F.lit(72.83), F.lit(21.18), F.lit(72.83)).alias("d")).first().d
     assert d == pytest.approx(6371000 * math.radians(0.01), rel=1e-9)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, matching, sweep, tiles
+from ..operators import copies, masks, matching, sweep, tiles
 from .fixtures import MODELS
 from .materialise import materialise
 from .registry import query
@@ -174,6 +174,49 @@ def _(t):
     return masks.region_table(masks.label_runs(runs)).select("image_id", "x", "y", "width", "height")
 
 
+# mosaics of all scenes of a customer, boxes snapped to a coarse grid: the same box occurs many times
+SNAP = """
+cs as (select distinct image_id, custkey from fx_scene),
+cd as (select d.model, s.custkey as image_id, d.pred_idx * 131072 + d.image_id % 131072 as pred_idx, d.score_pct, d.x0 // 90 * 90 as x0, d.y0 // 90 * 90 as y0, d.x0 // 90 * 90 + 80 + 20 * (d.pred_idx % 2) as x1,
+    d.y0 // 90 * 90 + 90 as y1, cast((80 + 20 * (d.pred_idx % 2)) * 90 as bigint) as area from fx_det d join cs s on s.image_id = d.image_id),
+cg as (select s.custkey as image_id, g.gt_idx * 131072 + g.image_id % 131072 as gt_idx, g.x0 // 90 * 90 as x0, g.y0 // 90 * 90 as y0, g.x0 // 90 * 90 + 90 + 10 * (g.gt_idx % 2) as x1,
+    g.y0 // 90 * 90 + 90 as y1, cast((90 + 10 * (g.gt_idx % 2)) * 90 as bigint) as area from fx_gt g join cs s on s.image_id = g.image_id)
+"""
+SNAP_PAIRS = SNAP + "," + PAIRS.replace("fx_det", "cd").replace("fx_gt", "cg")
+
+
+def snapped(t):
+    scenes = t.fx_scene.select("image_id", "custkey")
+    at = lambda c: F.floor(F.col(c) / 90) * 90
+
+    def snap(df, idx, wide, keep):
+        w = wide(F.col(idx) % 2)
+        box = [at("x0").alias("x0"), at("y0").alias("y0"), (at("x0") + w).alias("x1"), (at("y0") + 90).alias("y1"), (w * 90).cast("long").alias("area")]
+        own = (F.col(idx) * 131_072 + F.col("image_id") % 131_072).alias(idx)  # an id is unique within a scene only
+        return df.join(scenes, "image_id").select(*keep, F.col("custkey").alias("image_id"), own, *box)
+
+    return snap(t.fx_det, "pred_idx", lambda odd: 80 + 20 * odd, ["model", "score_pct"]), snap(t.fx_gt, "gt_idx", lambda odd: 90 + 10 * odd, [])
+
+
+@query("j7_match_copies", VIEWS, "with recursive " + SNAP_PAIRS + "," + walk().replace("fx_det", "cd") + "select model, image_id, pred_idx, gt_idx, round(iou, 9) as iou, is_tp from m")
+def _(t):
+    dets, gts = (materialise(x, "snapped") for x in snapped(t))
+    got = copies.match_masks(dets, gts, pair_limit=200)
+    return got.select("model", "image_id", "pred_idx", "gt_idx", F.round("iou", 9).alias("iou"), "is_tp")
+
+
+@query("j6_shape_pairs", VIEWS, "with " + SNAP + """,
+ds as (select model, image_id, x0, x1, y0, y1, area, min(pred_idx) as pred_shape, count(*) as n_pred from cd group by all),
+gs as (select image_id, x0, x1, y0, y1, area, min(gt_idx) as gt_shape, count(*) as n_gt from cg group by all),
+p as (select d.model, d.image_id, pred_shape, gt_shape, n_pred, n_gt, d.area + g.area as both_area, cast((least(d.x1, g.x1) - greatest(d.x0, g.x0)) * (least(d.y1, g.y1) - greatest(d.y0, g.y0)) as bigint) as inter
+  from ds d join gs g on g.image_id = d.image_id and d.x0 < g.x1 and g.x0 < d.x1 and d.y0 < g.y1 and g.y0 < d.y1)
+select model, image_id, pred_shape, gt_shape, n_pred, n_gt, inter, both_area - inter as union_px, round(inter / (both_area - inter), 9) as iou from p""")
+def _(t):
+    dets, gts = (materialise(x, "snapped") for x in snapped(t))
+    shapes = [copies.fold_shapes(m, on, idx)[1] for m, on, idx in ((dets, ["model", "image_id"], "pred_idx"), (gts, ["image_id"], "gt_idx"))]
+    return copies.shape_pairs(dets, gts, *shapes).withColumn("iou", F.round("iou", 9))
+
+
 @query("a49_match_details", VIEWS, MATCH + """select d.model, d.image_id, d.pred_idx, d.score_pct, best_g as best_gt_idx, round(best_i, 6) as mask_iou,
   case when is_tp = 1 then 'TP' else 'FP' end as classification, d.area, d.x0, d.y0, d.x1, d.y1
   from m join fx_det d on d.model = m.model and d.image_id = m.image_id and d.pred_idx = m.pred_idx""")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from maskfold.operators import matching, sweep
+from maskfold.operators import copies, matching, sweep
 
 DET = "model string, image_id bigint, pred_idx bigint, score_pct int, x0 int, y0 int, x1 int, y1 int, area bigint"
 GT = "image_id bigint, gt_idx bigint, x0 int, y0 int, x1 int, y1 int, area bigint"
@@ -118,3 +118,41 @@ def test_pick_order(spark):
     rows = [("m", 70, 0.8, 5.0, 0.7), ("m", 60, 0.8, 4.0, 0.6), ("m", 65, 0.8, 4.0, 0.7), ("m", 64, 0.8, 4.0, 0.7), ("m", 50, 0.7, 0.0, 0.9)]
     df = spark.createDataFrame(rows, "model string, threshold_pct int, f1 double, negative_fp_rate_percent double, recall double")
     assert sweep.pick_threshold(df).first().threshold_pct == 64
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_matching_of_copies(spark, data, limit):
+    dets, gts, d, g = data
+    assert got_match(copies.match_masks(d, g, pair_limit=limit)) == brute_match(dets, gts)
+
+
+def test_copies_of_shapes_that_fit_equally_well(spark):
+    rng = random.Random(21)
+    # two shapes on either side of a prediction with the same IoU, their copies' ids interleaved
+    boxes = [(0, 0, 20, 20, 400), (10, 0, 30, 20, 400), (5, 0, 25, 20, 400), (5, 5, 25, 25, 400)]
+    ids = rng.sample(range(1_000), 24)
+    gts = [(i, k, *rng.choice(boxes[:2])) for i in (1, 2) for k in ids]
+    dets = [("m", i, p, rng.choice([60, 70, 80]), *rng.choice(boxes)) for i in (1, 2) for p in range(40)]
+    got = copies.match_masks(spark.createDataFrame(dets, DET), spark.createDataFrame(gts, GT), 0.3, pair_limit=0)
+    assert got_match(got) == brute_match(dets, gts, 0.3)
+
+
+def test_a_hundred_thousand_copies_in_one_image(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    det = spark.range(n).select(F.lit("m").alias("model"), F.lit(1).cast("long").alias("image_id"), F.col("id").alias("pred_idx"), (50 + F.col("id") % 51).cast("int").alias("score_pct"),
+        *[F.lit(v).alias(c) for c, v in (("x0", 5), ("y0", 5), ("x1", 25), ("y1", 25))], F.lit(400).cast("long").alias("area"))
+    gt = spark.range(n - 10).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("gt_idx"), *[F.lit(v).alias(c) for c, v in (("x0", 6), ("y0", 5), ("x1", 26), ("y1", 25))], F.lit(400).cast("long").alias("area"))
+    shapes = copies.shape_pairs(det, gt, copies.fold_shapes(det, ["model", "image_id"], "pred_idx")[1], copies.fold_shapes(gt, ["image_id"], "gt_idx")[1])
+    assert [(r.n_pred, r.n_gt, r.inter) for r in shapes.collect()] == [(n, n - 10, 380)]
+    got = {r.pred_idx: r.gt_idx for r in copies.match_masks(det, gt).collect()}
+    order = sorted(range(n), key=lambda p: (-(50 + p % 51), p))
+    assert got == {p: (k if k < n - 10 else None) for k, p in enumerate(order)}
+
+
+def test_equal_masks_of_several_blocks_are_one_shape(spark):
+    rows = [(1, 5, y, y + 2, 0, 4) for y in (0, 4)] + [(1, 3, y, y + 2, 0, 4) for y in (4, 0)] + [(1, 4, 0, 2, 0, 4), (2, 9, 0, 2, 0, 4)]
+    members, shapes = copies.fold_shapes(spark.createDataFrame(rows, "image_id bigint, gt_idx bigint, y0 int, y1 int, x0 int, x1 int"), ["image_id"], "gt_idx")
+    assert sorted((r.image_id, r.gt_idx, r.shape) for r in members.collect()) == [(1, 3, 3), (1, 4, 4), (1, 5, 3), (2, 9, 9)]
+    assert sorted((r.image_id, r.shape, r.n) for r in shapes.collect()) == [(1, 3, 2), (1, 4, 1), (2, 9, 1)]

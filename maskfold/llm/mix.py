@@ -94,10 +94,11 @@ def sample(
 
     # what the prefix leaves of a source's rest, and the row behind it that fits there best
     gaps = out.groupBy("source", "__rest").agg((F.col("__rest") - F.coalesce(F.max(F.when(F.col("__upto") <= F.col("__rest"), F.col("__upto"))), F.lit(0))).alias("__gap"))
-    gaps = gaps.select(F.col("source").alias("__s"), "__gap").where("__gap > 0")
+    # written, so that their size is known and small ones are joined without dealing the rows by source
+    gaps = materialise(gaps.select(F.col("source").alias("__s"), "__gap").where("__gap > 0"), "gaps")
     behind = out.where("__upto > __rest and size > 0").join(gaps, F.col("source").eqNullSafe(F.col("__s")))
     best = behind.groupBy("__s", "__gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("__gap")).alias("off"), F.col("__upto").alias("upto"))).alias("b"))
-    best = best.where("b.off < __gap").select("__s", F.col("b.upto").alias("__pick"))
+    best = materialise(best.where("b.off < __gap").select("__s", F.col("b.upto").alias("__pick")), "picks")
     out = out.join(best, F.col("source").eqNullSafe(F.col("__s")), "left")
     more = ((F.col("__upto") <= F.col("__rest")) | F.coalesce(F.col("__upto") == F.col("__pick"), F.lit(False))) & (F.col("size") > 0)
     out = out.withColumn("more", more.cast("int"))

@@ -21,11 +21,15 @@ DAYS_PER_YEAR = 365.25
 FILL_VALUE = -999.0
 
 
+def daily_unit(unit: Column) -> Column:
+    """Whether a unit is kWh per day in some spelling; null is not."""
+    u = F.lower(F.coalesce(unit, F.lit("")))
+    return u.contains("day") & (u.contains("kwh") | u.contains("kw-hr"))
+
+
 def annual_ghi(daily: Column, unit: Column) -> Column:
     """Daily irradiation x 365.25, only for per-day kWh units."""
-    u = F.lower(unit)
-    ok = u.contains("day") & (u.contains("kwh") | u.contains("kw-hr"))
-    return F.when(ok, half_even(daily * DAYS_PER_YEAR, 2))
+    return F.when(daily_unit(unit), half_even(daily * DAYS_PER_YEAR, 2))
 
 
 def physical_area(df: DataFrame) -> DataFrame:
@@ -60,11 +64,19 @@ def _reasons(*conds: tuple[Column, str]) -> Column:
 def energy(df: DataFrame) -> DataFrame:
     """Annual energy = area x GHI x efficiency x performance ratio, null when any reason applies.
 
-    Uses `solar_area_m2`, `physical_area_status`, `annual_ghi`, `efficiency`, `performance_ratio`.
+    Uses `solar_area_m2`, `physical_area_status`, `annual_ghi`, `efficiency`, `performance_ratio`. Where `source_daily_ghi`
+    and `source_unit` are given, a missing annual value is derived from them, or their unit is a reason of its own.
     """
     g, n, p = F.col("annual_ghi"), F.col("efficiency"), F.col("performance_ratio")
+    unit_reason = F.lit(False)
+    if {"source_daily_ghi", "source_unit"} <= set(df.columns):
+        daily, unit = F.col("source_daily_ghi"), F.col("source_unit")
+        unit_reason = g.isNull() & daily.isNotNull() & ~daily_unit(unit)
+        df = df.withColumns({"__unit": unit_reason, "annual_ghi": F.coalesce(g, annual_ghi(daily, unit))})
+        unit_reason = F.col("__unit")
     reasons = _reasons(
         (F.col("solar_area_m2").isNull() | (F.col("physical_area_status") != "calculated"), "area_unavailable"),
+        (unit_reason, "ghi_unit_incompatible"),
         (g.isNull(), "ghi_missing"),
         (~g.between(*ANNUAL_GHI_RANGE), "ghi_implausible"),
         (n.isNull(), "efficiency_missing"),
@@ -72,7 +84,7 @@ def energy(df: DataFrame) -> DataFrame:
         (p.isNull(), "performance_ratio_missing"),
         (~p.between(*PERFORMANCE_RANGE), "performance_ratio_implausible"),
     )
-    out = df.withColumn("energy_reasons", reasons)
+    out = df.withColumn("energy_reasons", reasons).drop("__unit")
     ok = F.size("energy_reasons") == 0
     return out.withColumns(
         {

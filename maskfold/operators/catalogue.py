@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import base_name, parse_sample_id
+from ..plans.materialise import materialise
 
 
 class GateError(ValueError):
@@ -68,12 +69,28 @@ def attach_annotations(images: DataFrame, ann: DataFrame) -> DataFrame:
 
 
 def join_exactly_one(ids: DataFrame, files: DataFrame, key: str = "sampleid") -> tuple[DataFrame, DataFrame]:
-    """Ids with exactly one file, and the offenders with their file count."""
+    """Ids with exactly one file, and the offenders with their file count (see `files_of` for their files)."""
     per = files.groupBy(key).agg(F.count("*").alias("n_files"), F.min("filename").alias("filename"))
     joined = ids.join(per, key, "left").withColumn("n_files", F.coalesce("n_files", F.lit(0).cast("bigint")))
     return joined.where("n_files = 1").drop("n_files"), joined.where("n_files <> 1").select(key, "n_files")
 
 
+def files_of(offenders: DataFrame, files: DataFrame, key: str = "sampleid") -> DataFrame:
+    """One row per offender and file, with null for an offender without files: lists of any length."""
+    return offenders.join(files.select(key, "filename"), key, "left").select(key, "n_files", "filename")
+
+
+def require_one_to_one(ids: DataFrame, files: DataFrame, key: str = "sampleid") -> DataFrame:
+    """Ids with their one file; raises `GateError` with the offenders and their files if an id has none or several."""
+    good, bad = join_exactly_one(ids, files, key)
+    offenders = materialise(files_of(bad, files, key), "offenders")
+    n = offenders.select(key).distinct().count()
+    if n:
+        first = offenders.orderBy(key, "filename").first()
+        raise GateError(f"{n} ids without exactly one file, such as {first[key]} with {first.n_files}", offenders, n)
+    return good
+
+
 def protect(df: DataFrame, protected: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows in the protected list, and the rest."""
     names = protected.select(key).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import exact_avg, exact_std, half_even
 from ..plans.ordering import exact_percentiles
 from .catalogue import must_be_empty
+from . import masks
 from .masks import region_pixels
 
 
@@ -134,6 +135,31 @@ def band_summary(regions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return regions.groupBy(*by).agg(n.alias("total_regions"), *cols)
 
 
+def region_sweep(
+    pixels: DataFrame, maps: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ("image_id", "strategy"), prob: str = "p"
+) -> DataFrame:
+    """Pixels, coverage and regions (8 neighbours) of each map at each probability threshold.
+
+    `maps` has one row per map: keys, width, height; each keeps a row for every threshold, with zeros where nothing
+    passes. Largest and mean size are those of the regions of at least 20 pixels, null without one.
+    """
+    keys = list(keys)
+    ts = F.array(*[F.lit(float(v)) for v in sorted(thresholds)])
+    at = [*keys, "threshold"]
+    passed = pixels.select(*keys, "y", "x", F.explode(F.filter(ts, lambda v: F.col(prob) >= v)).alias("threshold"))
+    regions = masks.region_table(masks.label_runs(masks.pixels_to_runs(passed, at), at), at)
+    big = F.when(F.col("area") >= 20, F.col("area"))
+    per = regions.groupBy(*at).agg(
+        F.sum("area").alias("solar_pixels"), F.count("*").alias("raw_regions"), F.count_if(F.col("area") >= 10).alias("regions_min10"),
+        F.count(big).alias("regions_min20"), F.max(big).alias("largest"), half_even(F.avg(big), 2).alias("mean_size"),
+    )
+    grid = maps.select(*keys, (F.col("width").cast("bigint") * F.col("height")).alias("total"), F.explode(ts).alias("threshold"))
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("solar_pixels", "raw_regions", "regions_min10", "regions_min20")}
+    out = grid.join(per, at, "left").withColumns(zero)
+    coverage = half_even(F.col("solar_pixels") / F.col("total") * 100.0, 4)
+    return out.select(*at, "solar_pixels", coverage.alias("coverage_percent"), "raw_regions", "regions_min10", "regions_min20", "largest", "mean_size")
+
+
 def roi_stats(pixels: DataFrame, rois: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Probability summary inside boxes [x1, x2) x [y1, y2); rois (keys, roi, x1, y1, x2, y2).
 

@@ -301,9 +301,18 @@ def improvements(log: DataFrame) -> DataFrame:
 
 
 def review_queue(df: DataFrame, keys: Sequence[str], score: str = "score_pct") -> DataFrame:
-    """Stable ids from a declared row key, then ordered by score: adds `verification_id` and `queue_pos`."""
-    ids = running(df, [F.col(k) for k in keys], pos="__id").withColumn("verification_id", F.col("__id") - 1).drop("__id")
-    return running(ids, [-F.col(score), F.col("verification_id")], pos="queue_pos")
+    """Stable ids from a declared row key, then ordered by score: adds `verification_id` and `queue_pos`.
+
+    Ids that are there stay; rows without one are numbered on from the highest, or from 0 if there is none.
+    """
+    name = "verification_id"
+    old = df if name in df.columns else df.withColumn(name, F.lit(None).cast("bigint"))
+    old = materialise(old, "reviews")
+    top = old.agg(F.max(name)).first()[0]
+    new = running(old.where(F.col(name).isNull()), [F.col(k) for k in keys], pos="__id")
+    new = new.withColumn(name, F.col("__id") + (-1 if top is None else top)).drop("__id")
+    ids = old.where(F.col(name).isNotNull()).unionByName(new)
+    return running(ids, [-F.col(score), F.col(name), *[F.col(k) for k in keys]], pos="queue_pos")
 
 
 def review_progress(queue: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -68,24 +68,30 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 def micro_macro(
     metrics: DataFrame, by: Sequence[str], pre_round: int | None = None, where: Column | None = None, median: bool = True,
-    rollup: bool = False,
+    rollup: bool = False, two_class: bool = False,
 ) -> DataFrame:
     """Pooled metrics of the summed counts and mean/min/max/population std of the per-image values.
 
+    `two_class` adds the means of the per-image averages over foreground and background (`macro_mean_*`).
+
     `where` restricts the rows (positive images only), `pre_round` rounds per-image values first,
     `rollup` adds subtotals. The exact median comes from sorted value counts, not from a per-group list.
     """
     df = metrics.where(where) if where is not None else metrics
     if pre_round is not None:
         df = df.withColumns({m: F.round(m, pre_round) for m in HEADLINE})
+    macro = [f"macro_{m}" for m in HEADLINE] if two_class else []
+    if two_class:
+        df = two_class_macro(df)
     if median and not rollup:
-        df = materialise(df.select(*by, "tp", "fp", "fn", "tn", *HEADLINE, "accuracy", "fpr", "fnr"), "metrics")
+        df = materialise(df.select(*by, "tp", "fp", "fn", "tn", *HEADLINE, "accuracy", "fpr", "fnr", *macro), "metrics")
     grouped = df.rollup(*by) if rollup else df.groupBy(*by)
     agg = grouped.agg(
         F.count("*").alias("images"),
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
         *[F.avg(m).alias(f"mean_{m}") for m in HEADLINE],
         *[F.avg(m).alias(f"mean_{m}") for m in ("accuracy", "fpr", "fnr")],
+        *[F.avg(m).alias(f"macro_mean_{m.removeprefix('macro_')}") for m in macro],
         F.min("dice").alias("min_dice"),
         F.max("dice").alias("max_dice"),
         F.stddev_pop("dice").alias("std_dice"),
@@ -96,8 +102,8 @@ def micro_macro(
     tp, fp, fn = _c("tp", "fp", "fn")
     out = agg.withColumns(micro(tp, fp, fn))
     if median and not rollup:
-        med = exact_percentiles(_long(df, HEADLINE[:2], by), "v", {"median": 0.5}, [*by, "metric"])
-        med = med.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"median_{m}") for m in HEADLINE[:2]])
+        med = exact_percentiles(_long(df, HEADLINE, by), "v", {"median": 0.5}, [*by, "metric"])
+        med = med.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"median_{m}") for m in HEADLINE])
         out = out.join(med, list(by))
     keep = [*by, *(["level"] if rollup else []), "images", "tp", "fp", "fn", "tn"]
     return out.select(*keep, *[F.round(c, 6).alias(c) for c in out.columns if c not in keep])

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialise import materialise
+from ..plans.ordering import exact_percentiles
+
 EPS = 1e-7
 
 
@@ -180,7 +183,7 @@ def method_comparison(per_image: DataFrame, baseline: str) -> DataFrame:
 
 
 def sweep_pixels(pixels: DataFrame, thresholds: Sequence[float], prob: str = "p", truth: str = "gt") -> DataFrame:
-    """Micro and positive-image pixel metrics at several probability thresholds in one pass.
+    """Micro and positive-image pixel metrics (means, exact medians of Dice and IoU) at several probability thresholds in one pass.
 
     Each pixel is counted once, under the number of thresholds it passes; counts at a threshold are
     sums over the higher buckets. After the per-image aggregation there are at most
@@ -210,11 +213,17 @@ def sweep_pixels(pixels: DataFrame, thresholds: Sequence[float], prob: str = "p"
     prec = F.when(none, 0.0).otherwise(tp / (tp + fp + EPS))
     rec = F.when(none, 0.0).otherwise(tp / (tp + fn + EPS))
     has = F.col("gt") > 0
+    long = materialise(long.select("threshold", "gt", "total", "np", "tp", dice.alias("dice"), iou.alias("iou")), "sweep")
+    dice, iou = F.col("dice"), F.col("iou")
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("dice", "iou")])
+    values = long.where(has).select("threshold", F.inline(each))
+    median = exact_percentiles(values, "v", {"median": 0.5}, ["threshold", "metric"])
+    median = median.groupBy("threshold").agg(*[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"median_{m}") for m in ("dice", "iou")])
     agg = long.groupBy("threshold").agg(
         F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"), F.sum(F.col("total") - F.col("np") - F.col("gt") + tp).alias("tn"),
         F.avg(F.when(has, dice)).alias("mean_dice"), F.avg(F.when(has, iou)).alias("mean_iou"),
         F.avg(F.when(has, prec)).alias("mean_precision"), F.avg(F.when(has, rec)).alias("mean_recall"),
-    )
+    ).join(median, "threshold", "left")
     t, f, n = F.col("tp"), F.col("fp"), F.col("fn")
     return agg.select(
         "threshold", "tp", "fp", "fn", "tn",
@@ -223,5 +232,5 @@ def sweep_pixels(pixels: DataFrame, thresholds: Sequence[float], prob: str = "p"
         F.round(t / (t + f + EPS), 4).alias("micro_precision"),
         F.round(t / (t + n + EPS), 4).alias("micro_recall"),
         F.round((t + F.col("tn")) / (t + F.col("tn") + f + n), 4).alias("micro_accuracy"),
-        *[F.round(c, 4).alias(c) for c in ("mean_dice", "mean_iou", "mean_precision", "mean_recall")],
+        *[F.round(c, 4).alias(c) for c in ("mean_dice", "median_dice", "mean_iou", "median_iou", "mean_precision", "mean_recall")],
     )

@@ -125,6 +125,26 @@ def _(t):
         "image_id", F.col("roi").alias("label"), "area", F.col("pixels").alias("box_pixels"), "mean_p", "max_p")
 
 
+@query("a17_region_sweep_maps", "fx_raster fx_image8", """with recursive maps as (select image_id, y, x, 'tiled' as strategy, p from fx_raster union all
+  select image_id, y, x, 'letterbox', round(p * p, 6) from fx_raster),
+th as (select unnest([0.2::double, 0.3, 0.4, 0.5, 0.6]) as t),
+px as (select t, strategy, image_id, y, x from maps join th on p >= t),
+fl(t, strategy, image_id, sy, sx, y, x) as (select t, strategy, image_id, y, x, y, x from px union select f.t, f.strategy, f.image_id, f.sy, f.sx, p.y, p.x from fl f join px p
+  on p.t = f.t and p.strategy = f.strategy and p.image_id = f.image_id and abs(p.y - f.y) <= 1 and abs(p.x - f.x) <= 1),
+lab as (select t, strategy, image_id, y, x, min(sy * 100 + sx) as label from fl group by all),
+reg as (select t, strategy, image_id, label, count(*) as area from lab group by all),
+per as (select t, strategy, image_id, sum(area) as n, count(*) as raw, count(*) filter (where area >= 10) as r10, count(*) filter (where area >= 20) as r20,
+  max(area) filter (where area >= 20) as largest, avg(area) filter (where area >= 20) as mean_area from reg group by all)
+select i.image_id, s.strategy, th.t as threshold, cast(coalesce(n, 0) as bigint) as solar_pixels, """ + he("coalesce(n, 0) / 64 * 100.0", 4) + """ as coverage_percent, coalesce(raw, 0) as raw_regions,
+  coalesce(r10, 0) as regions_min10, coalesce(r20, 0) as regions_min20, largest, """ + he("mean_area", 2) + """ as mean_size
+from fx_image8 i cross join th cross join (select unnest(['tiled', 'letterbox']) as strategy) s left join per on per.t = th.t and per.strategy = s.strategy and per.image_id = i.image_id""")
+def _(t):
+    px = t.fx_raster.select("image_id", "y", "x", F.lit("tiled").alias("strategy"), "p")
+    px = px.unionAll(t.fx_raster.select("image_id", "y", "x", F.lit("letterbox"), F.round(F.col("p") * F.col("p"), 6)))
+    maps = t.fx_image8.withColumn("strategy", F.explode(F.array(F.lit("tiled"), F.lit("letterbox"))))
+    return confidence.region_sweep(px, maps, (0.2, 0.3, 0.4, 0.5, 0.6))
+
+
 @query("a17_region_sweep", "fx_raster", "with recursive rs as (select r.*, th as t from fx_raster r cross join (select unnest([0.3::double, 0.4, 0.5, 0.6, 0.7]) as th) q where p >= th)," + """
 px as (select t, image_id, y, x from rs),
 fl(t, image_id, sy, sx, y, x) as (select t, image_id, y, x, y, x from px union select f.t, f.image_id, f.sy, f.sx, p.y, p.x from fl f join px p

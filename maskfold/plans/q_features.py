@@ -191,11 +191,11 @@ def _(t):
     return hn_df(t).orderBy(*order, "image_id").limit(20).select("image_id", "priority_score", "max_confidence", "high_confidence_prediction_count")
 
 
-@query("t4_topk_per_label", VIEWS, MATCH + """select classification, image_id, pred_idx, score_pct, rank from (select case when is_tp = 1 then 'TP' else 'FP' end as classification, image_id, pred_idx, score_pct,
-  cast(row_number() over (partition by is_tp order by score_pct desc, image_id, pred_idx) as int) as rank from m where model = 'm0') q where rank <= 10""")
+@query("t4_topk_per_label", VIEWS, MATCH + """select model, classification, image_id, pred_idx, score_pct, rank from (select model, case when is_tp = 1 then 'TP' else 'FP' end as classification, image_id, pred_idx, score_pct,
+  cast(row_number() over (partition by model, is_tp order by score_pct desc, image_id, pred_idx) as int) as rank from m) q where rank <= 10""")
 def _(t):
-    m = matched_df(t).where("model = 'm0'").withColumn("classification", F.when(F.col("is_tp") == 1, "TP").otherwise("FP"))
-    return features.top_per(m, ["classification"], [F.col("score_pct").desc(), F.col("image_id"), F.col("pred_idx")], 10).select("classification", "image_id", "pred_idx", "score_pct", "rank")
+    m = matched_df(t).withColumn("classification", F.when(F.col("is_tp") == 1, "TP").otherwise("FP"))
+    return features.top_per(m, ["model", "classification"], [F.col("score_pct").desc(), F.col("image_id"), F.col("pred_idx")], 10).select("model", "classification", "image_id", "pred_idx", "score_pct", "rank")
 
 
 @query("t4_topk_per_category", VIEWS, MAXIOU + "select diagnostic_category, model, image_id, pred_idx, score_pct from (select *, row_number() over (partition by diagnostic_category order by score_pct desc, model, image_id, pred_idx) as rn from diag) q where rn <= 6")
@@ -247,6 +247,14 @@ def _(t):
     return features.review_queue(t.fx_labelled.select("image_id", "cand_id", "score_pct"), ["image_id", "cand_id"]).drop("score_pct")
 
 
+@query("w7_keep_ids", "fx_labelled", """with g as (select image_id, cand_id, score_pct, case when cand_id % 3 <> 0 then cand_id * 2 + 5 end as given from fx_labelled),
+i as (select image_id, cand_id, score_pct, coalesce(given, (select max(given) from g) + row_number() over (partition by given is null order by image_id, cand_id)) as verification_id from g)
+select image_id, cand_id, verification_id, row_number() over (order by score_pct desc, verification_id, image_id, cand_id) as queue_pos from i""")
+def _(t):
+    given = t.fx_labelled.select("image_id", "cand_id", "score_pct", F.when(F.col("cand_id") % 3 != 0, F.col("cand_id") * 2 + 5).alias("verification_id"))
+    return features.review_queue(given, ["image_id", "cand_id"]).drop("score_pct")
+
+
 @query("w8_review_progress", "fx_labelled", "select count(*) as total, count(*) filter (where fold <> 4) as completed, count(*) filter (where fold = 4) as remaining from fx_labelled")
 def _(t):
     q = t.fx_labelled.select("image_id", "cand_id")

@@ -315,6 +315,28 @@ def _(t):
     return energy_df(t).select("image_id", "scenario", "energy_kwh_year", "energy_status", F.array_join("energy_reasons", ";").alias("reasons"))
 
 
+UNITS = AREA.replace("with ", "with irr1 as (select custkey, case when ann between 0.1 and 12.0 then ann end as daily from fx_irradiance),", 1) + """,
+u0 as (select a.*, i.daily, case when image_id % 5 = 0 then 1800.0::double end as given,
+  case image_id % 4 when 0 then 'kW-hr/m^2/day' when 1 then 'MJ/m^2/day' when 2 then 'kWh/m2/Day' end as unit from ar a left join irr1 i on i.custkey = a.image_id % 1000),
+u1 as (select *, coalesce(unit, '') ilike '%day%' and (coalesce(unit, '') ilike '%kwh%' or coalesce(unit, '') ilike '%kw-hr%') as fits from u0),
+u2 as (select *, coalesce(given, case when fits then """ + he("daily * 365.25::double", 2) + """ end) as ghi from u1),
+u3 as (select *, list_filter([case when area is null then 'area_unavailable' end, case when given is null and daily is not null and not fits then 'ghi_unit_incompatible' end,
+  case when ghi is null then 'ghi_missing' end, case when not (ghi between 500 and 3500) then 'ghi_implausible' end], lambda r: r is not null) as reasons from u2)
+select image_id, ghi as annual_ghi, case when len(reasons) = 0 then """ + he("area * ghi * 0.2::double * 0.75::double", 2) + """ end as energy_kwh_year, array_to_string(reasons, ';') as reasons from u3"""
+
+
+@query("h15_energy_units", "fx_geo fx_manual fx_irradiance", UNITS)
+def _(t):
+    irr = irradiance_df(t).select(F.col("custkey").alias("ik"), F.when(F.col("reason").isNull(), F.col("ann")).alias("source_daily_ghi"))
+    a = area_df(t).withColumn("ik", F.col("image_id") % 1000).join(irr, "ik", "left")
+    k = F.col("image_id") % 4
+    a = a.withColumns({
+        "source_unit": F.when(k == 0, "kW-hr/m^2/day").when(k == 1, "MJ/m^2/day").when(k == 2, "kWh/m2/Day"),
+        "annual_ghi": F.when(F.col("image_id") % 5 == 0, F.lit(1800.0)), "efficiency": F.lit(0.20), "performance_ratio": F.lit(0.75),
+    })
+    return physics.energy(a).select("image_id", "annual_ghi", "energy_kwh_year", F.array_join("energy_reasons", ";").alias("reasons"))
+
+
 @query("h17_co2", "fx_geo fx_manual fx_irradiance", EN + "select image_id, scenario, kg as co2_kg_year, " + he("kg / 1000", 4) + " as co2_tonnes_year, case when len(creasons) = 0 then 'estimated' else 'insufficient_data' end as co2_status, array_to_string(creasons, ';') as reasons from ck")
 def _(t):
     return physics.co2(energy_df(t)).select("image_id", "scenario", "co2_kg_year", "co2_tonnes_year", "co2_status", F.array_join("co2_reasons", ";").alias("reasons"))

@@ -160,6 +160,17 @@ def _(t):
     return paired.select("path", "mask_path").unionAll(missing.select("path", "mask_path"))
 
 
+@query("s6_world_files", "fx_file", """with a as (select path, length from fx_file union all
+  select regexp_replace(path, '\\.[^./]+$', case length % 3 when 0 then '.pgw' else '.WLD' end), 1 from fx_file where length % 4 < 2),
+n as (select regexp_extract(path, '^(.*?)[^/]*$', 1) as folder, regexp_extract(path, '([^/]*)\\.[^./]+$', 1) as stem, lower(regexp_extract(path, '\\.([^./]+)$', 1)) as ending from a),
+p as (select folder, stem, count(*) filter (where ending in ('png', 'jpg')) as i, count(*) filter (where ending in ('pgw', 'tfw', 'jgw', 'wld')) as w from n group by 1, 2)
+select folder, cast(sum(i) as bigint) as images, cast(sum(w) as bigint) as world_files, cast(sum(case when w > 0 then i else 0 end) as bigint) as with_world_file from p group by 1""")
+def _(t):
+    ending = F.when(F.col("length") % 3 == 0, ".pgw").otherwise(".WLD")
+    world = t.fx_file.where("length % 4 < 2").select(F.concat(F.regexp_extract("path", r"^(.*)\.[^./]+$", 1), ending).alias("path"), F.lit(1).alias("length"))
+    return readers.world_file_count(t.fx_file.select("path", "length").unionAll(world))
+
+
 REG = "with recursive " + labels_cte("pred = 1", "px") + ", reg as (select image_id, label, count(*) as area from px_lab group by 1, 2)"
 
 

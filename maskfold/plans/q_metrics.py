@@ -37,7 +37,11 @@ def micro(by: str, where: str = "true", src: str = "fgs", rnd: str = "{}") -> st
 
 
 def med(text: str, rnd: str = "{}") -> str:
-    return text.replace("MEDIANS", f", round(quantile_cont({rnd.format('dice')}, 0.5), 6) as median_dice, round(quantile_cont({rnd.format('iou')}, 0.5), 6) as median_iou")
+    return text.replace("MEDIANS", "".join(f", round(quantile_cont({rnd.format(m)}, 0.5), 6) as median_{m}" for m in ("dice", "iou", "precision", "recall")) + " MEDIANS")
+
+
+TWO_CLASS = f""", round(avg((dice + 2.0 * tn / (2.0 * tn + fp + fn + {E})) / 2.0), 6) as macro_mean_dice, round(avg((iou + tn / (tn + fn + fp + {E})) / 2.0), 6) as macro_mean_iou,
+  round(avg((precision + tn / (tn + fn + {E})) / 2.0), 6) as macro_mean_precision, round(avg((recall + tn / (tn + fp + {E})) / 2.0), 6) as macro_mean_recall"""
 
 
 def metrics_df(t):
@@ -61,9 +65,9 @@ def _(t):
     return m.groupBy("model").agg(F.count("*").alias("images"), *[F.round(F.avg(f"macro_{c}"), 6).alias(f"macro_{c}") for c in metrics.HEADLINE])
 
 
-@query("a5_micro_macro", VIEWS, "with " + FG + med(micro("model")))
+@query("a5_micro_macro", VIEWS, "with " + FG + med(micro("model")).replace("MEDIANS", TWO_CLASS))
 def _(t):
-    return metrics.micro_macro(metrics_df(t), ["model"])
+    return metrics.micro_macro(metrics_df(t), ["model"], two_class=True)
 
 
 @query("a5_micro_macro_pre_round", VIEWS, "with " + FG + micro("model", rnd="round({}, 4)").replace("MEDIANS", ""))
@@ -71,7 +75,7 @@ def _(t):
     return metrics.micro_macro(metrics_df(t), ["model"], pre_round=4, median=False)
 
 
-@query("a6_positive_only_macro", VIEWS, "with " + FG + med(micro("model", "gt_pixels > 0")))
+@query("a6_positive_only_macro", VIEWS, "with " + FG + med(micro("model", "gt_pixels > 0")).replace("MEDIANS", ""))
 def _(t):
     return metrics.micro_macro(metrics_df(t), ["model"], where=F.col("gt_pixels") > 0)
 
@@ -200,6 +204,7 @@ select threshold, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp,
   round(sum(tp) / (sum(tp) + sum(fp) + {E}), 4) as micro_precision, round(sum(tp) / (sum(tp) + sum(fn) + {E}), 4) as micro_recall,
   round((sum(tp) + sum(tn)) / (sum(tp) + sum(tn) + sum(fp) + sum(fn)), 4) as micro_accuracy,
   round(avg(dice) filter (where tp + fn > 0), 4) as mean_dice, round(avg(iou) filter (where tp + fn > 0), 4) as mean_iou,
+  round(quantile_cont(dice, 0.5) filter (where tp + fn > 0), 4) as median_dice, round(quantile_cont(iou, 0.5) filter (where tp + fn > 0), 4) as median_iou,
   round(avg(pr) filter (where tp + fn > 0), 4) as mean_precision, round(avg(re) filter (where tp + fn > 0), 4) as mean_recall from d group by threshold""")
 def _(t):
     return sweep.sweep_pixels(t.fx_raster, [0.2, 0.3, 0.4, 0.5, 0.6])

@@ -164,6 +164,14 @@ def _(t):
     return good.select("sampleid", F.lit(1).cast("bigint").alias("n_files")).unionAll(bad.select("sampleid", "n_files"))
 
 
+@query("j5_offending_files", "fx_scene fx_det", """with f as (select distinct image_id, model from fx_det), n as (select image_id, count(*) as n from f group by 1)
+select s.image_id as sampleid, coalesce(n.n, 0) as n_files, f.model as filename from fx_scene s left join n using (image_id) left join f using (image_id) where coalesce(n.n, 0) <> 1""")
+def _(t):
+    files = t.fx_det.select(F.col("image_id").alias("sampleid"), F.col("model").alias("filename")).distinct()
+    _, bad = catalogue.join_exactly_one(t.fx_scene.select(F.col("image_id").alias("sampleid")), files)
+    return catalogue.files_of(bad, files)
+
+
 @query("j25_leak_guard", "fx_scene fx_det", """with mined as (select filename, split from fx_scene s where has_solar = 0 and exists (select 1 from fx_det d where d.image_id = s.image_id and d.score_pct >= 75))
 select filename, 'not_in_train' as violation from mined where split <> 'train' union all select filename, 'in_test' from mined where split = 'test'""")
 def _(t):

@@ -1,6 +1,8 @@
 """File sources. Schemas are declared; nothing is inferred from data."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,28 @@ def file_inventory(spark: SparkSession, root: str, glob: str = "*.bmp", label: s
     return pair_masks(files, label)
 
 
+# fixed values: the endings of world files
+WORLD = ("pgw", "tfw", "jgw", "wld")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of all files below a folder; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+
+
+def world_file_count(files: DataFrame, images: Sequence[str] = ("png", "jpg")) -> DataFrame:
+    """Per folder of a listing (path, length): images, world files, and images that have one of the same stem."""
+    named = files.select(
+        F.regexp_extract("path", r"^(.*?)[^/\\]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/\\]*)\.[^./\\]+$", 1).alias("stem"),
+        F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).alias("ending"),
+    )
+    image, world = F.col("ending").isin(*images), F.col("ending").isin(*WORLD)
+    per = named.groupBy("folder", "stem").agg(F.count_if(image).alias("i"), F.count_if(world).alias("w"))
+    return per.groupBy("folder").agg(
+        F.sum("i").alias("images"), F.sum("w").alias("world_files"), F.sum(F.when(F.col("w") > 0, F.col("i")).otherwise(0)).alias("with_world_file")
+    )
+
+
 def pair_masks(files: DataFrame, label: str = "_label") -> tuple[DataFrame, DataFrame]:
     """Image rows with their mask's path, and image rows without one, from a listing (path, length)."""
     stem = F.regexp_extract("path", r"^(.*)\.[^./\\]+$", 1)

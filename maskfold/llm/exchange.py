@@ -89,7 +89,10 @@ def send(layout: Layout, batch: int, items: np.ndarray, weights: np.ndarray) ->
 
 
 def answer(layout: Layout, k: int, reply: Callable[[np.ndarray], np.ndarray]):
-    """Group function of one bucket: totals per item, `reply(totals)` (a row per item) for each batch in its order."""
+    """Group function of one bucket: totals per item, `reply(totals)` (a row per item) for each batch in its order.
+
+    A batch's counts fit 32 bits, as its size is bounded; totals are exact up to 2**53 and want 64 bits in the reply.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         items = [layout.unpack(x.as_py()) for x in t.column("items")]

@@ -84,6 +84,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     `target` holds the keys of the target texts. Words outside the shared vocabulary cost both models the same and
     are left out of the mean; a text without known words (null and empty ones, too) scores 0. Repeated
     rows count as often as they occur and each takes out one copy. Null keys are background. An empty table gives no rows.
+    Texts of any length are scored whole, one at a time; counts of the corpus are 64 bits wide. Other columns are ignored.
     """
     kind = dict(docs.dtypes)[key]
     marks = target.select(F.col(key).alias("id")).where("id is not null").distinct().withColumn("__t", F.lit(True))
@@ -117,7 +118,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
         t = ordered(t, r.filter(pc.invert(told)))
         items, sizes = _items(t)
         _, _, place = layout.ordered(items)
-        counts = exchange.answers(r.filter(told), "<u4", 2).astype(float)
+        counts = exchange.answers(r.filter(told), "<u8", 2).astype(float)
         got = _score(t.column("target").to_pylist(), sizes, place, counts, totals, min_count)
         cols = list(zip(*got, strict=True)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -125,7 +126,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
         return pa.table({"id": t.column("id")} | {k: pa.array(list(c), kind_) for k, c, kind_ in zip(names, cols, kinds, strict=True)})
 
     sent = base.groupBy("batch").cogroup(chosen.groupBy("batch")).applyInArrow(out, exchange.SENT)
-    told = sent.groupBy("bucket").applyInArrow(exchange.answer(layout, 2, lambda total: total.astype("<u4")), exchange.ANSWER)
+    told = sent.groupBy("bucket").applyInArrow(exchange.answer(layout, 2, lambda total: total.astype("<u8")), exchange.ANSWER)
     both = told.select("batch", "bucket", "answer", none.cast(kind).alias("mark")).unionByName(chosen)
     scored = base.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(back, SCORES.replace("id long", f"id {kind}"))
     return scored.withColumnRenamed("id", key)

@@ -39,6 +39,27 @@ ALLOW = (
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
+def scan(values: Column, op, zero: int, block: int = 256) -> Column:
+    """Running `op` over an array of whole numbers, blocks first and then their heads, so that growing a result array
+    costs `block` steps a value and not the length of the array."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(zero).cast("bigint").alias("at"), none.alias("out"))
+
+    def grow(a: Column, x: Column) -> Column:
+        return bind(op(a["at"], x), lambda v: F.struct(v.alias("at"), F.concat(a["out"], F.array(v)).alias("out")))
+
+    def head(a: Column, part: Column) -> Column:
+        return F.struct(op(a["at"], F.element_at(part, -1)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def over(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / block).cast("int") - 1), lambda b: F.slice(x, b * block + 1, F.lit(block)))
+        local = F.transform(blocks, lambda b: F.aggregate(b, start, grow, lambda a: a["out"]))
+        return bind(local, lambda parts: F.flatten(F.zip_with(
+            parts, F.aggregate(parts, start, head, lambda a: a["out"]), lambda p, h: F.transform(p, lambda v: op(h, v)))))
+
+    return bind(values, lambda x: F.when(F.size(x) > 0, over(x)).otherwise(none))
+
+
 def _found(text: Column, pattern: str, groups: int, kind: int, ok, quick: Column) -> Column:
     """Spans of all leftmost non-overlapping matches that satisfy `ok(match, last group)`.
 
@@ -49,15 +70,15 @@ def _found(text: Column, pattern: str, groups: int, kind: int, ok, quick: Column
     hits = F.regexp_extract_all(text, F.lit(around), F.lit(2))
     last = F.regexp_extract_all(text, F.lit(around), F.lit(2 + groups)) if groups else hits
     zipped = F.arrays_zip(gaps.alias("g"), hits.alias("m"), last.alias("v"))
-    item = lambda z: F.struct(F.length(z["g"]).cast("long").alias("g"), F.length(z["m"]).cast("long").alias("n"), ok(z["m"], z["v"]).alias("ok"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    item = lambda z: F.struct((F.length(z["g"]) + F.length(z["m"])).cast("long").alias("step"), F.length(z["m"]).cast("long").alias("n"), ok(z["m"], z["v"]).alias("ok"))
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["at"] + x["g"] + x["n"]
-        span = F.struct((a["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+    def placed(items: Column) -> Column:
+        ends = scan(F.transform(items, lambda x: x["step"]), lambda a, b: a + b, 0)
+        span = lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["ok"].alias("ok"))
+        good = F.filter(F.zip_with(items, ends, span), lambda s: s["ok"])
+        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    spans = F.aggregate(F.transform(zipped, item), start, step)["out"]
+    spans = bind(F.transform(zipped, item), placed)
     return F.when(quick, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -124,7 +145,8 @@ def find(
     """Add `out`: spans (start, kind, end) in code points, end exclusive, by start and then kind; `kind` counts in KINDS.
 
     Matches of a fixed pattern always stay; an entropy span is added where it overlaps none of them.
-    Null and empty texts have no spans. Rows and other columns stay as they are.
+    Null and empty texts have no spans. Rows and other columns stay as they are, but a column called `out` is replaced; repeated
+    rows are scanned each for itself, an empty table gives no rows. Texts of any length are scanned whole, in time about linear in the spans.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     longer = lambda k: lambda m, v: F.length(v) >= k
@@ -134,11 +156,20 @@ def find(
     hexes = _found(t, "[0-9a-f]{32,}", 0, 2, longer(32), has("[0-9a-f]{32}"))
     odd = _found(t, CANDIDATE, 0, 3, lambda m, v: _suspicious(m, window, hex_bits, base64_bits, allow), has(CANDIDATE))
 
-    def merged(base: Column) -> Column:
-        free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.sort_array(F.concat(base, F.filter(odd, free)))
+    def merged(base: Column, more: Column) -> Column:
+        # along the text, a base span speaks up at its start and an entropy span asks at its end how far base spans reach
+        said = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["start"].alias("start"), b["end"].alias("end")))
+        asked = F.transform(more, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("base"), x["start"].alias("start"), x["end"].alias("end")))
+
+        def free(events: Column) -> Column:
+            reach = scan(F.transform(events, lambda e: F.when(e["base"] == 1, e["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), 0)
+            both = F.filter(F.zip_with(events, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r"))), lambda z: (z["e"]["base"] == 0) & (z["r"] <= z["e"]["start"]))
+            return F.transform(both, lambda z: F.struct(z["e"]["start"].alias("start"), F.lit(3).alias("kind"), z["e"]["end"].alias("end")))
+
+        kept = F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(bind(F.sort_array(F.concat(said, asked)), free))
+        return F.sort_array(F.concat(base, kept))
 
-    return docs.withColumn(out, bind(F.concat(assign, access, hexes), merged))
+    return docs.withColumn(out, bind(F.concat(assign, access, hexes), lambda base: bind(odd, lambda more: merged(base, more))))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:

@@ -125,6 +125,17 @@ def test_exchange_counts_and_brings_back():
             assert exchange.answers(mine, "<u4", 2)[place].tolist() == [[total[i]] * 2 for i in x.tolist()]
 
 
+def test_totals_above_32_bits():
+    layout = exchange.Layout(batches=3, buckets=1, item_bytes=5)
+    items = np.array([7, 99], np.uint64)
+    sent = pa.concat_tables([exchange.send(layout, k, items, np.array([[2.0**31, 1.0], [3.0, 2.0]])) for k in range(3)])
+    told = exchange.answer(layout, 2, lambda t: t.astype("<u8"))(sent)
+    _, _, place = layout.ordered(items)
+    for k in range(3):
+        got = exchange.answers(told.filter(pc.equal(told.column("batch"), k)), "<u8", 2)[place]
+        assert got.tolist() == [[3 * 2**31, 3], [9, 6]]
+
+
 def test_words_of_a_column_in_pieces(monkeypatch):
     monkeypatch.setattr(arrays, "PIECE", 20)
     texts = ["", None, "a b", " é\tAB \n", "x" * 50 + " y", "a", "\u00a0 z", "b a"]

@@ -341,3 +341,32 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: find(i) for i in root}
     assert components.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_many_keys_in_one_text(spark):
+    import time
+
+    rng = random.Random(31)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = []
+    for i in range(32_000):
+        key = "".join(rng.choice(alphabet) for _ in range(24)) + "7x"
+        parts.append(f"token={key}" if i % 2 else f"é {key}")
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.find(docs.withColumn("text", F.substring("text", 1, 500))).collect()
+    start = time.time()
+    got = [(s.start, s.kind, s.end) for s in secrets.find(docs).first().spans]
+    assert time.time() - start < 60
+    assert [s for s in got if s[1] == 0] == spans(text)
+    assert sum(s[1] == 3 for s in got) > 15_000 and got == sorted(got)
+
+
+def test_running_scan(spark):
+    rng = random.Random(3)
+    rows = [[rng.randrange(-5, 9) for _ in range(n)] for n in (0, 1, 3, 4, 5, 50)]
+    docs = spark.createDataFrame([(r,) for r in rows], "v array<bigint>")
+    got = docs.select("v", secrets.scan(F.col("v"), lambda a, b: a + b, 0, 4).alias("s"), secrets.scan(F.col("v"), lambda a, b: F.greatest(a, b), 0, 4).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))]
+        assert r.m == [max([0, *r.v[: i + 1]]) for i in range(len(r.v))]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..plans.materialise import materialise
 from ..plans.ordering import running
+from .celltree import count_within
+
+CROWD = 2_000
 
 
 def shape_features(det: DataFrame, images: DataFrame, aspect: str = "width_height") -> DataFrame:
@@ -79,11 +82,12 @@ def outline_features(outlines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def neighbour_count(det: DataFrame, radius: int = 100, group: Sequence[str] = ("model", "image_id")) -> DataFrame:
+def neighbour_count(det: DataFrame, radius: int = 100, group: Sequence[str] = ("model", "image_id"), crowd: int = CROWD) -> DataFrame:
     """Other boxes of the image whose centre lies within `radius` pixels at a distance above 0.
 
     Centres are whole half-pixels; equal centres are folded into one row with a count, and cells of
-    four radii make the range join an equi join.
+    four radii make the range join an equi join. Images with more than `crowd` centres in a cell are counted by
+    pairs of cells (`celltree`), which gives the same numbers.
     """
     group = list(group)
     size = 2 * radius
@@ -94,11 +98,31 @@ def neighbour_count(det: DataFrame, radius: int = 100, group: Sequence[str] = ("
     def reach(c: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(c) - size) / cell), F.floor((F.col(c) + size) / cell)))
 
+    full = centres.groupBy(*group, F.floor(F.col("c2y") / cell), F.floor(F.col("c2x") / cell)).agg(F.count("*").alias("k"))
+    full = materialise(full.where(F.col("k") > crowd).select(*group).distinct(), "crowded")  # at most a row in `crowd` centres
+    crowded = not full.isEmpty()
+    if crowded:
+        dense = centres.join(full, group, "left_semi").select(*group, F.col("c2y").alias("y"), F.col("c2x").alias("x"), F.col("n").alias("w"))
+        dense = materialise(dense, "dense")
+
+        def rim(ay: Column, ax: Column, by: Column, bx: Column, s: float) -> tuple[Column, Column]:
+            least = lambda p, q: F.greatest(F.abs(p - q) - s, F.lit(0.0))
+            most = lambda p, q: F.abs(p - q) + s
+            return least(ay, by) * least(ay, by) + least(ax, bx) * least(ax, bx), most(ay, by) * most(ay, by) + most(ax, bx) * most(ax, bx)
+
+        square = lambda ay, ax, by, bx: (ay - by) * (ay - by) + (ax - bx) * (ax - bx)
+        near = count_within(dense, dense, group, float(size), [size * size], rim, square)
+        near = near.join(dense, [*group, "y", "x"])
+        # a centre meets itself and its copies at distance 0
+        near = near.select(*group, F.col("x").alias("c2x"), F.col("y").alias("c2y"), (F.col("n0") - F.col("w")).alias("neighbour_count"))
+        centres = centres.join(full, group, "left_anti")
     left = centres.select(*group, "c2x", "c2y", reach("c2y").alias("gy")).select("*", reach("c2x").alias("gx"))
     right = centres.select(*group, F.col("c2x").alias("ox"), F.col("c2y").alias("oy"), "n", F.floor(F.col("c2y") / cell).alias("gy"), F.floor(F.col("c2x") / cell).alias("gx"))
     dx, dy = F.col("c2x") - F.col("ox"), F.col("c2y") - F.col("oy")
     d2 = dx * dx + dy * dy
     per = left.join(right, [*group, "gy", "gx"]).where((d2 > 0) & (d2 <= size * size)).groupBy(*group, "c2x", "c2y").agg(F.sum("n").alias("neighbour_count"))
+    if crowded:
+        per = per.unionByName(near)
     return d.join(per, [*group, "c2x", "c2y"], "left").withColumn("neighbour_count", F.coalesce("neighbour_count", F.lit(0).cast("bigint"))).drop("c2x", "c2y")
 
 

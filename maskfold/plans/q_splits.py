@@ -226,6 +226,17 @@ def _(t):
     return near_df(t).select("a_id", "b_id", F.round("distance", 2).alias("distance"))
 
 
+TOWN = "tn as (select split, lat_e6 % 20000 / 1000000.0::double + 21 as la, lon_e6 % 30000 / 1000000.0::double + 72 as lo from fx_scene)"
+
+
+@query("j13_town_counts", "fx_scene", "with " + TOWN + """, p as (select 2 * 6371000.0::double * asin(least(1.0, sqrt(pow(sin(radians(b.la - a.la) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))) as d
+  from tn a join tn b on a.split = 'train' and b.split = 'test' and abs(a.la - b.la) <= 0.003 and abs(a.lo - b.lo) <= 0.003)
+select """ + ", ".join(f"count(*) filter (where d <= {r}) as within_{r}m" for r in leakage.RADII) + " from p")
+def _(t):
+    town = t.fx_scene.select("split", (F.col("lat_e6") % 20_000 / 1_000_000.0 + 21).alias("latitude"), (F.col("lon_e6") % 30_000 / 1_000_000.0 + 72).alias("longitude"))
+    return leakage.near_counts_of(town.where("split = 'train'"), town.where("split = 'test'"))
+
+
 @query("j13_near_counts", "fx_scene", "with " + PTS + "select " + ", ".join(f"count(*) filter (where distance <= {r}) as within_{r}m" for r in leakage.RADII) + " from near")
 def _(t):
     return leakage.near_counts(near_df(t))

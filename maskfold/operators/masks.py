@@ -23,6 +23,16 @@ CELL = 256
 LABEL_STRIDE = 1 << 31
 
 
+def binarise(pixels: DataFrame, threshold: float = 0.5, prob: str = "p") -> DataFrame:
+    """Foreground pixels: probability at or above the threshold; null and NaN are background."""
+    return pixels.where((F.col(prob) >= threshold) & ~F.isnan(prob))
+
+
+def keep_area(masks: DataFrame, least: float) -> DataFrame:
+    """Masks or annotations of at least `least` pixels."""
+    return masks.where(F.col("area") >= least)
+
+
 def runs_to_blocks(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Stack equal stretches of consecutive rows into blocks (gaps and islands per column range)."""
     w = Window.partitionBy(*keys, "x0", "x1").orderBy("y")

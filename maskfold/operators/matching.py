@@ -49,6 +49,11 @@ def iou_pairs(
     return out
 
 
+def keep_score(dets: DataFrame, least: float, score: str = "score_pct") -> DataFrame:
+    """Detections whose score reaches `least`; null scores do not."""
+    return dets.where(F.col(score) >= least)
+
+
 def _hot_groups(pairs: DataFrame, group: list[str], limit: int) -> DataFrame:
     return pairs.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*group)
 

@@ -134,10 +134,11 @@ def fold_count(df: DataFrame, label: str, most: int) -> int:
     return k
 
 
-def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Fold number per row: rows of a class are dealt out in seeded order."""
+def stratified_kfold(df: DataFrame, label: str, key: str | Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """Fold number per row: rows of a class are dealt out in seeded order of their key columns."""
     k = fold_count(df, label, k)
-    return running(df, hash_order(key, seed=seed), by=[label], pos="__pos").withColumn(
+    keys = [key] if isinstance(key, str) else list(key)
+    return running(df, hash_order(*keys, seed=seed), by=[label], pos="__pos").withColumn(
         "fold", ((F.col("__pos") - 1) % k).cast("int")
     ).drop("__pos")
 

@@ -17,6 +17,16 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den).otherwise(0.0)
 
 
+def _level(value: Column, levels: list) -> Column:
+    """The highest of the ascending `levels` that `value` reaches, null below all: a binary choice, compiled as plain code."""
+    if not levels:
+        return F.lit(None)
+    if len(levels) == 1:
+        return F.when(value >= levels[0], F.lit(levels[0]))
+    mid = len(levels) // 2
+    return F.when(value >= levels[mid], F.lit(levels[mid]) if mid == len(levels) - 1 else _level(value, levels[mid:])).otherwise(_level(value, levels[:mid]))
+
+
 def prf(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> tuple[Column, Column, Column]:
     """Precision, recall and F1 of counts, 0/0 -> 0."""
     p = ratio(F.col(tp), F.col(tp) + F.col(fp))
@@ -50,8 +60,7 @@ def sweep_detections(
         F.count_if(pos & (F.col("g_area") > 0)).alias("area_images"),
     )
     levels = [int(t) for t in thresholds] if all(float(t).is_integer() for t in thresholds) else [float(t) for t in thresholds]
-    grid_levels = F.array(*[F.lit(t) for t in levels])
-    steps = matched.withColumn("__s", F.array_max(F.filter(grid_levels, lambda t: t <= F.col(score)))).where("__s is not null")
+    steps = matched.withColumn("__s", _level(F.col(score), sorted(set(levels)))).where("__s is not null")
     steps = steps.groupBy("model", "image_id", "__s").agg(
         F.count("*").alias("n"), F.sum("is_tp").alias("tp"), F.sum("area").alias("a"), F.sum("iou").alias("iou_sum"),
         F.sum(score).alias("s_sum"), F.max(score).alias("s_max"),
@@ -81,7 +90,7 @@ def sweep_detections(
     # from here on: (by x models x thresholds) rows
     names = [c for c in delta.columns if c.startswith("d_")]
     grid = totals.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).withColumn(
-        "threshold_pct", F.explode(grid_levels)
+        "threshold_pct", F.explode(F.array(*[F.lit(t) for t in levels]))
     )
     cond = [F.col(f"g.{b}") == F.col(f"d.{b}") for b in [*by, "model"]] + [F.col("d.__s") >= F.col("g.threshold_pct")]
     keys = [F.col(f"g.{c}") for c in [*by, "model", "threshold_pct", *[c for c in totals.columns if c not in by]]]

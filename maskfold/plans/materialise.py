@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -9,7 +10,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
-_scopes: list[list[str]] = []
+_local = threading.local()  # scopes of one thread are not another's
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,8 +40,8 @@ def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/maskfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if _scopes() and not keep:
+        _scopes()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,11 +49,11 @@ def materialise(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame
 def scope(spark: SparkSession) -> Iterator[None]:
     """Delete what `materialise` writes inside, at the end. Write the result before, or with `keep`: frames that
     read the deleted tables fail."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        for path in _scopes.pop():
+        for path in _scopes().pop():
             place = hadoop.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

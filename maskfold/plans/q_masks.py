@@ -148,7 +148,7 @@ def _(t):
 @query("p19_binarise", "fx_raster", """
 select image_id, cast(count(*) as bigint) as solar_pixels from fx_raster where p >= 0.5 group by image_id""")
 def _(t):
-    return t.fx_raster.where(F.col("p") >= 0.5).groupBy("image_id").agg(F.count("*").alias("solar_pixels"))
+    return masks.binarise(t.fx_raster).groupBy("image_id").agg(F.count("*").alias("solar_pixels"))
 
 
 @query("runs_to_blocks", "fx_gt", "select image_id, gt_idx, y0, y1, x0, x1 from fx_gt")

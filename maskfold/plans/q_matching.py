@@ -422,4 +422,5 @@ def _(t):
 
 @query("p4_keep_score", VIEWS, "select model, count(*) as raw_count, count(*) filter (where score_pct >= 75) as kept_count from fx_det group by 1")
 def _(t):
-    return t.fx_det.groupBy("model").agg(F.count("*").alias("raw_count"), F.count_if(F.col("score_pct") >= 75).alias("kept_count"))
+    raw, kept = (d.groupBy("model").agg(F.count("*").alias(n)) for d, n in ((t.fx_det, "raw_count"), (matching.keep_score(t.fx_det, 75), "kept_count")))
+    return raw.join(kept, "model", "left").select("model", "raw_count", F.coalesce("kept_count", F.lit(0).cast("bigint")).alias("kept_count"))

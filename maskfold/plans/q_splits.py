@@ -67,11 +67,7 @@ def _(t):
 
 @query("g5_stratified_kfold", "fx_labelled", f"""select image_id, cand_id, label, cast((row_number() over (partition by label order by {h('cand_id', 42).replace('cast(cand_id as string)', "concat(cast(image_id as string), '|', cast(cand_id as string))")}, image_id, cand_id) - 1) % 5 as int) as fold from fx_labelled""")
 def _(t):
-    from .ordering import hash_order, running
-
-    df = t.fx_labelled.select("image_id", "cand_id", "label")
-    k = splits.fold_count(df, "label", 5)
-    return running(df, hash_order("image_id", "cand_id", seed=42), by=["label"]).withColumn("fold", ((F.col("pos") - 1) % k).cast("int")).drop("pos")
+    return splits.stratified_kfold(t.fx_labelled.select("image_id", "cand_id", "label"), "label", ["image_id", "cand_id"])
 
 
 @query("g6_stratified_group_kfold")

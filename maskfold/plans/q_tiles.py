@@ -114,7 +114,7 @@ def _(t):
 
 @query("p5_keep_area", "fx_gt", "select image_id, gt_idx, area from fx_gt where area >= 1500")
 def _(t):
-    return t.fx_gt.where(F.col("area") >= 1500).select("image_id", "gt_idx", "area")
+    return masks.keep_area(t.fx_gt, 1500).select("image_id", "gt_idx", "area")
 
 
 @query("j26_tile_place", "fx_det", """with g as (select *, cast(pred_idx % 4 as int) as tile_id from fx_det), p as (select *, (tile_id % 2) * 192 as tx, (tile_id // 2) * 192 as ty from g),

@@ -6,15 +6,6 @@ MANIFEST = (
     "sampleid bigint, filename string, coco_image_id bigint, width int, height int, annotation_count int,"
     "has_solar int, split string, dataset_type string"
 )
-STRIP_MANIFEST = (
-    "category string, folder string, filename string, mask_filename string, image_path string, mask_path string, x_coord string, split string"
-)
-RUNS = ("image_id bigint, layer string, y int, x0 int, x1 int")
-PIXELS = ("image_id bigint, y int, x int, p_solar float, p_bg float")
-TILE_PROBS = ("image_id bigint, tx int, ty int, tile_w int, tile_h int, probs array<float>")
-DETECTIONS = (
-    "model string, image_id bigint, pred_idx bigint, score double, box struct<x1:double,y1:double,x2:double,y2:double>, mask_area bigint"
-)
 IRRADIANCE = (
     "properties struct<parameter:struct<ALLSKY_SFC_SW_DWN:map<string,double>>>"
 )

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from maskfold.llm import arrays, embed, exchange, jaccard, lmscore, mix, quality
 
@@ -315,3 +317,55 @@ def test_pipeline_stages(spark):
     assert words == sizes.agg({"taken": "sum"}).first()[0]
     tokens = out["byte_bpe"].collect()
     assert len(tokens) == out["mix_sources"].count() and all(4 * r.n_tokens == len(r.ids) for r in tokens)
+
+
+def plain_statistics(text):
+    """The statistics of a text by loops over its UTF-8 bytes."""
+    data = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    n, size = len(w), max(len(data), 1)
+    share = lambda chars: sum(b in chars for b in data) / size
+    mean = sum(map(len, w)) / max(n, 1)
+    windows = [tuple(w[i : i + 3]) for i in range(n - 2)]
+    lines = [x for x in data.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    return {
+        "log_words": math.log1p(n), "mean_word": mean, "std_word": math.sqrt(max(sum(len(x) ** 2 for x in w) / max(n, 1) - mean**2, 0)),
+        "long_words": sum(len(x) > 14 for x in w) / max(n, 1), "distinct_words": len(set(w)) / n if n else 0.0,
+        "repeated_windows": 1 - len(set(windows)) / len(windows) if windows else 0.0, "repeated_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "log_line_words": math.log1p(n / len(lines)) if lines else 0.0, "upper": share(range(65, 91)), "digits": share(b"0123456789"), "marks": share(b".,;:'\"()-?"),
+        "symbols": share(b"#*$%&|<>"), "end_marks": sum(x[-1] in b".!?" for x in w) / max(n, 1), "other_bytes": share(range(128, 256)),
+        "byte_entropy": -sum(c / size * math.log2(c / size) for c in Counter(data).values()) if n else 0.0, "exclaim": share(b"!"),
+    }
+
+
+def test_classifier_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(arrays, "PIECE", 300)
+    rng = random.Random(17)
+    some = ["".join(rng.choice(["word ", "é! ", "A1 ", "\n", "# ", "same line here\n", "q" * 20 + ". "]) for _ in range(rng.randrange(60))) for _ in range(120)]
+    texts = ["", None, " \n ", "\n\n", "x", "a b c a b c", "z " * 20_000, *some]
+    docs = spark.createDataFrame([(i, t, 1, "") for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r.stats for r in quality.statistics(docs).collect()}
+    stats = np.array([[plain_statistics(t)[s] for s in quality.STATS] for t in texts])
+    for i in range(len(texts)):
+        assert got[i] == pytest.approx(stats[i], abs=1e-9), texts[i]
+
+    label = np.array([float(rng.random() < 0.5) for _ in texts])
+    held = np.array([i % 5 == 0 for i in range(len(texts))])
+    rows = spark.createDataFrame([(stats[i].tolist(), float(label[i]), bool(held[i])) for i in range(len(texts))], "stats array<double>, label double, held boolean")
+    model = quality.train(rows.repartition(7), F.col("held"))
+    mean, scale = stats.mean(axis=0), stats.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    z = np.clip((stats - mean) / scale, -6, 6)
+    draw = np.random.default_rng(quality.SEED)
+    waves = draw.normal(size=(len(quality.STATS), quality.FEATURES)) / quality.WIDTH
+    phase = draw.uniform(0, 2 * math.pi, quality.FEATURES)
+    x = np.array([[*(math.sqrt(2 / quality.FEATURES) * math.cos(sum(a * b for a, b in zip(row, waves[:, j])) + phase[j]) for j in range(quality.FEATURES)), 1.0, *(0.1 * row)] for row in z])
+    fit = x[~held]
+    ridge = quality.RIDGE * len(fit) / x.shape[1]
+    # the same minimum as a least-squares problem with one more row a weight
+    weights = np.linalg.lstsq(np.vstack([fit, math.sqrt(ridge) * np.eye(x.shape[1])]), np.concatenate([label[~held], np.zeros(x.shape[1])]), rcond=None)[0]
+    assert np.allclose(x @ weights, model.features(stats) @ model.weights, atol=1e-6)
+    # calibration: the non-decreasing fit to the labels of the held rows, between knots by lines
+    raw = np.rint(np.clip(x @ weights, -0.5, 1.5) * quality.BINS) / quality.BINS
+    assert list(np.diff(model.share) >= 0) == [True] * (len(model.share) - 1)
+    assert np.interp(raw[held], model.raw, model.share).mean() == pytest.approx(label[held].mean(), abs=0.15)

@@ -163,10 +163,28 @@ def rematch_nearest(stored: DataFrame, current: DataFrame, cells: Sequence[int]
     return out
 
 
-def rematch_tolerance(stored: DataFrame, current: DataFrame, same: float = 0.002, close: float = 0.01) -> DataFrame:
+def _scores_beside(stored: DataFrame, by_score: DataFrame) -> DataFrame:
+    """(image_id, stored_idx, score, c_score): the next score at or below and the next at or above each stored one.
+
+    Both sides are put in one order, range partitioned; the next score below is a running maximum, the next above
+    one in the opposite order. No stored score meets more than two others.
+    """
+    empty = F.lit(None).cast("double")
+    rows = by_score.select("image_id", F.col("score").alias("s"), F.lit(0).alias("k"), F.col("pred_idx").alias("i"), F.col("score").alias("up"), (-F.col("score")).alias("down"))
+    rows = rows.unionAll(stored.where("score is not null").select("image_id", "score", F.lit(1), "stored_idx", empty, empty))
+    rows = materialise(rows, "scores")
+    below = running(rows, [F.col("s"), F.col("k"), F.col("i")], by=["image_id"], pos=None, maxes={"up": "c"})
+    above = running(rows, [-F.col("s"), F.col("k"), F.col("i")], by=["image_id"], pos=None, maxes={"down": "c"}).withColumn("c", -F.col("c"))
+    both = below.unionByName(above).where("k = 1 and c is not null")
+    return both.select("image_id", F.col("i").alias("stored_idx"), F.col("s").alias("score"), F.col("c").alias("c_score"))
+
+
+def rematch_tolerance(stored: DataFrame, current: DataFrame, same: float = 0.002, close: float = 0.01, crowd: int = CROWD) -> DataFrame:
     """Same index when its score agrees within `same`, else the closest score within `close`, else unmatched.
 
-    Equal scores of an image are folded to their lowest index first and meet in score cells of twice `close`.
+    Equal scores of an image are folded to their lowest index first and meet in score cells of twice `close`; images with
+    more than `crowd` different scores in a cell look at the next score on either side alone. Equally close scores go
+    to the lowest index (gaps are compared at nine decimals; scores closer to each other than that count as ordered).
     """
     key = ["image_id", "stored_idx"]
     eps = 1e-12
@@ -176,7 +194,14 @@ def rematch_tolerance(stored: DataFrame, current: DataFrame, same: float = 0.002
     by_score = current.groupBy("image_id", "score").agg(F.min("pred_idx").alias("pred_idx"))
     right = by_score.select("image_id", F.col("score").alias("c_score"), "pred_idx", cell.alias("cell"))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = stored.withColumn("cell", F.explode(F.transform(around, lambda i: i + cell))).join(right, ["image_id", "cell"])
+    full = materialise(right.groupBy("image_id", "cell").agg(F.count("*").alias("k")).where(F.col("k") > crowd).select("image_id").distinct(), "crowded")
+    few = stored.join(full, "image_id", "left_anti")
+    near = few.withColumn("cell", F.explode(F.transform(around, lambda i: i + cell))).join(right.join(full, "image_id", "left_anti"), ["image_id", "cell"])
+    near = near.select(*key, "score", "c_score", "pred_idx")
+    if not full.isEmpty():
+        many = by_score.join(full, "image_id", "left_semi")
+        beside = _scores_beside(stored.join(full, "image_id", "left_semi").select(*key, "score"), many)
+        near = near.unionByName(beside.join(many.withColumnRenamed("score", "c_score"), ["image_id", "c_score"]).select(*key, "score", "c_score", "pred_idx"))
     gap = F.round(F.abs(F.col("c_score") - F.col("score")), 9)
     near = near.where(gap <= close).groupBy(*key).agg(F.min(F.struct(gap.alias("g"), F.col("pred_idx"))).alias("b")).select(*key, F.col("b.pred_idx").alias("near_idx"))
     out = stored.join(direct, key, "left").join(near, key, "left")

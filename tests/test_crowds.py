@@ -79,3 +79,28 @@ def test_a_town_of_many_scenes(spark):
     side = lambda k: spark.range(n).select("id", (F.lit(21.0) + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000)) / 1e6).alias("latitude"), (F.lit(72.0) + F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1_000)) / 1e6).alias("longitude"))
     got = leakage.near_counts_of(side(1), side(2)).first()
     assert got.within_200m == n * n > got.within_100m > got.within_50m > got.within_20m > 0
+
+
+def test_scores_in_a_crowd(spark):
+    rng = random.Random(44)
+    score = lambda: rng.randrange(1_000_000) / 1e6
+    current = [(i, p, round(rng.choice([score(), 0.5 + rng.randrange(400) / 1e6]), 6)) for i in (1, 2) for p in range(300)]
+    stored = [(i, s, rng.choice([score(), 0.5 + rng.randrange(800) / 2e6, current[s][2], 3.0])) for i in (1, 2, 3) for s in range(120)]
+    frames = spark.createDataFrame(stored, "image_id bigint, stored_idx bigint, score double"), spark.createDataFrame(current, "image_id bigint, pred_idx bigint, score double")
+    want = {}
+    for i, s, v in stored:
+        mine = {p: c for j, p, c in current if j == i}
+        near = sorted((round(abs(c - v), 9), p) for p, c in mine.items() if round(abs(c - v), 9) <= 0.01)
+        if s in mine and abs(mine[s] - v) <= 0.002 + 1e-12:
+            want[i, s] = (s, "same_index")
+        else:
+            want[i, s] = (near[0][1], "closest_score") if near else (None, "unmatched")
+    for crowd in (10_000, 3):
+        got = {(r.image_id, r.stored_idx): (r.pred_idx, r.how) for r in features.rematch_tolerance(*frames, crowd=crowd).collect()}
+        assert got == want
+    n = 100_000
+    stored = spark.range(n).select(F.lit(1).cast("long").alias("image_id"), (F.col("id") + 10**9).alias("stored_idx"), ((F.col("id") * 7 + 3) / (10.0 * n)).alias("score"))
+    current = spark.range(n).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("pred_idx"), (F.col("id") / (1.0 * n)).alias("score"))
+    got = features.rematch_tolerance(stored, current)
+    assert got.where("how = 'closest_score'").count() == n
+    assert got.where(f"abs(pred_idx - ((stored_idx - 1000000000) * 0.7 + 0.3)) > 0.500001").count() == 0

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialise import materialise
 from ..plans.ordering import hash_order, running, sequential_fold
 from .catalogue import GateError, must_be_empty
 
@@ -86,11 +87,53 @@ def fraction_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.70,
     ).drop("__pos")
 
 
-def group_split(df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 830, chunk: int = 5_000) -> DataFrame:
-    """Whole groups to the split with the least load relative to its target, in seeded group order."""
+#: odd number next to 2^31 over the golden ratio: its multiples modulo 2^31 spread evenly over every stretch of positions
+SPREAD, STEP = 1 << 31, 1_327_217_885
+
+
+def deal(groups: DataFrame, order: Sequence[Column], shares: Sequence[float], out: str) -> DataFrame:
+    """Deal rows in a total `order` to the numbers 0.. in the given shares, evenly along the whole order.
+
+    Position x step modulo 2^31 falls into the interval of one number, so any stretch of m neighbours holds
+    m x share of each, but for an error that grows with log m. Positions come from `running`; nothing is decided in turn.
+    """
+    whole = float(sum(shares))
+    if whole <= 0:
+        raise ValueError("shares must have a positive sum")
+    ends = [int(SPREAD * (sum(shares[: i + 1]) / whole)) for i in range(len(shares) - 1)]
+    u = (F.col("__pos") % SPREAD) * STEP % SPREAD
+    number = sum([(u >= e).cast("int") for e in ends], F.lit(0))
+    return running(groups, order, pos="__pos").withColumn(out, number).drop("__pos")
+
+
+def largest(groups: DataFrame, size: Column, group: str, seed: int, turns: int) -> tuple[DataFrame, DataFrame]:
+    """The `turns` groups of the largest `size` (ties in seeded order) and the others."""
+    if turns <= 0:
+        return groups.limit(0), groups
+    heavy = materialise(groups.orderBy(size.desc(), *hash_order(group, seed=seed)).limit(turns), "heavy")
+    return heavy, groups.join(F.broadcast(heavy.select(group)), group, "left_anti")  # `turns` rows
+
+
+def attach(df: DataFrame, heavy: DataFrame, light: DataFrame, group: str) -> DataFrame:
+    """Rows of `df` with the columns decided for their group: the bounded list of heavy groups is broadcast, so a hot
+    group is not shuffled to one task; the light ones, none of them hot, join by key. Rows without a group are left out."""
+    names = [group, *[c for c in heavy.columns if c != group]]
+    df = df.drop(*names[1:])
+    return df.join(F.broadcast(heavy), group).select(*df.columns, *names[1:]).unionByName(df.join(light.select(names), group).select(*df.columns, *names[1:]))
+
+
+def group_split(
+    df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 830, chunk: int = 5_000, turns: int = 5_000
+) -> DataFrame:
+    """Whole groups to the split with the least load relative to its target, in seeded group order.
+
+    The `turns` largest groups are decided one after the other in that way, so up to as many groups the split is the
+    plain rule's. All others, each below 1/`turns` of the rows, are dealt at once by `deal`, ordered by size, in the shares of what
+    the splits still lack.
+    """
     names = ("train", "val", "test")
-    counts = df.groupBy(group).agg(F.count("*").alias("n"))
-    total = df.count()
+    counts = materialise(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")), "groups")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     target = [float(total) * r for r in ratios]
 
     def choose(state: Column, x: Column) -> Column:
@@ -101,15 +144,22 @@ def group_split(df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15
     def update(state: Column, x: Column, p: Column) -> Column:
         return F.transform(state, lambda v, i: v + F.when(i == p, x["n"]).otherwise(0))
 
-    got = sequential_fold(counts, hash_order(group, seed=seed), [group, "n"], [0, 0, 0], choose, update, "__s", chunk)
-    got = got.select(group, F.element_at(F.array(*[F.lit(s) for s in names]), F.col("__s") + 1).alias("split"))
-    return df.drop("split").join(got, group) if "split" in df.columns else df.join(got, group)
+    heavy, rest = largest(counts, F.col("n"), group, seed, turns)
+    big = sequential_fold(heavy, hash_order(group, seed=seed), [group, "n"], [0, 0, 0], choose, update, "__s", chunk)
+    loads = {r[0]: r[1] for r in big.groupBy("__s").agg(F.sum("n")).collect()}  # one row per split
+    lack = [max(0.0, t - loads.get(i, 0)) for i, t in enumerate(target)]
+    small = deal(rest, [F.col("n"), *hash_order(group, seed=seed)], lack if sum(lack) > 0 else ratios, "__s")
+
+    def named(g: DataFrame) -> DataFrame:
+        return g.select(group, F.element_at(F.array(*[F.lit(s) for s in names]), F.col("__s") + 1).alias("split"))
+
+    return attach(df, named(big), named(small), group)
 
 
 def group_split_hashed(df: DataFrame, group: str, ratios: Sequence[float] = (0.70, 0.15, 0.15), seed: int = 830, buckets: int = 10_000) -> DataFrame:
     """Whole groups to splits by a seeded hash bucket of the group: no shuffle and no order, sizes by expectation.
 
-    The form for very many groups; `group_split` balances exactly but decides one group after the other.
+    The form for rows as they come, when not even the groups are to be counted.
     """
     bucket = F.conv(F.substring(hash_order(group, seed=seed)[0], 1, 8), 16, 10).cast("bigint") % buckets
     a, b = round(ratios[0] * buckets), round((ratios[0] + ratios[1]) * buckets)
@@ -143,17 +193,23 @@ def stratified_kfold(df: DataFrame, label: str, key: str | Sequence[str], k: int
     ).drop("__pos")
 
 
-def stratified_group_kfold(df: DataFrame, label: str, group: str, k: int = 4, seed: int = 42, chunk: int = 5_000) -> DataFrame:
-    """Folds that never split a group: groups with the most uneven class counts first, each to the fold that
-    leaves the class shares most even (ties: the smallest fold)."""
+def stratified_group_kfold(
+    df: DataFrame, label: str, group: str, k: int = 4, seed: int = 42, chunk: int = 5_000, turns: int = 5_000
+) -> DataFrame:
+    """Folds that never split a group. The `turns` groups that hold the largest share of a class are decided in turn: the
+    most uneven class counts first, each to the fold that leaves the class shares most even (ties: the smallest
+    fold), so up to as many groups the folds are the plain rule's. All others are dealt at once by `deal`, ordered by their class counts, in the shares
+    of what the folds still lack: groups with equal counts spread evenly, so a fold's share of a class differs by the rows of a few
+    groups for each distinct list of counts."""
+    df = df.where(F.col(group).isNotNull())
     totals = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).collect()}  # one row per class
     classes = list(totals)
-    n_groups = df.select(group).distinct().count()
-    k = min(k, min(totals.values()), n_groups)
+    c = len(classes)
+    per = df.groupBy(group).agg(F.array(*[F.count_if(F.col(label).eqNullSafe(F.lit(v))) for v in classes]).alias("n"))
+    per = materialise(per, "groups")
+    k = min(k, min(totals.values(), default=0), per.count())
     if k < 2:
         raise GateError("not enough classes or groups for cross-validation")
-    c = len(classes)
-    per = df.groupBy(group).agg(F.array(*[F.count_if(F.col(label) == v) for v in classes]).alias("n"))
     mean = F.aggregate("n", F.lit(0.0), lambda a, v: a + v) / c
     uneven = F.aggregate("n", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
     per = per.withColumn("u", F.round(uneven, 6))
@@ -174,9 +230,14 @@ def stratified_group_kfold(df: DataFrame, label: str, group: str, k: int = 4, se
     def update(state: Column, x: Column, p: Column) -> Column:
         return F.transform(state, lambda v, i: v + F.when(F.floor(i / c) == p, x["n"][(i % c).cast("int")]).otherwise(0))
 
+    shares = [F.col("n")[ci] / F.lit(float(totals[v])) for ci, v in enumerate(classes)]
+    heavy, rest = largest(per, F.greatest(*shares) if c > 1 else shares[0], group, seed, turns)
     order = [-F.col("u"), *hash_order(group, seed=seed)]
-    got = sequential_fold(per, order, [group, "n", "u"], [0] * (k * c), choose, update, "fold", chunk)
-    return df.join(got.select(group, "fold"), group)
+    big = sequential_fold(heavy, order, [group, "n", "u"], [0] * (k * c), choose, update, "fold", chunk)
+    loads = {r[0]: r[1:] for r in big.groupBy("fold").agg(*[F.sum(F.col("n")[ci]) for ci in range(c)]).collect()}  # one row per fold
+    lack = [sum(max(0.0, 1 / k - loads.get(f, [0] * c)[ci] / totals[v]) for ci, v in enumerate(classes)) for f in range(k)]
+    small = deal(rest, [F.col("n"), *hash_order(group, seed=seed)], lack if sum(lack) > 0 else [1] * k, "fold")
+    return attach(df, big.select(group, "fold"), small.select(group, "fold"), group)
 
 
 def replay_manifest(positives: DataFrame, negatives: DataFrame, hard: DataFrame, key: str = "filename") -> DataFrame:

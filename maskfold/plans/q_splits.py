@@ -59,6 +59,16 @@ def _(t):
     return splits.group_split_hashed(t.fx_scene.select("image_id", "strip"), "strip")
 
 
+#: the library's dealing, position by position
+DEALT = "rn % 2147483648 * 1327217885 % 2147483648"
+
+
+@query("g3_group_split_dealt", "fx_labelled", f"""with c as (select image_id, count(*) as n from fx_labelled group by 1), o as (select *, row_number() over (order by n, {h('image_id', 830)}, image_id) as rn from c)
+select image_id, n, case when {DEALT} < cast(floor(2147483648 * 0.7::double) as bigint) then 'train' when {DEALT} < cast(floor(2147483648 * 0.85::double) as bigint) then 'val' else 'test' end as split from o""")
+def _(t):
+    return splits.group_split(t.fx_labelled.select("image_id"), "image_id", turns=0).groupBy("image_id", "split").agg(F.count("*").alias("n"))
+
+
 @query("g4_pilot_sample", "fx_scene fx_gt", "with " + ANN + f"select image_id from ann where has_solar = 1 and annotation_count > 0 and split <> 'test' order by {h('image_id', 42)}, image_id limit 100")
 def _(t):
     ok = annotated(t).where("has_solar = 1 and annotation_count > 0").select("image_id")
@@ -70,12 +80,54 @@ def _(t):
     return splits.stratified_kfold(t.fx_labelled.select("image_id", "cand_id", "label"), "label", ["image_id", "cand_id"])
 
 
-@query("g6_stratified_group_kfold")
+COUNTS = "array[" + ", ".join(f"count(*) filter (where label = {v})" for v in range(4)) + "]"
+
+
+def fold_walk(k: int, c: int) -> str:
+    """SQL that walks groups one by one: s holds k x c loads, each group goes to the fold of the least cost."""
+    def cost(fold: int) -> str:
+        spread = []
+        for ci in range(1, c + 1):
+            share = [f"((s[{f * c + ci}] + {f'n[{ci}]' if f == fold else 0}) / cast(tot[{ci}] as double))" for f in range(k)]
+            mean = f"(({' + '.join(share)}) / {k})"
+            spread.append("sqrt((" + " + ".join(f"({v} - {mean}) * ({v} - {mean})" for v in share) + f") / {k})")
+        return f"{{'c': round(({' + '.join(spread)}) / {c}, 12), 'z': list_sum(s[{fold * c + 1} : {fold * c + c}]), 'f': {fold}}}"
+
+    new = "[" + ", ".join(f"s[{f * c + ci}] + case when fold = {f} then n[{ci}] else 0 end" for f in range(k) for ci in range(1, c + 1)) + "]"
+    return f"""w(rn, g, fold, s) as (select cast(0 as bigint), cast(null as bigint), -1, list_transform(range({k * c}), lambda i: cast(0 as bigint))
+  union all select rn, g, fold, {new} from (select o.rn, o.g, o.n, w.s, list_min([{', '.join(cost(f) for f in range(k))}]).f as fold from w join o on o.rn = w.rn + 1) q)"""
+
+
+UNEVEN = "round(list_sum(list_transform(n, lambda v: (v - list_sum(n) / cast(4.0 as double)) * (v - list_sum(n) / cast(4.0 as double)))), 6)"
+#: the largest 5,000 groups in turn, the others dealt in the shares of what the folds lack
+FOLDS = f"""p as (select g, {COUNTS} as n from l group by 1), tot as (select {COUNTS} as tot from l),
+big as (select p.* from p cross join tot order by greatest({", ".join(f"n[{i}] / cast(tot[{i}] as double)" for i in range(1, 5))}) desc, {h('g', 42)}, g limit 5000),
+o as materialized (select big.*, tot, row_number() over (order by {UNEVEN} desc, {h('g', 42)}, g) as rn from big cross join tot),
+{fold_walk(4, 4)},
+lack as (select fold, (select {" + ".join(f"greatest(0.0, 0.25 - w.s[f.fold * 4 + {i}] / cast(tot[{i}] as double))" for i in range(1, 5))} from w, tot where rn = (select max(rn) from w)) as v from (select unnest(range(4)) as fold) f),
+ends as (select fold, cast(floor(2147483648 * case when sum(v) over () > 0 then sum(v) over (order by fold) / sum(v) over () else (fold + 1) * 0.25 end) as bigint) as e from lack),
+small as (select g, row_number() over (order by n, {h('g', 42)}, g) as rn from p where g not in (select g from big)),
+folds as (select g, fold from w where rn > 0 union all select g, cast((select count(*) from ends where fold < 3 and e <= {DEALT}) as int) from small)"""
+
+
+@query("g6_stratified_group_kfold", "fx_labelled", f"with recursive l as (select image_id as g, label from fx_labelled), {FOLDS} select folds.fold, label, count(*) as n from l join folds using (g) group by 1, 2")
 def _(t):
     folds = splits.stratified_group_kfold(t.fx_labelled.select("image_id", "cand_id", "label"), "label", "image_id")
     return folds.groupBy("fold", "label").agg(F.count("*").alias("n"))
 
 
+@query("g6_stratified_group_kfold_strips", "fx_labelled fx_scene", f"with recursive l as (select s.strip as g, f.label from fx_labelled f join fx_scene s on s.image_id = f.image_id), {FOLDS} select g as strip, fold from folds")
+def _(t):
+    rows = t.fx_labelled.select("image_id", "label").join(t.fx_scene.select("image_id", "strip"), "image_id")
+    return splits.stratified_group_kfold(rows, "label", "strip").select("strip", "fold").distinct()
+
+
+@query("g6_stratified_group_kfold_dealt", "fx_labelled", f"""with g as (select image_id, {COUNTS} as n from fx_labelled group by 1), o as (select *, row_number() over (order by n, {h('image_id', 42)}, image_id) as rn from g)
+select image_id, cast(({DEALT}) // 536870912 as int) as fold from o""")
+def _(t):
+    return splits.stratified_group_kfold(t.fx_labelled.select("image_id", "label"), "label", "image_id", turns=0).select("image_id", "fold").distinct()
+
+
 HARD = "hard as (select distinct d.image_id from fx_det d join fx_scene s on s.image_id = d.image_id where s.has_solar = 0 and s.split = 'train' and d.model = 'm0' and d.score_pct >= 75)"
 
 

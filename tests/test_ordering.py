@@ -69,6 +69,66 @@ def test_group_kfold_against_a_walk(spark):
     assert got == want
 
 
+def dealt(position, shares):
+    u, at = position % 2**31 * 1_327_217_885 % 2**31, 0.0
+    for i, v in enumerate(shares):
+        at += v / sum(shares)
+        if i == len(shares) - 1 or u < int(2**31 * at):
+            return i
+
+
+def test_many_groups_are_dealt_after_the_largest(spark):
+    import hashlib
+
+    rng = np.random.default_rng(12)
+    size = [900, 400] + [int(v) for v in rng.integers(1, 6, 3000)]
+    df = spark.createDataFrame([(g, n) for g, n in enumerate(size)], "g bigint, n int").select("g", F.explode(F.sequence(F.lit(1), "n")).alias("row"))
+    rows = splits.group_split(df, "g", turns=2).groupBy("g", "split").count().collect()
+    assert len(rows) == len(size)  # no group in two splits, none lost
+    got, total = {r.g: r.split for r in rows}, sum(size)
+    names, loads, target = ("train", "val", "test"), [0, 0, 0], [total * r for r in (0.70, 0.15, 0.15)]
+    want = {}
+    def turn(g):
+        return hashlib.md5(f"830|{g}".encode()).hexdigest()
+
+    for g in sorted((0, 1), key=turn):
+        p = min(range(3), key=lambda i: (loads[i] / target[i], i))
+        loads[p] += size[g]
+        want[g] = names[p]
+    lack = [max(0.0, t - v) for t, v in zip(target, loads)]
+    for i, g in enumerate(sorted(range(2, len(size)), key=lambda g: (size[g], turn(g)))):
+        want[g] = names[dealt(i + 1, lack)]
+    assert got == want
+    held = {s: sum(size[g] for g in got if got[g] == s) for s in names}
+    assert all(abs(held[s] - t) < 0.01 * total for s, t in zip(names, target))
+
+
+def test_dealt_folds_hold_even_class_shares(spark):
+    """20,000 groups with one group of a third of all rows, ungrouped rows and a null label."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.floor(F.col("id") / 2)).alias("g"), (F.xxhash64("id") % 3).cast("string").alias("label"))
+    df = df.unionAll(spark.createDataFrame([(None, "0"), (None, "1")], "g bigint, label string"))
+    folds = splits.stratified_group_kfold(df, "label", "g", k=4, turns=50)
+    per = folds.groupBy("g").agg(F.countDistinct("fold").alias("n"), F.count("*").alias("rows")).agg(F.max("n"), F.sum("rows")).first()
+    assert per[0] == 1 and per[1] == 60_000
+    home = folds.where("g = 7").first().fold
+    rows = folds.where("g <> 7").groupBy("label", "fold").count().collect()
+    for label in {r.label for r in rows}:
+        small = [r["count"] for r in rows if r.label == label and r.fold != home]
+        # the three other folds share the rest evenly, the hot group's fold gets next to nothing more
+        assert max(small) - min(small) < 0.03 * sum(small)
+        assert sum(r["count"] for r in rows if r.label == label and r.fold == home) < 0.12 * sum(small)
+
+
+def test_folds_by_dealing_alone_and_without_rows(spark):
+    df = spark.range(8_000).select(F.floor(F.col("id") / 2).alias("g"), (F.col("id") % 2).cast("int").alias("label"))
+    n = {r.fold: r["count"] for r in splits.stratified_group_kfold(df, "label", "g", k=4, turns=0).groupBy("fold").count().collect()}
+    assert set(n) == {0, 1, 2, 3} and max(n.values()) - min(n.values()) <= 12
+    assert splits.group_split(df.limit(0), "g").count() == 0
+    with pytest.raises(splits.GateError):
+        splits.stratified_group_kfold(df.limit(0), "label", "g")
+
+
 def test_auc_against_pairs(spark):
     rng = np.random.default_rng(3)
     y, x = rng.integers(0, 2, 200), rng.integers(0, 20, 200)

@@ -6,11 +6,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import physics
+from ..functions.rounding import half_even
 from ..operators import masks, splits
 from ..sources import history, readers, sinks
 from ..sources.schemas import HISTORY
 from ..streaming.history_stream import stream_history
 from .materialise import materialise, scratch_dir
+from .fixtures import sql_half_even as he
 from .q_geo import EN, energy_df
 from .q_masks import labels_cte, pred_runs
 from .registry import query
@@ -89,12 +91,54 @@ def _(t):
     return history.history_current(log_df).select("prediction_id", F.col("created_at_utc").cast("timestamp_ntz").alias("created_at_utc"), "status", "physical_area_m2")
 
 
-@query("h26_history_record", "fx_geo fx_manual fx_irradiance", EN + """select image_id, scenario, case when cal_pixel_area_m2 is null then 'UNAVAILABLE' when calibration_type = 'AUTOMATIC' then 'VALIDATED' else 'USER_SUPPLIED' end as record_gsd_status,
-  case when cal_pixel_area_m2 is not null and calibration_type = 'MANUAL' then printf('%.4f m/pixel (User-Supplied)', cal_gsd) when cal_pixel_area_m2 is not null then 'auto' end as source_resolution from ck""")
-def _(t):
-    rec = history.history_record(physics.co2(energy_df(t)))
-    text = F.when(F.col("calibration_type") == "AUTOMATIC", F.when(F.col("source_resolution").rlike(r"^\d+\.\d{3}m x \d+\.\d{3}m/px$"), "auto")).otherwise(F.col("source_resolution"))
-    return rec.select("image_id", "scenario", "record_gsd_status", text.alias("source_resolution"))
+RECORD = EN + """,
+re as (select ck.*, f.filename, f.lat_e6 / 1000000.0::double as lat, f.lon_e6 / 1000000.0::double as lon, m.citation, g.gsd_provenance as found, concat(cast(ck.image_id as string), '-', scenario) as pid,
+  ck.calibration_type = 'AUTOMATIC' as auto, cal_pixel_area_m2 is not null as fine, """ + he("g.gsd_y", 4) + """ as gsd_y4, 1 + ck.image_id % 3 as regions
+  from ck join fx_scene f on f.image_id = ck.image_id join man m on m.image_id = ck.image_id left join geo g on g.image_id = ck.image_id and ck.image_id % 3 <> 1),
+rs as (select *, case when auto then concat('Embedded GeoTIFF (', case when image_id % 2 = 0 then 'EPSG:32643' else 'Projected CRS' end, ')') when calibration_type = 'MANUAL' and not fine then coalesce(citation, 'Rejected user input')
+  when calibration_type = 'MANUAL' then trim(citation) else 'Unreferenced standard raster without calibration' end as source from re)
+"""
+REC_VIEWS = "fx_geo fx_manual fx_irradiance fx_scene"
+FIELDS = """pid as prediction_id, filename, 'success' as status, 'any' as model_name, 640 as image_width, 640 as image_height, cast(409600 as bigint) as total_image_pixels, cast(solar_pixels as bigint) as solar_area_pixels,
+  """ + he("solar_pixels * 100.0::double / 409600", 4) + """ as solar_coverage_percent, cast(regions as bigint) as detected_region_count, cast(solar_pixels // regions + solar_pixels % regions as bigint) as largest_region_area_pixels, cast(solar_pixels // regions as bigint) as smallest_region_area_pixels,
+  """ + he("solar_pixels / cast(regions as double)", 4) + """ as mean_region_area_pixels, area as physical_area_m2, """ + he("area / 10000", 4) + """ as physical_area_hectares, case when area is null then 'insufficient_data' else 'calculated' end as physical_area_status,
+  energy_status, kwh as estimated_energy_kwh_year, case when kg is null then 'insufficient_data' else 'estimated' end as co2_status, kg as co2_avoided_kg_year, """ + he("kg / 1000", 4) + """ as co2_avoided_tonnes_year,
+  lat as latitude, lon as longitude, 'LEVEL_B' as georeferencing_level, cast(null as string) as location_name, concat('/outputs/', pid, '/mask') as mask_url, concat('/outputs/', pid, '/overlay') as overlay_url, concat('/outputs/', pid, '/original') as original_image_url,
+  0.35::double as applied_threshold, 20 as applied_min_component_area, 'resize' as processing_strategy, case when not fine then 'UNAVAILABLE' when auto then 'VALIDATED' else 'USER_SUPPLIED' end as gsd_status,
+  case when fine and auto then printf('%.3fm x %.3fm/px', """ + he("cal_gsd", 3) + ", " + he("gsd_y4", 3) + """) when fine then printf('%.4f m/pixel (User-Supplied)', cal_gsd) end as source_resolution,
+  case when image_id % 2 = 0 then 'EPSG:32643' end as source_crs, case when fine and not auto then source else coalesce(found, 'unreferenced') end as metadata_provenance, calibration_type, calibration_status, source as calibration_source,
+  case when calibration_type = 'MANUAL' then cal_gsd end as custom_gsd, rejection_reason as calibration_rejection_reason"""
+
+
+def record_df(t):
+    px, n = F.col("solar_pixels"), 1 + F.col("image_id") % 3
+    df = physics.co2(energy_df(t)).drop("width", "height").join(t.fx_scene.select("image_id", "filename", "width", "height", "lat_e6", "lon_e6"), "image_id")
+    df = df.withColumns({
+        "prediction_id": F.concat_ws("-", "image_id", "scenario"), "latitude": F.col("lat_e6") / 1e6, "longitude": F.col("lon_e6") / 1e6, "georeferencing_level": F.lit("LEVEL_B"),
+        "crs_name": F.when(F.col("image_id") % 2 == 0, "EPSG:32643"), "processing_strategy": F.lit("resize"), "created_at_utc": F.timestamp_seconds("image_id"),
+        "region_count": n, "largest_region": F.floor(px / n) + px % n, "smallest_region": F.floor(px / n), "mean_region": half_even(px / n, 4)})
+    return history.history_record(df, "any", 0.35, 20)
+
+
+@query("h26_history_record", REC_VIEWS, RECORD + "select " + FIELDS + " from rs")
+def _(t):
+    # appended to a log and read back as the current state
+    path = fresh(t, "records")
+    history.history_upsert(record_df(t), path)
+    log = t.spark.read.schema(HISTORY).parquet(path)
+    return history.history_current(log).drop(*history.LOG_COLUMNS, "created_at_utc", "details")
+
+
+@query("h26_record_details", REC_VIEWS, RECORD + """select pid as prediction_id, cal_pixel_area_m2 as area_pixel_area, area as area_m2, array_to_string(reasons, ';') as energy_reasons, kwh as energy_kwh, array_to_string(creasons, ';') as co2_reasons, ef as emission_factor,
+  found as gsd_provenance, calibration_status, source as calibration_source from rs""")
+def _(t):
+    shape = """area struct<cal_pixel_area_m2:double,solar_area_m2:double>, energy struct<energy_reasons:array<string>,energy_kwh_year:double>,
+        co2 struct<co2_reasons:array<string>,emission_factor:double>, geospatial struct<gsd_provenance:string>, calibration struct<calibration_status:string,calibration_source:string>"""
+    d = record_df(t).select("prediction_id", F.from_json("details", shape).alias("d"))
+    return d.select(
+        "prediction_id", F.col("d.area.cal_pixel_area_m2").alias("area_pixel_area"), F.col("d.area.solar_area_m2").alias("area_m2"), F.array_join("d.energy.energy_reasons", ";").alias("energy_reasons"),
+        F.col("d.energy.energy_kwh_year").alias("energy_kwh"), F.array_join("d.co2.co2_reasons", ";").alias("co2_reasons"), F.col("d.co2.emission_factor").alias("emission_factor"),
+        "d.geospatial.gsd_provenance", "d.calibration.calibration_status", "d.calibration.calibration_source")
 
 
 # ------------------------------------------------------------------ sources and sinks, written and read back

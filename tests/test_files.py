@@ -99,3 +99,36 @@ def test_repeated_sampleid_is_an_error(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([(1, "a.png")], "sampleid bigint, filename string"), str(tmp_path / "m"))
     with pytest.raises(ValueError, match="repeated sampleid"):
         readers.scan_catalogue(spark, str(tmp_path / "c"), str(tmp_path / "m"))
+
+
+def test_history_record_by_hand(spark, tmp_path):
+    import json
+
+    ddl = ("prediction_id string, filename string, width int, height int, solar_pixels bigint, calibration_type string, calibration_status string, cal_gsd double,"
+           "cal_gsd_x double, cal_gsd_y double, cal_pixel_area_m2 double, rejection_reason string, citation string, gsd_provenance string, crs_name string,"
+           "solar_area_m2 double, physical_area_status string, energy_reasons array<string>")
+    rows = [
+        ("a", "a.tif", 200, 100, 333, "AUTOMATIC", "EXTRACTED_METADATA", 0.3125, 0.3125, 0.25, 0.078125, None, None, "projected", "EPSG:32643", 26.02, "calculated", []),
+        ("b", "b.png", 200, 100, 0, "MANUAL", "USER_SUPPLIED", 0.3, 0.3, 0.3, 0.09, None, " flight log ", None, None, 0.0, "calculated", ["ghi_missing"]),
+        ("c", "c.png", 200, 100, 7, "MANUAL", "REJECTED", None, None, None, None, "gsd_not_positive", None, None, None, None, "insufficient_data", ["area_unavailable"]),
+        ("d", "d.png", 0, 0, 0, "NONE", "UNAVAILABLE", None, None, None, None, None, None, None, None, None, "insufficient_data", ["area_unavailable"]),
+        (None, "no id", 1, 1, 0, None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    made = history.history_record(spark.createDataFrame(rows, ddl), "net", 0.4, 12)
+    path = str(tmp_path / "log")
+    history.history_upsert(made, path)
+    got = {r.prediction_id: r for r in history.history_current(spark.read.schema(HISTORY).parquet(path)).collect()}
+    assert set(got) == set("abcd")  # an entry without an id is not persisted
+    a, b, c, d = (got[i] for i in "abcd")
+    assert (a.source_resolution, b.source_resolution, c.source_resolution) == ("0.312m x 0.250m/px", "0.3000 m/pixel (User-Supplied)", None)
+    assert [r.gsd_status for r in (a, b, c, d)] == ["VALIDATED", "USER_SUPPLIED", "UNAVAILABLE", "UNAVAILABLE"]
+    assert [r.metadata_provenance for r in (a, b, c, d)] == ["projected", "flight log", "unreferenced", "unreferenced"]
+    assert [r.calibration_source for r in (a, b, c)] == ["Embedded GeoTIFF (EPSG:32643)", "flight log", "Rejected user input"]
+    assert (a.solar_coverage_percent, d.solar_coverage_percent, a.total_image_pixels) == (1.665, None, 20_000)
+    assert (a.physical_area_hectares, c.physical_area_hectares, b.custom_gsd, a.custom_gsd, c.custom_gsd) == (0.0026, None, 0.3, None, None)
+    assert (a.mask_url, a.applied_threshold, a.applied_min_component_area, a.model_name, a.status) == ("/outputs/a/mask", 0.4, 12, "net", "success")
+    assert c.calibration_rejection_reason == "gsd_not_positive" and a.detected_region_count is None and a.co2_status is None
+    assert json.loads(b.details)["energy"]["energy_reasons"] == ["ghi_missing"] and set(json.loads(a.details)) == {"area", "energy", "co2", "geospatial", "calibration"}
+    # a scene without an id gets one, and its addresses carry it
+    fresh = history.history_record(spark.createDataFrame([("x.png", 5)], "filename string, solar_pixels bigint")).first()
+    assert len(fresh.prediction_id) == 36 and fresh.overlay_url == f"/outputs/{fresh.prediction_id}/overlay"

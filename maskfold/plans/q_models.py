@@ -19,20 +19,21 @@ def candidates(t):
 
 @query("m1_logistic_cv")
 def _(t):
-    oof = models.cross_validate(candidates(t), models.logistic_pipeline(FEATS, "label"), "label", "fold", ["doc_id"])
+    oof = models.logistic_cv(candidates(t), FEATS, "label", "fold", ["doc_id"])
     return features.classification_report(oof, (0, 1))
 
 
 @query("m2_forest_cv")
 def _(t):
-    oof = models.cross_validate(candidates(t), models.forest_pipeline(FEATS, "label"), "label", "fold", ["doc_id"])
+    oof = models.forest_cv(candidates(t), FEATS, "label", "fold", ["doc_id"])
     return features.classification_report(oof, (0, 1))
 
 
 @query("m3_importances_coefs")
 def _(t):
-    data = models.balanced_weights(candidates(t), "label")
-    coef = models.explain_logistic(models.logistic_pipeline(FEATS, "label").fit(data), FEATS, t.spark)
+    rows = candidates(t)
+    data = models.balanced_weights(models.fill_medians(rows, FEATS), "label")
+    coef = models.logistic_coefficients(models.fit_logistic(rows, FEATS, "label")[None], FEATS, t.spark)
     imp = models.explain_forest(models.forest_pipeline(FEATS, "label").fit(data), FEATS, t.spark)
     return coef.select(F.lit("coefficient").alias("kind"), "feature", F.round("coefficient", 4).alias("value")).unionAll(
         imp.select(F.lit("importance").alias("kind"), "feature", F.round("importance", 4).alias("value")))

@@ -4,12 +4,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.raster import hann2d, tile_starts
+from ..functions.raster import tile_starts
 
 
 def tile_grid(images: DataFrame, tile: int = 256, overlap: float = 0.25) -> DataFrame:
@@ -36,18 +37,115 @@ def tile_place(det: DataFrame, tiles: DataFrame) -> DataFrame:
     ).where("x1 > x0 and y1 > y0").drop("tx", "ty", "width", "height")
 
 
-def hann_blend(tiles: DataFrame, images: DataFrame, floor: float = 1e-6) -> DataFrame:
-    """Weighted mean of overlapping tile probabilities, cropped to the image.
+#: side of the blocks in which tiles are added up, and how many of them a task holds before it hands them on
+BLOCK, HELD = 64, 512
+_PARTIAL = "image_id {image}, by int, bx int, y0 int, x0 int, h int, w int, num binary, den binary"
+
+
+def _hann_window(h: int, w: int) -> np.ndarray:
+    """The weights of `hann2d` for a whole tile."""
+    def line(n: int) -> np.ndarray:
+        return 0.5 - 0.5 * np.cos(2.0 * np.pi * (np.arange(n) + 1) / (n + 1))
+
+    return np.clip(np.outer(line(h), line(w)), 0.001, 1.0)
+
+
+def _add_tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cut tiles at block borders and add up what falls into one block; at most `HELD` blocks are held."""
+    windows: dict[tuple[int, int], np.ndarray] = {}
+    held: dict[tuple, list] = {}
+
+    def flush() -> Iterator[pd.DataFrame]:
+        rows = []
+        for (image, by, bx), (num, den) in held.items():
+            ys, xs = np.flatnonzero(den.any(axis=1)), np.flatnonzero(den.any(axis=0))
+            if not len(ys):
+                continue
+            cut = np.s_[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+            rows.append((image, by, bx, ys[0], xs[0], *num[cut].shape, num[cut].tobytes(), den[cut].tobytes()))
+        held.clear()
+        if rows:
+            yield pd.DataFrame(rows, columns=["image_id", "by", "bx", "y0", "x0", "h", "w", "num", "den"])
+
+    for pdf in frames:
+        for image, tx, ty, w, h, probs in pdf.itertuples(index=False):
+            if (h, w) not in windows:
+                if len(windows) > 64:
+                    windows.clear()
+                windows[h, w] = _hann_window(h, w)
+            p = np.asarray(probs, dtype="float64").reshape(h, w)
+            some = ~np.isnan(p)
+            den = windows[h, w] * some
+            num = np.where(some, p, 0.0) * den
+            for by in range(ty // BLOCK, (ty + h - 1) // BLOCK + 1):
+                for bx in range(tx // BLOCK, (tx + w - 1) // BLOCK + 1):
+                    y0, y1 = max(ty, by * BLOCK), min(ty + h, (by + 1) * BLOCK)
+                    x0, x1 = max(tx, bx * BLOCK), min(tx + w, (bx + 1) * BLOCK)
+                    if (image, by, bx) not in held:
+                        if len(held) >= HELD:
+                            yield from flush()
+                        held[image, by, bx] = [np.zeros((BLOCK, BLOCK)), np.zeros((BLOCK, BLOCK))]
+                    to = np.s_[y0 - by * BLOCK : y1 - by * BLOCK, x0 - bx * BLOCK : x1 - bx * BLOCK]
+                    at = np.s_[y0 - ty : y1 - ty, x0 - tx : x1 - tx]
+                    held[image, by, bx][0][to] += num[at]
+                    held[image, by, bx][1][to] += den[at]
+    yield from flush()
+
+
+def _blend_blocks(floor: float):
+    """Add up the parts of each block; rows come sorted by block, one open block and at most 64 finished ones are held."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, num, den, done = None, None, None, []
+
+        def close() -> None:
+            image, by, bx = key
+            ys, xs = np.flatnonzero(den.any(axis=1)), np.flatnonzero(den.any(axis=0))
+            cut = np.s_[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+            p = np.where(den[cut] > 0, num[cut] / np.maximum(den[cut], floor), np.nan)  # NaN becomes null
+            done.append((image, by * BLOCK + ys[0], bx * BLOCK + xs[0], p.shape[1], p.ravel()))
+
+        def hand_on() -> pd.DataFrame:
+            out = pd.DataFrame(done, columns=["image_id", "y0", "x0", "w", "probs"])
+            done.clear()
+            return out
+
+        for pdf in frames:
+            for image, by, bx, y0, x0, h, w, n, d in pdf.itertuples(index=False):
+                if key != (image, by, bx):
+                    if key is not None:
+                        close()
+                    if len(done) >= 64:
+                        yield hand_on()
+                    key, num, den = (image, by, bx), np.zeros((BLOCK, BLOCK)), np.zeros((BLOCK, BLOCK))
+                num[y0 : y0 + h, x0 : x0 + w] += np.frombuffer(n).reshape(h, w)
+                den[y0 : y0 + h, x0 : x0 + w] += np.frombuffer(d).reshape(h, w)
+        if key is not None:
+            close()
+            yield hand_on()
+
+    return run
+
 
-    `tiles` has (image_id, tx, ty, tile_w, tile_h, probs array, row by row). Sums combine before the
-    shuffle, so a pixel's overlapping tiles never sit together in memory.
+def hann_blend_blocks(tiles: DataFrame, floor: float = 1e-6) -> DataFrame:
+    """Weighted mean of overlapping tile probabilities as blocks (image_id, y0, x0, w, probs row by row); null where no tile lies.
+
+    `tiles` has (image_id, tx, ty, tile_w, tile_h, probs array, row by row). Tiles are added up in blocks of 64 x 64 pixels
+    before the shuffle, so a row of it is a block, not a pixel, and copies of a tile cost nothing there. After it the parts of a
+    block follow each other and one block is open, however many tiles overlap. A null or NaN probability carries no weight; tiles
+    without an image or without probabilities are left out, an array that does not fit its tile is an error.
     """
-    px = tiles.select("image_id", "tx", "ty", "tile_w", "tile_h", F.posexplode("probs").alias("i", "p"))
-    dx = (F.col("i") % F.col("tile_w")).cast("int")
-    dy = F.floor(F.col("i") / F.col("tile_w")).cast("int")
-    px = px.select("image_id", (F.col("tx") + dx).alias("x"), (F.col("ty") + dy).alias("y"), "p", hann2d(dx, dy, F.col("tile_w"), F.col("tile_h")).alias("w"))
-    out = px.groupBy("image_id", "y", "x").agg((F.sum(F.col("p") * F.col("w")) / F.greatest(F.sum("w"), F.lit(floor))).alias("p"))
-    return out.join(images.select("image_id", "width", "height"), "image_id").where("x < width and y < height").select("image_id", "y", "x", "p")
+    image = dict(tiles.dtypes)["image_id"]
+    parts = tiles.where("image_id is not null and probs is not null").select("image_id", "tx", "ty", "tile_w", "tile_h", "probs").mapInPandas(_add_tiles, _PARTIAL.format(image=image))
+    keys = ["image_id", "by", "bx"]
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_blend_blocks(floor), f"image_id {image}, y0 int, x0 int, w int, probs array<double>")
+
+
+def hann_blend(tiles: DataFrame, images: DataFrame, floor: float = 1e-6) -> DataFrame:
+    """Weighted mean of overlapping tile probabilities per pixel, cropped to the image; see `hann_blend_blocks`."""
+    blocks = hann_blend_blocks(tiles, floor).join(images.select("image_id", "width", "height"), "image_id").where("y0 < height and x0 < width")
+    out = blocks.select("image_id", "y0", "x0", "w", "width", "height", F.posexplode("probs").alias("i", "p")).where("p is not null")
+    out = out.withColumns({"y": F.col("y0") + F.floor(F.col("i") / F.col("w")).cast("int"), "x": F.col("x0") + F.col("i") % F.col("w")})
+    return out.where("x < width and y < height").select("image_id", "y", "x", "p")
 
 
 def _targets(params: DataFrame) -> DataFrame:

@@ -356,7 +356,12 @@ def confusion(
         F.coalesce("p", zero).alias("p"),
         F.coalesce("tp", zero).alias("tp"),
     )
-    return joined.select(
+    return counted(joined, keys)
+
+
+def counted(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The confusion counts from pixels in all (`total`), of the ground truth (`g`), of the prediction (`p`) and of both (`tp`)."""
+    return pixels.select(
         "model",
         *keys,
         "tp",

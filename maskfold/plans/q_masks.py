@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks
+from ..operators import images, masks
 from .fixtures import MODELS
 from .fixtures import sql_half_even as he
 from .registry import query
@@ -52,7 +52,7 @@ def labels_cte(bit: str, name: str, cond: str = "true", near: str = "") -> str:
 
 
 def confusion_df(t):
-    return masks.confusion(t.fx_gt, t.fx_det, t.fx_scene, MODELS)
+    return images.confusion(t.fx_gt, t.fx_det, t.fx_scene, MODELS)
 
 
 def pred_runs(t, bit="pred = 1"):
@@ -64,7 +64,7 @@ select s.image_id, cast(coalesce(area, 0) as bigint) as solar_pixels, cast(width
   cast(width * height as bigint) as total_pixels, """ + he("coalesce(area, 0) / (width * height) * 100.0", 4) + """ as coverage_percent
 from fx_scene s left join covered c on c.image_id = s.image_id""")
 def _(t):
-    return masks.coverage(masks.covered_area(t.fx_gt, ["image_id"]), t.fx_scene)
+    return masks.coverage(images.covered_area(t.fx_gt), t.fx_scene)
 
 
 @query("h27_mask_bbox", "fx_gt", """

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, metrics, sweep
+from ..operators import images, masks, metrics, sweep
 from .fixtures import MODELS
 from .materialise import materialise
 from .ordering import running
@@ -171,7 +171,7 @@ c as (select s.image_id, """ + he("coalesce(area, 0) / (width * height) * 100.0"
 select count(*) as images, round(avg(v), 4) as mean, round(avg(case when v <= 3.0 then 1.0 else 0.0 end), 6) as small_share,
   """ + he("quantile_cont(v, 0.25)", 4) + """ as p25, """ + he("quantile_cont(v, 0.5)", 4) + """ as median, """ + he("quantile_cont(v, 0.75)", 4) + """ as p75 from c""")
 def _(t):
-    return metrics.coverage_distribution(masks.coverage(masks.covered_area(t.fx_gt, ["image_id"]), t.fx_scene))
+    return metrics.coverage_distribution(masks.coverage(images.covered_area(t.fx_gt), t.fx_scene))
 
 
 @query("a43_annotation_size_share", "fx_gt fx_scene", """

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from maskfold.operators import images, matching
+from maskfold.operators import images, masks, matching
 
 MODELS = ("m0", "m1")
 
@@ -63,3 +63,11 @@ def test_masks_are_shuffled_once(spark, boxes):
         assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_areas_are_those_of_the_raster(spark, boxes, limit):
+    d, g = boxes
+    scenes = spark.createDataFrame([(i, 400, 400) for i in range(15)], "image_id long, width int, height int")
+    assert rows(images.covered_area(g, limit)) == rows(masks.covered_area(g, ["image_id"]))
+    assert rows(images.confusion(g, d, scenes, MODELS, limit)) == rows(masks.confusion(g, d, scenes, MODELS))

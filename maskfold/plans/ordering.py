@@ -59,33 +59,47 @@ def running(
     return out.select(*df.columns, *[e.alias(n) for n, e in new.items()])
 
 
+#: a sketch places a percentile between the values this far to either side; what lies outside is only counted
+NEAR, ACCURACY = 0.002, 10_000
+
+
 def exact_percentiles(
     df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Linear-interpolation percentiles of `value` per `by`, exact at any group size.
 
-    Equal values are counted first, so the sort sees distinct values; each wanted rank is then read
-    off the running count. No group is held in one task.
+    A sketch of fixed size brackets each percentile, all rows are counted against the brackets, and only values
+    inside them are put in order. Should a count show that a bracket misses its percentile, all values are ordered.
+    `df` is read several times, so it should be a written table. No group is held in one task.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    cum = running(counts, [F.col(value)], by, pos=None, sums={"__c": "__cum"})
-    total = counts.groupBy(*by).agg(F.sum("__c").alias("__tot"))
-    cum = cum.join(total, list(by)) if by else cum.join(F.broadcast(total))  # one row
-    first = F.col("__cum") - F.col("__c")
-    aggs = []
-    for name, p in ps.items():
-        at = (F.col("__tot") - 1) * F.lit(float(p))
-        for tag, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            aggs.append(F.max(F.when((first <= rank) & (rank < F.col("__cum")), F.col(value))).alias(f"__{tag}_{name}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"__f_{name}"))
-    got = cum.groupBy(*by).agg(*aggs)
-    return got.select(
-        *by,
-        *[
-            (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n)
-            for n in ps
-        ],
+    by = list(by)
+    known = df.select(*by, value).where(F.col(value).isNotNull())
+    sides = [min(max(p + d, 0.0), 1.0) for p in ps.values() for d in (-NEAR, NEAR)]
+    sketch = known.groupBy(*by).agg(F.percentile_approx(value, sides, ACCURACY).alias("__q"))
+    brackets = F.array(*[F.struct(F.lit(n).alias("__p"), F.lit(float(p)).alias("__at"), F.get("__q", F.lit(2 * i)).alias("__l"), F.get("__q", F.lit(2 * i + 1)).alias("__u")) for i, (n, p) in enumerate(ps.items())])
+    # a row per group, written so that the engine knows its size before it joins
+    sketch = materialise(sketch.where("__q is not null").select(*by, brackets.alias("__b")), "sketch")
+    placed = (known.join(sketch, by) if by else known.join(F.broadcast(sketch))).select(*by, value, F.inline("__b"))
+    v = F.col(value)
+    stats = placed.groupBy(*by, "__p").agg(
+        F.count("*").alias("__tot"), F.count_if(v < F.col("__l")).alias("__n0"), F.count_if(v <= F.col("__u")).alias("__n1"), F.max("__at").alias("__at")
+    )
+    stats = stats.select(*by, "__p", "__n0", "__n1", ((F.col("__tot") - 1) * F.col("__at")).alias("__rank"))
+    stats = materialise(stats, "stats")
+    if stats.where("floor(__rank) < __n0 or ceil(__rank) >= __n1").isEmpty():
+        counts = placed.where((v >= F.col("__l")) & (v <= F.col("__u")))
+    else:
+        counts, stats = placed, stats.withColumn("__n0", F.lit(0))
+    counts = counts.groupBy(*by, "__p", value).agg(F.count("*").alias("__c"))
+    cum = running(counts, [v], [*by, "__p"], pos=None, sums={"__c": "__cum"}).join(stats, [*by, "__p"])
+    upto = F.col("__n0") + F.col("__cum")
+    first = upto - F.col("__c")
+    got = cum.groupBy(*by, "__p").agg(
+        *[F.max(F.when((first <= rank) & (rank < upto), v)).alias(f"__{tag}") for tag, rank in (("lo", F.floor("__rank")), ("hi", F.ceil("__rank")))],
+        F.max(F.col("__rank") - F.floor("__rank")).alias("__f"),
     )
+    exact = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")
+    return got.groupBy(*by).agg(*[F.max(F.when(F.col("__p") == n, exact)).alias(n) for n in ps])
 
 
 def sequential_fold(

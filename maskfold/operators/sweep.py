@@ -139,12 +139,16 @@ def per_image_detection(
         .groupBy("model", "image_id", "threshold_pct")
         .agg(F.count("*").alias("n"), F.sum("is_tp").alias("t"), F.sum("area").alias("a"), F.avg("iou").alias("miou"))
     )
+    # one row per image: at most models x thresholds entries, so image and counts meet by image alone
+    entry = F.struct(F.struct("model", "threshold_pct").alias("k"), F.struct("n", "t", "a", "miou").alias("v"))
+    got = got.groupBy("image_id").agg(F.map_from_entries(F.collect_list(entry)).alias("got"))
     gt_img = gts.groupBy("image_id").agg(F.count("*").alias("g_n"), F.sum("area").alias("g_area"))
-    base = images.select("image_id").join(gt_img, "image_id", "left").withColumn(
+    base = images.select("image_id").join(gt_img, "image_id", "left").join(got, "image_id", "left").withColumn(
         "model", F.explode(F.array(*[F.lit(m) for m in models]))
     ).withColumn("threshold_pct", F.explode(ts))
+    base = base.withColumn("at", F.try_element_at("got", F.struct("model", "threshold_pct")))
     zero = F.lit(0).cast("bigint")
-    out = base.join(got, ["model", "image_id", "threshold_pct"], "left").withColumns(
+    out = base.select("model", "image_id", "threshold_pct", "g_n", "g_area", "at.*").withColumns(
         {c: F.coalesce(F.col(c), zero) for c in ("n", "t", "a", "g_n", "g_area")}
     )
     err = F.col("a") - F.col("g_area")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features
+from ..operators import features, images
 from .materialise import materialise
 from ..functions.parsing import fill_median, keep_labels, numeric_coerce
 from .q_matching import MATCH, MAXIOU, VIEWS, diagnosis_df, matched_df
@@ -41,7 +41,7 @@ def _(t):
 @query("j17_neighbour_count", "fx_det", """select d.model, d.image_id, d.pred_idx, count(o.pred_idx) as neighbour_count from fx_det d left join fx_det o on o.model = d.model and o.image_id = d.image_id
   and (power((d.x0 + d.x1) - (o.x0 + o.x1), 2) + power((d.y0 + d.y1) - (o.y0 + o.y1), 2)) between 1 and 40000 group by 1, 2, 3""")
 def _(t):
-    return features.neighbour_count(t.fx_det).select("model", "image_id", "pred_idx", "neighbour_count")
+    return images.neighbour_count(t.fx_det).select("model", "image_id", "pred_idx", "neighbour_count")
 
 
 SC = "st as (select image_id, pred_idx as stored_idx, score_pct / 100 as score, x0, y0, x1, y1 from fx_det where model = 'm0'), cu as (select image_id, pred_idx, score_pct / 100 as score, x0, y0, x1, y1 from fx_det where model = 'm1')"
@@ -56,7 +56,7 @@ def stored_current(t):
 r as (select *, row_number() over (partition by image_id, stored_idx order by round(d, 6), pred_idx) as rn from p)
 select image_id, stored_idx, pred_idx, round(d, 6) as distance from r where rn = 1""")
 def _(t):
-    return features.rematch_nearest(*stored_current(t)).select("image_id", "stored_idx", "pred_idx", F.round("distance", 6).alias("distance"))
+    return images.rematch_nearest(*stored_current(t)).select("image_id", "stored_idx", "pred_idx", F.round("distance", 6).alias("distance"))
 
 
 @query("j12_rematch_tolerance", "fx_det", "with " + SC + """, di as (select s.image_id, s.stored_idx from st s join cu c on c.image_id = s.image_id and c.pred_idx = s.stored_idx and abs(c.score - s.score) <= 0.002),

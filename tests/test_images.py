@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from maskfold.operators import images, masks, matching
+from maskfold.operators import features, images, masks, matching
 
 MODELS = ("m0", "m1")
 
@@ -71,3 +71,32 @@ def test_areas_are_those_of_the_raster(spark, boxes, limit):
     scenes = spark.createDataFrame([(i, 400, 400) for i in range(15)], "image_id long, width int, height int")
     assert rows(images.covered_area(g, limit)) == rows(masks.covered_area(g, ["image_id"]))
     assert rows(images.confusion(g, d, scenes, MODELS, limit)) == rows(masks.confusion(g, d, scenes, MODELS))
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_neighbours_are_those_of_the_cells(boxes, limit):
+    d, _ = boxes
+    assert rows(images.neighbour_count(d, 40, limit)) == rows(features.neighbour_count(d, 40).select("model", "image_id", "pred_idx", "neighbour_count"))
+    d = d.selectExpr("*", "score_pct / 100 as score")
+    s, c = d.where("model = 'm0'").withColumnRenamed("pred_idx", "stored_idx"), d.where("model = 'm1'")
+    assert rows(images.rematch_nearest(s, c, limit)) == rows(features.rematch_nearest(s, c))
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 2])
+def test_percentiles_order_only_what_is_near(spark, monkeypatch, accuracy):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from maskfold.plans import ordering
+
+    sent = []
+    plain = ordering.running
+    monkeypatch.setattr(ordering, "running", lambda df, *a, **k: sent.append(df.count()) or plain(df, *a, **k))
+    monkeypatch.setattr(ordering, "ACCURACY", accuracy)
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") / 1e12).alias("v"))
+    got = {r.g: (r.a, r.b) for r in ordering.exact_percentiles(df, "v", {"a": 0.25, "b": 0.9}, ["g"]).collect()}
+    for g in (0, 1):
+        v = [r.v for r in df.where(F.col("g") == g).collect()]
+        assert got[g] == pytest.approx(tuple(np.percentile(v, [25, 90])), rel=1e-12)
+    if accuracy > 2:
+        assert sent[0] < 1_000

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialise import materialise
-from ..plans.ordering import running
+from ..plans.ordering import from_end, running, tally
 from .celltree import count_within
 
 CROWD = 2_000
@@ -381,10 +381,12 @@ def average_precision(matched: DataFrame, gts: DataFrame, by: Sequence[str] = ("
     total = gts.agg(F.count("*").alias("gt_total"))  # one row
     n = matched.select(*by, "image_id", "pred_idx", "score_pct", F.col("is_tp").cast("bigint").alias("is_tp"))
     order = [-F.col("score_pct"), F.col("image_id"), F.col("pred_idx")]
-    cum = running(n, order, by, pos="rank", sums={"is_tp": "tp_cum"}).withColumn("precision", F.col("tp_cum") / F.col("rank"))
-    env = running(cum, [-F.col("rank")], by, pos=None, maxes={"precision": "envelope"})
-    agg = env.groupBy(*by).agg(F.sum("is_tp").alias("tp"), F.count("*").alias("predictions"), F.sum(F.when(F.col("is_tp") == 1, F.col("envelope"))).alias("area"))
-    out = agg.join(F.broadcast(total))
+    cum = tally(n, order, "is_tp", by).withColumn("precision", F.col("tp_cum") / F.col("rank"))
+    # between two hits precision falls, so the envelope at a hit is the highest precision of the hits from it on
+    area = from_end(cum.where("is_tp = 1").select(*by, "__pid", "rank", "precision"), "precision", "envelope", by)
+    area = area.groupBy(*by).agg(F.sum("envelope").alias("area"))
+    agg = cum.groupBy(*by).agg(F.max("tp_cum").alias("tp"), F.max("rank").alias("predictions"))
+    out = (agg.join(area, by, "left") if by else agg.crossJoin(area)).join(F.broadcast(total))
     p = F.col("tp") / (F.col("predictions") + 1e-7)
     r = F.col("tp") / (F.col("gt_total") + 1e-7)
     return out.select(
@@ -397,7 +399,7 @@ def pr_curve(matched: DataFrame, gt_total: DataFrame, by: Sequence[str] = ("mode
     """Running precision and recall in global score order, with the precision envelope from the end."""
     by = list(by)
     n = matched.select(*by, "image_id", "pred_idx", "score_pct", F.col("is_tp").cast("bigint").alias("is_tp"))
-    cum = running(n, [-F.col("score_pct"), F.col("image_id"), F.col("pred_idx")], by, pos="rank", sums={"is_tp": "tp_cum"})
+    cum = tally(n, [-F.col("score_pct"), F.col("image_id"), F.col("pred_idx")], "is_tp", by)
     cum = cum.join(F.broadcast(gt_total)).withColumns({
         "fp_cum": F.col("rank") - F.col("tp_cum"), "precision": F.col("tp_cum") / F.col("rank"), "recall": F.col("tp_cum") / F.greatest(F.col("gt_total"), F.lit(1))})
-    return running(cum, [-F.col("rank")], by, pos=None, maxes={"precision": "envelope"})
+    return from_end(cum, "precision", "envelope", by)

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .materialise import materialise
 
@@ -59,6 +63,62 @@ def running(
     return out.select(*df.columns, *[e.alias(n) for n, e in new.items()])
 
 
+def _numbered(by: Sequence[str], flag: str):
+    """Counts rows and set flags per `by` over the sorted rows of one partition, batch by batch."""
+
+    def run(batches):
+        last, n0, s0 = None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in by:
+                codes = pc.dictionary_encode(b.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            first = tuple(b.column(c)[0].as_py() for c in by)
+            if first != last:
+                n0 = s0 = 0
+            start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), 0))
+            hits = b.column(flag).to_numpy(zero_copy_only=False).astype(np.int64)
+            total = np.cumsum(hits)
+            n = np.arange(b.num_rows) - start + 1 + np.where(start == 0, n0, 0)
+            s = total - (total - hits)[start] + np.where(start == 0, s0, 0)
+            last, n0, s0 = tuple(b.column(c)[-1].as_py() for c in by), int(n[-1]), int(s[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(s, pa.int64())], names=[*b.schema.names, "__n", "__s"])
+
+    return run
+
+
+def tally(df: DataFrame, order: Sequence[Column], flag: str, by: Sequence[str] = (), pos: str = "rank", hits: str = "tp_cum") -> DataFrame:
+    """Add `pos` (1-based) and the running number `hits` of rows whose `flag` (0 or 1) is set, in the total order within `by`.
+
+    Rows are shuffled once and counted while they are written in their order; what comes before a partition is one row for it.
+    The partition is kept in `__pid` for `from_end`.
+    """
+    by = list(by)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn("__pid", F.spark_partition_id())
+    schema = StructType([*placed.schema.fields, StructField("__n", LongType()), StructField("__s", LongType())])
+    placed = materialise(placed.mapInArrow(_numbered(by, flag), schema), "ordered")
+    # one row per partition and `by` value
+    ends = placed.groupBy(*by, "__pid").agg(F.max("__n").alias("__n1"), F.max("__s").alias("__s1"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "__pid", *[F.coalesce(F.sum(f"__{c}1").over(before), F.lit(0)).alias(f"__{c}0") for c in "ns"])
+    out = placed.join(materialise(ends, "ends"), [*by, "__pid"])
+    return out.select(*df.columns, "__pid", (F.col("__n0") + F.col("__n")).alias(pos), (F.col("__s0") + F.col("__s")).alias(hits))
+
+
+def from_end(tallied: DataFrame, value: str, name: str, by: Sequence[str] = (), pos: str = "rank") -> DataFrame:
+    """The running maximum `name` of `value` from the last row to the first, of a frame by `tally`."""
+    by = list(by)
+    tops = tallied.groupBy(*by, "__pid").agg(F.max(value).alias("__top"))
+    after = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("__pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tops = materialise(tops.select(*by, "__pid", F.max("__top").over(after).alias("__after")), "tops")
+    inside = Window.partitionBy(*by, "__pid").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = tallied.withColumn("__in", F.max(value).over(inside)).join(tops, [*by, "__pid"])
+    return out.withColumn(name, F.greatest("__in", "__after")).drop("__in", "__after", "__pid")
+
+
 #: a sketch places a percentile between the values this far to either side; what lies outside is only counted
 NEAR, ACCURACY = 0.002, 10_000
 

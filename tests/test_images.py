@@ -100,3 +100,25 @@ def test_percentiles_order_only_what_is_near(spark, monkeypatch, accuracy):
         assert got[g] == pytest.approx(tuple(np.percentile(v, [25, 90])), rel=1e-12)
     if accuracy > 2:
         assert sent[0] < 1_000
+
+
+def test_curve_is_counted_while_it_is_ordered(spark):
+    from pyspark.sql import functions as F
+
+    from maskfold.plans import ordering
+
+    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), F.col("id").alias("i"), (F.hash("id") % 50).alias("s"), (F.hash("id", "id") % 2 == 0).cast("long").alias("hit"))
+    order = [-F.col("s"), F.col("i")]
+    cum = ordering.tally(df, order, "hit", ["g"]).withColumn("p", F.col("tp_cum") / F.col("rank"))
+    assert cum._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning") == 0
+    got = {(r.g, r.i): (r["rank"], r.tp_cum, r.env) for r in ordering.from_end(cum, "p", "env", ["g"]).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r.g, -r.s, r.i))
+    for g in range(3):
+        mine, hits, want = [r for r in rows if r.g == g], 0, []
+        for n, r in enumerate(mine, 1):
+            hits += r.hit
+            want.append((n, hits, hits / n))
+        top = 0.0
+        for r, (n, h, p) in reversed(list(zip(mine, want))):
+            top = max(top, p)
+            assert got[g, r.i] == (n, h, top)

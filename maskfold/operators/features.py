@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..plans.materialise import materialise
 from ..plans.ordering import from_end, running, tally
 from .celltree import count_within
+from .flat import outline_sizes
 
 CROWD = 2_000
 
@@ -38,43 +39,11 @@ def shape_features(det: DataFrame, images: DataFrame, aspect: str = "width_heigh
 def outline_features(outlines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Area, perimeter, hull area, compactness and solidity of a closed outline.
 
-    `vertices` is an array of structs (x, y) of one instance's largest outline, so the folds below see one
-    outline only. The hull is built from the vertices in (x, y) order, lower and upper chain.
+    `vertices` is an array of structs (x, y) of one instance's largest outline. All outlines of a batch are worked out together in
+    arrays; the hull is built from the vertices in (x, y) order, lower and upper chain.
     """
-    v = F.col("vertices")
-    nxt = F.concat(F.slice(v, 2, F.size(v)), F.slice(v, 1, 1))
-    pairs = F.zip_with(v, nxt, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-    def cross(o: Column, a: Column, b: Column) -> Column:
-        return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
-
-    def area2(arr: Column) -> Column:
-        return F.abs(F.aggregate(arr, F.lit(0.0), lambda s, e: s + (e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])))
-
-    def chain(points: Column) -> Column:
-        empty = F.slice(points, 1, 0)
-
-        def push(acc: Column, p: Column) -> Column:
-            # drop points that would turn right; a kept prefix is found by the longest convex one
-            n = F.size(acc)
-            ok = F.filter(
-                F.sequence(F.lit(0), n),
-                lambda i: (i < 2) | (cross(F.element_at(acc, F.greatest(i - 1, F.lit(1))), F.element_at(acc, F.greatest(i, F.lit(1))), p) > 0),
-            )
-            # popping stops at the first convex pair from the end
-            keep = F.array_max(ok)
-            return F.concat(F.slice(acc, 1, keep), F.array(p))
-
-        return F.aggregate(points, empty, push)
-
-    pts = F.array_sort(F.array_distinct(v))
-    out = outlines.withColumns({"outline_area": area2(pairs) / 2.0, "perimeter": F.aggregate(
-        pairs, F.lit(0.0), lambda s, e: s + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]))})
-    out = out.withColumn("__lower", chain(pts)).withColumn("__upper", chain(F.reverse(pts)))
-    hull = F.concat(F.expr("slice(__lower, 1, size(__lower) - 1)"), F.expr("slice(__upper, 1, size(__upper) - 1)"))
-    out = out.withColumn("__hull", hull)
-    hn = F.concat(F.slice("__hull", 2, F.size("__hull")), F.slice("__hull", 1, 1))
-    out = out.withColumn("hull_area", area2(F.zip_with("__hull", hn, lambda p, q: F.struct(p.alias("p"), q.alias("q")))) / 2.0)
+    out = outlines.select(*keys, outline_sizes("vertices").alias("__s")).select(
+        *keys, F.col("__s.area").alias("outline_area"), F.col("__s.perimeter").alias("perimeter"), F.col("__s.hull").alias("hull_area"))
     return out.select(
         *keys, F.round("outline_area", 6).alias("outline_area"), F.round("perimeter", 6).alias("perimeter"), F.round("hull_area", 6).alias("hull_area"),
         F.round(F.when(F.col("perimeter") > 0, 4 * F.pi() * F.col("outline_area") / (F.col("perimeter") * F.col("perimeter"))).otherwise(0.0), 6).alias("compactness"),

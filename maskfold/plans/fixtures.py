@@ -195,6 +195,10 @@ def ansi(names: str, body: str) -> str:
 
 
 _plans: dict[tuple[str, str, str], DataFrame] = {}
+_sizes: dict[tuple[str, str, str], int] = {}
+
+#: rows of a table in one partition of a view: what a task holds does not grow with the table
+ROWS_PER_TASK = 200_000
 
 
 class Inputs:
@@ -213,6 +217,13 @@ class Inputs:
             _plans[key] = make()
         return _plans[key]
 
+    def parts(self, name: str) -> int:
+        """Partitions for a shuffle of a given table, by its rows (footers only); a task for each core at least."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _sizes:
+            _sizes[key] = self.table(name).count()
+        return max(self.spark.sparkContext.defaultParallelism, -(-_sizes[key] // ROWS_PER_TASK))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
@@ -238,9 +249,12 @@ ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _items(t: Inputs, flag: Column | None = None) -> DataFrame:
-    """fx_item dealt by order, so whatever is done per image afterwards needs no further shuffle. `flag` in place of the highest letter."""
+    """fx_item dealt by order, so whatever is done per image afterwards needs no further shuffle. `flag` in place of the highest letter.
+
+    The number of partitions follows the table: left to the engine, a few partitions would grow with it.
+    """
     c = F.col
-    rows = t.lineitem.select(*ITEM, "l_quantity", "l_returnflag").repartition("l_orderkey")
+    rows = t.lineitem.select(*ITEM, "l_quantity", "l_returnflag").repartition(t.parts("lineitem"), "l_orderkey")
     rows = rows.groupBy(*ITEM).agg((F.lit(20) + F.max("l_quantity").cast("int")).alias("w"), (F.max("l_returnflag") if flag is None else flag).alias("flag"))
     return rows.select(
         *ITEM, ((c("l_partkey") * 10000000 + c("l_suppkey")) * 8 + c("l_linenumber")).alias("idx"),
@@ -253,7 +267,8 @@ def _dets(t: Inputs) -> DataFrame:
     """fx_det with one reading of the items: each stands for up to three detections a model, of the kinds 0, 1 and 2 of the text."""
     # 1 if the highest letter is R: numbers are summed up without a sort
     top = F.max(F.expr("case when l_returnflag > 'R' then 2 when l_returnflag = 'R' then 1 else 0 end"))
-    scenes = t.orders.where("o_orderkey % 6 <> 0").groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.count("*").cast("int").alias("n"))
+    scenes = t.orders.where("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("l_orderkey")).repartition(t.parts("lineitem"), "l_orderkey")
+    scenes = scenes.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
     each = _items(t, top).join(scenes, "l_orderkey", "left")
     each = each.select("*", F.explode(F.array(*[F.lit(m) for m in range(3)])).alias("m"))
     each = each.select("*", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("kind"))

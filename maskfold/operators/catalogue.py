@@ -72,6 +72,7 @@ def join_exactly_one(ids: DataFrame, files: DataFrame, key: str = "sampleid") ->
     """Ids with exactly one file, and the offenders with their file count (see `files_of` for their files)."""
     per = files.groupBy(key).agg(F.count("*").alias("n_files"), F.min("filename").alias("filename"))
     joined = ids.join(per, key, "left").withColumn("n_files", F.coalesce("n_files", F.lit(0).cast("bigint")))
+    joined = materialise(joined, "files")  # a row per id, read by both frames
     return joined.where("n_files = 1").drop("n_files"), joined.where("n_files <> 1").select(key, "n_files")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue, leakage, splits
+from .materialise import materialise
 from .registry import query
 
 ANN = "ann as (select s.*, count(g.gt_idx) as annotation_count from fx_scene s left join fx_gt g on g.image_id = s.image_id group by all)"
@@ -216,6 +217,7 @@ def _(t):
 select s.image_id as sampleid, coalesce(n.n, 0) as n_files, f.model as filename from fx_scene s left join n using (image_id) left join f using (image_id) where coalesce(n.n, 0) <> 1""")
 def _(t):
     files = t.fx_det.select(F.col("image_id").alias("sampleid"), F.col("model").alias("filename")).distinct()
+    files = materialise(files, "files")  # read twice
     _, bad = catalogue.join_exactly_one(t.fx_scene.select(F.col("image_id").alias("sampleid")), files)
     return catalogue.files_of(bad, files)
 

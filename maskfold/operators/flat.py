@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 #: pairs of items looked at in one go
 PAIRS = 1 << 20
@@ -56,21 +56,30 @@ def union_areas(row: np.ndarray, rows: int, y0: np.ndarray, y1: np.ndarray, x0:
     return np.diff(total[np.searchsorted(row[box], np.arange(rows + 1))])
 
 
-@F.arrow_udf(StructType([StructField(c, LongType()) for c in ("g", "p", "tp")]))
-def box_areas(gs: pa.Array, ps: pa.Array) -> pa.Array:
-    """Pixels under the boxes `gs`, under `ps` and under both."""
-    (gn, g), (pn, p) = _lists(gs), _lists(ps)
-    sides = [[_numbers(items, c, np.int64) for c in ("y0", "y1", "x0", "x1")] for items in (g, p)]
-    g_to, p_to = np.concatenate([[0], np.cumsum(gn)]), np.concatenate([[0], np.cumsum(pn)])
-    out = np.zeros((3, len(gn)), np.int64)
-    for s in _slices(2 * (gn + pn) ** 2):
-        k = s.stop - s.start
-        rg, rp = np.repeat(np.arange(k), gn[s]), np.repeat(np.arange(k), pn[s])
-        cg, cp = [c[g_to[s.start]:g_to[s.stop]] for c in sides[0]], [c[p_to[s.start]:p_to[s.stop]] for c in sides[1]]
-        one, two = union_areas(rg, k, *cg), union_areas(rp, k, *cp)
-        both = np.concatenate([rg, rp])
-        out[:, s] = one, two, one + two - union_areas(both, k, *map(np.concatenate, zip(cg, cp)))
-    return pa.StructArray.from_arrays(list(map(pa.array, out)), names=["g", "p", "tp"])
+def box_areas(models: int):
+    """Per model 0, 1, ... of the boxes `ps`, which name theirs in `m`: pixels under the boxes `gs`, under its own and under both."""
+
+    def run(gs: pa.Array, ps: pa.Array) -> pa.Array:
+        (gn, g), (pn, p) = _lists(gs), _lists(ps)
+        rows, m = len(gn), _numbers(p, "m", np.int64)
+        g_row, p_row = np.repeat(np.arange(rows), gn), np.repeat(np.arange(rows), pn)
+        g_box, p_box = ([_numbers(items, c, np.int64) for c in ("y0", "y1", "x0", "x1")] for items in (g, p))
+        out = np.zeros((3, rows, models), np.int64)
+        for s in _slices(2 * (gn + pn) ** 2):
+            k = s.stop - s.start
+            at = slice(*np.searchsorted(g_row, [s.start, s.stop]))
+            rg, cg = g_row[at] - s.start, [c[at] for c in g_box]
+            one, (lo, hi) = union_areas(rg, k, *cg), np.searchsorted(p_row, [s.start, s.stop])
+            for i in range(models):
+                at = lo + np.flatnonzero(m[lo:hi] == i)
+                rp, cp = p_row[at] - s.start, [c[at] for c in p_box]
+                two = union_areas(rp, k, *cp)
+                any_ = union_areas(np.concatenate([rg, rp]), k, *map(np.concatenate, zip(cg, cp)))
+                out[:, s, i] = one, two, one + two - any_
+        each = pa.StructArray.from_arrays([pa.array(v.ravel()) for v in out], names=["g", "p", "tp"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * models, pa.int32()), each)
+
+    return F.arrow_udf(run, ArrayType(StructType([StructField(c, LongType()) for c in ("g", "p", "tp")])))
 
 
 def _chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:

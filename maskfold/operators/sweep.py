@@ -61,11 +61,12 @@ def sweep_detections(
     )
     levels = [int(t) for t in thresholds] if all(float(t).is_integer() for t in thresholds) else [float(t) for t in thresholds]
     steps = matched.withColumn("__s", _level(F.col(score), sorted(set(levels)))).where("__s is not null")
-    steps = steps.groupBy("model", "image_id", "__s").agg(
+    # the id comes first: rows are sorted by their first key
+    steps = steps.groupBy("image_id", "model", "__s").agg(
         F.count("*").alias("n"), F.sum("is_tp").alias("tp"), F.sum("area").alias("a"), F.sum("iou").alias("iou_sum"),
         F.sum(score).alias("s_sum"), F.max(score).alias("s_max"),
     )
-    w = Window.partitionBy("model", "image_id").orderBy(F.col("__s").desc())
+    w = Window.partitionBy("image_id", "model").orderBy(F.col("__s").desc())
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = steps.join(imgs, "image_id").select(
         *by, "model", "__s", "n", "tp", "iou_sum", "s_sum", "s_max", "g_n", "g_area", pos.alias("pos"),

@@ -198,7 +198,7 @@ _plans: dict[tuple[str, str, str], DataFrame] = {}
 _sizes: dict[tuple[str, str, str], int] = {}
 
 #: rows of a table in one partition of a view: what a task holds does not grow with the table
-ROWS_PER_TASK = 200_000
+ROWS_PER_TASK = 100_000
 
 
 class Inputs:

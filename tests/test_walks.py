@@ -2,6 +2,7 @@
 import pytest
 
 from maskfold.operators import images
+from maskfold.plans import fixtures
 
 BOX = "x0 int, y0 int, x1 int, y1 int, area long"
 
@@ -36,3 +37,8 @@ def test_ground_truths_are_gathered_and_joined_once_an_image(spark, shared):
             assert plan.count("collect_list") and "keys=[model" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_task_holds_no_more_than_100_000_rows(spark, tmp_path):
+    spark.range(1_000_001).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert fixtures.Inputs(spark, str(tmp_path)).parts("lineitem") == 11

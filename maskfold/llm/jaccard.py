@@ -6,8 +6,9 @@ set can link with nothing and leaves. The others are led together by the inverte
 a group a set looks for partners with DivideSkip: a heap merges the short lists, the long ones are probed by
 binary search until the required overlap is reached or out of reach.
 
-Only links that can change a component are looked for. Sets form stars around pivots; since Jaccard distance is a
-metric, a set farther than twice the distance threshold from a pivot links with nobody in its star.
+Only links that can change a component are looked for. In a small group sets form stars around pivots; since Jaccard
+distance is a metric, a set farther than twice the distance threshold from a pivot links with nobody in its star. In a
+larger one blocks of sets are searched at once in arrays, and sets of its largest component need not meet each other.
 """
 from __future__ import annotations
 
@@ -29,6 +30,8 @@ from .components import components
 from .text import free_name
 
 GROUP_ITEMS = 4_000_000
+#: groups of more sets are searched in arrays, by a table of so many cells at most; so many sets are compared with all others first
+ARRAY_SETS, CELLS, FIRST = 12, 16_000_000, 64
 
 
 @dataclass(frozen=True)
@@ -248,21 +251,109 @@ class Stars:
         return me
 
 
+class Lists:
+    """The inverted lists of a group's shingles, divided at one length: the long ones are columns of a 0/1 matrix, the short
+    ones are merged by counting."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.k = k = len(sets)
+        self.n = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(k), self.n)
+        _, code, self.length = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        long_ = np.argsort(-self.length, kind="stable")[: min(int((self.length > max(1, k // 16)).sum()), CELLS // k)]
+        column = np.full(len(self.length), -1)
+        column[long_] = np.arange(len(long_))
+        at = column[code]
+        self.matrix = np.zeros((k, len(long_)), np.float32)
+        self.matrix[owner[at >= 0], at[at >= 0]] = 1
+        self.n_long = np.bincount(owner[at >= 0], minlength=k)
+        short = (at < 0) & (self.length[code] > 1)
+        self.code, owner = code[short], owner[short]
+        self.first = np.searchsorted(owner, np.arange(k + 1))
+        self.posted = owner[np.argsort(self.code, kind="stable")]
+        self.start = np.cumsum(counts := np.bincount(self.code, minlength=len(self.length))) - counts
+        self.work = np.bincount(owner, self.length[self.code], minlength=k)
+
+    def blocks(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Stretches of `rows` whose counts fit into the cells."""
+        total = np.cumsum(self.work[rows] + self.k) // (CELLS // 16)
+        yield from np.split(rows, np.flatnonzero(np.diff(total)) + 1)
+
+    def links(self, rows: np.ndarray, rule: Rule) -> np.ndarray:
+        """Which sets each of `rows` links with."""
+        first, last = self.first[rows], self.first[rows + 1]
+        code = self.code[_ranges(first, last - first)]
+        n = self.length[code]
+        row = np.repeat(np.repeat(np.arange(len(rows)), last - first), n)
+        over = np.bincount(row * self.k + self.posted[_ranges(self.start[code], n)], minlength=len(rows) * self.k).reshape(len(rows), self.k)
+        mine = self.n[rows][:, None]
+        # what the long lists may still add decides who is looked up in them
+        reach = ((over + np.minimum(self.n_long[rows][:, None], self.n_long)) * 100 >= rule.percent * mine).any(axis=0)
+        open_ = np.flatnonzero(reach)
+        over[:, open_] += (self.matrix[rows] @ self.matrix[open_].T).astype(over.dtype)
+        return (over > 0) & (100 * over >= rule.percent * (mine + self.n - over))
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of n[i] numbers each, one after the other."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def array_search(rule: Rule, sets: list[np.ndarray], known: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that make up the components of `sets`, and sets that stand for them. `known[i]` is a set that is in the component of i."""
+    lists, root = Lists(sets), list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    edges = []
+    for i, j in enumerate(known):
+        root[find(i)] = find(j)
+    label = np.array([find(i) for i in range(len(sets))])
+
+    def meet(rows: np.ndarray) -> None:
+        nonlocal label
+        for block in lists.blocks(rows):
+            r, c = np.nonzero(lists.links(block, rule) & (label[block][:, None] != label))
+            _, one = np.unique(r * lists.k + label[c], return_index=True)
+            for i, j in zip(block[r[one]].tolist(), c[one].tolist(), strict=True):
+                if (a := find(i)) != (b := find(j)):
+                    root[a] = b
+                    edges.append((i, j))
+            label = np.array([find(i) for i in range(len(sets))])
+
+    some = np.arange(0, lists.k, -(-lists.k // FIRST))
+    for i in range(0, len(some), 16):
+        meet(some[i : i + 16])
+    # two sets of the largest component need not meet, all others meet everyone
+    meet(np.flatnonzero(label != np.bincount(label).argmax()))
+    return edges, list(dict.fromkeys([*some.tolist(), *np.unique(label, return_index=True)[1].tolist()]))
+
+
 EDGES = "a long, b long, pivot boolean"
 
 
 def _search(rule: Rule):
-    """Group function: rows (sid, items, known) -> edges that join components, and the pivots as (sid, sid, true)."""
+    """Group function: rows (sid, items, known, budget) -> edges that join components, and as (sid, sid, true) the pivots
+    up to `budget` shingles."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("sid", "ascending")])
         sids, known = t.column("sid").to_pylist(), t.column("known").to_pylist()
-        stars, first = Stars(rule), {}
-        for i, (x, g) in enumerate(zip(t.column("items"), known, strict=True)):
-            stars.add(np.sort(np.frombuffer(x.as_py(), "<u8")), first.get(g) if g is not None else None)
-            if g is not None:
-                first.setdefault(g, i)
-        rows = [(sids[i], sids[j], False) for i, j in stars.edges] + [(sids[i], sids[i], True) for i in stars.pivots]
+        sets, first = [np.sort(np.frombuffer(x.as_py(), "<u8")) for x in t.column("items")], {}
+        same = [first.setdefault(g, i) if g is not None else i for i, g in enumerate(known)]
+        if len(sets) > ARRAY_SETS:
+            edges, pivots = array_search(rule, sets, same)
+        else:
+            stars = Stars(rule)
+            for i, (x, j) in enumerate(zip(sets, same, strict=True)):
+                stars.add(x, j if j < i else None)
+            edges, pivots = stars.edges, stars.pivots
+        before = np.cumsum([0, *[len(sets[i]) for i in pivots]])[:-1]
+        rows = [(sids[i], sids[j], False) for i, j in edges] + [(sids[i], sids[i], True) for i in np.array(pivots)[before < t.column("budget")[0].as_py()]]
         a, b, p = zip(*rows, strict=True) if rows else ([], [], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "pivot": pa.array(p, pa.bool_())})
 
@@ -283,17 +374,17 @@ def _find_links(alive: DataFrame, groups: DataFrame, rule: Rule, limit: int) ->
     rows = materialise(rows.select("grp", "chunk", "chunks", "sid", "n", "items"), "groups")
     search = lambda df: df.groupBy("grp", "chunk", "block").applyInArrow(_search(rule), EDGES)
     no = F.lit(None).cast("long")
-    found = materialise(search(rows.select("grp", "chunk", F.lit(0).alias("block"), "sid", "items", no.alias("known"))), "links")
+    whole = F.lit(limit).cast("long").alias("budget")
+    share = F.ceil(F.lit(limit) / F.col("chunks")).alias("budget")
+    found = materialise(search(rows.select("grp", "chunk", F.lit(0).alias("block"), "sid", "items", no.alias("known"), share)), "links")
     edges = found.where("not pivot").select("a", "b")
     large = rows.where("chunks > 1")
     if not large.limit(1).count():
         return edges
 
-    # pivots of the chunks of one group, up to the limit: this joins what belongs together, nothing relies on it
-    pivots = large.join(found.where("pivot").select(F.col("a").alias("sid")), "sid", "left_semi")
-    upto = F.sum("n").over(Window.partitionBy("grp").orderBy("sid"))
-    some = pivots.withColumn("__u", upto).where(F.col("__u") <= limit)
-    more = search(some.select("grp", F.lit(0).alias("chunk"), F.lit(1).alias("block"), "sid", "items", no.alias("known")))
+    # pivots of the chunks of one group, each chunk's share of the limit: this joins what belongs together, nothing relies on it
+    some = large.join(found.where("pivot").select(F.col("a").alias("sid")), "sid", "left_semi")
+    more = search(some.select("grp", F.lit(0).alias("chunk"), F.lit(1).alias("block"), "sid", "items", no.alias("known"), whole))
     edges = materialise(edges.union(more.where("not pivot").select("a", "b")), "links")
 
     label = components(edges, "a", "b").select(F.col("node").alias("sid"), "component")
@@ -308,7 +399,7 @@ def _find_links(alive: DataFrame, groups: DataFrame, rule: Rule, limit: int) ->
     meet = known.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cols = ["grp", "chunk", "block", "sid", "items", "known"]
     pairs = meet.select(*cols).union(sent.select(*cols)).dropDuplicates(["grp", "chunk", "block", "sid"])
-    last = materialise(search(pairs).where("not pivot").select("a", "b"), "links")
+    last = materialise(search(pairs.withColumn("budget", whole)).where("not pivot").select("a", "b"), "links")
     return edges.union(last)
 
 

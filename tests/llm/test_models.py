@@ -2,6 +2,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -95,6 +96,51 @@ def test_jaccard_large_group_in_chunks(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, rule, limit=limit).collect()} == want
 
 
+def test_large_candidate_group_is_searched_fast():
+    """1,200 near copies of which most link with few others: one task, whose work is in arrays (over 20 s set by set)."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (3, 400)).astype(np.uint64)
+    sets = []
+    for i in range(1_200):
+        s = base[i % 3].copy()
+        k = rng.integers(0, 50)
+        s[rng.integers(0, 400, k)] = base[(i + 1) % 3][:40][rng.integers(0, 40, k)] if i % 7 == 0 else rng.integers(0, 2**63, k).astype(np.uint64)
+        sets.append(np.unique(s))
+    rule = jaccard.Rule(3, 90)
+    n = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    has = np.zeros((len(sets), code.max() + 1), np.float32)
+    has[owner, code] = 1
+    over = (has @ has.T).astype(int)
+    link = 100 * over >= rule.percent * (n[:, None] + n - over)
+    want = np.arange(len(sets))
+    while not np.array_equal(new := np.where(link, want, len(sets)).min(axis=1), want):
+        want = new
+    assert 100 < len(np.unique(want)) < 1_100
+
+    def search(budget, known):
+        return jaccard._search(rule)(pa.table({"sid": np.arange(len(sets)), "items": [s.tobytes() for s in sets], "known": pa.array(known, pa.int64()), "budget": [budget] * len(sets)}))
+
+    def joined(edges, label):
+        label = label.copy()
+        for a, b in edges:
+            label[label == label[a]] = label[b]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in np.unique(label)}
+
+    start = time.time()
+    t = search(2_000, [None] * len(sets)).to_pylist()
+    assert time.time() - start < 10
+    edges = [(r["a"], r["b"]) for r in t if not r["pivot"]]
+    assert all(link[a, b] for a, b in edges) and len(edges) == len(sets) - len(np.unique(want))
+    assert joined(edges, np.arange(len(sets))) == joined([], want)
+    assert 0 < sum(n[r["a"]] for r in t if r["pivot"]) < 2_000 + 400
+    # what is known to be one component needs no edge
+    more = search(10**6, [int(x) if i % 2 else None for i, x in enumerate(want)]).to_pylist()
+    label = np.where(np.arange(len(sets)) % 2, want + len(sets), np.arange(len(sets)))
+    assert joined([(r["a"], r["b"]) for r in more if not r["pivot"]], label) == joined([], want)
+
+
 def test_jaccard_repeated_rows_and_null_ids(spark):
     rows = [(3, "a b c d e f g", 1, "x")] * 2 + [(1, "A b c d e f g", 1, "x"), (None, "a b c d e f g", 1, "x"), (None, "q r s t u v", 1, "x"), (9, "", 1, "x"), (None, None, 1, "x")]
     docs = spark.createDataFrame(rows, DOC)

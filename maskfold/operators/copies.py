@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialise import materialise
 from ..plans.ordering import running
+from . import images
 from .matching import iou_pairs, match_greedy
 
 #: above this many pairs of masks a (model, image) is matched shape by shape
@@ -47,6 +48,41 @@ def shape_pairs(dets: DataFrame, gts: DataFrame, det_shapes: DataFrame, gt_shape
 GROUP = ["model", "image_id"]
 
 
+def box_pairs(dets: DataFrame, gts: DataFrame, limit: int = images.WALK_LIMIT) -> DataFrame:
+    """`shape_pairs` of masks that are one block each. Boxes are folded where their image is dealt to, once, and meet there; images
+    with more than `limit` masks a side are folded over the whole cluster and meet by cell."""
+    hot = images.crowded(limit, (dets, ["image_id"]), (gts, ["image_id"]))
+
+    def folded(df: DataFrame, on: list[str], idx: str, shape: str, n: str) -> DataFrame:
+        rows = images.calm(df, hot).select(*on, idx, "area", *BLOCK).repartition("image_id")
+        return rows.groupBy(*on, "area", *BLOCK).agg(F.min(idx).alias(shape), F.count("*").alias(n))
+
+    left, right = folded(dets, ["image_id", "model"], "pred_idx", "pred_shape", "n_pred"), folded(gts, ["image_id"], "gt_idx", "gt_shape", "n_gt")
+    right = right.select("image_id", "gt_shape", "n_gt", F.struct("area", *BLOCK).alias("g"))
+    left = left.select("image_id", "model", "pred_shape", "n_pred", F.struct("area", *BLOCK).alias("d"))
+    met = left.join(right, "image_id").where(images.meet(F.col("d"), F.col("g"))).withColumn("inter", images.overlap(F.col("d"), F.col("g")))
+    met = met.withColumn("union_px", F.col("d.area") + F.col("g.area") - F.col("inter")).withColumn("iou", F.col("inter") / F.col("union_px"))
+    out = met.select(*GROUP, "pred_shape", "gt_shape", "n_pred", "n_gt", "inter", "union_px", "iou")
+    if hot is None:
+        return out
+    many, truth = (materialise(images.busy(df, hot), "busy") for df in (dets, gts))
+    shapes = fold_shapes(many, GROUP, "pred_idx")[1], fold_shapes(truth, ["image_id"], "gt_idx")[1]
+    return out.unionByName(shape_pairs(many, truth, *shapes))
+
+
+def match_boxes(
+    dets: DataFrame, gts: DataFrame, iou: float = 0.5, score: str = "score_pct", pair_limit: int = PAIR_LIMIT, limit: int = images.WALK_LIMIT
+) -> DataFrame:
+    """`match_masks` of masks that are one block each: images with up to `limit` masks a side are walked where they are dealt to,
+    only the others are folded."""
+    hot = images.crowded(limit, (dets, ["image_id"]), (gts, ["image_id"]))
+    out = images.match_calm(dets, gts, hot, iou, score)
+    if hot is None:
+        return out
+    many, truth = (materialise(images.busy(df, hot), "busy") for df in (dets, gts))
+    return out.unionByName(match_masks(many, truth, iou, score, pair_limit).select(*out.columns))
+
+
 def _settle(edges: DataFrame, room: DataFrame, members: DataFrame) -> DataFrame:
     """(model, image_id, pred_idx, o, gt_shape, iou) of each prediction that is matched.
 

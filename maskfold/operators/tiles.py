@@ -253,9 +253,8 @@ def _fill(edges: tuple[np.ndarray, ...], height: np.ndarray, width: np.ndarray,
     return poly, y, x0, x1
 
 
-def filled(rings: pa.Array, height: np.ndarray, width: np.ndarray, union: bool) -> Iterator[tuple[np.ndarray, ...]]:
+def filled(edges: tuple[np.ndarray, ...], height: np.ndarray, width: np.ndarray, union: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs (polygon, y, x0, x1) of polygons beside the size of their image: whole polygons, about CROSSINGS crossings at a time."""
-    edges = _edges(rings)
     span = np.ceil(np.abs(edges[5] - edges[3])).astype(np.int64) + 1
     load = np.bincount(edges[0], np.minimum(span, height[edges[0]].astype(np.int64) + 1), len(height))
     cut = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(load), np.arange(1, load.sum() // CROSSINGS + 1) * CROSSINGS), [len(height)]]))
@@ -268,7 +267,7 @@ def _rasterise(keys: list[str], union: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             height, width = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("height", "width"))
-            for poly, y, x0, x1 in filled(batch.column("rings"), height, width, union):
+            for poly, y, x0, x1 in filled(_edges(batch.column("rings")), height, width, union):
                 rows = pa.array(poly)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in keys], *[pa.array(v.astype(np.int32)) for v in (y, x0, x1)]], [*keys, "y", "x0", "x1"])
 
